@@ -6,23 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repograph.llm import mixing, sharding
+from repograph.llm import chat, mixing, quality, sharding, urls
 from repograph.llm.common import read
 
+#: The rules of the URL filter.
+URL_RULES = [
+    urls.UrlRule("block", "com", "/en/"),
+    urls.UrlRule("allow", "example.com", "/en/7"),
+    urls.UrlRule("allow", "net", "/de/"),
+    urls.UrlRule("block", "example.net", "/de/8"),
+    urls.UrlRule("block", "org", "/es/"),
+]
+
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "weight")
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict for each page."""
+    return urls.filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict for each document."""
+    judged = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
 def op7_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of each document."""
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op9_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and masked completions of each pair of conversations."""
+    return chat.format_preferences(chat.neighbouring_pairs(read(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
+    "op3_url_filters": op3_url_filters,
+    "op5_quality_rules": op5_quality_rules,
     "op7_feistel_sharding": op7_feistel_sharding,
+    "op9_preference_formatting": op9_preference_formatting,
 }
 
 SQL: dict[str, str] = {}
