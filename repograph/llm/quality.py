@@ -2,7 +2,8 @@
 
 The list is learned by sequential covering: rules for the low-quality class are grown one after another, each a conjunction of
 thresholds on statistics chosen by information gain on two thirds of the labelled rows, then pruned on the other third and kept
-only if it stays precise there; rows that a rule covers leave the set before the next one is grown. The rules in order become one
+only if it stays precise there; rows that a rule covers leave the set before the next one is grown. Rows that the fixed rule
+rejects take no part, as the list never judges them. The rules in order become one
 nested conditional expression of Spark, which judges every document in the scan.
 
 All counting over labelled rows is done by Spark aggregations; the driver sees the counts for each statistic and threshold only.
@@ -161,7 +162,7 @@ def learn(labelled: DataFrame) -> list[Rule]:
 
     Without rows of both kinds the list is empty. The same rows give the same rules.
     """
-    named = labelled.where("bad is not null").select("bad", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("third"), *dict.fromkeys(x for pair in RATIOS.values() for x in pair))
+    named = labelled.where("bad is not null").where(~base_failed()).select("bad", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("third"), *dict.fromkeys(x for pair in RATIOS.values() for x in pair))
     rows = checkpointed(named)
     points = [i / N_THRESHOLDS for i in range(1, N_THRESHOLDS)]
     at = rows.agg(*(F.percentile_approx(F.when(F.col("bad") == kind, ratio(name)), points, 10_000).alias(f"{name}_{kind}") for name in RATIOS for kind in (True, False))).first()
@@ -169,9 +170,10 @@ def learn(labelled: DataFrame) -> list[Rule]:
     if not any(thresholds.values()):
         return []
     rules: list[Rule] = []
+    grown: list[Rule] = []
     for _ in range(MAX_RULES):
         left = F.lit(True)
-        for rule in rules:
+        for rule in grown:
             left = left & ~holds(rule)
         grow, prune = rows.where(left & (F.col("third") > 0)), rows.where(left & (F.col("third") == 0))
         rule = _grown(grow, thresholds)
@@ -183,9 +185,9 @@ def learn(labelled: DataFrame) -> list[Rule]:
         worth = [((seen[f"bad{k}"] - seen[f"good{k}"]) / max(1, seen[f"bad{k}"] + seen[f"good{k}"]), seen[f"bad{k}"], -k) for k in range(len(tries))]
         k = -max(worth)[2]
         bad, good = seen[f"bad{k}"], seen[f"good{k}"]
-        if not bad or bad < LEAST_PRECISION * (bad + good):
-            break
-        rules.append(tries[k])
+        grown.append(tries[k])
+        if bad and bad >= LEAST_PRECISION * (bad + good):
+            rules.append(tries[k])
     return rules
 
 
