@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repograph.llm import chat, mixing, quality, sharding, urls
+from repograph.llm import bpe, chat, mixing, quality, sharding, urls
 from repograph.llm.common import read
 
 #: The rules of the URL filter.
@@ -45,12 +45,18 @@ def op9_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_preferences(chat.neighbouring_pairs(read(spark, sf_dir, "conversations")))
 
 
+def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of each document and of what they decode to."""
+    return bpe.round_trip(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op3_url_filters": op3_url_filters,
     "op5_quality_rules": op5_quality_rules,
     "op7_feistel_sharding": op7_feistel_sharding,
     "op9_preference_formatting": op9_preference_formatting,
+    "op10_prefix_bpe": op10_prefix_bpe,
 }
 
 SQL: dict[str, str] = {}
