@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repograph.llm import bpe, chat, mixing, quality, sharding, urls
+from repograph.llm import bpe, chat, jaccard, mixing, quality, sharding, urls
 from repograph.llm.common import read
 
 #: The rules of the URL filter.
@@ -29,6 +29,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the shingle set and component of each document."""
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict for each document."""
     judged = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -53,6 +58,7 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op3_url_filters": op3_url_filters,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_quality_rules": op5_quality_rules,
     "op7_feistel_sharding": op7_feistel_sharding,
     "op9_preference_formatting": op9_preference_formatting,
