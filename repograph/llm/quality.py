@@ -36,8 +36,6 @@ RATIOS = {
     "dup_line_part": ("n_dup_lines", "n_lines"),
     "repeat_part": ("n_repeat_words", "n_words"),
     "upper_part": ("n_upper", "word_chars"),
-    "mark_part": ("n_marks", "word_chars"),
-    "digit_part": ("n_digits", "word_chars"),
     "line_words": ("n_words", "n_lines"),
 }
 
@@ -47,58 +45,88 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Words up to which a place in the text fits beside a hash in one long.
+PLACES = 1 << 21
+
+
+def _windows(words: Column, made: Callable[[Column, Column], Column], kind: str) -> Column:
+    """made(hash, place) for each 3-word window of the words."""
+    hashed = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    return F.when(F.size(words) >= 3, F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: made(hashed(i), i))).otherwise(F.array().cast(f"array<{kind}>"))
+
+
+def _covered(places: Column) -> Column:
+    """Words in the windows at these places."""
+    return F.when(F.size(places) == 0, F.lit(0)).otherwise(F.size(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i, i + 1, i + 2))))))
+
+
+def _repeated_in_long(words: Column) -> Column:
+    """As repeated_words, for texts of any number of words: sorts pairs of hash and place."""
+
+    def found(rows: Column) -> Column:
+        same = lambda r, j: F.coalesce(F.get(rows, j).h == r.h, F.lit(False))
+        return _covered(F.transform(F.filter(rows, lambda r, j: F.when(j > 0, same(r, j - 1)).otherwise(False) | same(r, j + 1)), lambda r: r.i))
+
+    return let(F.array_sort(_windows(words, lambda h, i: F.struct(h.alias("h"), i.alias("i")), "struct<h:bigint,i:int>")), found)
+
+
 def repeated_words(words: Column) -> Column:
-    """Words in 3-word windows that are found twice or more among the words, the first one included."""
-    n = F.size(words)
-    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)))).otherwise(F.array().cast("array<bigint>"))
+    """Words in 3-word windows that are found twice or more among the words, the first one included.
 
-    def covered(hashes: Column) -> Column:
-        placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    The upper bits of a window's hash and its place make one long, so that equal windows meet in a sorted array of longs; the words
+    themselves then decide whether two neighbours are equal.
+    """
+    place = F.lit(PLACES - 1).cast("long")
+    keys = _windows(words, lambda h, i: h.bitwiseAND(F.lit(-PLACES).cast("long")).bitwiseOR(i.cast("long")), "bigint")
+    word = lambda k, n: F.get(words, (k.bitwiseAND(place) + n).cast("int"))
 
-        def twice(rows: Column) -> Column:
-            same = lambda r, j: F.coalesce(F.get(rows, j).h == r.h, F.lit(False))
-            found = F.filter(rows, lambda r, j: F.when(j > 0, same(r, j - 1)).otherwise(False) | same(r, j + 1))
-            return F.size(F.array_distinct(F.flatten(F.transform(found, lambda r: F.array(r.i, r.i + 1, r.i + 2)))))
+    def beside(keys: Column, equal: Callable[[Column, Column], Column]) -> Column:
+        """The keys that equal the one before or after them."""
+        same = lambda x, y: F.coalesce(equal(x, y), F.lit(False))
+        return F.filter(keys, lambda k, j: same(k, F.get(keys, j + 1)) | F.when(j > 0, same(k, F.get(keys, j - 1))).otherwise(False))
 
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(placed, twice))
+    def counted(keys: Column) -> Column:
+        near = beside(keys, lambda x, y: F.shiftright(x.bitwiseXOR(y), PLACES.bit_length() - 1) == 0)
+        found = let(near, lambda k: beside(k, lambda x, y: (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2))))
+        return _covered(F.transform(found, lambda k: k.bitwiseAND(place).cast("int")))
 
-    return let(windows, covered)
+    return F.when(F.size(words) < PLACES, let(F.sort_array(keys), counted)).otherwise(_repeated_in_long(words))
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """docs with the counts that the rules use, as longs, found in each whole text; a null text counts as empty.
+def statistics(text: Column) -> Column:
+    """The counts that the rules use, as a struct of longs, found in the whole text; a null text counts as empty.
 
-    Columns of docs with these names are replaced.
+    One expression that names nothing twice, so that it is worked out once for a row wherever the optimizer moves it.
     """
-    text = text_or_empty("text")
-    without = lambda chars: F.length(text) - F.length(F.regexp_replace(text, chars, ""))
-    lines = let(F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
-    words = F.filter(F.split(text, f"[{BLANKS}]+"), lambda w: w != "")
-    words = let(words, lambda w: F.struct(F.size(w).alias("n"), F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"), repeated_words(w).alias("repeated")))
-    made = docs.withColumns({"_words": words, "_lines": lines}).withColumns(
-        {
-            "n_words": F.col("_words.n"),
-            "word_chars": F.col("_words.chars"),
-            "n_symbols": without(r"[#*$%&|<>]+"),
-            "n_dup_lines": F.col("_lines.dup"),
-            "n_repeat_words": F.col("_words.repeated"),
-            "n_lines": F.col("_lines.n"),
-            "n_upper": without(r"[A-Z]+"),
-            "n_marks": without(r"[!?:;/=_~@+\\^{}\[\]]+"),
-            "n_digits": without(r"[0-9]+"),
-        }
-    )
-    return made.withColumns({c: F.col(c).cast("long") for c in (*COUNTS, "n_lines", "n_upper", "n_marks", "n_digits")}).drop("_words", "_lines")
-
-
-def ratio(name: str) -> Column:
+    without = lambda t, chars: F.length(t) - F.length(F.regexp_replace(t, chars, ""))
+
+    def of_lines(lines: Column) -> Column:
+        return F.struct(F.size(lines).alias("n"), (F.size(lines) - F.size(F.array_distinct(lines))).alias("dup"))
+
+    def of_words(words: Column) -> Column:
+        chars = F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+        return F.struct(F.size(words).alias("n"), chars.alias("chars"), repeated_words(words).alias("repeated"))
+
+    def of(t: Column) -> Column:
+        words = let(F.filter(F.split(t, f"[{BLANKS}]+"), lambda w: w != ""), of_words)
+        lines = let(F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")), of_lines)
+        return F.struct(words.alias("words"), lines.alias("lines"), without(t, r"[#*$%&|<>]+").alias("symbols"), without(t, r"[A-Z]+").alias("upper"))
+
+    def named(s: Column) -> Column:
+        by_name = {"n_words": s.words.n, "word_chars": s.words.chars, "n_symbols": s.symbols, "n_dup_lines": s.lines.dup, "n_repeat_words": s.words.repeated, "n_lines": s.lines.n, "n_upper": s.upper}
+        return F.struct(*(c.cast("long").alias(name) for name, c in by_name.items()))
+
+    return let(let(text_or_empty(text), of), named)
+
+
+def ratio(s: Column, name: str) -> Column:
     over, under = RATIOS[name]
-    return F.coalesce(F.col(over) / F.nullif(F.col(under), F.lit(0)), F.lit(0.0))
+    return F.coalesce(s[over] / F.nullif(s[under], F.lit(0)), F.lit(0.0))
 
 
-def base_failed() -> Column:
+def base_failed(s: Column) -> Column:
     """The fixed rule: too few words, or too many in repeated windows."""
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
 
 
 @dataclass(frozen=True)
@@ -109,8 +137,8 @@ class Condition:
     at_least: bool
     threshold: float
 
-    def column(self) -> Column:
-        value = ratio(self.name)
+    def column(self, s: Column) -> Column:
+        value = ratio(s, self.name)
         return value >= self.threshold if self.at_least else value < self.threshold
 
     def __str__(self) -> str:
@@ -120,10 +148,10 @@ class Condition:
 Rule = tuple[Condition, ...]
 
 
-def holds(rule: Rule) -> Column:
+def holds(rule: Rule, s: Column) -> Column:
     out = F.lit(True)
     for condition in rule:
-        out = out & condition.column()
+        out = out & condition.column(s)
     return out
 
 
@@ -134,11 +162,24 @@ def _gain(bad: int, good: int, bad_before: int, good_before: int) -> float:
     return bad * (math.log2(bad / (bad + good)) - math.log2(bad_before / (bad_before + good_before)))
 
 
-def _counted(rows: DataFrame, thresholds: dict[str, list[float]]) -> list:
-    """For each statistic and threshold: low-quality and other rows at or above it. One pass, one row for each threshold."""
-    cells = [F.struct(F.lit(name).alias("name"), F.lit(t).alias("threshold"), (ratio(name) >= t).alias("above")) for name, ts in thresholds.items() for t in ts]
-    each = rows.select("bad", F.explode(F.array(*cells)).alias("c")).groupBy("c.name", "c.threshold")
-    return each.agg(F.count_if(F.col("c.above") & F.col("bad")).alias("bad"), F.count_if(F.col("c.above") & ~F.col("bad")).alias("good")).orderBy("name", "threshold").collect()
+def with_steps(rows: DataFrame, thresholds: dict[str, list[float]]) -> DataFrame:
+    """rows with ``steps``: for each statistic the number of its thresholds that the value reaches."""
+    reached = lambda name, ts: F.size(F.filter(F.array(*map(F.lit, ts)), lambda t: ratio(F.col("s"), name) >= t)) if ts else F.lit(0)
+    return rows.withColumn("steps", F.array(*(reached(name, ts) for name, ts in thresholds.items())))
+
+
+def _counted(rows: DataFrame, thresholds: dict[str, list[float]]) -> list[tuple[str, float, int, int]]:
+    """For each statistic and threshold: low-quality and other rows at or above it. One pass that counts rows by step."""
+    found = rows.select("bad", F.posexplode("steps").alias("k", "step")).groupBy("k", "step").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")).collect()
+    out = []
+    for k, (name, ts) in enumerate(thresholds.items()):
+        bad = good = 0
+        by_step = {r.step: r for r in found if r.k == k}
+        for step in range(len(ts), 0, -1):
+            r = by_step.get(step)
+            bad, good = bad + (r.bad if r else 0), good + (r.good if r else 0)
+            out.append((name, ts[step - 1], bad, good))
+    return out
 
 
 def _grown(rows: DataFrame, thresholds: dict[str, list[float]]) -> Rule:
@@ -146,9 +187,9 @@ def _grown(rows: DataFrame, thresholds: dict[str, list[float]]) -> Rule:
     bad, good = rows.agg(F.count_if("bad"), F.count_if(~F.col("bad"))).first()
     while bad and good and len(rule) < MAX_CONDITIONS:
         options = []
-        for r in _counted(rows.where(holds(rule)), thresholds):
-            options += [(_gain(r.bad, r.good, bad, good), Condition(r.name, True, r.threshold), r.bad, r.good)]
-            options += [(_gain(bad - r.bad, good - r.good, bad, good), Condition(r.name, False, r.threshold), bad - r.bad, good - r.good)]
+        for name, t, above_bad, above_good in _counted(rows.where(holds(rule, F.col("s"))), thresholds):
+            options += [(_gain(above_bad, above_good, bad, good), Condition(name, True, t), above_bad, above_good)]
+            options += [(_gain(bad - above_bad, good - above_good, bad, good), Condition(name, False, t), bad - above_bad, good - above_good)]
         options = [o for o in options if o[2] + o[3] >= LEAST_COVERED and o[2]]
         best = max(options, key=lambda o: (o[0], o[2], str(o[1])), default=None)
         if best is None or best[0] <= 0:
@@ -158,30 +199,31 @@ def _grown(rows: DataFrame, thresholds: dict[str, list[float]]) -> Rule:
 
 
 def learn(labelled: DataFrame) -> list[Rule]:
-    """The decision list for rows with the counts of with_statistics, doc_id and ``bad`` (boolean): rules for bad rows, in order.
+    """The decision list for rows of doc_id, ``bad`` (boolean) and ``s`` (their statistics): rules for bad rows, in order.
 
     Without rows of both kinds the list is empty. The same rows give the same rules.
     """
-    named = labelled.where("bad is not null").where(~base_failed()).select("bad", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("third"), *dict.fromkeys(x for pair in RATIOS.values() for x in pair))
-    rows = checkpointed(named)
+    s = F.col("s")
+    rows = checkpointed(labelled.where("bad is not null").select("bad", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("third"), "s")).where(~base_failed(s))
     points = [i / N_THRESHOLDS for i in range(1, N_THRESHOLDS)]
-    at = rows.agg(*(F.percentile_approx(F.when(F.col("bad") == kind, ratio(name)), points, 10_000).alias(f"{name}_{kind}") for name in RATIOS for kind in (True, False))).first()
+    at = rows.agg(*(F.percentile_approx(F.when(F.col("bad") == kind, ratio(s, name)), points, 10_000).alias(f"{name}_{kind}") for name in RATIOS for kind in (True, False))).first()
     thresholds = {name: sorted({*(at[f"{name}_True"] or ()), *(at[f"{name}_False"] or ())}) for name in RATIOS}
     if not any(thresholds.values()):
         return []
+    rows = checkpointed(with_steps(rows, thresholds))
     rules: list[Rule] = []
     grown: list[Rule] = []
     for _ in range(MAX_RULES):
         left = F.lit(True)
         for rule in grown:
-            left = left & ~holds(rule)
+            left = left & ~holds(rule, s)
         grow, prune = rows.where(left & (F.col("third") > 0)), rows.where(left & (F.col("third") == 0))
         rule = _grown(grow, thresholds)
         if not rule:
             break
         # Prune: the shortest beginning of the rule that is worth most on rows that it was not grown on.
         tries = [rule[:k] for k in range(1, len(rule) + 1)]
-        seen = prune.agg(*(x for k, r in enumerate(tries) for x in (F.count_if(holds(r) & F.col("bad")).alias(f"bad{k}"), F.count_if(holds(r) & ~F.col("bad")).alias(f"good{k}")))).first()
+        seen = prune.agg(*(x for k, r in enumerate(tries) for x in (F.count_if(holds(r, s) & F.col("bad")).alias(f"bad{k}"), F.count_if(holds(r, s) & ~F.col("bad")).alias(f"good{k}")))).first()
         worth = [((seen[f"bad{k}"] - seen[f"good{k}"]) / max(1, seen[f"bad{k}"] + seen[f"good{k}"]), seen[f"bad{k}"], -k) for k in range(len(tries))]
         k = -max(worth)[2]
         bad, good = seen[f"bad{k}"], seen[f"good{k}"]
@@ -191,30 +233,37 @@ def learn(labelled: DataFrame) -> list[Rule]:
     return rules
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], s: Column) -> Column:
     """True where no rule of the list holds."""
     out: Column | None = None
     for rule in rules:
-        out = F.when(holds(rule), F.lit(False)) if out is None else out.when(holds(rule), F.lit(False))
+        out = F.when(holds(rule, s), F.lit(False)) if out is None else out.when(holds(rule, s), F.lit(False))
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
-    """Statistics of at most ``bound`` labelled documents, chosen by a hash of doc_id; ``bad`` tells those of quality 0.
+    """doc_id, bad (quality 0) and s (statistics) of at most ``bound`` labelled documents, chosen by a hash of doc_id.
 
     Labels without quality or document are left out; a document that is labelled twice counts twice.
     """
     chosen = labels.where("doc_id is not null and quality is not null").select("doc_id", (F.col("quality") == 0).alias("bad"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "bad").limit(bound)
     # At most ``bound`` rows of 9 bytes.
-    return with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "bad", statistics(F.col("text")).alias("s"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
     """docs with the counts, base_failed and kept (False if base_failed, else the verdict of the learned list).
 
-    A null or empty text has no words and fails the base rule. Repeated rows get the same verdict.
+    A null or empty text has no words and fails the base rule. Repeated rows get the same verdict. Columns of docs with the names of the counts,
+    base_failed or kept are replaced.
     """
+    rules, s = learn(labelled_statistics(docs, labels, bound)), F.col("_s")
+    judged = docs.withColumn("_s", statistics(F.col("text")))
+    return judged.withColumns({c: s[c] for c in COUNTS} | {"base_failed": base_failed(s), "kept": ~base_failed(s) & verdict(rules, s)}).drop("_s")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
+    """The rows of docs that judge keeps, with the columns of docs."""
     rules = learn(labelled_statistics(docs, labels, bound))
-    judged = with_statistics(docs).withColumn("base_failed", base_failed())
-    return judged.withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    return docs.where(let(statistics(F.col("text")), lambda s: ~base_failed(s) & verdict(rules, s)))
