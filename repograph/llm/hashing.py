@@ -94,3 +94,16 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
                 yield mix(np.array([few % (1 << 64)], dtype=np.uint64))
             else:
                 yield np.zeros(0, dtype=np.uint64)
+
+
+def byte_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums by which ``stretches`` hashes any stretch of raw bytes, and the powers that go with them."""
+    up, down = _Powers.upto(len(raw) + 1)
+    sums = np.empty(len(raw) + 1, dtype=np.uint64)
+    sums[0] = 0
+    np.cumsum(_TABLE[raw] * up[:-1], out=sums[1:])
+    return sums, down
+
+
+def stretches(sums: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix((sums[end] - sums[start]) * down[start])

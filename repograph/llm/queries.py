@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repograph.llm import bpe, chat, jaccard, mixing, quality, sharding, urls
+from repograph.llm import bpe, chat, jaccard, mixing, quality, sharding, suffixes, urls
 from repograph.llm.common import read
 
 #: The rules of the URL filter.
@@ -24,6 +24,11 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "weight")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without repeated strings of 200 bytes."""
+    return suffixes.dedup_digest(read(spark, sf_dir, "documents"), length=200)
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict for each page."""
     return urls.filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
@@ -57,6 +62,7 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_url_filters": op3_url_filters,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_quality_rules": op5_quality_rules,
