@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repograph.llm import bpe, chat, jaccard, mixing, quality, sharding, suffixes, urls
+from repograph.llm import bpe, chat, hamming, jaccard, mixing, quality, sharding, suffixes, urls
 from repograph.llm.common import read
 
 #: The rules of the URL filter.
@@ -50,6 +50,11 @@ def op7_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op8_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest codes of every twentieth embedding."""
+    return hamming.nearest_embeddings(read(spark, sf_dir, "embeddings"))
+
+
 def op9_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt and masked completions of each pair of conversations."""
     return chat.format_preferences(chat.neighbouring_pairs(read(spark, sf_dir, "conversations")))
@@ -67,8 +72,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_quality_rules": op5_quality_rules,
     "op7_feistel_sharding": op7_feistel_sharding,
+    "op8_hamming_topk": op8_hamming_topk,
     "op9_preference_formatting": op9_preference_formatting,
     "op10_prefix_bpe": op10_prefix_bpe,
 }
 
-SQL: dict[str, str] = {}
+#: Words, and the first part of each query on documents.
+_BLANKS = r"[\x20\x09-\x0D]+"
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+SQL: dict[str, str] = {
+    "op8_hamming_topk": """
+        WITH pairs AS (
+          SELECT q.vec_id AS query_id, c.vec_id AS id,
+                 CAST(list_sum(list_transform(range(1, 65), lambda i: CAST((q.embedding[i] > 0) <> (c.embedding[i] > 0) AS INT))) AS BIGINT) AS distance
+          FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM pairs)
+        SELECT query_id, CAST(rank AS INT) AS rank, id, distance FROM ranked WHERE rank <= 10""",
+}
