@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repograph.llm import bpe, chat, hamming, jaccard, mixing, quality, sharding, suffixes, urls
+from repograph.llm import bpe, chat, hamming, jaccard, mixing, quality, sharding, suffixes, tokenfiles, urls
 from repograph.llm.common import read
 
 #: The rules of the URL filter.
@@ -45,6 +45,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of each document's ids, from token files that are written and read back."""
+    path = tokenfiles.shared_path(spark, "token-files")
+    tokenfiles.write_token_files(read(spark, sf_dir, "documents"), path)
+    return tokenfiles.read_documents(spark, path)
+
+
 def op7_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of each document."""
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
@@ -71,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_quality_rules": op5_quality_rules,
+    "op6_token_files": op6_token_files,
     "op7_feistel_sharding": op7_feistel_sharding,
     "op8_hamming_topk": op8_hamming_topk,
     "op9_preference_formatting": op9_preference_formatting,
