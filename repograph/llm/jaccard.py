@@ -9,6 +9,8 @@ band and of those bands below that a partner may be in.
 2. Tiles whose classes are then still in several components compare the classes of different components. The xor of two parity bitmaps (each
    shingle flips one bit) has at most as many bits as the sets differ in, so its bit count bounds the overlap from above; only pairs that pass go
    on to the exact intersection of the sorted arrays. Tiles of more than TILE classes are compared block against block in tasks of their own.
+   First, for some rounds, every class names only its nearest partner in another component, in its largest tiles: each round joins what belongs
+   together with one pair for each class. Then all pairs of the tiles that are still open are named, so that no link is lost.
 
 Pairs inside a component are left out in step 2: they cannot change what is reachable.
 """
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +33,12 @@ from repograph.llm.hashing import U64, mix, shingle_sets
 BAND = 1.5
 #: Classes of a tile that one task compares at once.
 TILE = 2048
-LEAST_BITS = 256
+#: Rounds in which a class names one partner, in so many of its tiles.
+ROUNDS, LARGEST_TILES = 3, 2
+#: Bits of a bitmap: at least these, and so many for each shingle that two linked sets may differ in, so that few flips fall together.
+LEAST_BITS, BITS_PER_DIFFERENCE = 256, 16
+#: Classes of which the texts are picked by a broadcast of their ids (16 bytes each); more are joined by a shuffle.
+BROADCAST_CLASSES = 1_000_000
 
 
 def band_starts(longest: int) -> list[int]:
@@ -80,7 +87,7 @@ def fingerprint(shingles: np.ndarray) -> int:
 
 def parity_bitmap(shingles: np.ndarray, percent: int) -> bytes:
     bits = LEAST_BITS
-    while bits < 4 * most_differing(len(shingles), percent):
+    while bits < BITS_PER_DIFFERENCE * most_differing(len(shingles), percent):
         bits *= 2
     flips = np.bincount((shingles & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
@@ -110,15 +117,15 @@ def classes_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """class, n, bitmap and sorted set of each row of docs(class, text)."""
+    """class, own (the fingerprint of the text), n, bitmap and sorted set of each row of docs(class, text)."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [*shingle_sets(_texts(batch), width)]
-            yield pd.DataFrame({"class": batch["class"].to_numpy(), "n": [len(s) for s in sets], "bitmap": [parity_bitmap(s, percent) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
+            yield pd.DataFrame({"class": batch["class"].to_numpy(), "own": [fingerprint(s) for s in sets], "n": [len(s) for s in sets], "bitmap": [parity_bitmap(s, percent) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
 
     # A set is sorted as unsigned numbers; the same on both sides of every comparison.
-    return docs.select("class", "text").mapInPandas(each, "class long, n long, bitmap binary, shingles array<long>")
+    return docs.select("class", "text").mapInPandas(each, "class long, own long, n long, bitmap binary, shingles array<long>")
 
 
 @F.pandas_udf(T.LongType())
@@ -154,39 +161,48 @@ def _folded(bitmaps: list[bytes]) -> np.ndarray:
     return rows.view(np.uint64)
 
 
-def compared(tile: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """The pairs of classes of different components (and, if there are two blocks, of different blocks) that may link."""
+def compared(tile: pd.DataFrame, percent: int, nearest: bool) -> pd.DataFrame:
+    """The pairs of classes of different components (and, if there are two blocks, of different blocks) that may link.
+
+    With ``nearest`` only the pair with the fewest differing bits for each class.
+    """
     tile = tile.drop_duplicates("class")
     bits, n, part, name = _folded([*tile["bitmap"]]), tile["n"].to_numpy(), tile["component"].to_numpy(), tile["class"].to_numpy()
     side = tile["side"].to_numpy()
     apart = side.min() != side.max()
-    found = []
+    found = [np.zeros((0, 2), dtype=np.int64)]
     for i in range(len(tile)):
-        other = (part[i + 1 :] != part[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))
+        first = 0 if nearest else i + 1
+        other = (part[first:] != part[i]) & (100 * np.minimum(n[i], n[first:]) >= percent * np.maximum(n[i], n[first:]))
         if apart:
-            other &= side[i + 1 :] != side[i]
-        j = np.flatnonzero(other) + i + 1
+            other &= side[first:] != side[i]
+        j = np.flatnonzero(other) + first
         # 100 * shared >= percent * union, with union = shared + difference and 2 * shared = sizes - difference.
         differing = bound_on_difference(bits[i], bits[j])
-        j = j[100 * (n[i] + n[j] - differing) >= percent * (n[i] + n[j] + differing)]
+        passed = 100 * (n[i] + n[j] - differing) >= percent * (n[i] + n[j] + differing)
+        j, differing = j[passed], differing[passed]
+        if nearest and len(j):
+            j = j[[np.argmin(differing)]]
         found.append(np.column_stack([np.minimum(name[i], name[j]), np.maximum(name[i], name[j])]))
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
-    return pd.DataFrame(pairs, columns=["a", "b"])
+    return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
 
 
-def candidates(members: DataFrame, components: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def candidates(members: DataFrame, components: DataFrame, sets: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs(a, b) of tiles(tile, class) whose classes are in several components."""
     placed = members.join(components, F.col("class") == F.col("node"), "left").select("tile", "class", F.coalesce("component", "class").alias("component"))
     tiles = placed.groupBy("tile").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("_who"))
     # Tiles with the same classes are compared once.
     tiles = tiles.where("_low <> _high").groupBy("_who", "_n").agg(F.min("tile").alias("tile"))
-    blocks = F.call_function("div", F.col("_n") - 1, F.lit(TILE)) + 1
-    open_ = placed.join(tiles.select("tile", blocks.alias("_blocks")), "tile").withColumn("_own", F.pmod(F.xxhash64("class"), F.col("_blocks")))
+    open_ = placed.join(tiles.select("tile", "_n"), "tile")
+    if nearest:
+        open_ = open_.withColumn("_rank", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("_n"), "tile"))).where(F.col("_rank") <= LARGEST_TILES)
+    open_ = open_.withColumn("_blocks", F.call_function("div", F.col("_n") - 1, F.lit(TILE)) + 1)
+    open_ = open_.withColumn("_own", F.pmod(F.xxhash64("class"), F.col("_blocks")))
     # A class meets every block of its tile once: in the task (i, j) with i <= j.
     open_ = open_.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     open_ = open_.select("tile", "class", "component", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), F.col("_own").alias("side"))
     known = open_.join(sets.select("class", "n", "bitmap"), "class")
-    return known.groupBy("tile", "_i", "_j").applyInPandas(lambda tile: compared(tile, percent), "a long, b long").distinct()
+    return known.groupBy("tile", "_i", "_j").applyInPandas(lambda tile: compared(tile, percent, nearest), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -204,13 +220,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = checkpointed(rows.join(shared_tiles, "tile").groupBy("tile", "class").agg(F.first("_least").alias("_least")))
 
     wanted = members.select("class").distinct().join(classes, "class").select("class", F.col("first").alias("doc_id"))
-    wanted_docs = docs.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["class"])
-    sets = checkpointed(sets_of(wanted_docs, width, percent))
+    wanted = checkpointed(wanted)
+    picked = F.broadcast(wanted) if wanted.count() <= BROADCAST_CLASSES else wanted
+    # Rows that repeat a doc_id may hold another text: the set of the class is the one with its fingerprint.
+    found = sets_of(docs.select("doc_id", "text").join(picked, "doc_id"), width, percent)
+    sets = checkpointed(found.where(F.col("class") == F.col("own")).drop("own").dropDuplicates(["class"]))
     stars = members.where("class <> _least").select(F.least("class", "_least").alias("a"), F.greatest("class", "_least").alias("b")).distinct()
     links = checkpointed(verified(stars, sets, percent))
     components = checkpointed(connected_components(links))
-    more = verified(candidates(members.select("tile", "class"), components, sets, percent), sets, percent)
-    components = connected_components(checkpointed(links.union(more)))
+    tiles = members.select("tile", "class")
+    for nearest in (*[True] * ROUNDS, False):
+        more = checkpointed(verified(candidates(tiles, components, sets, percent, nearest), sets, percent))
+        if not more.isEmpty():
+            links = links.union(more)
+            components = checkpointed(connected_components(links))
 
     named = classes.join(components, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("component", "class").alias("component"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
