@@ -5,7 +5,7 @@ follows from the smaller size and the threshold. Sizes are banded; a band cuts t
 sets agree on all shingles of a whole segment. The classes that agree on a segment of a band form a tile. A class belongs to the tiles of its own
 band and of those bands below that a partner may be in.
 
-1. In every tile the smallest class is compared with each other one, which already joins most copies.
+1. Every class is compared with the smallest one that it shares a tile with, which already joins most copies.
 2. Tiles whose classes are then still in several components compare the classes of different components. The xor of two parity bitmaps (each
    shingle flips one bit) has at most as many bits as the sets differ in, so its bit count bounds the overlap from above; only pairs that pass go
    on to the exact intersection of the sorted arrays. Tiles of more than TILE classes are compared block against block in tasks of their own.
@@ -225,7 +225,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # Rows that repeat a doc_id may hold another text: the set of the class is the one with its fingerprint.
     found = sets_of(docs.select("doc_id", "text").join(picked, "doc_id"), width, percent)
     sets = checkpointed(found.where(F.col("class") == F.col("own")).drop("own").dropDuplicates(["class"]))
-    stars = members.where("class <> _least").select(F.least("class", "_least").alias("a"), F.greatest("class", "_least").alias("b")).distinct()
+    # One pair for each class: the smallest class that it shares a tile with.
+    stars = members.where("class <> _least").groupBy("class").agg(F.min("_least").alias("_least")).select(F.col("_least").alias("a"), F.col("class").alias("b"))
     links = checkpointed(verified(stars, sets, percent))
     components = checkpointed(connected_components(links))
     tiles = members.select("tile", "class")
