@@ -75,7 +75,7 @@ USE = f"""{IMP}, names AS (SELECT repo, key, min(path) AS target FROM (SELECT re
  parts AS (SELECT DISTINCT repo, module, language, {_PART} AS part FROM imp),
  t1 AS (SELECT parts.*, names.target FROM parts JOIN names ON names.repo = parts.repo AND names.key = module),
  t2 AS (SELECT parts.repo, module, language, arg_min(names.target, rank) AS target FROM parts, (VALUES {_EXT}) e(ext, rank), names WHERE names.repo = parts.repo AND names.key = concat(part, ext) GROUP BY ALL),
- t3 AS (SELECT parts.repo, module, language, min(f.path) AS target FROM parts JOIN f ON f.repo = parts.repo AND contains(f.path, part) GROUP BY ALL),
+ t3 AS (SELECT parts.repo, module, parts.language, min(f.path) AS target FROM parts JOIN f ON f.repo = parts.repo AND contains(f.path, part) GROUP BY ALL),
  res AS (SELECT i.repo, i.path, i.module, i.language, coalesce(t1.target, t2.target, t3.target) AS target_path, CASE WHEN t1.target IS NOT NULL THEN 1 WHEN t2.target IS NOT NULL THEN 2 WHEN t3.target IS NOT NULL THEN 3 END AS match_tier
    FROM imp i LEFT JOIN t1 USING (repo, module, language) LEFT JOIN t2 USING (repo, module, language) LEFT JOIN t3 USING (repo, module, language)),
  ue AS (SELECT repo, concat('file_', repo, '_', path) AS src, concat('file_', repo, '_', target_path) AS dst, min(match_tier) AS match_tier FROM res WHERE target_path <> path GROUP BY ALL)"""
@@ -91,7 +91,8 @@ def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.symbol_nodes(_symbols(spark, sf_dir))
+    """Class and Method nodes, written once: most queries read them several times."""
+    return graph.checkpointed(symbols.symbol_nodes(_symbols(spark, sf_dir)))
 
 
 def _methods(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,7 +280,7 @@ _CONTAIN = f"""{SYM}, dirs AS (SELECT repo, d AS path FROM f UNION SELECT repo,
 @query(f"WITH {_CONTAIN} SELECT repo, src, dst FROM contain")
 def contain_edges(spark, sf_dir):
     files = _files(spark, sf_dir)
-    return graph.contain_edges(files, files_ops.directories(files), symbols.symbol_nodes(symbols.symbols(files))).select("repo", "src", "dst")
+    return graph.contain_edges(files, files_ops.directories(files), _nodes(spark, sf_dir)).select("repo", "src", "dst")
 
 
 @query(f"WITH {SYM} SELECT id, CASE WHEN parent_name IS NOT NULL THEN concat('class_', repo, '_', path, '_', parent_name) ELSE concat('file_', repo, '_', path) END AS parent_id FROM sym WHERE kind <> 'class'")
@@ -315,17 +316,16 @@ def classes_with_methods(spark, sf_dir):
 @query(f"""WITH {SYM} SELECT concat('file_', f.repo, '_', f.path) AS id, coalesce(string_agg(CASE WHEN kind = 'class' THEN name END, ',' ORDER BY name), '') AS classes,
   coalesce(string_agg(CASE WHEN kind = 'function' THEN name END, ',' ORDER BY name), '') AS functions FROM f LEFT JOIN sym USING (repo, path) GROUP BY 1""")
 def files_with_children(spark, sf_dir):
-    files = _files(spark, sf_dir)
-    nodes = symbols.symbol_nodes(symbols.symbols(files))
+    files, nodes = _files(spark, sf_dir), _nodes(spark, sf_dir)
     edges = graph.method_parent(nodes).select(F.col("parent_id").alias("src"), F.col("id").alias("dst"), F.lit("CONTAIN").alias("rel_type"))
     out = graph.children_summaries(files, edges, nodes.where("label = 'Class'").withColumn("summary", F.col("name")), "classes")
     out = graph.children_summaries(out, edges, nodes.where("label = 'Method'").withColumn("summary", F.col("name")), "functions")
     return out.select("id", joined("classes").alias("classes"), joined("functions").alias("functions"))
 
 
-@query(f"WITH {SYM} SELECT id FROM sym WHERE contains(path, 'steel')")
+@query(f"WITH {SYM} SELECT id FROM sym WHERE contains(path, 'f1')")
 def label_path_predicate(spark, sf_dir):
-    return _nodes(spark, sf_dir).where(F.col("label").isin("Class", "Method") & F.contains("file_path", F.lit("steel"))).select("id")
+    return _nodes(spark, sf_dir).where(F.col("label").isin("Class", "Method") & F.contains("file_path", F.lit("f1"))).select("id")
 
 
 # --- graph queries --------------------------------------------------------------------------------------------------------------------------------
