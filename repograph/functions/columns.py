@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -104,10 +105,19 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hash_embedding(text: Column, dimension: int) -> Column:
     """A vector of token counts by hash, of length one: lower-cased words of letters and digits, bucket by the first 32 bits of md5."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
     buckets = F.transform(tokens, lambda t: F.pmod(F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(dimension)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(F.transform(counts, lambda c: c * c), F.lit(0.0), lambda s, x: s + x))
-    return F.transform(counts, lambda c: F.coalesce(c / F.nullif(norm, F.lit(0.0)), F.lit(0.0)))
+    counted = let(buckets, lambda held: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(held, lambda b: b == i)).cast("double")))
+
+    def scaled(counts: Column) -> Column:
+        norm = F.sqrt(F.aggregate(F.transform(counts, lambda c: c * c), F.lit(0.0), lambda s, x: s + x))
+        return let(norm, lambda n: F.transform(counts, lambda c: F.coalesce(c / F.nullif(n, F.lit(0.0)), F.lit(0.0))))
+
+    return let(counted, scaled)

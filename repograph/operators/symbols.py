@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from repograph.functions import columns as C
 from repograph.functions import dims
+from repograph.operators.graph import checkpointed
 
 FILE = ["repo", "path"]
 
@@ -84,11 +85,13 @@ def symbols(files: DataFrame) -> DataFrame:
     of its impl); constructors of Java and C++, and declarations without a body, are left out. Of symbols with the same kind, parent and name in a file
     the last stays.
     """
-    lines = lines_of(files)
-    closed = _closed(declarations(lines), lines)
+    # Lines and declarations are read several times: each is made once and written.
+    lines = checkpointed(lines_of(files))
+    closed = _closed(checkpointed(declarations(lines)), lines)
     # An anonymous struct is named where it closes.
     name = lines.select(*FILE, F.col("line_no").alias("end_line"), F.regexp_extract("text", r"^\s*\}\s*(\w+)\s*;", 1).alias("_named"))
     closed = closed.join(name, [*FILE, "end_line"]).withColumn("name", F.when(F.col("kind") == "typedef", F.col("_named")).otherwise(F.col("name"))).drop("_named").where("name <> ''")
+    closed = checkpointed(closed)
     outer = closed.where("kind in ('class', 'scope')")
     inner = _innermost(closed.where("kind not in ('scope')"), outer)
     is_class = F.col("kind").isin("class", "typedef")
