@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +40,9 @@ ROUNDS, LARGEST_TILES = 3, 2
 LEAST_BITS, BITS_PER_DIFFERENCE = 256, 16
 #: Classes of which the texts are picked by a broadcast of their ids (16 bytes each); more are joined by a shuffle.
 BROADCAST_CLASSES = 1_000_000
+#: Bits (16 MB at any size of the input) by which tiles of a single class are passed over before they are dealt out. When nearly all are set the test
+#: passes more, and the join with the tiles decides as before.
+MARKS = 1 << 27
 
 
 def band_starts(longest: int) -> list[int]:
@@ -102,18 +106,46 @@ def _texts(batch: pd.DataFrame) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in batch["text"]]
 
 
-def classes_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, class and the tiles (array of long) of each document."""
+def classes_of(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n_shingles and class of each document."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(len(s), fingerprint(s), segment_keys(s, percent)) for s in shingle_sets(_texts(batch), width)]
-            out = pd.DataFrame(rows, columns=["n_shingles", "class", "tiles"])
+            out = pd.DataFrame([(len(s), fingerprint(s)) for s in shingle_sets(_texts(batch), width)], columns=["n_shingles", "class"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(each, f"doc_id {kind}, n_shingles long, class long, tiles array<long>")
+    return docs.select("doc_id", "text").mapInPandas(each, f"doc_id {kind}, n_shingles long, class long")
+
+
+def tiles_of(docs: DataFrame, width: int, percent: int, marked: Broadcast | None = None) -> DataFrame:
+    """class and tile, one row for each tile of each document; with ``marked`` (see marks) only tiles that are marked."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = None if marked is None else np.frombuffer(marked.value, dtype=np.uint8)
+        for batch in batches:
+            classes, tiles = [], []
+            for shingles in shingle_sets(_texts(batch), width):
+                keys = segment_keys(shingles, percent)
+                if bits is not None:
+                    at = keys & (MARKS - 1)
+                    keys = keys[bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1]
+                classes.append(np.full(len(keys), fingerprint(shingles), dtype=np.int64))
+                tiles.append(keys)
+            yield pd.DataFrame({"class": np.concatenate(classes), "tile": np.concatenate(tiles)})
+
+    return docs.select("text").mapInPandas(each, "class long, tile long")
+
+
+def marks(tiles: DataFrame) -> Broadcast:
+    """MARKS bits, of which those of the tiles are set: a bounded first test of whether a tile is one of them."""
+    at = F.col("tile").bitwiseAND(F.lit(MARKS - 1))
+    parts = tiles.select(F.shiftright(at, 15).alias("part"), at.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = bytearray(MARKS // 8)
+    for row in parts.toLocalIterator():
+        out[row.part * 4096 : (row.part + 1) * 4096] = row.bits
+    return tiles.sparkSession.sparkContext.broadcast(bytes(out))
 
 
 def sets_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -212,12 +244,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     distinct shingles. A text with fewer than ``width`` words is one shingle; an empty or null one has none and links to nothing, so its
     component is its own doc_id. Repeated rows are rows of their own and share a component.
     """
-    each = checkpointed(classes_of(docs, width, percent))
+    each = checkpointed(classes_of(docs, width))
     classes = each.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"))
-    rows = each.where(F.size("tiles") > 0).select("class", F.explode("tiles").alias("tile"))
-    # Least and greatest class tell tiles of several classes; copies are counted in their tasks.
-    shared_tiles = rows.groupBy("tile").agg(F.min("class").alias("_least"), F.max("class").alias("_most")).where("_least <> _most").drop("_most")
-    members = checkpointed(rows.join(shared_tiles, "tile").groupBy("tile", "class").agg(F.first("_least").alias("_least")))
+    # A tile is of use if it holds two classes: if two of their hashes (other ones in each tile) differ. Copies are counted in their tasks.
+    named = F.hash("class", "tile")
+    counted = tiles_of(docs, width, percent).groupBy("tile").agg(F.min(named).alias("_least"), F.max(named).alias("_most"))
+    shared_tiles = checkpointed(counted.where("_least <> _most").select("tile"))
+    rows = tiles_of(docs, width, percent, marks(shared_tiles))
+    members = checkpointed(rows.join(shared_tiles, "tile").select("tile", "class").distinct())
 
     wanted = members.select("class").distinct().join(classes, "class").select("class", F.col("first").alias("doc_id"))
     wanted = checkpointed(wanted)
@@ -226,12 +260,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     found = sets_of(docs.select("doc_id", "text").join(picked, "doc_id"), width, percent)
     sets = checkpointed(found.where(F.col("class") == F.col("own")).drop("own").dropDuplicates(["class"]))
     # One pair for each class: the smallest class that it shares a tile with.
-    stars = members.where("class <> _least").groupBy("class").agg(F.min("_least").alias("_least")).select(F.col("_least").alias("a"), F.col("class").alias("b"))
+    least = members.groupBy("tile").agg(F.min("class").alias("_least"))
+    stars = members.join(least, "tile").groupBy("class").agg(F.min("_least").alias("_least")).where("class <> _least").select(F.col("_least").alias("a"), F.col("class").alias("b"))
     links = checkpointed(verified(stars, sets, percent))
     components = checkpointed(connected_components(links))
-    tiles = members.select("tile", "class")
     for nearest in (*[True] * ROUNDS, False):
-        more = checkpointed(verified(candidates(tiles, components, sets, percent, nearest), sets, percent))
+        more = checkpointed(verified(candidates(members, components, sets, percent, nearest), sets, percent))
         if not more.isEmpty():
             links = links.union(more)
             components = checkpointed(connected_components(links))
