@@ -173,13 +173,17 @@ def shared(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) of classes that link."""
-    small = sets.select("class", "n", "bitmap")
-    of = lambda side, table: table.select(*(F.col(c).alias(side if c == "class" else f"{side}_{c}") for c in table.columns))
-    sized = pairs.join(of("a", small.drop("bitmap")), "a").join(of("b", small.drop("bitmap")), "b")
-    fits = sized.where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")).select("a", "b")
-    full = sets.select("class", "n", "shingles")
-    both = fits.join(of("a", full), "a").join(of("b", full), "b").withColumn("_shared", shared("a_shingles", "b_shingles"))
+    """The pairs(a, b) of classes that link.
+
+    Only the sets that pairs name are moved: they are picked by a broadcast of the pairs (16 bytes each) up to BROADCAST_CLASSES, else by shuffles.
+    """
+    pairs = checkpointed(pairs)
+    few = pairs.count() <= BROADCAST_CLASSES
+    sent = F.broadcast if few else lambda df: df
+    of = lambda side: sets.select(F.col("class").alias(side), F.col("n").alias(f"{side}_n"), F.col("shingles").alias(f"{side}_shingles"))
+    left = of("a").join(sent(pairs), "a")
+    right = of("b").join(sent(pairs.select("b").distinct()), "b", "left_semi")
+    both = left.join(right, "b").where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")).withColumn("_shared", shared("a_shingles", "b_shingles"))
     return both.where(100 * F.col("_shared") >= percent * (F.col("a_n") + F.col("b_n") - F.col("_shared"))).select("a", "b")
 
 
