@@ -85,10 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_prefix_bpe": op10_prefix_bpe,
 }
 
-#: Words, and the first part of each query on documents.
-_BLANKS = r"[\x20\x09-\x0D]+"
-_WORDS = r"[^\x20\x09-\x0D]+"
-
 SQL: dict[str, str] = {
     "op8_hamming_topk": """
         WITH pairs AS (
@@ -97,4 +93,24 @@ SQL: dict[str, str] = {
           FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM pairs)
         SELECT query_id, CAST(rank AS INT) AS rank, id, distance FROM ranked WHERE rank <= 10""",
+    "op9_preference_formatting": """
+        WITH t AS (
+          SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS pos
+          FROM conversations WHERE conv_id IS NOT NULL),
+        same AS (
+          SELECT a.pair_id, a.pos FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.pos = b.pos AND a.side = 0 AND b.side = 1 AND a.role = b.role AND a.text = b.text),
+        lcp AS (SELECT pair_id, count(*) AS n FROM (SELECT pair_id, pos, row_number() OVER (PARTITION BY pair_id ORDER BY pos) AS k FROM same) WHERE pos = k GROUP BY 1),
+        r AS (
+          SELECT t.*, coalesce(n, 0) AS n, length(replace(role, '<|', '< |')) AS rl,
+                 concat('<|', replace(role, '<|', '< |'), '|>', chr(10), replace(text, '<|', '< |'), '<|end|>', chr(10)) AS piece
+          FROM t LEFT JOIN lcp USING (pair_id)),
+        w AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY pair_id, side, pos > n ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
+        SELECT pair_id, max(n) AS n_prompt_turns,
+               coalesce(string_agg(piece, '' ORDER BY pos) FILTER (WHERE side = 0 AND pos <= n), '') AS prompt,
+               coalesce(string_agg(piece, '' ORDER BY pos) FILTER (WHERE side = 0 AND pos > n), '') AS chosen,
+               coalesce(string_agg(piece, '' ORDER BY pos) FILTER (WHERE side = 1 AND pos > n), '') AS rejected,
+               coalesce(string_agg(concat(CAST(before + rl + 5 AS BIGINT), '-', CAST(before + length(piece) - 1 AS BIGINT)), ' ' ORDER BY pos) FILTER (WHERE side = 0 AND pos > n AND role = 'assistant'), '') AS chosen_spans,
+               coalesce(string_agg(concat(CAST(before + rl + 5 AS BIGINT), '-', CAST(before + length(piece) - 1 AS BIGINT)), ' ' ORDER BY pos) FILTER (WHERE side = 1 AND pos > n AND role = 'assistant'), '') AS rejected_spans
+        FROM w GROUP BY 1""",
 }
