@@ -22,7 +22,7 @@ def _only_breaks(text: Column) -> Column:
 
 def blanked(content: Column, language: Column) -> Column:
     """Content without what stands in strings and comments; lines stay where they are."""
-    python = F.array_join(F.transform(F.split(content, "\"\"\""), lambda part, i: F.when(F.pmod(i, F.lit(2)) == 1, F.concat(F.lit('"'), _only_breaks(part), F.lit('"'))).otherwise(part)), "")
+    python = F.array_join(F.transform(F.split(content, "\"\"\""), lambda part, i: F.when(F.pmod(i, F.lit(2)) == 1, _only_breaks(part)).otherwise(part)), "")
     python = F.regexp_replace(F.regexp_replace(python, r"\"(\\.|[^\"\\\n])*\"|'(\\.|[^'\\\n])*'", "''"), r"#[^\n]*", "")
     quoted = F.regexp_replace(content, r"\"(\\.|[^\"\\\n])*\"|`[^`\n]*`", '""')
     quoted = F.when(language == "rust", F.regexp_replace(quoted, r"'(\\.|[^'\\\n])'", "''")).otherwise(F.regexp_replace(quoted, r"'(\\.|[^'\\\n])*'", "''"))
@@ -35,10 +35,10 @@ def _count(text: str, what: str) -> Column:
 
 
 def lines_of(files: DataFrame) -> DataFrame:
-    """The blanked lines of code files: line_no (from 1), text, indent (null for a blank line), depth of braces before and after."""
+    """The blanked lines of code files: line_no (from 1), text, indent (null for a blank line or one that begins by closing a bracket), depth of braces before and after."""
     code = files.where("language is not null").select(*FILE, "language", F.posexplode(F.split(blanked(F.col("content"), F.col("language")), "\n")).alias("_at", "text"))
     opened, closed = _count("text", r"\{"), _count("text", r"\}")
-    line = code.select(*FILE, "language", (F.col("_at") + 1).alias("line_no"), "text", opened.alias("opens"), (opened - closed).alias("_change"), F.when(F.trim("text") != "", F.length("text") - F.length(F.ltrim("text"))).alias("indent"))
+    line = code.select(*FILE, "language", (F.col("_at") + 1).alias("line_no"), "text", opened.alias("opens"), (opened - closed).alias("_change"), F.when(F.col("text").rlike(r"^\s*[^\s)\]}]"), F.length("text") - F.length(F.ltrim("text"))).alias("indent"))
     upto = Window.partitionBy(*FILE).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     return line.withColumn("after", F.sum("_change").over(upto)).withColumn("before", F.col("after") - F.col("_change")).drop("_change")
 
