@@ -46,7 +46,7 @@ def stage_durations(events: DataFrame) -> DataFrame:
     ends = events.where("event in ('stage_completed', 'stage_failed')").groupBy("repo_id", "stage").agg(F.max("timestamp").alias("_end"))
     starts = events.where("event = 'stage_started'").select("repo_id", "stage", "timestamp").join(ends, ["repo_id", "stage"]).where("timestamp <= _end")
     last = starts.groupBy("repo_id", "stage").agg(F.max("timestamp").alias("_start"))
-    seconds = F.col("_end").cast("double") - F.col("_start").cast("double")
+    seconds = F.timestamp_diff("MICROSECOND", F.col("_start"), F.col("_end")) / 1e6
     return ends.join(last, ["repo_id", "stage"], "left").select("repo_id", "stage", F.round(seconds, 3).alias("seconds"))
 
 
