@@ -148,16 +148,28 @@ def marks(tiles: DataFrame) -> Broadcast:
     return tiles.sparkSession.sparkContext.broadcast(bytes(out))
 
 
-def sets_of(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """class, own (the fingerprint of the text), n, bitmap and sorted set of each row of docs(class, text)."""
+def sets_of(docs: DataFrame, width: int, percent: int, arrays: bool) -> DataFrame:
+    """class, n and, by ``arrays``, the sorted set or else its bitmap, of the rows of docs(class, text) whose text is of the class."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [*shingle_sets(_texts(batch), width)]
-            yield pd.DataFrame({"class": batch["class"].to_numpy(), "own": [fingerprint(s) for s in sets], "n": [len(s) for s in sets], "bitmap": [parity_bitmap(s, percent) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
+            rows = [(c, len(s), s.view(np.int64) if arrays else parity_bitmap(s, percent)) for c, s in zip(batch["class"], shingle_sets(_texts(batch), width), strict=True) if fingerprint(s) == c]
+            yield pd.DataFrame(rows, columns=["class", "n", "held"])
 
     # A set is sorted as unsigned numbers; the same on both sides of every comparison.
-    return docs.select("class", "text").mapInPandas(each, "class long, own long, n long, bitmap binary, shingles array<long>")
+    made = docs.select("class", "text").mapInPandas(each, f"class long, n long, held {'array<long>' if arrays else 'binary'}")
+    return made.withColumnRenamed("held", "shingles" if arrays else "bitmap")
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """df for a join: broadcast if it was counted to have at most BROADCAST_CLASSES rows (of 16 bytes), else as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_CLASSES else df
+
+
+@F.pandas_udf(T.LongType())
+def differing_bits(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Bits in which two bitmaps differ, folded to the same length."""
+    return pd.Series([int(bound_on_difference(*_folded([x, y]))) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
 @F.pandas_udf(T.LongType())
@@ -172,19 +184,28 @@ def shared(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(np.ascontiguousarray(x), np.ascontiguousarray(y)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) of classes that link.
+def plausible(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) of classes that sizes and bitmaps do not rule out."""
+    of = lambda side: bitmaps.select(F.col("class").alias(side), F.col("n").alias(f"{side}_n"), F.col("bitmap").alias(f"{side}_bits"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+    sizes, differing = F.col("a_n") + F.col("b_n"), differing_bits("a_bits", "b_bits")
+    return both.withColumn("_d", differing).where(100 * (sizes - F.col("_d")) >= percent * (sizes + F.col("_d"))).select("a", "b")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs(a, b) of classes that link; firsts(class, doc_id) names a document of each class.
 
-    Only the sets that pairs name are moved: they are picked by a broadcast of the pairs (16 bytes each) up to BROADCAST_CLASSES, else by shuffles.
+    Arrays are made again from the texts of the classes that pairs name, and no others are moved.
     """
     pairs = checkpointed(pairs)
-    few = pairs.count() <= BROADCAST_CLASSES
-    sent = F.broadcast if few else lambda df: df
+    if pairs.isEmpty():
+        return pairs
+    named = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    picked = checkpointed(firsts.join(named, "class"))
+    sets = checkpointed(sets_of(docs.select("doc_id", "text").join(sent(picked), "doc_id"), width, percent, arrays=True))
     of = lambda side: sets.select(F.col("class").alias(side), F.col("n").alias(f"{side}_n"), F.col("shingles").alias(f"{side}_shingles"))
-    left = of("a").join(sent(pairs), "a")
-    right = of("b").join(sent(pairs.select("b").distinct()), "b", "left_semi")
-    both = left.join(right, "b").where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")).withColumn("_shared", shared("a_shingles", "b_shingles"))
-    return both.where(100 * F.col("_shared") >= percent * (F.col("a_n") + F.col("b_n") - F.col("_shared"))).select("a", "b")
+    both = of("a").join(sent(pairs), "a").join(of("b"), "b").withColumn("_shared", shared("a_shingles", "b_shingles"))
+    return checkpointed(both.where(100 * F.col("_shared") >= percent * (F.col("a_n") + F.col("b_n") - F.col("_shared"))).select("a", "b").distinct())
 
 
 def _folded(bitmaps: list[bytes]) -> np.ndarray:
@@ -257,19 +278,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows = tiles_of(docs, width, percent, marks(shared_tiles))
     members = checkpointed(rows.join(shared_tiles, "tile").select("tile", "class").distinct())
 
-    wanted = members.select("class").distinct().join(classes, "class").select("class", F.col("first").alias("doc_id"))
-    wanted = checkpointed(wanted)
-    picked = F.broadcast(wanted) if wanted.count() <= BROADCAST_CLASSES else wanted
-    # Rows that repeat a doc_id may hold another text: the set of the class is the one with its fingerprint.
-    found = sets_of(docs.select("doc_id", "text").join(picked, "doc_id"), width, percent)
-    sets = checkpointed(found.where(F.col("class") == F.col("own")).drop("own").dropDuplicates(["class"]))
-    # One pair for each class: the smallest class that it shares a tile with.
+    firsts = checkpointed(members.select("class").distinct().join(classes, "class").select("class", F.col("first").alias("doc_id")))
+    bitmaps = checkpointed(sets_of(docs.select("doc_id", "text").join(sent(firsts), "doc_id"), width, percent, arrays=False).dropDuplicates(["class"]))
     least = members.groupBy("tile").agg(F.min("class").alias("_least"))
     stars = members.join(least, "tile").groupBy("class").agg(F.min("_least").alias("_least")).where("class <> _least").select(F.col("_least").alias("a"), F.col("class").alias("b"))
-    links = checkpointed(verified(stars, sets, percent))
+    links = verified(plausible(stars, bitmaps, percent), docs, firsts, width, percent)
     components = checkpointed(connected_components(links))
     for nearest in (*[True] * ROUNDS, False):
-        more = checkpointed(verified(candidates(members, components, sets, percent, nearest), sets, percent))
+        more = verified(candidates(members, components, bitmaps, percent, nearest), docs, firsts, width, percent)
         if not more.isEmpty():
             links = links.union(more)
             components = checkpointed(connected_components(links))
