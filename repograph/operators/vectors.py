@@ -62,19 +62,19 @@ def vector_records(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.md5("id").alias("id"), collection.alias("collection"), "name", F.col("id").alias("node_id"), "repo", F.col("label").alias("type"), "summary", "embedding")
 
 
-def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None) -> DataFrame:
+def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, within: tuple[str, ...] = ()) -> DataFrame:
     """query_id, id, node_id, repo, type, score and rank of the k vectors that are most similar to each row of queries(query_id, query).
 
     Metadata are tested before any distance. Each task keeps its best k for a query before they are dealt out by query. Few queries are sent to
-    every task; others meet the vectors in blocks.
+    every task; others meet the vectors in blocks. Queries have the columns of ``within`` too and meet only vectors that are equal in them.
     """
     rows = vectors if where is None else vectors.where(where)
     rows = rows.select("id", "node_id", "repo", "type", "embedding")
     if queries.count() <= BROADCAST_QUERIES:
-        pairs = rows.join(F.broadcast(queries), F.lit(True))
+        pairs = rows.join(F.broadcast(queries), [*within]) if within else rows.join(F.broadcast(queries), F.lit(True))
     else:
         blocks = 64
-        pairs = rows.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks))).join(queries.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))), "_block").drop("_block")
+        pairs = rows.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks))).join(queries.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))), [*within, "_block"]).drop("_block")
     scored = pairs.withColumn("score", F.round(C.cosine(F.col("embedding"), F.col("query")), 6)).where("score is not null")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.select("query_id", "id", "node_id", "repo", "type", "score").withColumn("rank", rank).where(F.col("rank") <= k)

@@ -1,11 +1,13 @@
 """Symbols of samples, trees of files, ignore rules, writes, graph invariants, vectors and the live status, on small inputs."""
 
+import math
 import subprocess
 import sys
 
 import pytest
 from pyspark.sql import functions as F
 
+from repograph import queries
 from repograph.operators import files, graph, references, runs, symbols, vectors
 from repograph.sources import derived, tables
 from repograph.streaming.status import stage_status_stream
@@ -85,6 +87,41 @@ def test_ivf_equals_exact_when_all_lists_are_probed(spark):
     assert vectors.ivf_topk(rows, asked, 5, n_lists=6, n_probe=6).select("query_id", "id", "rank").exceptAll(exact).isEmpty()
 
 
+def _nearest(rows, query, k, same=lambda r: True):
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    return [i for _, i in sorted((-round(cosine(r.embedding, query), 6), r.id) for r in rows if same(r))[:k]]
+
+
+@pytest.mark.parametrize("broadcast", [10_000, 0])
+def test_searches_ask_every_twentieth_vector(spark, monkeypatch, tmp_path, broadcast):
+    monkeypatch.setattr(vectors, "BROADCAST_QUERIES", broadcast)
+    made = [(i, [float((i * i * 7 + i * k * 5 + k) % 11 - 5) for k in range(6)], i % 7) for i in range(70)]
+    spark.createDataFrame(made, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = derived.vectors(spark, str(tmp_path)).collect()
+    found = {n: queries.QUERIES[n](spark, str(tmp_path)).orderBy("query_id", "rank" if n != "hydrate_hits_each_20th" else "id").collect() for n in queries.QUERIES if n.endswith("_each_20th")}
+    assert len(found) == 5
+    for q in (0, 20, 40, 60):
+        best = _nearest(rows, made[q][1], 10)
+        of = lambda n: [r for r in found[n + "_each_20th"] if r.query_id == q]  # noqa: E731, B023
+        assert [r.id for r in of("cosine_topk")] == best
+        assert [r.id for r in of("vector_filter")] == _nearest(rows, made[q][1], 10, lambda r: r.repo == "repo2" and r.type == "Method")
+        for t in {r.type for r in rows}:
+            assert [r.id for r in of("topk_per_type") if r.type == t] == _nearest(rows, made[q][1], 5, lambda r: r.type == t)  # noqa: B023
+        assert len(of("union_hits")) == 10 and [r.id for r in of("hydrate_hits")] == sorted(i for i in best if int(i[1:]) % 2 == 0)
+    assert {r.query_id for r in queries.ivf_topk(spark, str(tmp_path)).select("query_id").distinct().collect()} == {0, 20, 40, 60}
+
+
+@pytest.mark.parametrize("broadcast", [10_000, 0])
+def test_node_search_asks_classes_of_every_repo(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(vectors, "BROADCAST_QUERIES", broadcast)
+    nodes = spark.createDataFrame([(f"{r}{i}", f"n{i} common", "Class" if i < 2 else "Method", r, "code", "p") for r in ("repo1", "repo11") for i in range(4)], "id string, name string, label string, repo string, code string, file_path string")
+    monkeypatch.setattr(queries, "_nodes", lambda spark, sf_dir: nodes)
+    for search in (queries.search_nodes, queries.search_code):
+        found = search(spark, SF).collect()
+        assert {r.query_id for r in found} == {"repo10", "repo11", "repo110", "repo111"} and len(found) == 16
+        assert all(r.node_id[:-1] == r.query_id[:-1] for r in found)
+
+
 def test_provider_is_retried(spark):
     vectors.register_provider("ones", lambda texts: [[1.0, float(len(t))] for t in texts])
     out = vectors.embed_nodes(spark.createDataFrame([(1, " ab "), (2, " ")], "id int, summary string"), provider="ones").collect()
