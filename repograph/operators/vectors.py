@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from repograph.functions import columns as C
 from repograph.functions import dims
+from repograph.operators.graph import checkpointed
 
 DIMENSION = 64
 #: A side of so many queries at most is sent to every task; more go by blocks of the corpus.
 BROADCAST_QUERIES = 10_000
+#: More than the error of an angle that comes from a rounded cosine.
+ANGLE_ERROR = 1e-6
 _PROVIDERS: dict[str, Callable] = {}
 
 
@@ -87,20 +90,41 @@ def topk_per_type(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFr
 
 
 def ivf_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, n_lists: int = 128, n_probe: int = 10, sample: int = 100_000, seed: int = 7) -> DataFrame:
-    """As topk, but only in the ``n_probe`` lists nearest to a query. Lists come from k-means over a sample of at most about ``sample`` vectors."""
+    """As topk, by lists of k-means over a sample of at most about ``sample`` vectors.
+
+    A query probes its ``n_probe`` nearest lists, then every other one that the k-th score so far does not rule out: no member of a list is nearer
+    to a query than the angle to the center less that from the center to the list's farthest member. So no neighbour is lost.
+    """
     unit = lambda v: F.transform(v, lambda x: x.cast("double"))
     n = vectors.count()
     n_lists = max(1, min(n_lists, math.isqrt(n)))
     rows = vectors.withColumn("_v", array_to_vector(unit(F.col("embedding"))))
     fitted = KMeans(k=n_lists, seed=seed, featuresCol="_v", predictionCol="_list", maxIter=10, distanceMeasure="cosine").fit(rows.sample(min(1.0, sample / max(1, n)), seed=seed) if n > sample else rows)
-    centers = rows.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(fitted.clusterCenters())], "list int, center array<double>")
-    # At most n_lists rows.
-    near = queries.join(F.broadcast(centers), F.lit(True)).withColumn("_s", C.cosine(F.col("query"), F.col("center")))
-    near = near.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_s"), "list"))).where(F.col("_r") <= n_probe).select("query_id", "query", F.col("list").alias("_list"))
+    centers = rows.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(fitted.clusterCenters())], "_list int, center array<double>")
     listed = fitted.transform(rows).select("id", "node_id", "repo", "type", "embedding", "_list")
-    scored = listed.join(near, "_list").withColumn("score", F.round(C.cosine(F.col("embedding"), F.col("query")), 6)).where("score is not null")
+    angle = lambda a, b: F.acos(F.greatest(F.least(C.cosine(F.col(a), F.col(b)), F.lit(1.0)), F.lit(-1.0)))
+    # At most n_lists rows.
+    widths = listed.join(F.broadcast(centers), "_list").groupBy("_list").agg(F.max(angle("embedding", "center")).alias("_width"))
+    lists = checkpointed(centers.join(widths, "_list"))
+    near = queries.join(F.broadcast(lists), F.lit(True)).withColumn("_angle", angle("query", "center"))
+    near = near.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("_angle", "_list")))
+    near = near.select("query_id", "query", "_list", "_r", F.cos(F.greatest(F.col("_angle") - F.col("_width") - ANGLE_ERROR, F.lit(0.0))).alias("_most"))
+
+    def best(probed: DataFrame) -> DataFrame:
+        scored = listed.join(probed, "_list").withColumn("score", F.round(C.cosine(F.col("embedding"), F.col("query")), 6)).where("score is not null")
+        return _ranked(scored.select("query_id", "id", "node_id", "repo", "type", "score"), k)
+
+    first = checkpointed(best(near.where(F.col("_r") <= n_probe)))
+    least = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("_least"))
+    more = near.where(F.col("_r") > n_probe).join(least, "query_id", "left")
+    # Scores are rounded to six decimals, so a member may score half of the last one above its bound; equal scores are told apart by id.
+    more = more.where(F.col("_least").isNull() | (F.col("_most") + 1e-6 >= F.col("_least")))
+    return _ranked(first.drop("rank").union(best(more.select("query_id", "query", "_list")).drop("rank")), k)
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.select("query_id", "id", "node_id", "repo", "type", "score").withColumn("rank", rank).where(F.col("rank") <= k)
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def union_hits(per_type: DataFrame, k: int = 10) -> DataFrame:

@@ -87,6 +87,23 @@ def test_ivf_equals_exact_when_all_lists_are_probed(spark):
     assert vectors.ivf_topk(rows, asked, 5, n_lists=6, n_probe=6).select("query_id", "id", "rank").exceptAll(exact).isEmpty()
 
 
+@pytest.mark.parametrize(("k", "n_probe"), [(10, 1), (10, 3), (60, 1)])
+def test_ivf_loses_no_neighbour_in_unprobed_lists(spark, k, n_probe):
+    rows = derived.vectors(spark, SF)
+    asked = rows.where("cast(substring(id, 2) as int) % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    exact = vectors.topk(rows, asked, k).select("query_id", "id", "score", "rank")
+    found = vectors.ivf_topk(rows, asked, k, n_probe=n_probe).select("query_id", "id", "score", "rank")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, exact.collect()))
+
+
+def test_ivf_rules_far_lists_out(spark):
+    made = [(f"v{i}", "n", "r", "t", [float(k == i % 4) + 0.001 * ((i * 7 + k) % 5) for k in range(4)]) for i in range(80)]
+    rows = spark.createDataFrame(made, "id string, node_id string, repo string, type string, embedding array<double>")
+    asked = rows.limit(4).select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    exact = vectors.topk(rows, asked, 5).select("query_id", "id", "rank")
+    assert vectors.ivf_topk(rows, asked, 5, n_lists=4, n_probe=1).select("query_id", "id", "rank").exceptAll(exact).isEmpty()
+
+
 def _nearest(rows, query, k, same=lambda r: True):
     cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
     return [i for _, i in sorted((-round(cosine(r.embedding, query), 6), r.id) for r in rows if same(r))[:k]]
