@@ -18,6 +18,11 @@ from repograph.llm.common import checkpointed, text_or_empty
 #: Absolute and protocol-relative targets of links in a page.
 LINK = r"(?i)\bhref\s*=\s*[\"']?\s*((?:https?:)?//[^\"'\s>]+)"
 
+#: Share of a host's own rank below which a difference does not count, so that it means the same for any number of hosts.
+TOLERANCE = 1e-6
+#: Rounds between two looks at whether ranks still grow; the lineage is cut after them.
+ROUNDS = 8
+
 
 @dataclass(frozen=True)
 class UrlRule:
@@ -73,43 +78,49 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.union(up).union(down).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def page_rank(edges: DataFrame, seeds: DataFrame, rounds: int = 8, damping: float = 0.85) -> DataFrame:
-    """rank(host, rank): PageRank that restarts at seeds(host, weight); what reaches a host without links is lost to it.
+def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85) -> DataFrame:
+    """rank(kind, host, rank): for each kind PageRank over edges(kind, src, dst, weight) that restarts at seeds(kind, host, weight).
 
-    Every round is one join on the source of the edges and one sum by target; the edges' shares are made once.
+    What reaches a host without links is lost to it. Every round is one join on the source of the edges and one sum by target; the edges' shares are
+    made once. Ranks only grow, as each round adds the walks that are one link longer; they are final when no host's rank has grown by more than
+    TOLERANCE of itself over the last ROUNDS rounds, which includes that no more hosts are reached.
     """
-    total = seeds.agg(F.sum("weight")).first()[0]
-    if not total:
-        return seeds.select("host", F.lit(0.0).alias("rank")).limit(0)
-    start = checkpointed(seeds.groupBy("host").agg((F.sum("weight") / F.lit(float(total))).alias("rank")))
-    out = edges.groupBy("src").agg(F.sum("weight").alias("_all"))
-    shares = checkpointed(edges.join(out, "src").select(F.col("src").alias("host"), "dst", (F.col("weight") / F.col("_all")).alias("share")))
-    restart = start.select("host", (F.col("rank") * (1 - damping)).alias("rank"))
-    rank = start
-    for k in range(rounds):
-        moved = rank.join(shares, "host").select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        rank = moved.union(restart).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % 4 == 3:
-            rank = checkpointed(rank)
-    return rank
-
-
-def filter_urls(pages: DataFrame, rules: list[UrlRule], rounds: int = 8, ratio: float = 1.0) -> DataFrame:
+    total = seeds.groupBy("kind").agg(F.sum("weight").alias("_total"))
+    restart = seeds.groupBy("kind", "host").agg(F.sum("weight").alias("weight")).join(total, "kind")
+    restart = checkpointed(restart.select("kind", "host", (F.col("weight") / F.col("_total") * (1 - damping)).alias("rank")))
+    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("_all"))
+    shares = checkpointed(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("_all") * damping).alias("share")))
+    known = restart
+    while True:
+        rank = known
+        for _ in range(ROUNDS):
+            moved = rank.join(shares, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
+            rank = moved.union(restart).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        rank = checkpointed(rank)
+        before = known.select("kind", "host", F.col("rank").alias("_before"))
+        grown = F.col("rank") - F.coalesce("_before", F.lit(0.0)) > F.col("rank") * TOLERANCE
+        if rank.join(before, ["kind", "host"], "left").where(grown).isEmpty():
+            return rank
+        known = rank
+
+
+def filter_urls(pages: DataFrame, rules: list[UrlRule], ratio: float = 1.0) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust for each row of pages(page_id, url, html).
 
     A null url, or one without ://, has empty host and path and is allowed, as is a host that neither trust nor distrust reaches.
-    Repeated rows are judged alike.
+    Repeated rows are judged alike. Trust and distrust are given to nine significant digits, however small; they count as equal within TOLERANCE.
     """
     host, path = host_of("url"), path_of("url")
     name, verdict = rule_for(rules, F.col("host"), F.col("path"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"rule": name, "_verdict": verdict})
     seeds = checkpointed(judged.where("host <> '' and _verdict is not null").groupBy("host", "_verdict").agg(F.count("*").cast("double").alias("weight")))
     edges = checkpointed(host_edges(pages.select(host.alias("host"), "html")))
-    trust = page_rank(edges, seeds.where("_verdict = 'allow'").select("host", "weight"), rounds)
-    reversed_edges = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = page_rank(reversed_edges, seeds.where("_verdict = 'block'").select("host", "weight"), rounds)
-    scores = trust.select("host", F.col("rank").alias("trust"), F.lit(0.0).alias("distrust")).union(distrust.select("host", F.lit(0.0), "rank"))
-    scores = scores.groupBy("host").agg(F.round(F.sum("trust"), 9).alias("trust"), F.round(F.sum("distrust"), 9).alias("distrust"))
+    # Trust goes along the links and distrust against them; both are worked out together.
+    both = edges.select(F.lit("allow").alias("kind"), "src", "dst", "weight").union(edges.select(F.lit("block"), "dst", "src", "weight"))
+    ranks = page_rank(both, seeds.select(F.col("_verdict").alias("kind"), "host", "weight"))
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0))
+    scores = ranks.groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust"))
     out = judged.join(scores, "host", "left").fillna(0.0, ["trust", "distrust"])
-    by_host = F.when(F.col("distrust") > F.col("trust") * ratio, F.lit("block")).otherwise(F.lit("allow"))
-    return out.select("page_id", "host", "path", "rule", F.coalesce("_verdict", by_host).alias("verdict"), "trust", "distrust")
+    by_host = F.when(F.col("distrust") > F.col("trust") * (ratio * (1 + TOLERANCE)), F.lit("block")).otherwise(F.lit("allow"))
+    given = lambda score: F.format_string("%.8e", F.col(score)).cast("double").alias(score)
+    return out.select("page_id", "host", "path", "rule", F.coalesce("_verdict", by_host).alias("verdict"), given("trust"), given("distrust"))

@@ -5,6 +5,7 @@ import json
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,41 @@ def test_url_filters(spark):
     assert rows_of(urls.filter_urls(spark.createDataFrame([], "page_id long, url string, html string"), URL_RULES)) == []
 
 
+def _linking(links):
+    """A page for each host of links, on a path that no rule fits."""
+    return [(i, f"http://{src}/x", "".join(f'<a href="http://{dst}/">' for dst in dsts)) for i, (src, dsts) in enumerate(links.items())]
+
+
+def test_url_filters_far_and_small_distrust(spark):
+    # Distrust goes against the links: to a host 12 links away, and to one that gets 0.0085**5 * 0.15 of it at five links of a hundred each.
+    far = {f"f{k}.biz": [f"f{k - 1}.biz" if k > 1 else "bad.org"] for k in range(1, 13)}
+    small = {f"s{k}x{i}.biz": [f"s{k - 1}x0.biz" if k > 1 else "worse.org"] for k in range(1, 6) for i in range(100)}
+    pages = [*_linking(far | small), (1000, "http://bad.org/es/1", ""), (1001, "http://worse.org/es/1", "")]
+    out = {r["host"]: r for r in rows_of(urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES))}
+    assert all(out[h]["verdict"] == "block" for h in far | small)
+    assert out["f12.biz"]["distrust"] == pytest.approx(0.5 * 0.15 * 0.85**12) and out["s5x7.biz"]["distrust"] == pytest.approx(0.5 * 0.15 * 0.0085**5)
+
+
+def test_url_filters_equal_the_solved_ranks(spark):
+    names = [f"h{i}.biz" for i in range(12)] + ["good.net", "bad.org"]
+    links = {h: [names[(i * 5 + k * k + 1) % 14] for k in range(1 + i % 3)] for i, h in enumerate(names)}
+    pages = [*_linking(links), (100, "http://good.net/de/1", ""), (101, "http://bad.org/es/1", "")]
+    weight = np.zeros((14, 14))
+    for h, to in links.items():
+        for d in to:
+            if d != h:
+                weight[names.index(h), names.index(d)] += 1
+    shares = lambda w: w / np.where(w.sum(1) > 0, w.sum(1), 1)[:, None]
+    solved = lambda w, seed: np.linalg.solve(np.eye(14) - 0.85 * shares(w).T, 0.15 * np.eye(14)[seed])
+    trust, distrust = solved(weight, 12), solved(weight.T, 13)
+    out = rows_of(urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES))
+    for r in out:
+        i = names.index(r["host"])
+        assert r["trust"] == pytest.approx(trust[i], rel=1e-5) and r["distrust"] == pytest.approx(distrust[i], rel=1e-5)
+        if r["rule"] is None:
+            assert r["verdict"] == ("block" if distrust[i] > trust[i] * 1.000001 else "allow")
+
+
 def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
