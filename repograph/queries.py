@@ -671,14 +671,25 @@ _EMBED = f"""tok AS (SELECT doc_id, {_BUCKET} AS b FROM (SELECT doc_id, unnest(r
  cnt AS (SELECT doc_id, b, count(*) AS n FROM tok GROUP BY ALL), nrm AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM cnt GROUP BY 1)"""
 
 
-def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = D.doc_files(spark, sf_dir).select("id", "repo", F.left("content", F.lit(300)).alias("summary"))
-    return vectors.embed_nodes(docs)
+def _embedded(spark: SparkSession, sf_dir: str, chars: int | None = None) -> DataFrame:
+    """Documents with the embedding of their whole text, or of its first ``chars`` characters."""
+    text = F.col("content") if chars is None else F.left("content", F.lit(chars))
+    return vectors.embed_nodes(D.doc_files(spark, sf_dir).select("id", "repo", text.alias("summary")))
+
+
+def _buckets(embedded: DataFrame) -> DataFrame:
+    return embedded.select("id", F.posexplode("embedding").alias("bucket", "value")).where("value > 0").withColumn("value", F.round("value", 6))
 
 
 @query(f"WITH {_EMBED} SELECT concat('doc_', doc_id) AS id, CAST(b AS INT) AS bucket, round(n / norm, 6) AS value FROM cnt JOIN nrm USING (doc_id)")
 def embed_nodes(spark, sf_dir):
-    return _embedded(spark, sf_dir).select("id", F.posexplode("embedding").alias("bucket", "value")).where("value > 0").withColumn("value", F.round("value", 6))
+    return _buckets(_embedded(spark, sf_dir, 300))
+
+
+@query()
+def embed_nodes_whole_text(spark, sf_dir):
+    """As embed_nodes, whose SQL states the first 300 characters, but of whole texts."""
+    return _buckets(_embedded(spark, sf_dir))
 
 
 @query("SELECT md5(concat('doc_', doc_id)) AS id, 'file_summary' AS collection, concat('doc_', doc_id) AS node_id, source AS repo FROM documents WHERE trim(substr(text, 1, 300)) <> ''")

@@ -1,8 +1,11 @@
 """Symbols of samples, trees of files, ignore rules, writes, graph invariants, vectors and the live status, on small inputs."""
 
+import hashlib
 import math
+import re
 import subprocess
 import sys
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +142,17 @@ def test_node_search_asks_classes_of_every_repo(spark, monkeypatch, broadcast):
         assert all(r.node_id[:-1] == r.query_id[:-1] for r in found)
 
 
+def test_documents_are_embedded_whole(spark, tmp_path):
+    texts = ["alpha beta " * 40 + "omega Omega", " " * 400 + "late", "", None, "  ", "short one"]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    expected = set()
+    for i, t in enumerate(texts):
+        counts = Counter(int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64 for w in re.findall("[a-z0-9]+", (t or "").lower()))
+        expected |= {(f"doc_{i}", b, round(n / math.sqrt(sum(c * c for c in counts.values())), 6)) for b, n in counts.items()}
+    assert {tuple(r) for r in queries.embed_nodes_whole_text(spark, str(tmp_path)).collect()} == expected
+    assert {r.node_id for r in queries.build_vector_records(spark, str(tmp_path)).collect()} == {"doc_0", "doc_1", "doc_5"}
+
+
 def test_provider_is_retried(spark):
     vectors.register_provider("ones", lambda texts: [[1.0, float(len(t))] for t in texts])
     out = vectors.embed_nodes(spark.createDataFrame([(1, " ab "), (2, " ")], "id int, summary string"), provider="ones").collect()
