@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,17 +106,23 @@ def _texts(batch: pd.DataFrame) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in batch["text"]]
 
 
+def key_of() -> Column:
+    """What tells a document from others: doc_ids may be null or repeat with other texts."""
+    return F.xxhash64("doc_id", "text")
+
+
 def classes_of(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles and class of each document."""
+    """doc_id, key (see key_of), n_shingles and class of each document."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = pd.DataFrame([(len(s), fingerprint(s)) for s in shingle_sets(_texts(batch), width)], columns=["n_shingles", "class"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            out.insert(1, "key", batch["key"].to_numpy())
             yield out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(each, f"doc_id {kind}, n_shingles long, class long")
+    return docs.select("doc_id", key_of().alias("key"), "text").mapInPandas(each, f"doc_id {kind}, key long, n_shingles long, class long")
 
 
 def tiles_of(docs: DataFrame, width: int, percent: int, marked: Broadcast | None = None) -> DataFrame:
@@ -193,7 +199,7 @@ def plausible(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs(a, b) of classes that link; firsts(class, doc_id) names a document of each class.
+    """The pairs(a, b) of classes that link; firsts(class, key) names a document of each class.
 
     Arrays are made again from the texts of the classes that pairs name, and no others are moved.
     """
@@ -202,7 +208,10 @@ def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, width: int, p
         return pairs
     named = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     picked = checkpointed(firsts.join(named, "class"))
-    sets = checkpointed(sets_of(docs.select("doc_id", "text").join(sent(picked), "doc_id"), width, percent, arrays=True))
+    sets = checkpointed(sets_of(docs.select(key_of().alias("key"), "text").join(sent(picked), "key"), width, percent, arrays=True))
+    if sets.count() > picked.count():
+        # Only where whole rows repeat.
+        sets = checkpointed(sets.dropDuplicates(["class"]))
     of = lambda side: sets.select(F.col("class").alias(side), F.col("n").alias(f"{side}_n"), F.col("shingles").alias(f"{side}_shingles"))
     both = of("a").join(sent(pairs), "a").join(of("b"), "b").withColumn("_shared", shared("a_shingles", "b_shingles"))
     return checkpointed(both.where(100 * F.col("_shared") >= percent * (F.col("a_n") + F.col("b_n") - F.col("_shared"))).select("a", "b").distinct())
@@ -269,8 +278,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     distinct shingles. A text with fewer than ``width`` words is one shingle; an empty or null one has none and links to nothing, so its
     component is its own doc_id. Repeated rows are rows of their own and share a component.
     """
+    return _grouped(docs, width, percent).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, key, n_shingles, component (a class; null without words) and its smallest doc_id as component_id for each row of docs."""
     each = checkpointed(classes_of(docs, width))
-    classes = each.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"))
+    classes = each.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"))
     # A tile is of use if it holds two classes: if two of their hashes (other ones in each tile) differ. Copies are counted in their tasks.
     named = F.hash("class", "tile")
     counted = tiles_of(docs, width, percent).groupBy("tile").agg(F.min(named).alias("_least"), F.max(named).alias("_most"))
@@ -278,8 +292,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows = tiles_of(docs, width, percent, marks(shared_tiles))
     members = checkpointed(rows.join(shared_tiles, "tile").select("tile", "class").distinct())
 
-    firsts = checkpointed(members.select("class").distinct().join(classes, "class").select("class", F.col("first").alias("doc_id")))
-    bitmaps = checkpointed(sets_of(docs.select("doc_id", "text").join(sent(firsts), "doc_id"), width, percent, arrays=False).dropDuplicates(["class"]))
+    firsts = checkpointed(members.select("class").distinct().join(classes, "class").select("class", "key"))
+    bitmaps = checkpointed(sets_of(docs.select(key_of().alias("key"), "text").join(sent(firsts), "key"), width, percent, arrays=False).dropDuplicates(["class"]))
     least = members.groupBy("tile").agg(F.min("class").alias("_least"))
     stars = members.join(least, "tile").groupBy("class").agg(F.min("_least").alias("_least")).where("class <> _least").select(F.col("_least").alias("a"), F.col("class").alias("b"))
     links = verified(plausible(stars, bitmaps, percent), docs, firsts, width, percent)
@@ -292,18 +306,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     named = classes.join(components, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("component", "class").alias("component"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_class = named.join(smallest, "component").select(F.col("class").alias("_class"), "component_id")
+    by_class = named.join(smallest, "component").select(F.col("class").alias("_class"), "component", "component_id")
     linked = each.join(by_class, (F.col("class") == F.col("_class")) & (F.col("n_shingles") > 0), "left")
-    return linked.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return linked.select("doc_id", "key", "n_shingles", "component", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near copies, that with the smallest doc_id; documents without words all stay."""
-    kept = near_duplicates(docs, width, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = checkpointed(kept.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"), F.max("n_shingles").alias("_size")))
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")))
+    """docs with one document of each group of near copies, that with the smallest doc_id; documents without words all stay.
+
+    Null doc_ids come last. Of texts of a group with the same doc_id that with the smallest key stays.
+    """
+    each = checkpointed(_grouped(docs, width, percent))
+    # The smallest doc_id is null only if all of the group are.
+    least = each.where((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    least = least.groupBy("component", "doc_id", "key").agg(F.count("*").alias("_n"))
+    kept = least.groupBy("component").agg(F.min("doc_id").alias("_id"), F.min("key").alias("_key"), F.min_by("_n", "key").alias("_n")).select("_id", "_key", "_n", F.lit(1).alias("_size"))
+    bare = each.where("n_shingles = 0").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("_n"))
+    kept = checkpointed(kept.union(bare.select("_id", "_key", "_n", F.lit(0))))
+    out = docs.withColumn("_own", key_of()).join(kept, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     if kept.where("_n > 1 and _size > 0").limit(1).count():
-        # Only where doc_ids repeat: one row each stays, but for those without words.
+        # Only where rows repeat: one of each stays, but for those without words.
         alone = out.where("_n = 1 or _size = 0")
-        out = alone.unionByName(out.where("_n > 1 and _size > 0").dropDuplicates(["doc_id"]))
+        out = alone.unionByName(out.where("_n > 1 and _size > 0").dropDuplicates(["_id", "_key"]))
     return out.select(*docs.columns)

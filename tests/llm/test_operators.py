@@ -149,6 +149,19 @@ def test_near_duplicates(spark, docs, nothing, width, percent):
     assert rows_of(jaccard.near_duplicates(nothing)) == []
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    near = lambda c: text(c) + " tail"
+    rows = [(None, text("a")), (None, text("b")), (None, near("b")), (7, text("c")), (7, text("d")), (8, near("c")), (8, text("e")), (9, text("e")), (9, near("d")), (None, near("e")), (None, ""), (None, ""), (7, None), (10, text("f")), (10, text("f"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter((r["doc_id"], r["component_id"]) for r in rows_of(jaccard.near_duplicates(docs)))
+    assert found == Counter({(None, None): 5, (7, 7): 3, (8, 7): 1, (8, 8): 1, (9, 8): 1, (9, 7): 1, (None, 8): 1, (10, 10): 2})
+    kept = Counter((r["doc_id"], r["text"]) for r in rows_of(jaccard.keep_one(docs)))
+    of_b = [x for x in kept if x[1] in (text("b"), near("b"))]
+    assert len(of_b) == 1 and of_b[0][0] is None
+    assert kept - Counter(of_b) == Counter([rows[0], rows[3], rows[4], rows[6], (None, ""), (None, ""), (7, None), rows[13]])
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 40), (40, 60), (7, 7)], "a long, b long")
     found = {r["node"]: r["component"] for r in rows_of(components.connected_components(links))}
