@@ -1,8 +1,9 @@
 """Token-id files: documents as ids in ascending order of doc_id, in blocks of the range coder.
 
-Documents are sorted by range of doc_id; each task encodes its range and cuts it into blocks of whole documents with BLOCK_TOKENS ids or more.
-A row of the files is a block: the part and place of the block, the ids before it in its part, the doc_ids, the ids of each document, and the coded
-ids. Spark writes the rows as Parquet files, so that a lost task leaves nothing half written. A document's first id among all is the sum of the
+Documents are sorted by range of doc_id; each task encodes its range and cuts it into blocks of BLOCK_TOKENS ids, the last one of fewer. A document
+goes on in the next block where one is full, so that what a task holds of coded ids is bounded however long a text is. A row of the files is a
+block: the part and place of the block, the ids before it in its part, the doc_ids, the ids that earlier blocks hold of each document (0 where it
+begins), the ids of each document in this block, and the coded ids. Spark writes the rows as Parquet files, so that a lost task leaves nothing half written. A document's first id among all is the sum of the
 parts before (one number for each part) and of what precedes it in its part.
 """
 
@@ -19,6 +20,7 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from repograph.llm import rangecoder
@@ -66,7 +68,7 @@ def _vocabulary(spark: SparkSession, path: str | None):
 
 
 def encoded_blocks(docs: DataFrame, tokenizer: str | None = None, end: int = END) -> DataFrame:
-    """The rows of the files for docs(doc_id, text): part, block, before, doc_ids, lengths and coded ids.
+    """The rows of the files for docs(doc_id, text): part, block, before, doc_ids, skipped, lengths and coded ids.
 
     A null text has only the end id. Rows with the same doc_id follow one another in the order of a hash of the text; null doc_ids come first.
     """
@@ -74,14 +76,14 @@ def encoded_blocks(docs: DataFrame, tokenizer: str | None = None, end: int = END
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, part = WordEncoder(vocabulary.value), TaskContext.get().partitionId()
-        ready: list[tuple[list, list[np.ndarray], int]] = []
-        names, ids, held, before, block = [], [], 0, 0, 0
+        ready: list[tuple[list, list[int], list[np.ndarray], int]] = []
+        names, skipped, ids, held, before, block = [], [], [], 0, 0, 0
         stop = np.array([end], dtype="<u2")
 
         def rows() -> pd.DataFrame:
             nonlocal block
-            coded = rangecoder.encode([np.concatenate(d) for _, d, _ in ready], encoder.size)
-            out = pd.DataFrame({"part": part, "block": range(block, block + len(ready)), "before": [b for _, _, b in ready], "doc_ids": [n for n, _, _ in ready], "lengths": [[len(x) for x in d] for _, d, _ in ready], "coded": coded})
+            coded = rangecoder.encode([np.concatenate(d) for _, _, d, _ in ready], encoder.size)
+            out = pd.DataFrame({"part": part, "block": range(block, block + len(ready)), "before": [b for *_, b in ready], "doc_ids": [n for n, *_ in ready], "skipped": [s for _, s, _, _ in ready], "lengths": [[len(x) for x in d] for _, _, d, _ in ready], "coded": coded})
             block += len(ready)
             ready.clear()
             return out.astype({"part": "int32", "block": "int64", "before": "int64"})
@@ -89,27 +91,46 @@ def encoded_blocks(docs: DataFrame, tokenizer: str | None = None, end: int = END
         for batch in batches:
             for name, text in zip(batch["doc_id"], batch["text"], strict=True):
                 tokens = np.concatenate([encoder.encode(text), stop]) if isinstance(text, str) else stop
-                names.append(None if pd.isna(name) else int(name))
-                ids.append(tokens)
-                held += len(tokens)
-                if held >= BLOCK_TOKENS:
-                    ready.append((names, ids, before))
-                    before, names, ids, held = before + held, [], [], 0
-                    if len(ready) >= rangecoder.LANES:
-                        yield rows()
+                at = 0
+                while at < len(tokens):
+                    piece = tokens[at : at + BLOCK_TOKENS - held]
+                    names.append(None if pd.isna(name) else int(name))
+                    skipped.append(at)
+                    ids.append(piece)
+                    at, held = at + len(piece), held + len(piece)
+                    if held >= BLOCK_TOKENS:
+                        ready.append((names, skipped, ids, before))
+                        before, names, skipped, ids, held = before + held, [], [], [], 0
+                        if len(ready) >= rangecoder.LANES:
+                            yield rows()
         if names:
-            ready.append((names, ids, before))
+            ready.append((names, skipped, ids, before))
         if ready:
             yield rows()
 
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash")).repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash")
-    return ordered.select("doc_id", "text").mapInPandas(each, "part int, block long, before long, doc_ids array<long>, lengths array<int>, coded binary")
+    return ordered.select("doc_id", "text").mapInPandas(each, "part int, block long, before long, doc_ids array<long>, skipped array<long>, lengths array<int>, coded binary")
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END) -> None:
     encoded_blocks(docs, tokenizer, end).write.parquet(path)
 
 
+def joined_crc32(crcs: list[int], sizes: list[int]) -> int:
+    """The CRC-32 of pieces of so many bytes, one after another, from those of the pieces."""
+    out = 0
+    for crc, size in zip(crcs, sizes, strict=True):
+        # What a piece adds does not depend on where it starts from, so it is taken from the checksum of as many zeros.
+        zeros = bytes(size)
+        out = zlib.crc32(zeros, out) ^ zlib.crc32(zeros) ^ crc
+    return out
+
+
+@F.pandas_udf(T.LongType())
+def _joined(crcs: pd.Series, sizes: pd.Series) -> pd.Series:
+    return pd.Series([None if c is None else joined_crc32([int(x) for x in c], [4 * int(x) for x in n]) for c, n in zip(crcs, sizes, strict=True)], dtype="Int64")
+
+
 def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document of the files; also ``ids`` if wanted.
 
@@ -119,21 +140,27 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            columns: dict[str, list] = {"part": [], "doc_id": [], "at": [], "n_tokens": [], "ids_crc32": [], "ids": []}
+            columns: dict[str, list] = {"part": [], "doc_id": [], "at": [], "skipped": [], "n": [], "crc": [], "ids": []}
             for a in range(0, len(batch), rangecoder.LANES):
                 some = batch.iloc[a : a + rangecoder.LANES]
                 for row, ids in zip(some.itertuples(), rangecoder.decode([*some["coded"]]), strict=True):
                     at = 0
-                    for name, n in zip(row.doc_ids, row.lengths, strict=True):
+                    for name, skipped, n in zip(row.doc_ids, row.skipped, row.lengths, strict=True):
                         own = ids[at : at + n].astype("<u4")
-                        for column, value in zip(columns, (row.part, name, row.before + at, n, zlib.crc32(own.tobytes()), own if with_ids else None), strict=True):
+                        for column, value in zip(columns, (row.part, name, row.before + at - skipped, skipped, n, zlib.crc32(own.tobytes()), own if with_ids else None), strict=True):
                             columns[column].append(value)
                         at += n
             if not with_ids:
                 columns.pop("ids")
             yield pd.DataFrame(columns).astype({"doc_id": "Int64"})
 
-    found = files.mapInPandas(each, "part int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    found = files.mapInPandas(each, "part int, doc_id long, at long, skipped long, n long, crc long" + ", ids array<long>" * with_ids)
+    # A document is told by where it begins; its pieces, of a block at most, are put in order.
+    pieces = F.sort_array(F.collect_list(F.struct("skipped", "n", "crc", *["ids"] * with_ids))).alias("_pieces")
+    found = found.groupBy("part", "at").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), pieces)
+    several = F.when(F.size("_pieces") > 1, F.col("_pieces"))
+    crc = F.coalesce(_joined(several["crc"], several["n"]), F.col("_pieces")[0]["crc"])
+    found = found.select("part", "at", "doc_id", "n_tokens", crc.alias("ids_crc32"), *[F.flatten("_pieces.ids").alias("ids")] * with_ids)
     sizes = files.select("part", (F.col("before") + F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n)).alias("upto")).groupBy("part").agg(F.max("upto").alias("size"))
     # One row for each part, so its size is bounded by the number of partitions.
     offsets = checkpointed(sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("offset")))

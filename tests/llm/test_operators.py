@@ -3,9 +3,11 @@
 import hashlib
 import json
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +203,25 @@ def test_token_files(spark, docs, nothing, tmp_path):
     assert rows_of(tokenfiles.read_documents(spark, str(tmp_path / "b"))) == []
 
 
+def test_token_files_split_long_documents(spark, tmp_path):
+    n = tokenfiles.BLOCK_TOKENS
+    texts = [(None, "alpha beta"), (0, "lorem ipsum dolor " * n), (1, ""), (2, None), (3, "a b c"), (3, "one two three " * (n // 2))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    path = str(tmp_path / "long")
+    tokenfiles.write_token_files(docs, path)
+    blocks = spark.read.parquet(path).collect()
+    assert max(sum(b.lengths) for b in blocks) <= n and len(blocks) > 3
+    out = sorted(rows_of(tokenfiles.read_documents(spark, path, with_ids=True)), key=lambda r: r["start"])
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        encoder = tokenfiles.WordEncoder(f.read())
+    whole = Counter((i, tuple(map(int, [*encoder.encode(t or ""), 2]))) for i, t in texts)
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in out) == whole and [r["doc_id"] for r in out] == [None, 0, 1, 2, 3, 3]
+    at = 0
+    for r in out:
+        assert (r["start"], r["n_tokens"]) == (at, len(r["ids"])) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes())
+        at += r["n_tokens"]
+
+
 def test_sharding(spark, docs, nothing):
     out = rows_of(sharding.shard_documents(docs, 4))
     shards = Counter(r["shard"] for r in out)
