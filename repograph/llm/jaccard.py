@@ -144,6 +144,12 @@ def tiles_of(docs: DataFrame, width: int, percent: int, marked: Broadcast | None
     return docs.select("text").mapInPandas(each, "class long, tile long")
 
 
+def tiles_of_several(tiles: DataFrame) -> DataFrame:
+    """The tiles of tiles(class, tile) that hold two classes at least. Copies are counted in their tasks."""
+    counted = tiles.groupBy("tile").agg(F.min("class").alias("_least"), F.max("class").alias("_most"))
+    return counted.where("_least <> _most").select("tile")
+
+
 def marks(tiles: DataFrame) -> Broadcast:
     """MARKS bits, of which those of the tiles are set: a bounded first test of whether a tile is one of them."""
     at = F.col("tile").bitwiseAND(F.lit(MARKS - 1))
@@ -285,10 +291,7 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, key, n_shingles, component (a class; null without words) and its smallest doc_id as component_id for each row of docs."""
     each = checkpointed(classes_of(docs, width))
     classes = each.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"))
-    # A tile is of use if it holds two classes: if two of their hashes (other ones in each tile) differ. Copies are counted in their tasks.
-    named = F.hash("class", "tile")
-    counted = tiles_of(docs, width, percent).groupBy("tile").agg(F.min(named).alias("_least"), F.max(named).alias("_most"))
-    shared_tiles = checkpointed(counted.where("_least <> _most").select("tile"))
+    shared_tiles = checkpointed(tiles_of_several(tiles_of(docs, width, percent)))
     rows = tiles_of(docs, width, percent, marks(shared_tiles))
     members = checkpointed(rows.join(shared_tiles, "tile").select("tile", "class").distinct())
 

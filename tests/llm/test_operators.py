@@ -164,6 +164,12 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert kept - Counter(of_b) == Counter([rows[0], rows[3], rows[4], rows[6], (None, ""), (None, ""), (7, None), rows[13]])
 
 
+def test_tiles_of_classes_with_the_same_short_hash(spark):
+    same = spark.range(400_000).select(F.xxhash64("id").alias("c")).groupBy(F.hash("c")).agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").first()
+    tiles = spark.createDataFrame([(same.a, 1), (same.b, 1), (same.a, 2), (same.a, 2)], "class long, tile long")
+    assert [r.tile for r in jaccard.tiles_of_several(tiles).collect()] == [1]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 40), (40, 60), (7, 7)], "a long, b long")
     found = {r["node"]: r["component"] for r in rows_of(components.connected_components(links))}
