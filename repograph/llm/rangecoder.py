@@ -4,123 +4,194 @@ Every block starts from the same state, so blocks can be read alone and a damage
 Three predictions of the next id are mixed:
 
 * order 2 and order 1: the id that followed last after the same two (one) ids, with how often in a row it was right;
-* order 0: how often each id has occurred in the block, over a fixed prior in which smaller ids are likelier; brought up to date at fixed places.
+* order 0: how often ids of each class have occurred in the block, over a fixed prior in which smaller ids are likelier; brought up to date at
+  fixed steps. A class is a stretch of neighbouring ids: small ids have one each, larger ones share theirs, so that the state of a block
+  is of the same few KB for any vocabulary.
 
-The weights of the first two are how often predictions of the same confidence have been right in this block. The mixture is one cumulative
-distribution of 2**26 parts, by which the range is narrowed; 16 bits leave the range at a time.
+The weights of order 2 and 1 are how often predictions of the same pair of confidences have been right in this block, order 0 has the rest. The mixture
+is one cumulative distribution of 2**24 parts, by which the range is narrowed: the parts of a predicted id come first, with the weights added up where
+both predict it, and then those of all ids by order 0 (what a predicted id has there stays unused). 16 bits leave the range at a time.
 
-All blocks of a batch advance together, one id a step, as numpy arrays with one entry for each block.
+All blocks of a batch advance together, one id a step, as numpy arrays with one entry for each block. Memory goes with LANES times the longest
+block; callers keep blocks short.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 
-MAGIC = b"RGTB1\0"
+MAGIC = b"RGTB2\0"
 VOCABULARY = 1 << 16
-#: Parts of the mixture and of the order-0 distribution. Order 0 keeps 2**22 parts at least, so every id keeps one.
-MIX_BITS, FREQ_BITS = 26, 22
+#: Parts of the mixture and of the order-0 distribution. Order 0 keeps 2**FREQ_BITS parts of the mixture at least, so every id keeps one.
+MIX_BITS, FREQ_BITS = 24, 20
 #: Entries of the tables of contexts.
 CONTEXTS = 1 << 12
-#: Steps after which order 0 is brought up to date; every 4096 after the last.
-UPDATES = (512, 2048, 4096)
+#: Order 0 is brought up to date after so many steps, and at the earlier ones.
+REFRESH, EARLY = 512, (64, 192)
+#: Ids with a class of their own; beyond, each doubling of the id has SPLIT classes.
+SINGLE, SPLIT = 256, 32
 #: Blocks that advance together.
-LANES = 1024
+LANES = 2048
 CONFIDENCES, RATE = 4, 5
-_MASK32, _LOW40 = (1 << 32) - 1, (1 << 40) - 1
+#: A weight, of 2**16, is never below LEAST and never above LEAST + MOST, so that what is predicted keeps parts.
+LEAST, MOST = 64, 64_900
+#: Weight of one occurrence in the block against the whole prior of a class.
+GAIN = 24
+_LOW32 = (1 << 32) - 1
+_HASH = 0x9E5
+
+
+@cache
+def _classes(vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each id its class, the logarithm of the class's size and the place in it, as one number; for each class its first id, that logarithm and its prior."""
+    first, bits = [], []
+    at = 0
+    while at < vocabulary:
+        wide = 0 if at < SINGLE else max(0, at.bit_length() - 1 - SPLIT.bit_length() + 1)
+        first.append(at)
+        bits.append(wide)
+        at += 1 << wide
+    first_, bits_ = np.array(first), np.array(bits)
+    of = np.repeat(np.arange(len(first)), 1 << bits_)
+    held = np.repeat(first_, 1 << bits_)
+    packed = (of << 20 | bits_[of] << 16 | np.arange(len(of)) - held)[:vocabulary]
+    prior = (1 << 16) / (np.arange(len(of)) + 64.0)
+    return packed.astype(np.int64), first_, bits_, np.add.reduceat(prior, first_) / prior.sum()
 
 
 class _Model:
     """The state of all blocks of a batch."""
 
     def __init__(self, lanes: int, vocabulary: int):
-        self.vocabulary = vocabulary
-        self.lane = np.arange(lanes)
+        if not 0 < vocabulary <= VOCABULARY:
+            raise ValueError("a vocabulary has 1 to 65536 ids")
+        self.packed, self.first, self.bits, self.prior = _classes(vocabulary)
+        self.n = len(self.first)
+        self.wide = 1 << self.n.bit_length()
+        lane = np.arange(lanes)
         # All tables are flat, with one stretch for each block.
-        self.ids_at, self.freq_at, self.context_at, self.sure_at = (self.lane * n for n in (vocabulary, vocabulary + 1, CONTEXTS, CONFIDENCES))
-        self.prior = (1 << 16) // (np.arange(vocabulary, dtype=np.int64) + 64) + 1
-        self.counts = np.zeros(lanes * vocabulary, dtype=np.uint16)
-        self.freq = np.tile(self._cumulative(self.prior[None, :])[0], lanes)
-        self.next2, self.next1 = np.zeros(lanes * CONTEXTS, dtype=np.int32), np.zeros(lanes * CONTEXTS, dtype=np.int32)
-        self.sure2, self.sure1 = np.zeros(lanes * CONTEXTS, dtype=np.int8), np.zeros(lanes * CONTEXTS, dtype=np.int8)
+        self.contexts_at, self.zero_at, self.sure_at = (lane * n for n in (CONTEXTS, self.wide, CONFIDENCES**2))
+        self.table2, self.table1 = np.zeros(lanes * CONTEXTS, dtype=np.int32), np.zeros(lanes * CONTEXTS, dtype=np.int32)
         start = np.array([1 << 10, 1 << 13, 1 << 14, 3 << 14], dtype=np.int64)
-        self.right2, self.right1 = np.tile(start, lanes), np.tile(start, lanes)
-        self.last, self.before = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-        self.step = 0
-
-    def _cumulative(self, weights: np.ndarray) -> np.ndarray:
-        """Cumulative parts, of which every id has one at least; whole numbers only, so that all machines agree."""
-        sums = np.cumsum(weights, axis=1, dtype=np.int64)
-        out = np.zeros((weights.shape[0], self.vocabulary + 1), dtype=np.int32)
-        out[:, 1:] = sums * ((1 << FREQ_BITS) - self.vocabulary) // sums[:, -1:] + np.arange(1, self.vocabulary + 1)
+        self.right2, self.right1 = np.tile(np.repeat(start, CONFIDENCES), lanes), np.tile(start, lanes * CONFIDENCES)
+        self.counts = np.zeros((lanes, self.n), dtype=np.int32)
+        # The parts before each class; beyond the last class all of them and then more than any.
+        self.zero = np.full((lanes, self.wide), np.iinfo(np.int32).max, dtype=np.int32)
+        self.zero[:, : self.n + 1] = self._order0(self.counts[:1])
+        self.flat = self.zero.ravel()
+        self.last, self.earlier = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+
+    def _order0(self, counts: np.ndarray) -> np.ndarray:
+        """Parts before each class: every id has one at least. Each step is exact or rounded alike on all machines."""
+        weight = self.prior * (4.0 * GAIN) + counts * (GAIN / 64.0)
+        share = (1 << FREQ_BITS) - int((1 << self.bits).sum())
+        each = ((weight * (share / weight.sum(axis=1, keepdims=True))).astype(np.int64) >> self.bits) + 1
+        out = np.zeros((len(counts), self.n + 1), dtype=np.int64)
+        np.cumsum(each << self.bits, axis=1, out=out[:, 1:])
         return out
 
+    def refresh(self, ids: np.ndarray) -> None:
+        """Take the ids(step, block) since the last time into order 0."""
+        k = ids.shape[1]
+        for a in range(0, k, 256):
+            b = min(k, a + 256)
+            of = (self.packed.take(ids[:, a:b]) >> 20) + np.arange(b - a) * self.n
+            self.counts[a:b] += np.bincount(of.ravel(), minlength=(b - a) * self.n).reshape(b - a, self.n)
+            self.zero[a:b, : self.n + 1] = self._order0(self.counts[a:b])
+
     def predict(self, k: int) -> None:
         """Set what the first k blocks expect next."""
-        if self.step in UPDATES or self.step > UPDATES[-1] and self.step % UPDATES[-1] == 0:
-            counts, freq = self.counts.reshape(-1, self.vocabulary), self.freq.reshape(-1, self.vocabulary + 1)
-            for a in range(0, k, 16):
-                b = min(k, a + 16)
-                freq[a:b] = self._cumulative(self.prior + counts[a:b].astype(np.int64) * 256)
         last = self.last[:k]
-        self.c2 = ((last * 40503 + self.before[:k] * 30011) >> 4 & (CONTEXTS - 1)) + self.context_at[:k]
-        self.c1 = (last * 2654435761 >> 16 & (CONTEXTS - 1)) + self.context_at[:k]
-        self.p2, self.s2 = self.next2.take(self.c2), self.sure2.take(self.c2) + self.sure_at[:k]
-        self.p1, self.s1 = self.next1.take(self.c1), self.sure1.take(self.c1) + self.sure_at[:k]
-        spare = (1 << MIX_BITS) - (1 << FREQ_BITS)
-        self.a2 = self.right2.take(self.s2) * (spare >> 16)
-        self.a1 = (spare - self.a2 >> 16) * self.right1.take(self.s1)
-        self.a0 = (1 << MIX_BITS) - self.a2 - self.a1
+        self.at2, self.at1 = (last + self.earlier[:k] & CONTEXTS - 1) + self.contexts_at[:k], (last & CONTEXTS - 1) + self.contexts_at[:k]
+        known2, known1 = self.table2.take(self.at2), self.table1.take(self.at1)
+        self.p2, self.p1 = known2 >> 2, known1 >> 2
+        self.sure2, self.sure1 = known2 & 3, known1 & 3
+        self.sure = (self.sure2 << 2 | self.sure1) + self.sure_at[:k]
+        self.w2, self.w1 = self.right2.take(self.sure), self.right1.take(self.sure)
+        spare = (1 << MIX_BITS) - (1 << FREQ_BITS) >> 16
+        self.a2 = self.w2 * spare
+        both = self.a2 + (spare * 65536 - self.a2 >> 16) * self.w1
+        # Weights add up where the two predict the same.
+        self.a2 = np.where(self.p2 == self.p1, both, self.a2)
+        self.upto, self.a0 = both, (1 << MIX_BITS) - both
+
+    def _scaled(self, at: np.ndarray, bits: np.ndarray, place: np.ndarray, before: np.ndarray, a0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the parts of the id at this place of its class."""
+        first = self.flat.take(at).astype(np.int64)
+        each = self.flat.take(at + 1) - first >> bits
+        low = first + place * each
+        start = low * a0 >> FREQ_BITS
+        return start + before, ((low + each) * a0 >> FREQ_BITS) - start
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of the parts of these ids."""
-        at = self.freq_at[: len(ids)] + ids
-        low, high = self.freq.take(at) * self.a0 >> FREQ_BITS, self.freq.take(at + 1) * self.a0 >> FREQ_BITS
-        start = low + self.a2 * (self.p2 < ids) + self.a1 * (self.p1 < ids)
-        return start, high - low + self.a2 * (self.p2 == ids) + self.a1 * (self.p1 == ids)
-
-    def find(self, parts: np.ndarray) -> np.ndarray:
-        """The ids whose parts hold these ones: the predicted ids are tried first, the others searched for."""
-        out = np.full(len(parts), -1, dtype=np.int64)
-        below = np.zeros(len(parts), dtype=np.int64)
-        for guess in (self.p2, self.p1):
-            ids = guess.astype(np.int64)
-            start, size = self.interval(ids)
-            out = np.where((parts >= start) & (parts < start + size), ids, out)
-            # An id above a prediction has that prediction's weight below it.
-            below += np.where(parts >= start + size, self.a2 if guess is self.p2 else self.a1, 0)
-        # Equal predictions are passed together, so that both weights count.
-        open_ = np.flatnonzero(out < 0)
+        """Start and size of the parts of these ids: first those of the predictions, then of all ids by order 0."""
+        k = len(ids)
+        packed = self.packed.take(ids)
+        start, size = self._scaled((packed >> 20) + self.zero_at[:k], packed >> 16 & 15, packed & 0xFFFF, self.upto, self.a0)
+        hit2, hit1 = self.p2 == ids, self.p1 == ids
+        self.hit2, self.hit1 = hit2, hit1
+        size = np.where(hit2, self.a2, np.where(hit1, self.upto - self.a2, size))
+        return np.where(hit2, 0, np.where(hit1, self.a2, start)), size
+
+    def find(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids whose parts hold these ones, with start and size of those."""
+        hit2, hit = part < self.a2, part < self.upto
+        ids = np.where(hit2, self.p2, self.p1).astype(np.int64)
+        start = np.where(hit2, 0, self.a2)
+        size = np.where(hit2, self.a2, self.upto - self.a2)
+        self.hit2, self.hit1 = hit2, hit & (ids == self.p1)
+        open_ = np.flatnonzero(~hit)
         if len(open_):
-            # The largest id of which the parts before it, freq * a0 >> FREQ_BITS, are no more than the wanted one.
-            most = ((((parts - below)[open_] + 1) << FREQ_BITS) - 1) // self.a0[open_]
-            low, size, at = np.zeros(len(open_), dtype=np.int64), 1 << self.vocabulary.bit_length() - 1, self.freq_at[open_]
-            while size:
-                tried = low + size
-                low = np.where((tried < self.vocabulary) & (self.freq.take(at + np.minimum(tried, self.vocabulary)) <= most), tried, low)
-                size >>= 1
-            out[open_] = low
-        return out
+            a0, before = self.a0.take(open_), self.upto.take(open_)
+            # The most parts before an id, of which the scaled number is no more than the wanted part. The quotient is below 2**21 and at least
+            # 2**-24 from the next whole number if it is none, so the division of doubles loses nothing.
+            most = (((part.take(open_) - before + 1 << FREQ_BITS) - 1) / a0).astype(np.int64)
+            sought = most.astype(np.int32)
+            at = base = self.zero_at.take(open_)
+            step = self.wide >> 1
+            while step:
+                tried = at + step
+                at = np.where(self.flat.take(tried) <= sought, tried, at)
+                step >>= 1
+            of = np.minimum(at - base, self.n - 1)
+            at, bits = base + of, self.bits.take(of)
+            first = self.flat.take(at)
+            place = np.minimum((most - first) // (self.flat.take(at + 1) - first >> bits), (1 << bits) - 1)
+            # Beyond the vocabulary leads damage only, which the checksum shows.
+            ids[open_] = np.minimum(self.first.take(of) + place, len(self.packed) - 1)
+            start[open_], size[open_] = self._scaled(at, bits, place, before, a0)
+        return ids, start, size
 
     def learn(self, ids: np.ndarray) -> None:
-        for predicted, sure, context, next_, sures, rights in ((self.p2, self.s2, self.c2, self.next2, self.sure2, self.right2), (self.p1, self.s1, self.c1, self.next1, self.sure1, self.right1)):
-            hit = predicted == ids
-            part = rights.take(sure)
-            rights[sure] = np.clip(part + (np.where(hit, 65535, 0) - part >> RATE), 32, 65000)
-            sures[context] = np.where(hit, np.minimum(sure - self.sure_at[: len(ids)] + 1, CONFIDENCES - 1), 0)
-            next_[context] = ids
-        self.counts[self.ids_at[: len(ids)] + ids] += 1
-        self.before[: len(ids)], self.last[: len(ids)] = self.last[: len(ids)], ids
-        self.step += 1
-
-
-def _active(lengths: np.ndarray) -> np.ndarray:
-    """For each step the number of blocks, sorted from the longest, that still have ids."""
+        """Take these ids, of which interval or find was asked last, into the tables."""
+        k = len(ids)
+        known, hit2, hit1 = ids << 2, self.hit2, self.hit1
+        self.table2[self.at2] = known | np.minimum(self.sure2 + 1, CONFIDENCES - 1) * hit2
+        self.table1[self.at1] = known | np.minimum(self.sure1 + 1, CONFIDENCES - 1) * hit1
+        self.right2[self.sure] = self.w2 + (hit2 * MOST + LEAST - self.w2 >> RATE)
+        # Order 1 counts where order 2 is wrong.
+        self.right1[self.sure] = self.w1 + (hit1 * MOST + LEAST - self.w1 >> RATE) * ~hit2
+        self.earlier[:k] = self.last[:k] * _HASH
+        self.last[:k] = ids
+
+
+def _steps(lengths: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Stretches of steps (from, to) with the number of blocks, sorted from the longest, that have ids in all of them; cut where order 0 is refreshed."""
     longest = int(lengths[0]) if len(lengths) else 0
-    return np.searchsorted(-lengths, -np.arange(longest), side="left")
+    ends = sorted({*map(int, lengths), *range(REFRESH, longest, REFRESH), *(e for e in EARLY if e < longest)} - {0})
+    at = 0
+    for end in ends:
+        yield at, end, int(np.searchsorted(-lengths, -at, side="left"))
+        at = end
+
+
+def _refreshes(step: int) -> bool:
+    return step in EARLY or step > 0 and step % REFRESH == 0
 
 
 def encode(blocks: list[np.ndarray], vocabulary: int = VOCABULARY) -> list[bytes]:
@@ -138,84 +209,98 @@ def encode(blocks: list[np.ndarray], vocabulary: int = VOCABULARY) -> list[bytes
 def _encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     lengths = np.array([len(b) for b in blocks])
     longest = int(lengths.max(initial=0))
-    ids = np.zeros((longest, len(blocks)), dtype=np.int64)
+    ids = np.zeros((longest, len(blocks)), dtype=np.int32)
     for i, b in enumerate(blocks):
         ids[: len(b), i] = b
     model = _Model(len(blocks), vocabulary)
-    low, width = np.zeros(len(blocks), dtype=np.int64), np.full(len(blocks), 1 << 56, dtype=np.int64)
-    digits, used = np.zeros((len(blocks), 2 * longest + 8), dtype=np.int32), np.zeros(len(blocks), dtype=np.int64)
-    for step, k in enumerate(_active(lengths)):
-        model.predict(k)
-        now = ids[step, :k]
-        start, size = model.interval(now)
-        part = width[:k] >> MIX_BITS
-        low[:k] += start * part
-        width[:k] = size * part
-        # A part is 2**14 or more before and so is the range after it: at most two digits leave.
-        for _ in range(2):
-            full = np.flatnonzero(width[:k] <= _LOW40)
-            if not len(full):
-                break
-            digits[full, used[full]] = low[full] >> 40
-            used[full] += 1
-            low[full] = (low[full] & _LOW40) << 16
-            width[full] <<= 16
-        model.learn(now)
-    for digit in (low >> 40, low >> 24 & 0xFFFF, low >> 8 & 0xFFFF, (low & 0xFF) << 8):
-        digits[model.lane, used] = digit
+    low, width = np.zeros(len(blocks), dtype=np.int64), np.full(len(blocks), 1 << 48, dtype=np.int64)
+    # An id takes 24 bits at most, and what width loses to rounding is far below a half.
+    room = longest * 3 // 2 + longest // 16 + 8
+    digits, used = np.zeros((len(blocks), room), dtype=np.int32), np.arange(len(blocks)) * room
+    flat, refreshed = digits.ravel(), 0
+    for begin, end, k in _steps(lengths):
+        if _refreshes(begin):
+            model.refresh(ids[refreshed:begin, :k])
+            refreshed = begin
+        for step in range(begin, end):
+            model.predict(k)
+            now = ids[step, :k].astype(np.int64)
+            start, size = model.interval(now)
+            part = width[:k] >> MIX_BITS
+            low[:k] += start * part
+            width[:k] = size * part
+            # A part is 2**8 or more before and so is the range after it: at most two digits leave. A digit that does not leave is written over.
+            for _ in range(2):
+                full = width[:k] <= _LOW32
+                if not full.any():
+                    break
+                at, held, shift = used[:k], low[:k], full * 16
+                flat[at] = held >> 32
+                at += full
+                low[:k] = (held & np.where(full, _LOW32, -1)) << shift
+                width[:k] <<= shift
+            model.learn(now)
+    for digit in (low >> 32, low >> 16 & 0xFFFF, low & 0xFFFF):
+        flat[used] = digit
         used += 1
     while (carry := digits >> 16).any():
         digits &= 0xFFFF
         digits[:, :-1] += carry[:, 1:]
+    used -= np.arange(len(blocks)) * room
     return [digits[i, : used[i]].astype("<u2").tobytes() for i in range(len(blocks))]
 
 
 def decode(coded: list[bytes]) -> list[np.ndarray]:
-    """The ids of each block; raises ValueError for a block that was damaged."""
+    """The ids of each block; raises ValueError for a block that was damaged. Blocks may differ in their vocabulary."""
     heads = []
     for raw in coded:
-        if raw[: len(MAGIC)] != MAGIC:
+        if raw[: len(MAGIC)] != MAGIC or len(raw) < len(MAGIC) + 12:
             raise ValueError("not a block of token ids")
         heads.append(struct.unpack_from("<III", raw, len(MAGIC)))
     out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(coded)
-    by_length = sorted(range(len(coded)), key=lambda i: -heads[i][0])
-    for a in range(0, len(coded), LANES):
-        which = by_length[a : a + LANES]
-        body = [np.frombuffer(coded[i], dtype="<u2", offset=len(MAGIC) + 12) for i in which]
-        for i, ids in zip(which, _decode(body, np.array([heads[i][0] for i in which]), max(heads[i][1] for i in which)), strict=True):
-            if zlib.crc32(ids.astype("<u4").tobytes()) != heads[i][2]:
-                raise ValueError("a block of token ids is damaged")
-            out[i] = ids
+    for vocabulary in {v for _, v, _ in heads}:
+        by_length = sorted((i for i in range(len(coded)) if heads[i][1] == vocabulary), key=lambda i: -heads[i][0])
+        for a in range(0, len(by_length), LANES):
+            which = by_length[a : a + LANES]
+            body = [np.frombuffer(coded[i][len(MAGIC) + 12 :], dtype="<u2") for i in which]
+            for i, ids in zip(which, _decode(body, np.array([heads[i][0] for i in which]), vocabulary), strict=True):
+                if zlib.crc32(ids.astype("<u4").tobytes()) != heads[i][2]:
+                    raise ValueError("a block of token ids is damaged")
+                out[i] = ids
     return out
 
 
 def _decode(body: list[np.ndarray], lengths: np.ndarray, vocabulary: int) -> list[np.ndarray]:
     longest = int(lengths.max(initial=0))
-    digits = np.zeros((len(body), max((len(b) for b in body), default=0) + 8), dtype=np.int64)
+    room = max((len(b) for b in body), default=0) + 8
+    digits = np.zeros((len(body), room), dtype=np.uint16)
     for i, b in enumerate(body):
         digits[i, : len(b)] = b
+    flat, ends = digits.ravel(), np.arange(1, len(body) + 1) * room - 1
     model = _Model(len(body), vocabulary)
-    used, width = np.full(len(body), 4, dtype=np.int64), np.full(len(body), 1 << 56, dtype=np.int64)
-    # 56 bits of the code: three digits and the upper half of a fourth; the lower half comes with the next.
-    code = (digits[:, 0] << 40) + (digits[:, 1] << 24) + (digits[:, 2] << 8) + (digits[:, 3] >> 8)
-    half = digits[:, 3] & 0xFF
-    ids = np.zeros((longest, len(body)), dtype=np.int64)
-    for step, k in enumerate(_active(lengths)):
-        model.predict(k)
-        part = width[:k] >> MIX_BITS
-        now = model.find(np.minimum(code[:k] // part, (1 << MIX_BITS) - 1))
-        start, size = model.interval(now)
-        code[:k] -= start * part
-        width[:k] = size * part
-        for _ in range(2):
-            full = np.flatnonzero(width[:k] <= _LOW40)
-            if not len(full):
-                break
-            new = digits[full, np.minimum(used[full], digits.shape[1] - 1)]
-            code[full] = (code[full] << 16) + (half[full] << 8) + (new >> 8)
-            half[full] = new & 0xFF
-            used[full] += 1
-            width[full] <<= 16
-        ids[step, :k] = now
-        model.learn(now)
+    used, width = np.arange(len(body)) * room + 3, np.full(len(body), 1 << 48, dtype=np.int64)
+    code = (digits[:, 0].astype(np.int64) << 32) + (digits[:, 1].astype(np.int64) << 16) + digits[:, 2]
+    ids = np.zeros((longest, len(body)), dtype=np.int32)
+    refreshed = 0
+    for begin, end, k in _steps(lengths):
+        if _refreshes(begin):
+            model.refresh(ids[refreshed:begin, :k])
+            refreshed = begin
+        for step in range(begin, end):
+            model.predict(k)
+            part = width[:k] >> MIX_BITS
+            # The code is below 2**48 and a part at most 2**24, so the division of doubles loses nothing here either.
+            now, start, size = model.find(np.minimum((code[:k] / part).astype(np.int64), (1 << MIX_BITS) - 1))
+            code[:k] -= start * part
+            width[:k] = size * part
+            for _ in range(2):
+                full = width[:k] <= _LOW32
+                if not full.any():
+                    break
+                at, shift = used[:k], full * 16
+                code[:k] = (code[:k] << shift) + flat.take(np.minimum(at, ends[:k])) * full
+                at += full
+                width[:k] <<= shift
+            ids[step, :k] = now
+            model.learn(now)
     return [ids[: lengths[i], i].astype(np.uint32) for i in range(len(body))]

@@ -3,12 +3,13 @@
 Documents are sorted by range of doc_id; each task encodes its range and cuts it into blocks of BLOCK_TOKENS ids, the last one of fewer. A document
 goes on in the next block where one is full, so that what a task holds of coded ids is bounded however long a text is. A row of the files is a
 block: the part and place of the block, the ids before it in its part, the doc_ids, the ids that earlier blocks hold of each document (0 where it
-begins), the ids of each document in this block, and the coded ids. Spark writes the rows as Parquet files, so that a lost task leaves nothing half written. A document's first id among all is the sum of the
-parts before (one number for each part) and of what precedes it in its part.
+begins), the ids of each document in this block, and the coded ids. Spark writes the rows as Parquet files, so that a lost task leaves nothing half
+written. A document's first id among all is the sum of the parts before (one number for each part) and of what precedes it in its part.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,11 +28,13 @@ from tokenizers import Tokenizer
 from repograph.llm import rangecoder
 from repograph.llm.common import checkpointed, shuffle_partitions
 
-BLOCK_TOKENS = 1 << 13
+BLOCK_TOKENS = 1 << 12
 #: The id that ends each document.
 END = 2
-#: Words whose ids a task remembers, about; as many again from before.
-REMEMBERED = 300_000
+#: Words whose ids a task remembers, about; as many again from before. Words of more characters are not remembered, so the tables are bounded in bytes.
+REMEMBERED, LONGEST_WORD = 300_000, 64
+#: Documents whose new words are encoded in one call.
+TOGETHER = 64
 #: Blanks that the tokenizer turns into a word boundary and that no token spans.
 WORD = re.compile("[^ \t\n\r]+")
 
@@ -43,22 +47,33 @@ class WordEncoder(dict):
 
     def __init__(self, vocabulary: str):
         super().__init__()
+        # Spark's tasks are the only threads.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.old: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        if (ids := self.old.get(word)) is None:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        self[word] = ids
-        return ids
+    def _of(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def encode(self, text: str) -> np.ndarray:
-        found = b"".join(map(self.__getitem__, WORD.findall(text)))
+    def __missing__(self, word: str) -> bytes:
+        return self._of([word])[0]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        cut = [WORD.findall(text) for text in texts]
+        fresh = []
+        for word in set().union(*cut).difference(self):
+            if (ids := self.old.get(word)) is not None:
+                self[word] = ids
+            elif len(word) <= LONGEST_WORD:
+                fresh.append(word)
+        self.update(zip(fresh, self._of(fresh), strict=True))
+        found = [b"".join(map(self.__getitem__, words)) for words in cut]
         if len(self) > REMEMBERED:
             self.old = dict(self)
             self.clear()
-        return np.frombuffer(found, dtype="<u2")
+        return found
 
 
 def _vocabulary(spark: SparkSession, path: str | None):
@@ -74,42 +89,47 @@ def encoded_blocks(docs: DataFrame, tokenizer: str | None = None, end: int = END
     """
     vocabulary = _vocabulary(docs.sparkSession, tokenizer)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("skipped", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("coded", pa.binary())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = WordEncoder(vocabulary.value), TaskContext.get().partitionId()
         ready: list[tuple[list, list[int], list[np.ndarray], int]] = []
         names, skipped, ids, held, before, block = [], [], [], 0, 0, 0
-        stop = np.array([end], dtype="<u2")
+        stop = np.array([end], dtype="<u2").tobytes()
 
-        def rows() -> pd.DataFrame:
+        def rows() -> pa.RecordBatch:
             nonlocal block
             coded = rangecoder.encode([np.concatenate(d) for _, _, d, _ in ready], encoder.size)
-            out = pd.DataFrame({"part": part, "block": range(block, block + len(ready)), "before": [b for *_, b in ready], "doc_ids": [n for n, *_ in ready], "skipped": [s for _, s, _, _ in ready], "lengths": [[len(x) for x in d] for _, _, d, _ in ready], "coded": coded})
-            block += len(ready)
+            n = len(ready)
+            out = {"part": [part] * n, "block": range(block, block + n), "before": [b for *_, b in ready], "doc_ids": [n for n, *_ in ready], "skipped": [s for _, s, _, _ in ready], "lengths": [[len(x) for x in d] for _, _, d, _ in ready], "coded": coded}
+            block += n
             ready.clear()
-            return out.astype({"part": "int32", "block": "int64", "before": "int64"})
+            return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
         for batch in batches:
-            for name, text in zip(batch["doc_id"], batch["text"], strict=True):
-                tokens = np.concatenate([encoder.encode(text), stop]) if isinstance(text, str) else stop
-                at = 0
-                while at < len(tokens):
-                    piece = tokens[at : at + BLOCK_TOKENS - held]
-                    names.append(None if pd.isna(name) else int(name))
-                    skipped.append(at)
-                    ids.append(piece)
-                    at, held = at + len(piece), held + len(piece)
-                    if held >= BLOCK_TOKENS:
-                        ready.append((names, skipped, ids, before))
-                        before, names, skipped, ids, held = before + held, [], [], [], 0
-                        if len(ready) >= rangecoder.LANES:
-                            yield rows()
+            for a in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(a, TOGETHER).to_pydict()
+                for name, found in zip(some["doc_id"], encoder.encode([t or "" for t in some["text"]]), strict=True):
+                    tokens = np.frombuffer(found + stop, dtype="<u2")
+                    at = 0
+                    while at < len(tokens):
+                        piece = tokens[at : at + BLOCK_TOKENS - held]
+                        names.append(name)
+                        skipped.append(at)
+                        ids.append(piece)
+                        at, held = at + len(piece), held + len(piece)
+                        if held >= BLOCK_TOKENS:
+                            ready.append((names, skipped, ids, before))
+                            before, names, skipped, ids, held = before + held, [], [], [], 0
+                            if len(ready) >= rangecoder.LANES:
+                                yield rows()
         if names:
             ready.append((names, skipped, ids, before))
         if ready:
             yield rows()
 
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash")).repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash")
-    return ordered.select("doc_id", "text").mapInPandas(each, "part int, block long, before long, doc_ids array<long>, skipped array<long>, lengths array<int>, coded binary")
+    return ordered.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "part int, block long, before long, doc_ids array<long>, skipped array<long>, lengths array<int>, coded binary")
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END) -> None:
@@ -138,23 +158,23 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
     """
     files = spark.read.parquet(path)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("skipped", pa.int64()), ("n", pa.int64()), ("crc", pa.int64())] + [("ids", pa.list_(pa.int64()))] * with_ids)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: dict[str, list] = {"part": [], "doc_id": [], "at": [], "skipped": [], "n": [], "crc": [], "ids": []}
-            for a in range(0, len(batch), rangecoder.LANES):
-                some = batch.iloc[a : a + rangecoder.LANES]
-                for row, ids in zip(some.itertuples(), rangecoder.decode([*some["coded"]]), strict=True):
+            for a in range(0, batch.num_rows, rangecoder.LANES):
+                some = batch.slice(a, rangecoder.LANES).to_pylist()
+                rows: list[tuple] = []
+                for row, ids in zip(some, rangecoder.decode([r["coded"] for r in some]), strict=True):
                     at = 0
-                    for name, skipped, n in zip(row.doc_ids, row.skipped, row.lengths, strict=True):
+                    for name, skipped, n in zip(row["doc_ids"], row["skipped"], row["lengths"], strict=True):
                         own = ids[at : at + n].astype("<u4")
-                        for column, value in zip(columns, (row.part, name, row.before + at - skipped, skipped, n, zlib.crc32(own.tobytes()), own if with_ids else None), strict=True):
-                            columns[column].append(value)
+                        rows.append((row["part"], name, row["before"] + at - skipped, skipped, n, zlib.crc32(own), own))
                         at += n
-            if not with_ids:
-                columns.pop("ids")
-            yield pd.DataFrame(columns).astype({"doc_id": "Int64"})
+                yield pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*rows, strict=True), schema, strict=False)], schema=schema)
 
-    found = files.mapInPandas(each, "part int, doc_id long, at long, skipped long, n long, crc long" + ", ids array<long>" * with_ids)
+    blocks = files.select("part", "before", "doc_ids", "skipped", "lengths", "coded")
+    found = blocks.mapInArrow(each, "part int, doc_id long, at long, skipped long, n long, crc long" + ", ids array<long>" * with_ids)
     # A document is told by where it begins; its pieces, of a block at most, are put in order.
     pieces = F.sort_array(F.collect_list(F.struct("skipped", "n", "crc", *["ids"] * with_ids))).alias("_pieces")
     found = found.groupBy("part", "at").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), pieces)
