@@ -13,15 +13,21 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Pieces that a task remembers, about; a second table of this size holds those from before.
-REMEMBERED = 300_000
+#: Pieces that a task remembers, about; a second table of this size holds those from before. Longer pieces than LONGEST are not remembered.
+REMEMBERED, LONGEST = 300_000, 64
+#: Pairs of tokens of which a task remembers whether they stay apart.
+PAIRS = 500_000
+#: Documents that are encoded and handed on together.
+TOGETHER = 128
+SHIFT = 24
 #: The letters, numbers and white space below U+0250.
 LATIN_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 LATIN_NUMBERS = "0-9²³¹¼-¾"
@@ -36,7 +42,8 @@ class PrefixEncoder:
         self.bytes = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
         self._halves: dict[int, tuple[int, int]] = {}
-        self._valid: dict[tuple[int, int], bool] = {}
+        #: By the left token's number, shifted by SHIFT, and the right one's.
+        self._valid: dict[int, bool] = {}
 
     def halves(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge makes this one; a single byte is its own halves."""
@@ -53,10 +60,10 @@ class PrefixEncoder:
 
     def valid(self, left: int, right: int) -> bool:
         """Whether the bytes of the two tokens are encoded as these two tokens."""
-        if (known := self._valid.get((left, right))) is None:
-            if len(self._valid) > 4 * REMEMBERED:
+        if (known := self._valid.get(left << SHIFT | right)) is None:
+            if len(self._valid) > PAIRS:
                 self._valid.clear()
-            known = self._valid[left, right] = self._stays_apart(left, right)
+            known = self._valid[left << SHIFT | right] = self._stays_apart(left, right)
         return known
 
     def _stays_apart(self, left: int, right: int) -> bool:
@@ -83,7 +90,7 @@ class PrefixEncoder:
             for start in range(max(0, end - longest), end):
                 if (token := ranks(piece[start:end])) is None:
                     continue
-                if start and not known((left := last[start - 1], token)) and not self.valid(left, token):
+                if start and not known((left := last[start - 1]) << SHIFT | token) and not self.valid(left, token):
                     continue
                 last.append(token)
                 break
@@ -150,31 +157,41 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
 
 
 class Memory(dict):
-    """Pieces with their ids as text and the bytes that the ids decode to, in two generations of bounded size."""
+    """Pieces with what ``made`` makes of their ids, in two generations of bounded size."""
 
-    def __init__(self, encoder: PrefixEncoder):
+    def __init__(self, encoder: PrefixEncoder, made: Callable):
         super().__init__()
-        self.encoder, self.old = encoder, {}
+        self.encoder, self.made, self.old = encoder, made, {}
 
-    def __missing__(self, piece: str) -> tuple[str, bytes]:
+    def __missing__(self, piece: str):
         if (found := self.old.get(piece)) is None:
-            ids = self.encoder.encode(piece.encode("utf-8"))
-            found = (" ".join(map(str, ids)), self.encoder.decode(ids))
-        self[piece] = found
+            found = self.made(self.encoder, self.encoder.encode(piece.encode("utf-8")))
+        if len(piece) <= LONGEST:
+            self[piece] = found
         return found
 
-    def of(self, pieces: list[str]) -> tuple[list[str], list[bytes]]:
-        both = [*map(self.__getitem__, pieces)]
+    def of(self, pieces: list[str]) -> list:
+        found = [*map(self.__getitem__, pieces)]
         if len(self) > REMEMBERED:
             self.old = dict(self)
             self.clear()
-        return [x for x, _ in both], [x for _, x in both]
+        return found
+
+
+def packed(encoder: PrefixEncoder, ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<i4").tobytes()
+
+
+def written(encoder: PrefixEncoder, ids: list[int]) -> tuple[str, bytes]:
+    """The ids as text and the bytes that they decode to."""
+    return " ".join(map(str, ids)), encoder.decode(ids)
 
 
-def _workers(raw: bytes) -> tuple[Splitter, Memory]:
-    """What a Python worker keeps between batches."""
-    if _KEPT.get("raw") != raw:
-        _KEPT.update(raw=raw, splitter=Splitter(), memory=Memory(PrefixEncoder(read_ranks(raw))))
+def _workers(raw: bytes, made: Callable) -> tuple[Splitter, Memory]:
+    """What a Python worker keeps between batches: one vocabulary and one kind of memory."""
+    if _KEPT.get("for") != (raw, made.__name__):
+        _KEPT.clear()
+        _KEPT.update({"for": (raw, made.__name__), "splitter": Splitter(), "memory": Memory(PrefixEncoder(read_ranks(raw)), made)})
     return _KEPT["splitter"], _KEPT["memory"]
 
 
@@ -187,53 +204,67 @@ def _vocabulary(df: DataFrame, path: str | None):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, TOGETHER):
+            yield batch.slice(a, TOGETHER)
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs with ``ids`` (array of int), the encoding of each whole text; a null text counts as empty and has none.
 
-    No special tokens are added or recognised. Repeated rows are encoded alike. A column of docs named ids is replaced.
+    No special tokens are added or recognised. Repeated rows are encoded alike. All other columns stay as they are, nulls and doc_ids of any type
+    included; a column of docs named ids is replaced. Ids are handed on TOGETHER documents at a time.
     """
     vocabulary, docs = _vocabulary(docs, path), docs.drop("ids")
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        splitter, memory = _workers(vocabulary.value)
-        for batch in batches:
-            ids = [[*map(int, " ".join(memory.of(splitter(text or ""))[0]).split())] for text in batch["text"]]
-            yield batch.assign(ids=ids)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter, memory = _workers(vocabulary.value, packed)
+        for batch in _slices(batches):
+            ids = [b"".join(memory.of(splitter(text or ""))) for text in batch.column("text").to_pylist()]
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+            flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), flat)], names=[*batch.schema.names, "ids"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInPandas(encode, f"{schema}, ids array<int>")
+    return docs.mapInArrow(encode, f"{schema}, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """encoded(doc_id, ids) as doc_id and ``decoded`` (binary); null ids give no bytes."""
+    """encoded(doc_id, ids) as doc_id (of any type, or null) and ``decoded`` (binary); null ids give no bytes."""
     vocabulary = _vocabulary(encoded, path)
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _workers(vocabulary.value)[1].encoder
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "decoded": [encoder.decode([] if ids is None else list(ids)) for ids in batch["ids"]]})
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _workers(vocabulary.value, packed)[1].encoder
+        for batch in _slices(batches):
+            decoded = [encoder.decode(ids or []) for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(decoded, pa.binary())], names=["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInPandas(decode, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(decode, f"doc_id {_kind(encoded, 'doc_id')}, decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each whole text: encoding and decoding in one pass over the text.
 
-    A null text counts as empty; repeated rows give the same digests.
+    A null text counts as empty; a doc_id of any type, or null, stays as it is; repeated rows give the same digests.
     """
     vocabulary = _vocabulary(docs, path)
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        splitter, memory = _workers(vocabulary.value)
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                ids, decoded = memory.of(splitter(text or ""))
-                joined = " ".join(ids)
-                rows.append((joined.count(" ") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter, memory = _workers(vocabulary.value, written)
+        for batch in _slices(batches):
+            n, ids, decoded = [], [], []
+            for text in batch.column("text").to_pylist():
+                found = memory.of(splitter(text or ""))
+                joined = " ".join([x for x, _ in found])
+                n.append(joined.count(" ") + 1 if joined else 0)
+                ids.append(hashlib.sha256(joined.encode()).hexdigest())
+                decoded.append(hashlib.sha256(b"".join([x for _, x in found])).hexdigest())
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(digest, f"doc_id {_kind(docs, 'doc_id')}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -280,3 +280,12 @@ def test_bpe(docs, nothing):
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids[i])).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256((TEXTS[i] or "").encode()).hexdigest()
     assert rows_of(bpe.round_trip(nothing)) == [] and json.dumps(ids[0]) == "[]"
+
+
+def test_bpe_keeps_large_and_null_ids(spark):
+    large = (1 << 60) + 1
+    docs = spark.createDataFrame([(large, "some text"), (None, "other"), (None, None)], "doc_id long, text string").coalesce(1)
+    for made in (bpe.round_trip(docs), bpe.encode_documents(docs), bpe.decode_documents(bpe.encode_documents(docs))):
+        assert Counter(r["doc_id"] for r in rows_of(made)) == Counter([large, None, None])
+    named = bpe.encode_documents(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.lit("x").alias("ids"), F.array(F.lit(1)).alias("_n")))
+    assert {r["doc_id"] for r in rows_of(named)} == {str(large), None} and named.columns == ["doc_id", "text", "_n", "ids"]
