@@ -5,12 +5,15 @@ follows from the smaller size and the threshold. Sizes are banded; a band cuts t
 sets agree on all shingles of a whole segment. The classes that agree on a segment of a band form a tile. A class belongs to the tiles of its own
 band and of those bands below that a partner may be in.
 
+Classes that share a tile with another one get a row each in a table of classes: size, parity bitmap and sorted set. It is made once, from one document
+of each class, and all comparisons read it.
+
 1. Every class is compared with the smallest one that it shares a tile with, which already joins most copies.
 2. Tiles whose classes are then still in several components compare the classes of different components. The xor of two parity bitmaps (each
    shingle flips one bit) has at most as many bits as the sets differ in, so its bit count bounds the overlap from above; only pairs that pass go
    on to the exact intersection of the sorted arrays. Tiles of more than TILE classes are compared block against block in tasks of their own.
-   First, for some rounds, every class names only its nearest partner in another component, in its largest tiles: each round joins what belongs
-   together with one pair for each class. Then all pairs of the tiles that are still open are named, so that no link is lost.
+   In the first rounds every class names only its nearest partner in another component, in its largest tiles: each round joins what belongs
+   together with one pair for each class. When a round joins few, all pairs of the tiles that are still open are named, so that no link is lost.
 
 Pairs inside a component are left out in step 2: they cannot change what is reachable.
 """
@@ -21,21 +24,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repograph.llm.common import checkpointed
+from repograph.llm.common import checkpointed, shuffle_partitions
 from repograph.llm.components import connected_components
 from repograph.llm.hashing import U64, mix, shingle_sets
 
 #: Sizes in a band differ by this factor at most.
 BAND = 1.5
-#: Classes of a tile that one task compares at once.
-TILE = 2048
-#: Rounds in which a class names one partner, in so many of its tiles.
-ROUNDS, LARGEST_TILES = 3, 2
+#: Classes of a tile that are compared with one another or with so many others at once.
+TILE = 512
+#: Classes of tiles that are compared together, about, and of a tile from which on it is compared by itself.
+TOGETHER, LARGE = 1 << 15, 48
+#: Rounds in which a class names one partner, in so many of its tiles, go on while one joins at least this part of the classes.
+LARGEST_TILES, JOINED = 2, 0.1
 #: Bits of a bitmap: at least these, and so many for each shingle that two linked sets may differ in, so that few flips fall together.
 LEAST_BITS, BITS_PER_DIFFERENCE = 256, 16
 #: Classes of which the texts are picked by a broadcast of their ids (16 bytes each); more are joined by a shuffle.
@@ -84,9 +90,14 @@ def segment_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
 
 
-def fingerprint(shingles: np.ndarray) -> int:
-    """One number for a set: classes are told apart by it and by the size."""
-    return int(np.add.reduce(mix(shingles ^ U64(0xD6E8FEB86659FD93)), dtype=np.uint64).view(np.int64)) if len(shingles) else 0
+def fingerprint(shingles: np.ndarray, shared: frozenset[int] = frozenset()) -> tuple[int, int]:
+    """Two numbers for a set, 128 bits together. The first names its class, unless it is one of those that different sets share (see twice_used)."""
+    if not len(shingles):
+        return 0, 0
+    first, second = (int(np.add.reduce(mix(shingles ^ U64(x)), dtype=np.uint64).view(np.int64)) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+    if first in shared:
+        first = int(mix(np.array([first ^ second], dtype=np.int64).view(np.uint64)).view(np.int64)[0])
+    return first, second
 
 
 def parity_bitmap(shingles: np.ndarray, percent: int) -> bytes:
@@ -102,8 +113,17 @@ def bound_on_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _texts(batch: pd.DataFrame) -> list[bytes]:
-    return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in batch["text"]]
+def _slices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """A few hundred documents at a time with their sets."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
+            texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
+            yield part, list(shingle_sets(texts, width))
+
+
+def _made(**columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
 
 
 def key_of() -> Column:
@@ -112,36 +132,36 @@ def key_of() -> Column:
 
 
 def classes_of(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, key (see key_of), n_shingles and class of each document."""
+    """doc_id, key (see key_of), n_shingles, class and check (both halves of the fingerprint) of each document."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = pd.DataFrame([(len(s), fingerprint(s)) for s in shingle_sets(_texts(batch), width)], columns=["n_shingles", "class"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            out.insert(1, "key", batch["key"].to_numpy())
-            yield out
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in _slices(batches, width):
+            names = np.array([fingerprint(s) for s in sets], dtype=np.int64).reshape(-1, 2)
+            yield _made(doc_id=part.column("doc_id"), key=part.column("key"), n_shingles=pa.array([len(s) for s in sets], pa.int64()), **{"class": pa.array(names[:, 0]), "check": pa.array(names[:, 1])})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", key_of().alias("key"), "text").mapInPandas(each, f"doc_id {kind}, key long, n_shingles long, class long")
+    return docs.select("doc_id", key_of().alias("key"), "text").mapInArrow(each, f"doc_id {kind}, key long, n_shingles long, class long, check long")
+
 
+def twice_used(classes: DataFrame) -> frozenset[int]:
+    """The first halves that different sets share: N**2 / 2**65 of N classes are expected, so none below a billion and 300 of 10**11."""
+    by_half = classes.groupBy("class").agg(F.min("check").alias("_low"), F.max("check").alias("_high"))
+    return frozenset(r["class"] for r in by_half.where("_low <> _high").select("class").toLocalIterator())
 
-def tiles_of(docs: DataFrame, width: int, percent: int, marked: Broadcast | None = None) -> DataFrame:
+
+def tiles_of(docs: DataFrame, width: int, percent: int, shared: frozenset[int] = frozenset(), marked: Broadcast | None = None) -> DataFrame:
     """class and tile, one row for each tile of each document; with ``marked`` (see marks) only tiles that are marked."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if marked is None else np.frombuffer(marked.value, dtype=np.uint8)
-        for batch in batches:
-            classes, tiles = [], []
-            for shingles in shingle_sets(_texts(batch), width):
-                keys = segment_keys(shingles, percent)
-                if bits is not None:
-                    at = keys & (MARKS - 1)
-                    keys = keys[bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1]
-                classes.append(np.full(len(keys), fingerprint(shingles), dtype=np.int64))
-                tiles.append(keys)
-            yield pd.DataFrame({"class": np.concatenate(classes), "tile": np.concatenate(tiles)})
+        for _, sets in _slices(batches, width):
+            tiles = [segment_keys(s, percent) for s in sets]
+            if bits is not None:
+                tiles = [keys[bits[(at := keys & (MARKS - 1)) >> 3] >> (at & 7).astype(np.uint8) & 1 == 1] for keys in tiles]
+            names = np.array([fingerprint(s, shared)[0] if len(keys) else 0 for s, keys in zip(sets, tiles, strict=True)], dtype=np.int64)
+            yield _made(**{"class": pa.array(np.repeat(names, [len(keys) for keys in tiles])), "tile": pa.array(np.concatenate(tiles))})
 
-    return docs.select("text").mapInPandas(each, "class long, tile long")
+    return docs.select("text").mapInArrow(each, "class long, tile long")
 
 
 def tiles_of_several(tiles: DataFrame) -> DataFrame:
@@ -160,17 +180,16 @@ def marks(tiles: DataFrame) -> Broadcast:
     return tiles.sparkSession.sparkContext.broadcast(bytes(out))
 
 
-def sets_of(docs: DataFrame, width: int, percent: int, arrays: bool) -> DataFrame:
-    """class, n and, by ``arrays``, the sorted set or else its bitmap, of the rows of docs(class, text) whose text is of the class."""
+def table_of(docs: DataFrame, width: int, percent: int, shared: frozenset[int]) -> DataFrame:
+    """class, n, bitmap and shingles (the sorted set) of the rows of docs(class, text) whose text is of the class."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(c, len(s), s.view(np.int64) if arrays else parity_bitmap(s, percent)) for c, s in zip(batch["class"], shingle_sets(_texts(batch), width), strict=True) if fingerprint(s) == c]
-            yield pd.DataFrame(rows, columns=["class", "n", "held"])
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in _slices(batches, width):
+            rows = [(c, len(s), parity_bitmap(s, percent), s.tobytes()) for c, s in zip(part.column("class").to_pylist(), sets, strict=True) if fingerprint(s, shared)[0] == c]
+            columns = [*zip(*rows, strict=True)] or [(), (), (), ()]
+            yield _made(**{"class": pa.array(columns[0], pa.int64()), "n": pa.array(columns[1], pa.int64()), "bitmap": pa.array(columns[2], pa.binary()), "shingles": pa.array(columns[3], pa.binary())})
 
-    # A set is sorted as unsigned numbers; the same on both sides of every comparison.
-    made = docs.select("class", "text").mapInPandas(each, f"class long, n long, held {'array<long>' if arrays else 'binary'}")
-    return made.withColumnRenamed("held", "shingles" if arrays else "bitmap")
+    return docs.select("class", "text").mapInArrow(each, "class long, n long, bitmap binary, shingles binary")
 
 
 def sent(df: DataFrame) -> DataFrame:
@@ -185,81 +204,148 @@ def differing_bits(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.LongType())
-def shared(a: pd.Series, b: pd.Series) -> pd.Series:
+def in_both(a: pd.Series, b: pd.Series) -> pd.Series:
     """Size of the intersection of two sorted arrays of unsigned numbers."""
 
-    def one(x: np.ndarray, y: np.ndarray) -> int:
-        x, y = x.view(np.uint64), y.view(np.uint64)
+    def one(x: bytes, y: bytes) -> int:
+        x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
         at = np.searchsorted(y, x)
         return int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)) if len(y) else 0
 
-    return pd.Series([one(np.ascontiguousarray(x), np.ascontiguousarray(y)) for x, y in zip(a, b, strict=True)], dtype="int64")
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def plausible(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) of classes that sizes and bitmaps do not rule out."""
-    of = lambda side: bitmaps.select(F.col("class").alias(side), F.col("n").alias(f"{side}_n"), F.col("bitmap").alias(f"{side}_bits"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-    sizes, differing = F.col("a_n") + F.col("b_n"), differing_bits("a_bits", "b_bits")
-    return both.withColumn("_d", differing).where(100 * (sizes - F.col("_d")) >= percent * (sizes + F.col("_d"))).select("a", "b")
+def _sides(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """pairs(a, b) with n and the column of both classes; only rows of the table that pairs name are moved."""
+    named = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    picked = table.select("class", "n", column).join(sent(checkpointed(named)), "class")
+    of = lambda side: picked.select(F.col("class").alias(side), F.col("n").alias(f"{side}_n"), F.col(column).alias(f"{side}_{column}"))
+    return of("a").join(sent(pairs), "a").join(of("b"), "b")
+
 
+def plausible(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) of classes that sizes and bitmaps do not rule out."""
+    both = _sides(pairs, table, "bitmap").where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+    sizes = F.col("a_n") + F.col("b_n")
+    both = both.withColumn("_d", differing_bits("a_bitmap", "b_bitmap"))
+    return both.where(100 * (sizes - F.col("_d")) >= percent * (sizes + F.col("_d"))).select("a", "b")
 
-def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs(a, b) of classes that link; firsts(class, key) names a document of each class.
 
-    Arrays are made again from the texts of the classes that pairs name, and no others are moved.
-    """
+def verified(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) of classes that link, by the exact intersection of their sets."""
     pairs = checkpointed(pairs)
     if pairs.isEmpty():
         return pairs
-    named = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    picked = checkpointed(firsts.join(named, "class"))
-    sets = checkpointed(sets_of(docs.select(key_of().alias("key"), "text").join(sent(picked), "key"), width, percent, arrays=True))
-    if sets.count() > picked.count():
-        # Only where whole rows repeat.
-        sets = checkpointed(sets.dropDuplicates(["class"]))
-    of = lambda side: sets.select(F.col("class").alias(side), F.col("n").alias(f"{side}_n"), F.col("shingles").alias(f"{side}_shingles"))
-    both = of("a").join(sent(pairs), "a").join(of("b"), "b").withColumn("_shared", shared("a_shingles", "b_shingles"))
-    return checkpointed(both.where(100 * F.col("_shared") >= percent * (F.col("a_n") + F.col("b_n") - F.col("_shared"))).select("a", "b").distinct())
+    both = _sides(pairs, table, "shingles").withColumn("_both", in_both("a_shingles", "b_shingles"))
+    return checkpointed(both.where(100 * F.col("_both") >= percent * (F.col("a_n") + F.col("b_n") - F.col("_both"))).select("a", "b").distinct())
 
 
-def _folded(bitmaps: list[bytes]) -> np.ndarray:
+def _folded(bitmaps: list[bytes], shortest: int | None = None) -> np.ndarray:
     """Bitmaps of several lengths as rows of the shortest: halves are joined by xor, which keeps the bound."""
-    shortest = min(map(len, bitmaps))
+    shortest = shortest or min(map(len, bitmaps))
     rows = np.empty((len(bitmaps), shortest), dtype=np.uint8)
     for i, raw in enumerate(bitmaps):
         row = np.frombuffer(raw, dtype=np.uint8)
-        rows[i] = np.bitwise_xor.reduce(row.reshape(-1, shortest), axis=0)
+        rows[i] = row if len(row) == shortest else np.bitwise_xor.reduce(row.reshape(-1, shortest), axis=0)
     return rows.view(np.uint64)
 
 
-def compared(tile: pd.DataFrame, percent: int, nearest: bool) -> pd.DataFrame:
-    """The pairs of classes of different components (and, if there are two blocks, of different blocks) that may link.
+class Compared:
+    """Classes of one or more groups (a tile, or two blocks of one), given as columns."""
 
-    With ``nearest`` only the pair with the fewest differing bits for each class.
-    """
-    tile = tile.drop_duplicates("class")
-    bits, n, part, name = _folded([*tile["bitmap"]]), tile["n"].to_numpy(), tile["component"].to_numpy(), tile["class"].to_numpy()
-    side = tile["side"].to_numpy()
-    apart = side.min() != side.max()
-    found = [np.zeros((0, 2), dtype=np.int64)]
-    for i in range(len(tile)):
-        first = 0 if nearest else i + 1
-        other = (part[first:] != part[i]) & (100 * np.minimum(n[i], n[first:]) >= percent * np.maximum(n[i], n[first:]))
-        if apart:
-            other &= side[first:] != side[i]
-        j = np.flatnonzero(other) + first
-        # 100 * shared >= percent * union, with union = shared + difference and 2 * shared = sizes - difference.
-        differing = bound_on_difference(bits[i], bits[j])
-        passed = 100 * (n[i] + n[j] - differing) >= percent * (n[i] + n[j] + differing)
-        j, differing = j[passed], differing[passed]
-        if nearest and len(j):
-            j = j[[np.argmin(differing)]]
-        found.append(np.column_stack([np.minimum(name[i], name[j]), np.maximum(name[i], name[j])]))
-    return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+    def __init__(self, group: np.ndarray, name: np.ndarray, component: np.ndarray, n: np.ndarray, side: np.ndarray, bitmap: list[bytes], percent: int):
+        self.group, self.name, self.component, self.n, self.side, self.bitmap, self.percent = group, name, component, n, side, bitmap, percent
+        self.apart = np.minimum.reduceat(side, starts := np.flatnonzero(np.r_[True, np.diff(group) != 0])) != np.maximum.reduceat(side, starts)
+        self.starts, self.ends = starts, np.r_[starts[1:], len(group)]
 
+    def _meet(self, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs i, j that are in different components (and blocks, if apart) and of which the sizes allow a link."""
+        low, high = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+        wanted = (self.component[i] != self.component[j]) & (100 * low >= self.percent * high) & (~apart | (self.side[i] != self.side[j]))
+        return i[wanted], j[wanted]
 
-def candidates(members: DataFrame, components: DataFrame, sets: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    def _pass(self, i: np.ndarray, j: np.ndarray, differing: np.ndarray) -> np.ndarray:
+        # 100 * shared >= percent * union, with union = shared + difference and 2 * shared = sizes - difference.
+        sizes = self.n[i] + self.n[j]
+        return 100 * (sizes - differing) >= self.percent * (sizes + differing)
+
+    def _small(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of groups below LARGE, by their distance in the order of rows."""
+        sizes = self.ends - self.starts
+        rows = np.flatnonzero(np.repeat(sizes <= LARGE, sizes))
+        end, apart = np.repeat(self.ends, sizes)[rows], np.repeat(self.apart, sizes)[rows]
+        length = np.array([len(b) for b in self.bitmap])
+        for lag in range(1, LARGE):
+            near = rows + lag < end
+            rows, end, apart = rows[near], end[near], apart[near]
+            if not len(rows):
+                break
+            i, j = self._meet(rows, rows + lag, apart)
+            shortest = np.minimum(length[i], length[j])
+            for size in np.unique(shortest):
+                a, b = i[shortest == size], j[shortest == size]
+                used, at = np.unique(np.r_[a, b], return_inverse=True)
+                bits = _folded([self.bitmap[r] for r in used], int(size))
+                differing = bound_on_difference(bits[at[: len(a)]], bits[at[len(a) :]])
+                yield a, b, differing
+
+    def _large(self, start: int, end: int, apart: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        bits = _folded(self.bitmap[start:end])
+        for i in range(start, end - 1):
+            a, b = self._meet(np.full(end - i - 1, i), np.arange(i + 1, end), np.bool_(apart))
+            if len(b):
+                yield a, b, bound_on_difference(bits[i - start], bits[b - start])
+
+    def pairs(self, nearest: bool) -> np.ndarray:
+        """Rows of two classes that may link; with ``nearest`` only the one with the fewest differing bits for each class and group."""
+        found = [self._small()] + [self._large(s, e, a) for s, e, a in zip(self.starts, self.ends, self.apart, strict=True) if e - s > LARGE]
+        kept = []
+        for some in found:
+            for i, j, differing in some:
+                passed = self._pass(i, j, differing)
+                if passed.any():
+                    kept.append(np.column_stack([i[passed], j[passed], differing[passed]]))
+        if not kept:
+            return np.zeros((0, 2), dtype=np.int64)
+        i, j, differing = np.concatenate(kept).T
+        if nearest:
+            own, other, d = np.r_[i, j], np.r_[j, i], np.r_[differing, differing]
+            order = np.lexsort((self.name[other], d, own))
+            first = order[np.flatnonzero(np.r_[True, np.diff(own[order]) != 0])]
+            i, j = own[first], other[first]
+        a, b = self.name[i], self.name[j]
+        return np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+
+
+def _compared(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole groups, TOGETHER rows or one group at a time; rows come in the order of tile, _i and _j."""
+    columns = ("tile", "_i", "_j", "class", "component", "n", "side")
+
+    def made(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        tile, i, j, name, component, n, side = (table.column(c).to_numpy() for c in columns)
+        group = np.cumsum(np.r_[0, (np.diff(tile) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)])
+        pairs = Compared(group, name, component, n, side, table.column("bitmap").to_pylist(), percent).pairs(nearest)
+        return _made(a=pa.array(pairs[:, 0]), b=pa.array(pairs[:, 1]))
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= TOGETHER:
+            last = [c.to_numpy(zero_copy_only=False) for c in (batch.column(x) for x in columns[:3])]
+            same = np.logical_and.reduce([c == c[-1] for c in last])
+            cut = batch.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+            if cut:
+                held[-1] = batch.slice(0, cut)
+                yield made(held)
+                held = [batch.slice(cut)]
+    if held:
+        yield made(held)
+
+
+def candidates(members: DataFrame, components: DataFrame, table: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs(a, b) of tiles(tile, class) whose classes are in several components."""
     placed = members.join(components, F.col("class") == F.col("node"), "left").select("tile", "class", F.coalesce("component", "class").alias("component"))
     tiles = placed.groupBy("tile").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("_who"))
@@ -273,8 +359,10 @@ def candidates(members: DataFrame, components: DataFrame, sets: DataFrame, perce
     # A class meets every block of its tile once: in the task (i, j) with i <= j.
     open_ = open_.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     open_ = open_.select("tile", "class", "component", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), F.col("_own").alias("side"))
-    known = open_.join(sets.select("class", "n", "bitmap"), "class")
-    return known.groupBy("tile", "_i", "_j").applyInPandas(lambda tile: compared(tile, percent, nearest), "a long, b long").distinct()
+    known = open_.join(table.select("class", "n", "bitmap"), "class").select("tile", "_i", "_j", "class", "component", "n", "side", "bitmap")
+    # Dealt out by count and not by bytes: the work goes with pairs.
+    dealt = known.repartition(shuffle_partitions(members.sparkSession), "tile", "_i", "_j").sortWithinPartitions("tile", "_i", "_j")
+    return dealt.mapInArrow(lambda batches: _compared(batches, percent, nearest), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -290,22 +378,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, key, n_shingles, component (a class; null without words) and its smallest doc_id as component_id for each row of docs."""
     each = checkpointed(classes_of(docs, width))
-    classes = each.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"))
-    shared_tiles = checkpointed(tiles_of_several(tiles_of(docs, width, percent)))
-    rows = tiles_of(docs, width, percent, marks(shared_tiles))
-    members = checkpointed(rows.join(shared_tiles, "tile").select("tile", "class").distinct())
-
-    firsts = checkpointed(members.select("class").distinct().join(classes, "class").select("class", "key"))
-    bitmaps = checkpointed(sets_of(docs.select(key_of().alias("key"), "text").join(sent(firsts), "key"), width, percent, arrays=False).dropDuplicates(["class"]))
+    with_words = each.where("n_shingles > 0")
+    shared = twice_used(with_words)
+    if shared:
+        # As in fingerprint; the value of the new name is of no matter, but it must be the same.
+        renamed = F.udf(lambda a, b: int(mix(np.array([a ^ b], dtype=np.int64).view(np.uint64)).view(np.int64)[0]), T.LongType())
+        each = each.withColumn("class", F.when(F.col("class").isin(*shared), renamed("class", "check")).otherwise(F.col("class")))
+        with_words = each.where("n_shingles > 0")
+    classes = with_words.groupBy("class").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"))
+    several = checkpointed(tiles_of_several(tiles_of(docs, width, percent, shared)))
+    rows = tiles_of(docs, width, percent, shared, marks(several))
+    members = checkpointed(rows.join(several, "tile").select("tile", "class").distinct())
+
+    # One document of each class; a copy of it (an equal row) gives the same row of the table.
+    picked = checkpointed(members.select("class").distinct().join(classes, "class").select("class", "key"))
+    table = checkpointed(table_of(docs.select(key_of().alias("key"), "text").join(sent(picked), "key"), width, percent, shared))
+    if table.count() > picked.count():
+        table = checkpointed(table.dropDuplicates(["class"]))
     least = members.groupBy("tile").agg(F.min("class").alias("_least"))
     stars = members.join(least, "tile").groupBy("class").agg(F.min("_least").alias("_least")).where("class <> _least").select(F.col("_least").alias("a"), F.col("class").alias("b"))
-    links = verified(plausible(stars, bitmaps, percent), docs, firsts, width, percent)
+    links = verified(plausible(checkpointed(stars), table, percent), table, percent)
     components = checkpointed(connected_components(links))
-    for nearest in (*[True] * ROUNDS, False):
-        more = verified(candidates(members, components, bitmaps, percent, nearest), docs, firsts, width, percent)
-        if not more.isEmpty():
+    n_classes, nearest = picked.count(), True
+    while True:
+        more = verified(candidates(members, components, table, percent, nearest), table, percent)
+        joined = more.count()
+        if joined:
             links = links.union(more)
             components = checkpointed(connected_components(links))
+        if not nearest:
+            break
+        nearest = joined > JOINED * n_classes
 
     named = classes.join(components, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("component", "class").alias("component"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -317,7 +420,7 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group of near copies, that with the smallest doc_id; documents without words all stay.
 
-    Null doc_ids come last. Of texts of a group with the same doc_id that with the smallest key stays.
+    Null doc_ids come last. Of texts of a group with the same doc_id that with the smallest key stays. Columns may have any name.
     """
     each = checkpointed(_grouped(docs, width, percent))
     # The smallest doc_id is null only if all of the group are.
@@ -326,9 +429,10 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     kept = least.groupBy("component").agg(F.min("doc_id").alias("_id"), F.min("key").alias("_key"), F.min_by("_n", "key").alias("_n")).select("_id", "_key", "_n", F.lit(1).alias("_size"))
     bare = each.where("n_shingles = 0").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("_n"))
     kept = checkpointed(kept.union(bare.select("_id", "_key", "_n", F.lit(0))))
-    out = docs.withColumn("_own", key_of()).join(kept, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = docs.select(F.struct("*").alias("_row"), key_of().alias("_own"))
+    out = rows.join(kept, (F.col("_own") == F.col("_key")) & F.col("_row.doc_id").eqNullSafe(F.col("_id")))
     if kept.where("_n > 1 and _size > 0").limit(1).count():
         # Only where rows repeat: one of each stays, but for those without words.
         alone = out.where("_n = 1 or _size = 0")
         out = alone.unionByName(out.where("_n > 1 and _size > 0").dropDuplicates(["_id", "_key"]))
-    return out.select(*docs.columns)
+    return out.select("_row.*")

@@ -76,6 +76,17 @@ class WordEncoder(dict):
         return found
 
 
+def _worker(vocabulary: str) -> WordEncoder:
+    """The encoder that a Python worker keeps from task to task."""
+    if _KEPT.get("for") != vocabulary:
+        _KEPT.clear()
+        _KEPT.update({"for": vocabulary, "encoder": WordEncoder(vocabulary)})
+    return _KEPT["encoder"]
+
+
+_KEPT: dict = {}
+
+
 def _vocabulary(spark: SparkSession, path: str | None):
     with open(path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         # One file of a fixed size, under 2 MB.
@@ -92,7 +103,7 @@ def encoded_blocks(docs: DataFrame, tokenizer: str | None = None, end: int = END
     schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("skipped", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("coded", pa.binary())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = WordEncoder(vocabulary.value), TaskContext.get().partitionId()
+        encoder, part = _worker(vocabulary.value), TaskContext.get().partitionId()
         ready: list[tuple[list, list[int], list[np.ndarray], int]] = []
         names, skipped, ids, held, before, block = [], [], [], 0, 0, 0
         stop = np.array([end], dtype="<u2").tobytes()

@@ -289,3 +289,49 @@ def test_bpe_keeps_large_and_null_ids(spark):
         assert Counter(r["doc_id"] for r in rows_of(made)) == Counter([large, None, None])
     named = bpe.encode_documents(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.lit("x").alias("ids"), F.array(F.lit(1)).alias("_n")))
     assert {r["doc_id"] for r in rows_of(named)} == {str(large), None} and named.columns == ["doc_id", "text", "_n", "ids"]
+
+
+def test_compared_pairs_equal_all_pairs(monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(jaccard, "LARGE", 9)
+    rows = []
+    for tile, size in enumerate((2, 3, 8, 9, 14, 30)):
+        base = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+        for k in range(size):
+            s = np.delete(base, rng.integers(0, len(base), rng.integers(0, 60)))
+            s = s[: rng.choice([len(s), 40])]
+            rows.append((tile, 100 * tile + k, int(rng.integers(0, 4)), len(s), int(rng.integers(0, 2)), jaccard.parity_bitmap(s, 80)))
+    tile, name, component, n, side, bitmap = zip(*rows, strict=True)
+    compared = jaccard.Compared(*(np.array(x) for x in (tile, name, component, n, side)), list(bitmap), 80)
+    expected = set()
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            one_block = len({r[4] for r in rows if r[0] == a[0]}) == 1
+            if a[0] == b[0] and a[2] != b[2] and (one_block or a[4] != b[4]):
+                d = jaccard.bound_on_difference(*jaccard._folded([a[5], b[5]]))
+                if 100 * min(a[3], b[3]) >= 80 * max(a[3], b[3]) and 100 * (a[3] + b[3] - d) >= 80 * (a[3] + b[3] + d):
+                    expected.add((a[1], b[1]))
+    # Bitmaps of a large tile are folded to its shortest, so that more pairs may pass, but none is lost.
+    found = set(map(tuple, compared.pairs(False).tolist()))
+    assert expected <= found and {p for p in found if p[0] < 300} == {p for p in expected if p[0] < 300}
+    assert {x for p in compared.pairs(True).tolist() for x in p} == {x for p in found for x in p}
+
+
+def test_names_of_classes_that_share_a_half():
+    a, b = np.array([1, 2, 3], dtype=np.uint64), np.array([1, 2, 4], dtype=np.uint64)
+    first, second = jaccard.fingerprint(a)
+    assert jaccard.fingerprint(a, frozenset([first])) != (first, second) and jaccard.fingerprint(a, frozenset([first]))[1] == second
+    assert jaccard.fingerprint(b, frozenset([first])) == jaccard.fingerprint(b)
+
+
+def test_keep_one_with_any_columns(spark):
+    text = " ".join(f"a{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, 5, 6), (2, text + " tail", 7, 8), (3, None, 9, 9)], "doc_id long, text string, _n int, _key int")
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == [(1, text, 5, 6), (3, None, 9, 9)]
+
+
+def test_near_duplicates_with_large_ids(spark):
+    large = (1 << 60) + 1
+    docs = spark.createDataFrame([(large, "a b c d e f"), (None, "a b c d e f"), (large + 2, "z y x")], "doc_id long, text string").coalesce(1)
+    assert Counter((r["doc_id"], r["component_id"]) for r in rows_of(jaccard.near_duplicates(docs))) == Counter([(large, large), (None, large), (large + 2, large + 2)])
