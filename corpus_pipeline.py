@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repograph.llm import bpe, jaccard, mixing, quality, suffixes
-from repograph.llm.common import read
-from repograph.llm.tokenfiles import shared_path
+from repograph.llm.common import read, shared_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,10 +21,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Pieces that a task remembers, about; a second table of this size holds those from before. Longer pieces than LONGEST are not remembered.
-REMEMBERED, LONGEST = 300_000, 64
-#: Pairs of tokens of which a task remembers whether they stay apart.
-PAIRS = 500_000
+#: Pieces that a Python worker remembers, about; a second table of this size holds those from before. Longer pieces than LONGEST are not remembered.
+#: The fewer are for encode_documents, beside which a worker hands on whole rows.
+REMEMBERED, FEWER, LONGEST = 300_000, 100_000, 64
+#: Pairs of tokens, for each piece remembered, of which a worker remembers whether they stay apart.
+PAIRS = 2
 #: Documents that are encoded and handed on together.
 TOGETHER = 128
 SHIFT = 24
@@ -37,8 +38,8 @@ LATIN_SPACE = "\t-\r \u0085 "
 class PrefixEncoder:
     """Encodes pieces of bytes by ranks (bytes of a token to its id; a smaller id merges first)."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pairs: int = PAIRS * REMEMBERED):
+        self.ranks, self.pairs = ranks, pairs
         self.bytes = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
         self._halves: dict[int, tuple[int, int]] = {}
@@ -61,7 +62,7 @@ class PrefixEncoder:
     def valid(self, left: int, right: int) -> bool:
         """Whether the bytes of the two tokens are encoded as these two tokens."""
         if (known := self._valid.get(left << SHIFT | right)) is None:
-            if len(self._valid) > PAIRS:
+            if len(self._valid) > self.pairs:
                 self._valid.clear()
             known = self._valid[left << SHIFT | right] = self._stays_apart(left, right)
         return known
@@ -159,9 +160,9 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
 class Memory(dict):
     """Pieces with what ``made`` makes of their ids, in two generations of bounded size."""
 
-    def __init__(self, encoder: PrefixEncoder, made: Callable):
+    def __init__(self, encoder: PrefixEncoder, made: Callable, size: int):
         super().__init__()
-        self.encoder, self.made, self.old = encoder, made, {}
+        self.encoder, self.made, self.size, self.old = encoder, made, size, {}
 
     def __missing__(self, piece: str):
         if (found := self.old.get(piece)) is None:
@@ -172,7 +173,7 @@ class Memory(dict):
 
     def of(self, pieces: list[str]) -> list:
         found = [*map(self.__getitem__, pieces)]
-        if len(self) > REMEMBERED:
+        if len(self) > self.size:
             self.old = dict(self)
             self.clear()
         return found
@@ -187,11 +188,11 @@ def written(encoder: PrefixEncoder, ids: list[int]) -> tuple[str, bytes]:
     return " ".join(map(str, ids)), encoder.decode(ids)
 
 
-def _workers(raw: bytes, made: Callable) -> tuple[Splitter, Memory]:
+def _workers(raw: bytes, made: Callable, size: int) -> tuple[Splitter, Memory]:
     """What a Python worker keeps between batches: one vocabulary and one kind of memory."""
     if _KEPT.get("for") != (raw, made.__name__):
         _KEPT.clear()
-        _KEPT.update({"for": (raw, made.__name__), "splitter": Splitter(), "memory": Memory(PrefixEncoder(read_ranks(raw)), made)})
+        _KEPT.update({"for": (raw, made.__name__), "splitter": Splitter(), "memory": Memory(PrefixEncoder(read_ranks(raw), PAIRS * size), made, size)})
     return _KEPT["splitter"], _KEPT["memory"]
 
 
@@ -223,7 +224,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     vocabulary, docs = _vocabulary(docs, path), docs.drop("ids")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, memory = _workers(vocabulary.value, packed)
+        splitter, memory = _workers(vocabulary.value, packed, FEWER)
         for batch in _slices(batches):
             ids = [b"".join(memory.of(splitter(text or ""))) for text in batch.column("text").to_pylist()]
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
@@ -239,7 +240,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     vocabulary = _vocabulary(encoded, path)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _workers(vocabulary.value, packed)[1].encoder
+        encoder = _workers(vocabulary.value, packed, FEWER)[1].encoder
         for batch in _slices(batches):
             decoded = [encoder.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(decoded, pa.binary())], names=["doc_id", "decoded"])
@@ -255,7 +256,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     vocabulary = _vocabulary(docs, path)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, memory = _workers(vocabulary.value, written)
+        splitter, memory = _workers(vocabulary.value, written, REMEMBERED)
         for batch in _slices(batches):
             n, ids, decoded = [], [], []
             for text in batch.column("text").to_pylist():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repograph.llm.common import checkpointed
+from repograph.llm.common import checkpointed, settled, sized
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -13,20 +13,22 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Alternates two steps until nothing changes: every node hands its larger neighbours its smallest one (large star), then its smaller
     neighbours and itself (small star). The number of rounds grows with the logarithm of the longest path; each is written and re-read, and all
-    sums are made per task first, so that one node with very many links is no burden.
+    sums are made per task first, so that one node with very many links is no burden. Edges are held in partitions of a fixed size.
     """
-    edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges, n = settled(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+        both = edges.select(ways).select("e.a", "e.b")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = checkpointed(moved.union(least.select("a", F.col("m").alias("b"))).distinct())
+        # There are never more edges than before.
+        edges = sized(checkpointed(sized(moved.union(least.select("a", F.col("m").alias("b"))), n).distinct()), n)
         now = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
         if now == state:
             break
         state = now
-    roots = edges.select(F.col("b").alias("node")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("component")), F.struct(F.col("b").alias("node"), F.col("b").alias("component")))).alias("e")
+    return edges.select(ends).select("e.node", "e.component").distinct()

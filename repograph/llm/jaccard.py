@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repograph.llm.common import checkpointed, shuffle_partitions
+from repograph.llm.common import checkpointed, removed, settled, shuffle_partitions, written
 from repograph.llm.components import connected_components
 from repograph.llm.hashing import U64, mix, shingle_sets
 
@@ -46,6 +46,8 @@ LARGEST_TILES, JOINED = 2, 0.1
 LEAST_BITS, BITS_PER_DIFFERENCE = 256, 16
 #: Classes of which the texts are picked by a broadcast of their ids (16 bytes each); more are joined by a shuffle.
 BROADCAST_CLASSES = 1_000_000
+#: Rows with a set or bitmap that one task compares.
+SETS = 10_000
 #: Bits (16 MB at any size of the input) by which tiles of a single class are passed over before they are dealt out. When nearly all are set the test
 #: passes more, and the join with the tiles decides as before.
 MARKS = 1 << 27
@@ -217,8 +219,8 @@ def in_both(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def _sides(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     """pairs(a, b) with n and the column of both classes; only rows of the table that pairs name are moved."""
-    named = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    picked = table.select("class", "n", column).join(sent(checkpointed(named)), "class")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    picked, _ = settled(table.select("class", "n", column).join(sent(named), "class"), SETS)
     of = lambda side: picked.select(F.col("class").alias(side), F.col("n").alias(f"{side}_n"), F.col(column).alias(f"{side}_{column}"))
     return of("a").join(sent(pairs), "a").join(of("b"), "b")
 
@@ -231,13 +233,13 @@ def plausible(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * (sizes - F.col("_d")) >= percent * (sizes + F.col("_d"))).select("a", "b")
 
 
-def verified(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) of classes that link, by the exact intersection of their sets."""
-    pairs = checkpointed(pairs)
-    if pairs.isEmpty():
-        return pairs
+def verified(pairs: DataFrame, table: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """The pairs(a, b) of classes that link, by the exact intersection of their sets, and their number."""
+    pairs, n = settled(pairs)
+    if not n:
+        return pairs, 0
     both = _sides(pairs, table, "shingles").withColumn("_both", in_both("a_shingles", "b_shingles"))
-    return checkpointed(both.where(100 * F.col("_both") >= percent * (F.col("a_n") + F.col("b_n") - F.col("_both"))).select("a", "b").distinct())
+    return settled(both.where(100 * F.col("_both") >= percent * (F.col("a_n") + F.col("b_n") - F.col("_both"))).select("a", "b").distinct())
 
 
 def _folded(bitmaps: list[bytes], shortest: int | None = None) -> np.ndarray:
@@ -386,29 +388,30 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
         each = each.withColumn("class", F.when(F.col("class").isin(*shared), renamed("class", "check")).otherwise(F.col("class")))
         with_words = each.where("n_shingles > 0")
     classes = with_words.groupBy("class").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"))
-    several = checkpointed(tiles_of_several(tiles_of(docs, width, percent, shared)))
+    several, several_at = written(tiles_of_several(tiles_of(docs, width, percent, shared)), "tiles")
     rows = tiles_of(docs, width, percent, shared, marks(several))
-    members = checkpointed(rows.join(several, "tile").select("tile", "class").distinct())
+    members, members_at = written(rows.join(several, "tile").select("tile", "class").distinct(), "members")
 
     # One document of each class; a copy of it (an equal row) gives the same row of the table.
-    picked = checkpointed(members.select("class").distinct().join(classes, "class").select("class", "key"))
-    table = checkpointed(table_of(docs.select(key_of().alias("key"), "text").join(sent(picked), "key"), width, percent, shared))
-    if table.count() > picked.count():
-        table = checkpointed(table.dropDuplicates(["class"]))
+    picked, n_classes = settled(members.select("class").distinct().join(classes, "class").select("class", "key"))
+    table, table_at = written(table_of(docs.select(key_of().alias("key"), "text").join(sent(picked), "key"), width, percent, shared), "classes")
+    if table.count() > n_classes:
+        table = table.dropDuplicates(["class"])
     least = members.groupBy("tile").agg(F.min("class").alias("_least"))
     stars = members.join(least, "tile").groupBy("class").agg(F.min("_least").alias("_least")).where("class <> _least").select(F.col("_least").alias("a"), F.col("class").alias("b"))
-    links = verified(plausible(checkpointed(stars), table, percent), table, percent)
-    components = checkpointed(connected_components(links))
-    n_classes, nearest = picked.count(), True
+    stars, _ = settled(stars)
+    links, _ = verified(plausible(stars, table, percent), table, percent)
+    components, _ = settled(connected_components(links))
+    nearest = True
     while True:
-        more = verified(candidates(members, components, table, percent, nearest), table, percent)
-        joined = more.count()
+        more, joined = verified(candidates(members, components, table, percent, nearest), table, percent)
         if joined:
             links = links.union(more)
-            components = checkpointed(connected_components(links))
+            components, _ = settled(connected_components(links))
         if not nearest:
             break
         nearest = joined > JOINED * n_classes
+    removed(docs.sparkSession, several_at, members_at, table_at)
 
     named = classes.join(components, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("component", "class").alias("component"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -423,16 +426,16 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     Null doc_ids come last. Of texts of a group with the same doc_id that with the smallest key stays. Columns may have any name.
     """
     each = checkpointed(_grouped(docs, width, percent))
+    with_words = each.where("n_shingles > 0").groupBy("component", "component_id", "doc_id", "key").agg(F.count("*").alias("_n"))
     # The smallest doc_id is null only if all of the group are.
-    least = each.where((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    least = least.groupBy("component", "doc_id", "key").agg(F.count("*").alias("_n"))
-    kept = least.groupBy("component").agg(F.min("doc_id").alias("_id"), F.min("key").alias("_key"), F.min_by("_n", "key").alias("_n")).select("_id", "_key", "_n", F.lit(1).alias("_size"))
-    bare = each.where("n_shingles = 0").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("_n"))
-    kept = checkpointed(kept.union(bare.select("_id", "_key", "_n", F.lit(0))))
+    kept = with_words.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("key").alias("_kept"))
+    judged = with_words.join(kept, "component").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_n", (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("_kept"))).alias("_stays"))
+    # What goes is less than what stays, and so are rows that repeat, of which one stays.
+    told = checkpointed(judged.where("not _stays or _n > 1"))
     rows = docs.select(F.struct("*").alias("_row"), key_of().alias("_own"))
-    out = rows.join(kept, (F.col("_own") == F.col("_key")) & F.col("_row.doc_id").eqNullSafe(F.col("_id")))
-    if kept.where("_n > 1 and _size > 0").limit(1).count():
-        # Only where rows repeat: one of each stays, but for those without words.
-        alone = out.where("_n = 1 or _size = 0")
-        out = alone.unionByName(out.where("_n > 1 and _size > 0").dropDuplicates(["_id", "_key"]))
+    named = (F.col("_own") == F.col("_key")) & F.col("_row.doc_id").eqNullSafe(F.col("_id"))
+    out = rows.join(sent(told.select("_id", "_key")), named, "left_anti").select("_row")
+    repeated = told.where("_stays")
+    if not repeated.isEmpty():
+        out = out.unionByName(rows.join(sent(repeated), named).dropDuplicates(["_id", "_key"]).select("_row"))
     return out.select("_row.*")

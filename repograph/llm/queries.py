@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from repograph.llm import bpe, chat, hamming, jaccard, mixing, quality, sharding, suffixes, tokenfiles, urls
-from repograph.llm.common import read
+from repograph.llm.common import read, shared_path
 
 #: The rules of the URL filter.
 URL_RULES = [
@@ -47,7 +47,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of each document's ids, from token files that are written and read back."""
-    path = tokenfiles.shared_path(spark, "token-files")
+    path = shared_path(spark, "token-files")
     tokenfiles.write_token_files(read(spark, sf_dir, "documents"), path)
     return tokenfiles.read_documents(spark, path)
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -197,9 +196,3 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
     offsets = checkpointed(sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("offset")))
     placed = found.join(F.broadcast(offsets), "part")
     return placed.select("doc_id", (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster's checkpoints, or in the session's own where that is unset."""
-    checkpointed(spark.range(1))
-    return f"{spark.conf.get('spark.checkpoint.dir', '') or spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
