@@ -88,10 +88,20 @@ def test_repeated_starts(pieces, length):
     assert list(suffixes.repeated_starts(pieces, length)) == expected
 
 
+def test_repeated_starts_of_longer_pieces():
+    rng = random.Random(11)
+    for length in (5, 40, 200):
+        base = bytes(rng.choices(b"ab", k=900))
+        pieces = [base[rng.randint(0, 300) : rng.randint(500, 900)] + bytes(rng.choices(b"abc", k=rng.randint(0, 90))) for _ in range(12)] + [b"a" * 700, b"", b"b" * 150]
+        count = Counter(p[i : i + length] for p in pieces for i in range(len(p) - length + 1))
+        expected = [i + length <= len(p) and count[p[i : i + length]] > 1 for p in pieces for i in range(len(p) + 1)]
+        assert list(suffixes.repeated_starts(pieces, length)) == expected
+
+
 def test_runs_cover_every_window_once():
     texts = [bytes(random.Random(i).choices(b"ab cd", k=n)) for i, n in enumerate((0, 30, 700, 60, 900))]
     seen = Counter()
-    for text, _, _, low, n in suffixes.runs(texts, 60):
+    for text, _, _, low, n, _ in suffixes.runs(texts, 60):
         for t, a, k in zip(text, low, n, strict=True):
             seen.update((int(t), int(a) + i) for i in range(k))
     assert seen == Counter((t, i) for t, x in enumerate(texts) for i in range(len(x) - 59))

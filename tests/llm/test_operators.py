@@ -67,13 +67,33 @@ def test_suffix_dedup(docs, nothing):
     assert left.columns == docs.columns and left.count() == 13
 
 
+def removed_bytes(texts, length=200):
+    count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    gone = [bytearray(len(t)) for t in texts]
+    for t, g in zip(texts, gone, strict=True):
+        for i in range(len(t) - length + 1):
+            if count[t[i : i + length]] > 1:
+                g[i : i + length] = b"\1" * length
+    return [sum(g) for g in gone]
+
+
 def test_suffix_dedup_of_an_anchor_with_many_stretches(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "ANCHOR_LIMIT", 2)
-    texts = [f"{i * 7919} before {PASSAGE} after {i * 104729}" for i in range(12)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    many = sorted(map(str, rows_of(suffixes.dedup_digest(docs))))
-    monkeypatch.setattr(suffixes, "ANCHOR_LIMIT", 4096)
-    assert many == sorted(map(str, rows_of(suffixes.dedup_digest(docs))))
+    texts = [f"{i * 7919} before {PASSAGE[: 210 + 3 * i]} after {i * 104729} {'x' * (180 + i)}" for i in range(24)]
+    texts += texts[3:5]
+    out = rows_of(suffixes.dedup_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [r["n_removed"] for r in sorted(out, key=lambda r: r["doc_id"])] == removed_bytes([t.encode() for t in texts])
+
+
+def test_suffix_dedup_keeps_ids_and_columns(spark):
+    large = (1 << 60) + 1
+    rows = [(large, PASSAGE, 1, 2, "x"), (None, f"other {PASSAGE}", 3, 4, None), (None, None, 5, 6, ""), (large, PASSAGE, 1, 2, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc int, _doc int, anchor string").coalesce(1)
+    out = Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in rows_of(suffixes.dedup_digest(docs)))
+    n = len(PASSAGE)
+    assert out == Counter([(large, n, n), (large, n, n), (None, n + 6, n), (None, 0, 0)])
+    left = suffixes.remove_repeats(docs)
+    assert left.columns == docs.columns and Counter(map(tuple, left.collect())) == Counter([(large, "", 1, 2, "x"), (None, "other ", 3, 4, None), (None, None, 5, 6, ""), (large, "", 1, 2, "x")])
 
 
 def test_url_filters(spark):
