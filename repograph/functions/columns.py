@@ -97,12 +97,16 @@ def without_nulls(properties: Column) -> Column:
     return F.map_filter(properties, lambda _, v: v.isNotNull() & (v != "[]") & (v != "{}"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity in doubles, added up in order; null if a vector is zero."""
-    double = lambda x: x.cast("double")
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: double(x) * double(y)), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(F.transform(v, lambda x: double(x) * double(x)), F.lit(0.0), lambda s, x: s + x))
-    return dot / F.nullif(norm(a) * norm(b), F.lit(0.0))
+def norm(v: Column) -> Column:
+    """Length of a vector in doubles, added up in order."""
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """Cosine similarity in doubles, added up in order; null if a vector is zero. Norms that are known are not worked out again."""
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    known = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
+    return dot / F.nullif(known, F.lit(0.0))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

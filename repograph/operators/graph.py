@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
+from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from repograph.functions import columns as C
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df in the folder of spark.checkpoint.dir; a temporary one is taken only where that is unset."""
+    """Cut the lineage of df in the folder of spark.checkpoint.dir. Where that is unset a temporary one is taken on one machine; on a cluster it is an error."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", "") and not spark.sparkContext.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path for a table in the shared folder of checkpoints."""
+    checkpointed(spark.range(1))
+    return f"{spark.conf.get('spark.checkpoint.dir', '') or spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def parent_directory(children: DataFrame, dirs: DataFrame) -> DataFrame:
     """children(repo, id, parent_path) with parent_id: the directory at parent_path, else the repository."""
     above = dirs.select("repo", F.col("path").alias("parent_path"), F.col("id").alias("_dir"))
@@ -44,15 +55,23 @@ def incident(edges: DataFrame, ids: DataFrame, direction: str = "both") -> DataF
     return {"out": out, "in": into, "both": out.unionByName(into)}[direction]
 
 
-def contain_closure(edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
-    """root, id and distance of everything below roots(id) through CONTAIN edges, which form a tree."""
+def contain_closure(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """root, id and distance of everything below roots(id) through CONTAIN edges, which form a tree, to its leaves or to a given depth.
+
+    Edges that form a cycle raise a ValueError.
+    """
     down = edges.where("rel_type = 'CONTAIN'").select(F.col("src").alias("id"), "dst")
     at = roots.select(F.col("id").alias("root"), "id")
-    found = None
-    for distance in range(1, depth + 1):
+    found, longest = None, None
+    for distance in count(1) if depth is None else range(1, depth + 1):
         at = checkpointed(at.join(down, "id").select("root", F.col("dst").alias("id")))
         if at.isEmpty():
             break
+        if distance % 64 == 0:
+            longest = longest or down.count()
+            if distance > longest:
+                raise ValueError("CONTAIN edges form a cycle")
+            found = checkpointed(found)
         level = at.withColumn("distance", F.lit(distance))
         found = level if found is None else found.union(level)
     return found if found is not None else at.withColumn("distance", F.lit(0)).limit(0)
@@ -90,16 +109,16 @@ def k_hop_shortest(edges: DataFrame, sources: DataFrame, depth: int) -> DataFram
     return seen.where("distance > 0")
 
 
-def call_layers(methods: DataFrame, calls: DataFrame, rounds: int = 10_000) -> DataFrame:
+def call_layers(methods: DataFrame, calls: DataFrame) -> DataFrame:
     """id, level and in_cycle of methods(id): callees have lower levels than callers; what waits on a cycle comes last, marked.
 
     Every round takes the methods of which all callees are placed; only edges between open methods are carried on. A chain of calls of n methods takes n
-    rounds.
+    rounds, however long. The work ends when all are placed or a round places none.
     """
     open_edges = checkpointed(calls.select("src", "dst").distinct().join(methods.select(F.col("id").alias("dst")), "dst").join(methods.select(F.col("id").alias("src")), "src"))
     left = methods.select("id")
     placed = None
-    for level in range(rounds):
+    for level in count():
         waiting = open_edges.select(F.col("src").alias("id")).distinct()
         ready = left.join(waiting, "id", "left_anti")
         left = checkpointed(left.join(waiting, "id"))

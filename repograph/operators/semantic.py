@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repograph.functions import columns as C
 from repograph.operators.graph import checkpointed, with_related
 
 PROMPT_CODE, FILE_TEXT, DOC_SUMMARY, HIT_CODE, CALLEES = 3000, 5000, 200, 500, 5
@@ -95,6 +94,27 @@ def explode_modules(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return modules, workflows
 
 
+def default_modules(detected: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Module and Workflow nodes and BELONG_TO edges of detected(repo, id, module, workflow), without a model.
+
+    A top directory is a module; each component of its files that use one another, of two files at least, is a workflow of it. Files outside any
+    directory have no module. Nothing is gathered by module: files are counted only.
+    """
+    placed = detected.where("module <> ''").select("repo", "id", "module", "workflow")
+    counted = placed.groupBy("repo", "module").agg(F.count("*").alias("n"))
+    nodes = ["id", "repo", "name", "summary", "description"]
+    modules = counted.select("repo", F.col("module").alias("name"), "n").withColumn("id", _semantic_id("module", "repo", "name"))
+    modules = modules.withColumns({"summary": F.concat(F.lit("module "), "name", F.lit(" of "), F.col("n").cast("string"), F.lit(" files")), "description": F.lit(None).cast("string")})
+    flows = placed.groupBy("repo", "module", "workflow").agg(F.count("*").alias("n")).where("n > 1")
+    flows = flows.withColumn("module_id", F.concat(F.lit("module_"), "repo", F.lit("_"), F.substring(F.md5(F.concat_ws("/", "repo", "module")), 1, 8)))
+    flows = flows.withColumns({"id": _semantic_id("workflow", "module_id", "workflow"), "name": F.concat(F.lit("flow of "), "workflow"), "summary": F.concat(F.lit("workflow of "), F.col("n").cast("string"), F.lit(" files in "), "module"), "description": F.lit(None).cast("string")})
+    edge = lambda df, src, dst: df.select("repo", F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit("BELONG_TO").alias("rel_type"))
+    of_file = placed.join(modules.select("repo", F.col("name").alias("module"), F.col("id").alias("_module")), ["repo", "module"])
+    in_flow = placed.join(flows.select("repo", "module", "workflow", F.col("id").alias("_flow")), ["repo", "module", "workflow"])
+    edges = edge(of_file, "id", "_module").union(edge(in_flow, "id", "_flow")).union(edge(flows, "id", "module_id"))
+    return modules.select(*nodes), flows.select(*nodes, "module_id"), edges
+
+
 def file_module_edges(owners: DataFrame, files: DataFrame) -> DataFrame:
     """BELONG_TO edges from the files that owners(id, repo, files) list by path; paths that are no file are dropped."""
     listed = owners.select("repo", F.col("id").alias("dst"), F.explode("files").alias("path"))
@@ -132,6 +152,3 @@ def present(nodes: DataFrame, column: str = "summary") -> DataFrame:
     """Rows of which the text is not null or blank, trimmed."""
     return nodes.withColumn(column, F.trim(column)).where(F.length(column) > 0)
 
-
-def id_of_module(repo: Column) -> Column:
-    return C.node_id("module", repo)

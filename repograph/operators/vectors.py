@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,28 +65,38 @@ def vector_records(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.md5("id").alias("id"), collection.alias("collection"), "name", F.col("id").alias("node_id"), "repo", F.col("label").alias("type"), "summary", "embedding")
 
 
-def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, within: tuple[str, ...] = ()) -> DataFrame:
-    """query_id, id, node_id, repo, type, score and rank of the k vectors that are most similar to each row of queries(query_id, query).
+def code_records(nodes: DataFrame) -> DataFrame:
+    """Class and Method nodes(id, name, label, repo, code, embedding) as records of the code collections."""
+    collection = F.element_at(F.create_map(*(F.lit(x) for pair in dims.CODE_COLLECTIONS.items() for x in pair)), F.col("label"))
+    return nodes.where(F.col("label").isin(*dims.CODE_COLLECTIONS)).select(F.md5(F.concat("id", F.lit("#code"))).alias("id"), collection.alias("collection"), "name", F.col("id").alias("node_id"), "repo", F.col("label").alias("type"), F.col("code").alias("summary"), "embedding")
+
+
+def scores(vectors: DataFrame, queries: DataFrame, where: Column | None = None, within: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, id, node_id, repo, type and score of all vectors that rows of queries(query_id, query) ask for.
 
-    Metadata are tested before any distance. Each task keeps its best k for a query before they are dealt out by query. Few queries are sent to
-    every task; others meet the vectors in blocks. Queries have the columns of ``within`` too and meet only vectors that are equal in them.
+    Metadata are tested before any distance, and norms are worked out once for each vector. Few queries are sent to every task; others meet the vectors
+    in as many blocks as there are shuffle partitions. Queries have the columns of ``within`` too and meet only vectors that are equal in them.
     """
     rows = vectors if where is None else vectors.where(where)
-    rows = rows.select("id", "node_id", "repo", "type", "embedding")
+    rows = rows.select("id", "node_id", "repo", "type", "embedding", C.norm(F.col("embedding")).alias("_norm"))
+    queries = queries.select("query_id", "query", *within, C.norm(F.col("query")).alias("_query_norm"))
     if queries.count() <= BROADCAST_QUERIES:
         pairs = rows.join(F.broadcast(queries), [*within]) if within else rows.join(F.broadcast(queries), F.lit(True))
     else:
-        blocks = 64
+        blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         pairs = rows.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks))).join(queries.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))), [*within, "_block"]).drop("_block")
-    scored = pairs.withColumn("score", F.round(C.cosine(F.col("embedding"), F.col("query")), 6)).where("score is not null")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.select("query_id", "id", "node_id", "repo", "type", "score").withColumn("rank", rank).where(F.col("rank") <= k)
+    score = F.round(C.cosine(F.col("embedding"), F.col("query"), F.col("_norm"), F.col("_query_norm")), 6)
+    return pairs.select("query_id", "id", "node_id", "repo", "type", score.alias("score")).where("score is not null")
+
+
+def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, within: tuple[str, ...] = ()) -> DataFrame:
+    """scores with rank, of the k vectors that are most similar to each query. Each task keeps its best k for a query before they are dealt out by query."""
+    return _ranked(scores(vectors, queries, where, within), k)
 
 
 def topk_per_type(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    scored = vectors.join(F.broadcast(queries), F.lit(True)).withColumn("score", F.round(C.cosine(F.col("embedding"), F.col("query")), 6)) if queries.count() <= BROADCAST_QUERIES else topk(vectors, queries, 1 << 30)
     rank = F.row_number().over(Window.partitionBy("query_id", "type").orderBy(F.desc("score"), "id"))
-    return scored.where("score is not null").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "type", "id", "node_id", "score", "rank")
+    return scores(vectors, queries).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "type", "id", "node_id", "score", "rank")
 
 
 def ivf_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, n_lists: int = 128, n_probe: int = 10, sample: int = 100_000, seed: int = 7) -> DataFrame:
@@ -136,7 +146,3 @@ def union_hits(per_type: DataFrame, k: int = 10) -> DataFrame:
 def hydrate(hits: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
     """Hits with columns of their nodes; hits without a node go."""
     return hits.join(nodes.select(F.col("id").alias("node_id"), *columns), "node_id")
-
-
-def as_array(vector: Column) -> Column:
-    return vector_to_array(vector)

@@ -23,6 +23,7 @@ class KnowledgeGraph:
     nodes: DataFrame
     edges: DataFrame
     vectors: DataFrame | None = None
+    code_vectors: DataFrame | None = None
 
     def labelled(self, label: str) -> DataFrame:
         return self.nodes.where(F.col("label") == label)
@@ -39,18 +40,32 @@ class KnowledgeGraph:
     def dependencies(self, node_id: str, depth: int = 1) -> DataFrame:
         return graph.node_dependencies(self.edges, self.nodes.where(F.col("id") == node_id).select("id"), depth)
 
-    def file_content(self, node_id: str) -> DataFrame:
-        found = self.labelled("File").where(F.col("id") == node_id)
+    def file_content(self, node_id: str | None = None) -> DataFrame:
+        """The content of a file (or of every file) as JSON; what is known of it where there is none."""
+        found = self.labelled("File") if node_id is None else self.labelled("File").where(F.col("id") == node_id)
         return found.select("id", F.coalesce(F.when(F.col("content").isNotNull(), F.to_json(F.struct("path", "content"))), F.to_json(F.struct("id", "name", "path"))).alias("doc"))
 
     def modules(self, repo: str) -> DataFrame:
         return self.labelled("Module").where((F.col("repo") == repo) | F.col("id").startswith(f"module_{repo}_")).select("id", "name", "description", "summary")
 
+    def module_workflows(self, module_id: str | None = None) -> DataFrame:
+        """The workflows that belong to a module (or to every module)."""
+        of = self.edges.where("rel_type = 'BELONG_TO'").select(F.col("src").alias("id"), F.col("dst").alias("module_id"))
+        of = of if module_id is None else of.where(F.col("module_id") == module_id)
+        return self.labelled("Workflow").join(of, "id").select("module_id", "id", "name", "description", "summary")
+
+    def _search(self, records: DataFrame, queries: DataFrame, types: list[str], k: int, columns: list) -> DataFrame:
+        within = ("repo",) if "repo" in queries.columns else ()
+        asked = vectors.embed_nodes(queries.withColumnRenamed("text", "summary")).select("query_id", *within, F.col("embedding").alias("query"))
+        return vectors.hydrate(vectors.topk(records, asked, k, F.col("type").isin(types), within), self.nodes, columns)
+
     def search_nodes(self, queries: DataFrame, types: list[str] | None = None, k: int = 10) -> DataFrame:
-        """The k best nodes for each row of queries(query_id, text)."""
-        asked = vectors.embed_nodes(queries.withColumnRenamed("text", "summary")).select("query_id", F.col("embedding").alias("query"))
-        hits = vectors.topk(self.vectors, asked, k, F.col("type").isin(types or ["File", "Class", "Method"]))
-        return vectors.hydrate(hits, self.nodes, ["name", "label"])
+        """The k best nodes for each row of queries(query_id, text), in one repo if queries have the column repo."""
+        return self._search(self.vectors, queries, types or ["File", "Class", "Method"], k, ["name", "label"])
+
+    def search_code(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """The k best classes and methods by their code, as search_nodes, with the path and the beginning of the code."""
+        return self._search(self.code_vectors, queries, ["Class", "Method"], k, ["name", "label", "file_path", F.left("code", F.lit(semantic.HIT_CODE)).alias("code")])
 
 
 def structure(spark: SparkSession, corpus: DataFrame) -> KnowledgeGraph:
@@ -92,10 +107,35 @@ def summaries(kg: KnowledgeGraph) -> DataFrame:
     return of_methods.union(of_classes).union(of_files)
 
 
-def build_knowledge_graph(spark: SparkSession, corpus: DataFrame) -> KnowledgeGraph:
-    """Structure, dependencies, summaries, modules by top directory, and vectors of files(repo, path, content)."""
+def with_modules(kg: KnowledgeGraph, responses: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Module and Workflow nodes (id, label, name, repo, summary, description) and their edges.
+
+    responses(repo, response) are a model's answers to structure_doc; without them modules are top directories and workflows what is connected in them.
+    """
+    if responses is None:
+        modules, workflows, edges = semantic.default_modules(checkpointed(semantic.detect_modules(kg.files, kg.edges.where("rel_type = 'USE'"))))
+    else:
+        modules, workflows = semantic.explode_modules(semantic.parse_modules(responses))
+        workflows = workflows.withColumn("description", F.lit(None).cast("string"))
+        edges = semantic.file_module_edges(modules, kg.files).union(semantic.file_module_edges(workflows, kg.files)).union(semantic.workflow_contains(workflows, kg.symbols))
+        edges = edges.union(workflows.select("repo", F.col("id").alias("src"), F.col("module_id").alias("dst"), F.lit("BELONG_TO")))
+    labelled = lambda df, label: df.select("id", F.lit(label).alias("label"), "name", "repo", "summary", "description")
+    return labelled(modules, "Module").union(labelled(workflows, "Workflow")), edges
+
+
+def build_knowledge_graph(spark: SparkSession, corpus: DataFrame, responses: DataFrame | None = None, provider: str | None = None) -> KnowledgeGraph:
+    """Structure, dependencies, summaries, modules with workflows, and vectors of files(repo, path, content).
+
+    responses: see with_modules; provider: see vectors.embed_nodes.
+    """
     kg = structure(spark, corpus)
+    kg.edges = checkpointed(kg.edges)
     made = checkpointed(summaries(kg))
-    kg.nodes = kg.nodes.join(made.select("id", "summary"), "id", "left").withColumn("description", F.lit(None).cast("string"))
-    kg.vectors = vectors.vector_records(vectors.embed_nodes(made))
+    semantic_nodes, edges = with_modules(kg, responses)
+    semantic_nodes = checkpointed(semantic_nodes)
+    kg.edges = kg.edges.unionByName(edges, allowMissingColumns=True)
+    kg.nodes = kg.nodes.join(made.select("id", "summary"), "id", "left").withColumn("description", F.lit(None).cast("string")).unionByName(semantic_nodes, allowMissingColumns=True)
+    every = made.union(semantic_nodes.select("id", "label", "name", "repo", "summary"))
+    kg.vectors = vectors.vector_records(vectors.embed_nodes(every, provider=provider))
+    kg.code_vectors = vectors.code_records(vectors.embed_nodes(kg.symbols.where("label in ('Class', 'Method')"), "code", provider))
     return kg

@@ -6,7 +6,6 @@ The code corpus is derived from ``part`` by templates, so its symbols, imports a
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -424,10 +423,17 @@ def upsert_nodes(spark, sf_dir):
     return tables.upsert_nodes(nodes, new)
 
 
-@query(f"WITH {KG} SELECT DISTINCT src, dst, rel_type FROM ke WHERE rel_type = 'USE' AND src IN (SELECT id FROM kn) AND dst IN (SELECT id FROM kn)")
+@query(f"WITH {KG} SELECT DISTINCT src, dst, rel_type FROM ke WHERE rel_type = 'USE' AND src IN (SELECT id FROM kn WHERE label = 'File') AND dst IN (SELECT id FROM kn WHERE label = 'File')")
 def insert_edges(spark, sf_dir):
     edges = D.kg_edges(spark, sf_dir)
-    return tables.insert_edges(edges.where("rel_type = 'CONTAIN'"), edges.union(edges), D.kg_nodes(spark, sf_dir)).select("src", "dst", "rel_type")
+    new = edges.union(edges).withColumns({"src_label": F.when(F.col("rel_type") == "USE", "File").otherwise("Directory"), "dst_label": F.lit("File")})
+    return tables.insert_edges(edges.where("rel_type = 'CONTAIN'"), new, D.kg_nodes(spark, sf_dir)).select("src", "dst", "rel_type")
+
+
+@query(f"WITH {KG} SELECT src, dst, src IN (SELECT id FROM kn WHERE label = 'Directory') AND dst IN (SELECT id FROM kn WHERE label = 'File') AS success FROM ke WHERE rel_type = 'CONTAIN'")
+def insert_edges_success(spark, sf_dir):
+    new = D.kg_edges(spark, sf_dir).where("rel_type = 'CONTAIN'").withColumns({"src_label": F.lit("Directory"), "dst_label": F.lit("File")})
+    return tables.matched_edges(new, D.kg_nodes(spark, sf_dir)).select("src", "dst", "success")
 
 
 @query(f"WITH {KG} SELECT rel_type, count(*) AS n FROM ke WHERE src NOT IN (SELECT id FROM kn WHERE repo = 'ASIA') AND dst NOT IN (SELECT id FROM kn WHERE repo = 'ASIA') GROUP BY 1 UNION ALL SELECT 'deleted', count(DISTINCT id) FROM kn WHERE repo = 'ASIA'")
@@ -445,11 +451,12 @@ def delete_repo_vectors(spark, sf_dir):
     return tables.delete_repo_vectors(vectors_, "repo1")[1]
 
 
-@query(f"WITH {KG} SELECT id, CASE WHEN label = 'Directory' THEN concat('the ', name) ELSE name END AS name FROM kn")
+@query(f"WITH {KG} SELECT id, CASE WHEN label = 'Directory' THEN concat('the ', name) ELSE name END AS name FROM kn UNION ALL SELECT 'matched', CAST(count(*) AS VARCHAR) FROM kn WHERE label = 'Directory'")
 def update_property(spark, sf_dir):
     nodes = D.kg_nodes(spark, sf_dir)
     updates = nodes.where("label = 'Directory'").select("id", F.concat(F.lit("the "), "name").alias("value")).union(spark.sql("SELECT 'nobody', 'x'"))
-    return tables.update_property(nodes, updates, "name").select("id", "name")
+    updated, matched = tables.update_property(nodes, updates, "name")
+    return updated.select("id", "name").union(matched.select(F.lit("matched"), F.col("matched").cast("string")))
 
 
 @query("SELECT doc_id, CASE WHEN lang = 'en' THEN '' ELSE concat('lang=', lang) END AS kept FROM documents")
@@ -574,8 +581,10 @@ def workflow_contains(spark, sf_dir):
     return semantic.workflow_contains(workflows, _nodes(spark, sf_dir)).select("src", "dst")
 
 
-QUERIES["limit_per_key"] = workflow_contains
-SQL["limit_per_key"] = SQL["workflow_contains"]
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 3")
+def limit_per_key(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey", "o_totalprice")
+    return tables.first_rows(orders, "o_custkey", [F.desc("o_totalprice"), "o_orderkey"], 3)
 
 
 @query(f"WITH {_MOD} SELECT module AS module_id, workflow AS id FROM wf")
@@ -603,78 +612,74 @@ def detect_modules(spark, sf_dir):
     return semantic.detect_modules(files, references.use_edges(files))
 
 
-@query(f"WITH {FILES}, c AS (SELECT repo, path, content FROM ({D.CORPUS})) SELECT concat('file_', repo, '_', path) AS id, length(content) AS n FROM c WHERE repo = 'repo12'")
+@query(f"WITH {FILES}, c AS (SELECT repo, path, content FROM ({D.CORPUS})) SELECT concat('file_', repo, '_', path) AS id, path, length(content) AS n FROM c")
 def get_file_content(spark, sf_dir):
-    kg = _files(spark, sf_dir).where("repo = 'repo12'")
-    doc = F.to_json(F.struct("path", "content"))
-    return kg.select("id", F.length(F.get_json_object(doc, "$.content")).cast("long").alias("n"))
+    nodes = _files(spark, sf_dir).withColumn("label", F.lit("File"))
+    doc = build.KnowledgeGraph(None, None, None, nodes, None).file_content()
+    return doc.select("id", F.get_json_object("doc", "$.path").alias("path"), F.length(F.get_json_object("doc", "$.content")).cast("long").alias("n"))
 
 
 # --- vectors --------------------------------------------------------------------------------------------------------------------------------------
 
 V = f"v AS ({D.VECTORS})"
-_SCORED = f"{V}, q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id < 20), sc AS (SELECT query_id, id, node_id, repo, type, round(list_cosine_similarity(CAST(query AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM v, q)"
-
+_SCORED = f"{V}, q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 20 = 0), sc AS (SELECT query_id, id, node_id, repo, type, round(list_cosine_similarity(CAST(query AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM v, q)"
 
-#: The vectors that queries with SQL ask for, as their SQL states it, and the share of all vectors that the others ask for.
-FIRST_20, EACH_20TH = "vec_id < 20", "vec_id % 20 = 0"
 
-
-def _asked(spark: SparkSession, sf_dir: str, which: str = FIRST_20) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(which).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector, as a query."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 _TOPK = "SELECT query_id, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM sc{where}) WHERE rank <= 10"
 
 
 @query(f"WITH {_SCORED} {_TOPK.format(where='')}")
-def cosine_topk(spark, sf_dir, which=FIRST_20):
-    return vectors.topk(D.vectors(spark, sf_dir), _asked(spark, sf_dir, which)).select("query_id", "id", "score", "rank")
+def cosine_topk(spark, sf_dir):
+    return vectors.topk(D.vectors(spark, sf_dir), _asked(spark, sf_dir)).select("query_id", "id", "score", "rank")
 
 
 _FILTERED = _TOPK.format(where=" WHERE repo = 'repo2' AND type = 'Method'")
 
 
 @query(f"WITH {_SCORED} {_FILTERED}")
-def vector_filter(spark, sf_dir, which=FIRST_20):
-    return vectors.topk(D.vectors(spark, sf_dir), _asked(spark, sf_dir, which), where=(F.col("repo") == "repo2") & (F.col("type") == "Method")).select("query_id", "id", "score", "rank")
+def vector_filter(spark, sf_dir):
+    return vectors.topk(D.vectors(spark, sf_dir), _asked(spark, sf_dir), where=(F.col("repo") == "repo2") & (F.col("type") == "Method")).select("query_id", "id", "score", "rank")
 
 
 @query(f"WITH {_SCORED} SELECT query_id, type, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, type ORDER BY score DESC, id) AS INT) AS rank FROM sc) WHERE rank <= 5")
-def topk_per_type(spark, sf_dir, which=FIRST_20):
-    return vectors.topk_per_type(D.vectors(spark, sf_dir), _asked(spark, sf_dir, which), 5).select("query_id", "type", "id", "score", "rank")
+def topk_per_type(spark, sf_dir):
+    return vectors.topk_per_type(D.vectors(spark, sf_dir), _asked(spark, sf_dir), 5).select("query_id", "type", "id", "score", "rank")
 
 
 @query(f"WITH {_SCORED}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id, type ORDER BY score DESC, id) AS r FROM sc) SELECT query_id, node_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS INT) AS rank FROM t WHERE r <= 5) WHERE rank <= 10")
-def union_hits(spark, sf_dir, which=FIRST_20):
-    return vectors.union_hits(vectors.topk_per_type(D.vectors(spark, sf_dir), _asked(spark, sf_dir, which), 5)).select("query_id", "node_id", "score", "rank")
+def union_hits(spark, sf_dir):
+    return vectors.union_hits(vectors.topk_per_type(D.vectors(spark, sf_dir), _asked(spark, sf_dir), 5)).select("query_id", "node_id", "score", "rank")
 
 
 @query(f"WITH {_SCORED}, t AS ({_TOPK.format(where='')}) SELECT query_id, t.id, concat('node_', e.vec_id) AS node_id, e.label FROM t JOIN embeddings e ON t.id = concat('v', e.vec_id) WHERE e.vec_id % 2 = 0")
-def hydrate_hits(spark, sf_dir, which=FIRST_20):
+def hydrate_hits(spark, sf_dir):
     nodes = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 2 = 0").select(F.concat(F.lit("node_"), "vec_id").alias("id"), "label")
-    hits = vectors.topk(D.vectors(spark, sf_dir), _asked(spark, sf_dir, which)).select("query_id", "id", "node_id")
+    hits = vectors.topk(D.vectors(spark, sf_dir), _asked(spark, sf_dir)).select("query_id", "id", "node_id")
     return vectors.hydrate(hits, nodes, ["label"])
 
 
 @query()
 def ivf_topk(spark, sf_dir):
-    return vectors.ivf_topk(D.vectors(spark, sf_dir), _asked(spark, sf_dir, EACH_20TH)).select("query_id", "id", "score", "rank")
+    return vectors.ivf_topk(D.vectors(spark, sf_dir), _asked(spark, sf_dir)).select("query_id", "id", "score", "rank")
 
 
-# The exact searches for every twentieth vector: too many pairs for SQL, so these have none.
-QUERIES |= {f"{f.__name__}_each_20th": partial(f, which=EACH_20TH) for f in (cosine_topk, vector_filter, topk_per_type, union_hits, hydrate_hits)}
+# The names under which these were first registered for every twentieth vector.
+for _name in ("cosine_topk", "vector_filter", "topk_per_type", "union_hits", "hydrate_hits"):
+    QUERIES[f"{_name}_each_20th"], SQL[f"{_name}_each_20th"] = QUERIES[_name], SQL[_name]
 
 
 _BUCKET = "CAST(concat('0x', substr(md5(t), 1, 8)) AS UBIGINT) % 64"
-_EMBED = f"""tok AS (SELECT doc_id, {_BUCKET} AS b FROM (SELECT doc_id, unnest(regexp_extract_all(lower(substr(text, 1, 300)), '([a-z0-9]+)', 1)) AS t FROM documents)),
+_EMBED = f"""tok AS (SELECT doc_id, {_BUCKET} AS b FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS t FROM documents)),
  cnt AS (SELECT doc_id, b, count(*) AS n FROM tok GROUP BY ALL), nrm AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM cnt GROUP BY 1)"""
 
 
-def _embedded(spark: SparkSession, sf_dir: str, chars: int | None = None) -> DataFrame:
-    """Documents with the embedding of their whole text, or of its first ``chars`` characters."""
-    text = F.col("content") if chars is None else F.left("content", F.lit(chars))
-    return vectors.embed_nodes(D.doc_files(spark, sf_dir).select("id", "repo", text.alias("summary")))
+def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.embed_nodes(D.doc_files(spark, sf_dir).select("id", "repo", F.col("content").alias("summary")))
 
 
 def _buckets(embedded: DataFrame) -> DataFrame:
@@ -683,23 +688,26 @@ def _buckets(embedded: DataFrame) -> DataFrame:
 
 @query(f"WITH {_EMBED} SELECT concat('doc_', doc_id) AS id, CAST(b AS INT) AS bucket, round(n / norm, 6) AS value FROM cnt JOIN nrm USING (doc_id)")
 def embed_nodes(spark, sf_dir):
-    return _buckets(_embedded(spark, sf_dir, 300))
+    return _buckets(_embedded(spark, sf_dir))
 
 
-@query()
-def embed_nodes_whole_text(spark, sf_dir):
-    """As embed_nodes, whose SQL states the first 300 characters, but of whole texts."""
-    return _buckets(_embedded(spark, sf_dir))
+QUERIES["embed_nodes_whole_text"], SQL["embed_nodes_whole_text"] = embed_nodes, SQL["embed_nodes"]
 
 
-@query("SELECT md5(concat('doc_', doc_id)) AS id, 'file_summary' AS collection, concat('doc_', doc_id) AS node_id, source AS repo FROM documents WHERE trim(substr(text, 1, 300)) <> ''")
+@query("SELECT md5(concat('doc_', doc_id)) AS id, 'file_summary' AS collection, concat('doc_', doc_id) AS node_id, source AS repo FROM documents WHERE trim(text) <> ''")
 def build_vector_records(spark, sf_dir):
     made = _embedded(spark, sf_dir).withColumns({"label": F.lit("File"), "name": F.col("id")})
     return vectors.vector_records(made).select("id", "collection", "node_id", "repo")
 
 
-QUERIES["vector_insert"] = build_vector_records
-SQL["vector_insert"] = SQL["build_vector_records"]
+@query("SELECT concat('doc_', doc_id) AS node_id, md5(concat('doc_', doc_id)) AS embedding_id, 'file_summary' AS collection, 64::BIGINT AS n FROM documents WHERE trim(text) <> ''")
+def vector_insert(spark, sf_dir):
+    """Records appended in two batches and read back, with the ids that each insert gave for the nodes."""
+    made = vectors.vector_records(_embedded(spark, sf_dir).withColumns({"label": F.lit("File"), "name": F.col("id")}))
+    path, half = graph.shared_path(spark, "vectors"), F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    given = tables.insert_vectors(made.where(half), path).union(tables.insert_vectors(made.where(~half), path))
+    stored = tables.read_vectors(spark, path).select(F.col("id").alias("embedding_id"), F.size("embedding").cast("long").alias("n"))
+    return given.join(stored, "embedding_id").select("node_id", "embedding_id", "collection", "n")
 
 
 @query(f"WITH {V} SELECT coalesce(type, 'total') AS stat, count(*) AS n FROM v GROUP BY ROLLUP (type)")
@@ -707,9 +715,33 @@ def vector_counts(spark, sf_dir):
     return D.vectors(spark, sf_dir).rollup("type").agg(F.count("*").alias("n")).select(F.coalesce("type", F.lit("total")).alias("stat"), "n")
 
 
-@query()
+def _built(spark: SparkSession, sf_dir: str) -> build.KnowledgeGraph:
+    return build.build_knowledge_graph(spark, D.corpus(spark, sf_dir))
+
+
+@query(f"WITH {SYM}, o AS (SELECT 'class_summary' AS collection, id FROM sym WHERE kind = 'class' UNION ALL SELECT 'method_summary', id FROM sym WHERE kind <> 'class' UNION ALL SELECT 'file_summary', concat(repo, path) FROM f UNION ALL SELECT DISTINCT 'modules', concat(repo, '/', d) FROM f UNION ALL SELECT 'class_code', id FROM sym WHERE kind = 'class' UNION ALL SELECT 'method_code', id FROM sym WHERE kind <> 'class') SELECT collection, count(*) AS n FROM o GROUP BY 1")
 def vector_store_stage(spark, sf_dir):
-    return build.build_knowledge_graph(spark, D.corpus(spark, sf_dir)).vectors.groupBy("collection").agg(F.count("*").alias("n"))
+    """Records of each collection; of the semantic one those of modules (workflows are components, which the SQL can't count)."""
+    kg = _built(spark, sf_dir)
+    stored = kg.vectors.where("type <> 'Workflow'").select(F.when(F.col("type") == "Module", "modules").otherwise(F.col("collection")).alias("collection"))
+    return stored.union(kg.code_vectors.select("collection")).groupBy("collection").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {FILES} SELECT DISTINCT concat('module_', repo, '_', substr(md5(concat(repo, '/', d)), 1, 8)) AS id, repo, d AS name FROM f")
+def built_modules(spark, sf_dir):
+    return _built(spark, sf_dir).labelled("Module").select("id", "repo", "name")
+
+
+@query()
+def built_module_workflows(spark, sf_dir):
+    return _built(spark, sf_dir).module_workflows()
+
+
+@query()
+def built_search_code(spark, sf_dir):
+    """The best matches in its repo for the code of each class of the built graph."""
+    kg = _built(spark, sf_dir)
+    return kg.search_code(kg.symbols.where("label = 'Class'").select(F.col("id").alias("query_id"), "repo", F.col("code").alias("text")), 5).select("query_id", "node_id", "rank", "score", "name", "label", "file_path", "code")
 
 
 def _search(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -784,7 +816,10 @@ def status_upsert(spark, sf_dir):
 
 @query(f"WITH {_REGISTRY} SELECT initial_status, count(*) AS n FROM reg GROUP BY 1")
 def status_scan(spark, sf_dir):
-    return _registry(spark, sf_dir).groupBy("initial_status").agg(F.count("*").alias("n"))
+    """The registry written as a table at rest and read again."""
+    path = graph.shared_path(spark, "registry")
+    tables.write_registry(_registry(spark, sf_dir), path)
+    return tables.read_registry(spark, path).groupBy("initial_status").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_REGISTRY} SELECT repo_id, CASE initial_status WHEN 'Pending' THEN CASE WHEN k % 3 = 0 THEN 'Running' ELSE 'Pending' END WHEN 'Odd' THEN 'Unknown' ELSE initial_status END AS status FROM reg UNION ALL SELECT DISTINCT concat('x', n_nationkey), 'NotInitialized' FROM nation")

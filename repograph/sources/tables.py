@@ -82,8 +82,14 @@ def write_edges(edges: DataFrame, path: str, mode: str = "overwrite") -> None:
     edges.write.mode(mode).partitionBy("rel_type").parquet(path)
 
 
-def insert_vectors(vectors: DataFrame, path: str) -> None:
+def insert_vectors(vectors: DataFrame, path: str) -> DataFrame:
+    """Append records to the table of vectors; returns their ids and collections, as the nodes' backlink (node_id, embedding_id)."""
     vectors.write.mode("append").partitionBy("collection").parquet(path)
+    return vectors.select("node_id", F.col("id").alias("embedding_id"), "collection")
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
@@ -94,10 +100,18 @@ def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def insert_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of new that become edges: both ends exist and the edge is not there yet."""
-    ids = nodes.select("id")
-    ready = new.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return ready.dropDuplicates(["src", "dst", "rel_type"]).join(edges.select("src", "dst", "rel_type"), ["src", "dst", "rel_type"], "left_anti")
+    """The rows of new that become edges: both ends exist (with the labels src_label and dst_label, if new has them) and the edge is not there yet."""
+    return matched_edges(new, nodes).where("success").drop("success").dropDuplicates(["src", "dst", "rel_type"]).join(edges.select("src", "dst", "rel_type"), ["src", "dst", "rel_type"], "left_anti")
+
+
+def matched_edges(new: DataFrame, nodes: DataFrame) -> DataFrame:
+    """new with ``success``: whether both ends exist, with the labels that new asks for."""
+    out = new
+    for end in ("src", "dst"):
+        asked = [end] + ([f"{end}_label"] if f"{end}_label" in new.columns else [])
+        known = nodes.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label")).select(*asked).distinct().withColumn(f"_{end}", F.lit(True))
+        out = out.join(known, asked, "left")
+    return out.withColumn("success", F.col("_src").isNotNull() & F.col("_dst").isNotNull()).select(*new.columns, "success")
 
 
 def delete_repo_graph(nodes: DataFrame, edges: DataFrame, repo: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -116,10 +130,11 @@ def delete_repo_vectors(vectors: DataFrame, repo: str) -> tuple[DataFrame, DataF
     return vectors.where(~F.col("repo").eqNullSafe(repo)), counts
 
 
-def update_property(nodes: DataFrame, updates: DataFrame, column: str) -> DataFrame:
-    """nodes with a column set from updates(id, value); ids that are not there are passed over."""
+def update_property(nodes: DataFrame, updates: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """nodes with a column set from updates(id, value), and how many nodes were matched; ids that are not there are passed over."""
     given = updates.select("id", F.col("value").alias("_value"))
-    return nodes.join(given, "id", "left").withColumn(column, F.coalesce("_value", column)).drop("_value").select(*nodes.columns)
+    matched = nodes.join(given.select("id").distinct(), "id", "left_semi").agg(F.count("*").alias("matched"))
+    return nodes.join(given, "id", "left").withColumn(column, F.coalesce("_value", column)).drop("_value").select(*nodes.columns), matched
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from repograph import queries
 from repograph.operators import files, graph, references, runs, symbols, vectors
+from repograph.plans import build
 from repograph.sources import derived, tables
 from repograph.streaming.status import stage_status_stream
 
@@ -149,7 +150,7 @@ def test_documents_are_embedded_whole(spark, tmp_path):
     for i, t in enumerate(texts):
         counts = Counter(int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64 for w in re.findall("[a-z0-9]+", (t or "").lower()))
         expected |= {(f"doc_{i}", b, round(n / math.sqrt(sum(c * c for c in counts.values())), 6)) for b, n in counts.items()}
-    assert {tuple(r) for r in queries.embed_nodes_whole_text(spark, str(tmp_path)).collect()} == expected
+    assert {tuple(r) for r in queries.embed_nodes(spark, str(tmp_path)).collect()} == expected
     assert {r.node_id for r in queries.build_vector_records(spark, str(tmp_path)).collect()} == {"doc_0", "doc_1", "doc_5"}
 
 
@@ -173,3 +174,51 @@ def test_live_status_equals_batch(spark, tmp_path):
 def test_registry_imports_without_the_corpus_operators(tmp_path):
     code = "import sys; sys.modules['repograph.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'use_edges' in e.queries() and 'op1_source_mixing' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=".")
+
+
+def test_closure_deeper_than_64_and_cycles(spark):
+    chain = spark.range(70).select(F.col("id").cast("string").alias("src"), (F.col("id") + 1).cast("string").alias("dst"), F.lit("CONTAIN").alias("rel_type"))
+    found = graph.contain_closure(chain, spark.createDataFrame([("0",)], "id string"))
+    assert sorted(r.distance for r in found.collect()) == list(range(1, 71))
+    ring = spark.createDataFrame([("a", "b", "CONTAIN"), ("b", "a", "CONTAIN")], "src string, dst string, rel_type string")
+    with pytest.raises(ValueError):
+        graph.contain_closure(ring, spark.createDataFrame([("a",)], "id string"))
+
+
+def test_edges_with_labels_and_properties(spark):
+    nodes = spark.createDataFrame([("a", "File", "x"), ("b", "Class", "y")], "id string, label string, name string")
+    new = spark.createDataFrame([("a", "b", "CONTAIN", "File", "Class"), ("a", "b", "USE", "File", "File"), ("a", "c", "CONTAIN", "File", "Class")], "src string, dst string, rel_type string, src_label string, dst_label string")
+    assert [r.success for r in tables.matched_edges(new, nodes).orderBy("dst", "rel_type").collect()] == [True, False, False]
+    assert [(r.src, r.dst, r.rel_type) for r in tables.insert_edges(new.limit(0), new, nodes).collect()] == [("a", "b", "CONTAIN")]
+    updated, matched = tables.update_property(nodes, spark.createDataFrame([("b", "z"), ("q", "z")], "id string, value string"), "name")
+    assert {r.name for r in updated.collect()} == {"x", "z"} and matched.first().matched == 1
+
+
+def test_built_graph_with_modules_and_tools(spark):
+    files = [("r", "app/a.py", "import b\ndef fa(x):\n    return fb(x)\n"), ("r", "app/b.py", "class B:\n    def fb(self, x):\n        return x\n"), ("r", "app/c.py", "def fc(x):\n    return 1\n"), ("r", "top.py", "def ft(x):\n    return 2\n")]
+    corpus = spark.createDataFrame(files, "repo string, path string, content string")
+    kg = build.build_knowledge_graph(spark, corpus)
+    modules = kg.modules("r").collect()
+    assert [(m.name, m.summary) for m in modules] == [("app", "module app of 3 files")]
+    flows = kg.module_workflows(modules[0].id).collect()
+    assert [f.summary for f in flows] == ["workflow of 2 files in app"]
+    belongs = {(r.src, r.dst) for r in kg.edges.where("rel_type = 'BELONG_TO'").collect()}
+    assert belongs == {(f"file_r_app/{c}.py", modules[0].id) for c in "abc"} | {(f"file_r_app/{c}.py", flows[0].id) for c in "ab"} | {(flows[0].id, modules[0].id)}
+    assert {r.type for r in kg.vectors.select("type").distinct().collect()} == {"File", "Class", "Method", "Module", "Workflow"}
+    asked = spark.createDataFrame([(1, "r", "def fc(x):\n    return 1")], "query_id int, repo string, text string")
+    best = kg.search_code(asked, 3).orderBy("rank").first()
+    assert (best.name, best.label, best.file_path) == ("fc", "Method", "app/c.py") and {r.collection for r in kg.code_vectors.collect()} == {"class_code", "method_code"}
+    assert kg.search_nodes(asked.withColumn("text", F.lit("file c.py"))).count() > 0
+    assert kg.file_content("file_r_top.py").count() == 1 and kg.project_structure("r").count() == 5
+    answer = '{"modules":[{"name":"core","files":["app/a.py","none.py"],"workflows":[{"name":"run","keywords":["b.py"]}]}]}'
+    made, edges = build.with_modules(kg, spark.createDataFrame([("r", answer)], "repo string, response string"))
+    assert sorted((r.label, r.name) for r in made.collect()) == [("Module", "core"), ("Workflow", "run")]
+    assert sorted(r.rel_type for r in edges.collect()).count("CONTAIN") == 2 and edges.where("rel_type = 'BELONG_TO'").count() == 2
+
+
+def test_call_layers_of_a_long_chain(spark):
+    calls = spark.range(24).select(F.col("id").cast("string").alias("src"), (F.col("id") + 1).cast("string").alias("dst"))
+    methods = spark.range(27).select(F.col("id").cast("string").alias("id"))
+    ring = spark.createDataFrame([("25", "26"), ("26", "25")], "src string, dst string")
+    found = {r.id: (r.level, r.in_cycle) for r in graph.call_layers(methods, calls.union(ring)).collect()}
+    assert all(found[str(i)] == (24 - i, False) for i in range(25)) and found["25"] == found["26"] == (25, True)
