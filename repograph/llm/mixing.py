@@ -17,10 +17,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repograph.llm.common import checkpointed, n_words, words
+from repograph.llm.common import checkpointed, n_words
 
-#: Points are whole numbers below 2**31; the multiplier is the odd number nearest to 2**31 / phi, so that all points occur once in a period.
-POINTS, GOLDEN = 1 << 31, 1_327_217_885
+#: Points are whole numbers below 2**40; the multiplier is the odd number nearest to 2**40 / phi, so that all points occur once in a period.
+POINTS, GOLDEN = 1 << 40, 679_535_556_991
 #: Words in a block at most; small inputs get smaller blocks, so that there are LEAST_SLOTS slots.
 LONGEST_BLOCK, LEAST_SLOTS = 1024, 1 << 16
 #: Rows in a bucket of a two-level prefix sum, about.
@@ -64,6 +64,18 @@ def _before(df: DataFrame, group: str, bucket: str, order: list[Column | str], v
     return df.withColumn("_within", within).join(sums, [group, bucket]).withColumn("_start", F.col("_offset") + F.col("_within")).drop("_offset", "_within")
 
 
+def point(slot: Column) -> Column:
+    """The golden-ratio point of a slot: (slot + 1) * GOLDEN modulo POINTS, multiplied in two halves so that no product leaves 63 bits."""
+    at, half = F.pmod(slot + 1, F.lit(POINTS)), 1 << 20
+    high = F.pmod(F.shiftright(at, 20) * GOLDEN, F.lit(half)) * half
+    return F.pmod(high + at.bitwiseAND(F.lit(half - 1)) * GOLDEN, F.lit(POINTS))
+
+
+def most_apart(n_slots: int) -> int:
+    """By how many slots a source may differ from its share among the first n: twice Niederreiter's bound on the discrepancy of golden-ratio points."""
+    return 2 * math.ceil(4 + (1 / math.log((1 + math.sqrt(5)) / 2) + 1 / math.log(2)) * math.log(n_slots + 1))
+
+
 def schedule(sources: DataFrame, n_slots: int) -> DataFrame:
     """The slots of the mix: slot, source_rank, block (the rank of the slot among those of its source)."""
     every = Window.partitionBy()
@@ -74,7 +86,7 @@ def schedule(sources: DataFrame, n_slots: int) -> DataFrame:
     width = POINTS // CELLS
     edges = edges.where("_high > _low").withColumn("_cell", F.explode(F.sequence(F.call_function("div", F.col("_low"), F.lit(width)), F.call_function("div", F.col("_high") - 1, F.lit(width)))))
     slots = edges.sparkSession.range(n_slots).withColumnRenamed("id", "slot")
-    slots = slots.withColumn("_point", F.pmod(F.pmod(F.col("slot") + 1, F.lit(POINTS)) * GOLDEN, F.lit(POINTS))).withColumn("_cell", F.call_function("div", F.col("_point"), F.lit(width)))
+    slots = slots.withColumn("_point", point(F.col("slot"))).withColumn("_cell", F.call_function("div", F.col("_point"), F.lit(width)))
     filled = slots.join(edges, "_cell").where("_point >= _low and _point < _high").select("slot", "source_rank", F.call_function("div", F.col("slot"), F.lit(BUCKET)).alias("_bucket"))
     return _before(filled, "source_rank", "_bucket", ["slot"], F.lit(1).cast("long")).select("slot", "source_rank", F.col("_start").alias("block"))
 
@@ -86,14 +98,16 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights: DataFrame
     target, taken (words that the mix takes, repeats counted: at most max_epochs times size).
 
     A null text has size 0 and is never taken; a null source is a source of its own, ranked last; repeated rows are rows of their own. Without
-    any word all targets are 0. The same rows give the same result, in whatever order they are stored.
+    any word all targets are 0. The same rows give the same result, in whatever order they are stored. What a source gives differs from its target by
+    ``most_apart`` blocks at most, in practice by one or two; a source with a target of less than a block may give none or a block.
     """
     size = n_words("text") if size is None else size
     sized = checkpointed(docs.select("doc_id", "source", size.alias("size")).withColumn("_row", F.monotonically_increasing_id()))
     sources = checkpointed(water_level(weighted_sources(sized, weights), max_epochs))
     total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     block = max(1, min(LONGEST_BLOCK, total // LEAST_SLOTS))
-    slots = schedule(sources, math.ceil(total / block))
+    n_slots = math.ceil(total / block)
+    slots = schedule(sources, n_slots)
 
     known = sources.withColumnRenamed("source", "_source")
     rows = sized.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -105,8 +119,7 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights: DataFrame
     # Each turn round the ring lays a document over one or more blocks; blocks beyond the source's target meet no slot.
     turns = ring.where("size > 0 and target > 0").select("_row", "source_rank", "size", "target", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("_turn"), "_start", "source_size")
     turns = turns.withColumn("_start", F.col("_start") + F.col("_turn") * F.col("source_size")).withColumn("_end", F.col("_start") + F.col("size"))
-    # A source's slots differ from its share by a few: far less than 64 for any number of points below a period.
-    turns = turns.where(F.col("_start") < F.col("target") + 64 * block)
+    turns = turns.where(F.col("_start") < F.col("target") + most_apart(n_slots) * block)
     first, last = (F.call_function("div", x, F.lit(block)) for x in (F.col("_start"), F.col("_end") - 1))
     pieces = turns.select("_row", "source_rank", "_start", "_end", F.explode(F.sequence(first, last)).alias("block"))
     overlap = F.least("_end", (F.col("block") + 1) * block) - F.greatest("_start", F.col("block") * block)
@@ -125,7 +138,8 @@ def mix_documents(docs: DataFrame, max_epochs: int = 3, seed: int = 0) -> DataFr
 
 
 def repeated(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    keyed = docs.withColumn("_size", F.size(words("text")).cast("long"))
+    """docs, each row as often as counts(doc_id, size, _times) say for its doc_id and number of words; columns of docs may have any name."""
+    rows = docs.select(F.struct("*").alias("_row"), n_words("text").alias("_words"))
     counts = counts.where("_times > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_key"), "_times")
-    kept = keyed.join(counts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_key")))
-    return kept.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    kept = rows.join(counts, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_key")))
+    return kept.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")

@@ -45,52 +45,34 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-#: Words up to which a place in the text fits beside a hash in one long.
-PLACES = 1 << 21
-
-
-def _windows(words: Column, made: Callable[[Column, Column], Column], kind: str) -> Column:
-    """made(hash, place) for each 3-word window of the words."""
-    hashed = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-    return F.when(F.size(words) >= 3, F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: made(hashed(i), i))).otherwise(F.array().cast(f"array<{kind}>"))
-
-
 def _covered(places: Column) -> Column:
     """Words in the windows at these places."""
     return F.when(F.size(places) == 0, F.lit(0)).otherwise(F.size(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i, i + 1, i + 2))))))
 
 
-def _repeated_in_long(words: Column) -> Column:
-    """As repeated_words, for texts of any number of words: sorts pairs of hash and place."""
-
-    def found(rows: Column) -> Column:
-        same = lambda r, j: F.coalesce(F.get(rows, j).h == r.h, F.lit(False))
-        return _covered(F.transform(F.filter(rows, lambda r, j: F.when(j > 0, same(r, j - 1)).otherwise(False) | same(r, j + 1)), lambda r: r.i))
-
-    return let(F.array_sort(_windows(words, lambda h, i: F.struct(h.alias("h"), i.alias("i")), "struct<h:bigint,i:int>")), found)
+def _beside(rows: Column, equal: Callable[[Column, Column], Column]) -> Column:
+    """The rows that equal the one before or after them."""
+    same = lambda x, y: F.coalesce(equal(x, y), F.lit(False))
+    return F.filter(rows, lambda r, j: same(r, F.get(rows, j + 1)) | F.when(j > 0, same(r, F.get(rows, j - 1))).otherwise(False))
 
 
 def repeated_words(words: Column) -> Column:
     """Words in 3-word windows that are found twice or more among the words, the first one included.
 
-    The upper bits of a window's hash and its place make one long, so that equal windows meet in a sorted array of longs; the words
-    themselves then decide whether two neighbours are equal.
+    The upper bits of a window's hash and its place make one long, with as many bits for the place as the text needs, so that windows that may be equal meet in
+    a sorted array of longs. Only those, few in most texts, are sorted again by their whole hash, which decides.
     """
-    place = F.lit(PLACES - 1).cast("long")
-    keys = _windows(words, lambda h, i: h.bitwiseAND(F.lit(-PLACES).cast("long")).bitwiseOR(i.cast("long")), "bigint")
-    word = lambda k, n: F.get(words, (k.bitwiseAND(place) + n).cast("int"))
-
-    def beside(keys: Column, equal: Callable[[Column, Column], Column]) -> Column:
-        """The keys that equal the one before or after them."""
-        same = lambda x, y: F.coalesce(equal(x, y), F.lit(False))
-        return F.filter(keys, lambda k, j: same(k, F.get(keys, j + 1)) | F.when(j > 0, same(k, F.get(keys, j - 1))).otherwise(False))
+    hashed = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
 
-    def counted(keys: Column) -> Column:
-        near = beside(keys, lambda x, y: F.shiftright(x.bitwiseXOR(y), PLACES.bit_length() - 1) == 0)
-        found = let(near, lambda k: beside(k, lambda x, y: (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2))))
-        return _covered(F.transform(found, lambda k: k.bitwiseAND(place).cast("int")))
+    def counted(upper: Column) -> Column:
+        place = lambda k: k.bitwiseAND(F.bitwise_not(upper)).cast("int")
+        keys = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: hashed(i).bitwiseAND(upper).bitwiseOR(i.cast("long"))))
+        near = let(keys, lambda held: _beside(held, lambda x, y: x.bitwiseXOR(y).bitwiseAND(upper) == 0))
+        whole = F.array_sort(F.transform(near, lambda k: F.struct(hashed(place(k)).alias("h"), place(k).alias("i"))))
+        return let(whole, lambda held: _covered(F.transform(_beside(held, lambda x, y: x.h == y.h), lambda r: r.i)))
 
-    return F.when(F.size(words) < PLACES, let(F.sort_array(keys), counted)).otherwise(_repeated_in_long(words))
+    bits = F.ceil(F.log2(F.size(words).cast("double"))).cast("int")
+    return F.when(F.size(words) >= 3, let(F.call_function("shiftleft", F.lit(-1).cast("long"), bits), counted)).otherwise(F.lit(0))
 
 
 def statistics(text: Column) -> Column:
@@ -259,8 +241,9 @@ def judge(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Data
     base_failed or kept are replaced.
     """
     rules, s = learn(labelled_statistics(docs, labels, bound)), F.col("_s")
-    judged = docs.withColumn("_s", statistics(F.col("text")))
-    return judged.withColumns({c: s[c] for c in COUNTS} | {"base_failed": base_failed(s), "kept": ~base_failed(s) & verdict(rules, s)}).drop("_s")
+    made = {c: s[c] for c in COUNTS} | {"base_failed": base_failed(s), "kept": ~base_failed(s) & verdict(rules, s)}
+    judged = docs.select(F.struct("*").alias("_row"), statistics(F.col("text")).alias("_s"))
+    return judged.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in made), *(v.alias(c) for c, v in made.items()))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:

@@ -16,6 +16,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from repograph.llm.common import checkpointed, shuffle_partitions, text_or_empty
 
@@ -59,12 +60,13 @@ def permute(row: Column, n: int, seed: int = 0, rounds: int = 4, inverse: bool =
 def numbered(df: DataFrame, order: list[str], name: str = "row_number") -> tuple[DataFrame, int]:
     """df with the rank (from 0) of each row in the order of the columns, and the number of rows.
 
-    Range partitions are sorted on their own and written once; only one count for each partition is added up. Equal rows
-    (in any number) may spread over partitions; which of them comes first makes no difference to the result.
+    Range partitions are sorted on their own and written once; only one count for each partition is added up. Rows with the same order are told apart by a
+    hash of the whole row, and equal rows (in any number) may spread over partitions, so that the order of the input makes no difference.
     """
     spark = df.sparkSession
-    tied = df.withColumn("_tie", F.monotonically_increasing_id())
-    parts = tied.repartitionByRange(shuffle_partitions(spark), *order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
+    ties = [F.col("_hash"), F.col("_tie")]
+    tied = df.withColumns({"_hash": F.xxhash64(*(F.to_json(F.struct(c)) if isinstance(kind.dataType, MapType) else F.col(c) for c, kind in zip(df.columns, df.schema, strict=True))), "_tie": F.monotonically_increasing_id()})
+    parts = tied.repartitionByRange(shuffle_partitions(spark), *order, *ties).sortWithinPartitions(*order, *ties).drop("_hash", "_tie")
     placed = checkpointed(parts.withColumn("_at", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
@@ -93,9 +95,9 @@ def shard_rows(df: DataFrame, n_shards: int, order: list[str], seed: int = 0) ->
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """Write one folder for each shard, its rows in the order of their slots."""
+    """Write one folder for each shard, its rows in the order of their slots: within a file, and from file to file by name."""
     spark = sharded.sparkSession
-    ordered = sharded.repartition(shuffle_partitions(spark), "shard", F.floor(F.col("slot") / F.lit(1 << 16))).sortWithinPartitions("shard", "slot")
+    ordered = sharded.repartitionByRange(shuffle_partitions(spark), "shard", "slot").sortWithinPartitions("shard", "slot")
     ordered.write.mode("overwrite").partitionBy("shard").parquet(path)
 
 

@@ -22,6 +22,10 @@ LINK = r"(?i)\bhref\s*=\s*[\"']?\s*((?:https?:)?//[^\"'\s>]+)"
 TOLERANCE = 1e-6
 #: Rounds between two looks at whether ranks still grow; the lineage is cut after them.
 ROUNDS = 8
+#: Hosts of which the scores (some 60 bytes each) are sent to every task; more are joined by a shuffle, which Spark splits for hosts with very many pages.
+BROADCAST_HOSTS = 1_000_000
+#: Second labels under which registries of countries hand out names, as in co.uk; such a suffix is no domain of its own.
+REGISTRIES = ["ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org"]
 
 
 @dataclass(frozen=True)
@@ -73,7 +77,9 @@ def host_edges(pages: DataFrame) -> DataFrame:
     labels = F.split("h", "\\.")
     above = hosts.select("h", labels.alias("l")).where(F.size("l") >= 3)
     above = above.select("h", F.explode(F.transform(F.sequence(F.lit(0), F.size("l") - 3), lambda i: F.struct(F.array_join(F.slice("l", i + 1, F.size("l")), ".").alias("src"), F.array_join(F.slice("l", i + 2, F.size("l")), ".").alias("dst")))).alias("e"))
-    up = above.select("e.src", "e.dst").distinct().withColumn("weight", F.lit(1.0))
+    ends = F.split("dst", "\\.")
+    registry = (F.size(ends) == 2) & (F.length(ends[1]) == 2) & ends[0].isin(REGISTRIES)
+    up = above.select("e.src", "e.dst").distinct().where(~registry).withColumn("weight", F.lit(1.0))
     down = up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     return linked.union(up).union(down).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
@@ -119,7 +125,8 @@ def filter_urls(pages: DataFrame, rules: list[UrlRule], ratio: float = 1.0) -> D
     both = edges.select(F.lit("allow").alias("kind"), "src", "dst", "weight").union(edges.select(F.lit("block"), "dst", "src", "weight"))
     ranks = page_rank(both, seeds.select(F.col("_verdict").alias("kind"), "host", "weight"))
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0))
-    scores = ranks.groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust"))
+    scores = checkpointed(ranks.groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust")))
+    scores = F.broadcast(scores) if scores.count() <= BROADCAST_HOSTS else scores
     out = judged.join(scores, "host", "left").fillna(0.0, ["trust", "distrust"])
     by_host = F.when(F.col("distrust") > F.col("trust") * (ratio * (1 + TOLERANCE)), F.lit("block")).otherwise(F.lit("allow"))
     given = lambda score: F.format_string("%.8e", F.col(score)).cast("double").alias(score)

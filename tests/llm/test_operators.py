@@ -212,6 +212,8 @@ def test_quality(spark, docs, nothing):
         for k in range(len(w) - 2):
             if seen[tuple(w[k : k + 3])] > 1:
                 places |= {k, k + 1, k + 2}
+        lines = [line for line in (r["text"] or "").split("\n") if words_of(line)]
+        assert (r["n_symbols"], r["n_dup_lines"]) == (len(re.findall(r"[#*$%&|<>]", r["text"] or "")), len(lines) - len(set(lines)))
         assert (r["n_words"], r["word_chars"], r["n_repeat_words"], r["base_failed"]) == (len(w), sum(map(len, w)), len(places), len(w) < 50 or 2 * len(places) > len(w))
 
 
@@ -355,3 +357,95 @@ def test_near_duplicates_with_large_ids(spark):
     large = (1 << 60) + 1
     docs = spark.createDataFrame([(large, "a b c d e f"), (None, "a b c d e f"), (large + 2, "z y x")], "doc_id long, text string").coalesce(1)
     assert Counter((r["doc_id"], r["component_id"]) for r in rows_of(jaccard.near_duplicates(docs))) == Counter([(large, large), (None, large), (large + 2, large + 2)])
+
+
+def test_mixing_equals_the_plain_schedule(spark):
+    sizes = {None: 700, "a": 40, "b": 900, "c": 3000, "d": 1}
+    docs = spark.createDataFrame([(i, s, "w " * n) for i, (s, n) in enumerate(sizes.items())], "doc_id long, source string, text string")
+    out = {r["source"]: r for r in rows_of(mixing.mix_sources(docs))}
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: k % 3 + 1 for k, s in enumerate(order)}
+    total, target, left = sum(sizes.values()), {}, set(sizes)
+    while True:
+        rest = total - sum(target.values())
+        full = {s for s in left if rest * weight[s] / sum(weight[x] for x in left) > 3 * sizes[s]}
+        if not full:
+            break
+        target |= {s: 3 * sizes[s] for s in full}
+        left -= full
+    target |= {s: rest * weight[s] / sum(weight[x] for x in left) for s in left}
+    # Blocks are of one word here, so a source takes a word for each of its slots, up to three times its own.
+    share, edges = 0.0, []
+    for s in order:
+        edges.append((s, round(share / total * mixing.POINTS), round((share + target[s]) / total * mixing.POINTS)))
+        share += target[s]
+    slots = Counter(next(s for s, low, high in edges if low <= (i + 1) * mixing.GOLDEN % mixing.POINTS < high) for i in range(total))
+    for s in sizes:
+        assert out[s]["weight"] == weight[s] and out[s]["target"] == pytest.approx(target[s])
+        assert out[s]["taken"] == min(slots[s], 3 * sizes[s]) and abs(slots[s] - target[s]) < mixing.most_apart(total)
+
+
+def test_mixed_documents_keep_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", 999, 5), (2, "d e", "y", 7, None), (2, None, "y", 7, None)], "doc_id long, text string, source string, _size int, _times int")
+    out = mixing.mix_documents(docs)
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in docs.collect()}
+
+
+def test_quality_of_long_and_repetitive_texts(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, n, m)) for n, m in ((2, 50), (5, 300), (40, 3000), (1000, 20000))] + ["a a a a a", "x y", "x y z x y z", "p q r q r p q"]
+    docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, _s int")
+    out = {r["doc_id"]: r for r in rows_of(quality.judge(docs, spark.createDataFrame([], "doc_id long, quality int")))}
+    for i, t in enumerate(texts):
+        w, places = t.split(), set()
+        seen = Counter(zip(w, w[1:], w[2:], strict=False))
+        for k in range(len(w) - 2):
+            places |= {k, k + 1, k + 2} if seen[tuple(w[k : k + 3])] > 1 else set()
+        assert out[i]["n_repeat_words"] == len(places) and out[i]["_s"] == 5
+
+
+def test_hosts_under_a_registry_are_not_alike(spark):
+    pages = spark.createDataFrame([("a.co.uk", None), ("b.co.uk", ""), ("www.a.co.uk", "")], "host string, html string")
+    assert {(r["src"], r["dst"]) for r in rows_of(urls.host_edges(pages))} == {("www.a.co.uk", "a.co.uk"), ("a.co.uk", "www.a.co.uk")}
+
+
+def test_shards_of_documents_and_files(spark, docs, tmp_path):
+    out = rows_of(sharding.shard_documents(docs, 4))
+    expected = Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in [*enumerate(TEXTS), (2, TEXTS[2]), (6, TEXTS[6])])
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == expected
+    rows = spark.range(500).select(F.lit(1).alias("doc_id"), (F.col("id") % 50).alias("x"))
+    place = lambda df: Counter((r["x"], r["shard"], r["slot"]) for r in rows_of(sharding.shard_rows(df, 3, ["doc_id"])))
+    assert place(rows) == place(rows.orderBy(F.desc("x")).repartition(7))
+    sharding.write_shards(sharding.shard_rows(rows, 3, ["doc_id"]), str(tmp_path / "shards"))
+    for s in range(3):
+        files = sorted((tmp_path / "shards" / f"shard={s}").glob("*.parquet"))
+        slots = [r.slot for f in files for r in spark.read.parquet(str(f)).collect()]
+        assert slots == list(range(len(slots)))
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    good = lambda k: " ".join(f"word{k * 80 + j}" for j in range(80))
+    rows = [(i, good(i), "en", f"s{i % 3}", 400, i) for i in range(30)] + [(40, good(3) + " tail", "en", "s0", 400, 1), (41, good(5), "de", None, 400, 1), (41, good(5), "de", None, 400, 1), (42, None, None, None, None, None), (43, "", "en", "s1", 0, 1), (None, good(77), "en", "s1", 400, 2)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _key int"
+    made = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = made
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == made.columns, name
+        if name == "quality rules":
+            assert Counter(r.doc_id for r in docs.collect()) == Counter([*range(30), 40, 41, 41, None])
+        if name == "n-gram Jaccard join":
+            assert Counter(r.doc_id for r in docs.collect()) == Counter([*range(30), None])
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert out.count() == docs.count() > 20 and all(r.n_tokens == len(r.ids) for r in out.collect())
+    empty = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+    made.write.parquet(str(tmp_path / "documents.parquet"))
+    ran = corpus_pipeline.run(spark, str(tmp_path))
+    assert Counter(map(str, ran.collect())) == Counter(map(str, out.collect()))
