@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repograph.llm.common import checkpointed, text_or_empty
+from repograph.llm.common import checkpointed, settled, sized, text_or_empty
 
 #: Absolute and protocol-relative targets of links in a page.
 LINK = r"(?i)\bhref\s*=\s*[\"']?\s*((?:https?:)?//[^\"'\s>]+)"
@@ -93,16 +93,18 @@ def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85) -> Data
     """
     total = seeds.groupBy("kind").agg(F.sum("weight").alias("_total"))
     restart = seeds.groupBy("kind", "host").agg(F.sum("weight").alias("weight")).join(total, "kind")
-    restart = checkpointed(restart.select("kind", "host", (F.col("weight") / F.col("_total") * (1 - damping)).alias("rank")))
+    restart, n = settled(restart.select("kind", "host", (F.col("weight") / F.col("_total") * (1 - damping)).alias("rank")))
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("_all"))
-    shares = checkpointed(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("_all") * damping).alias("share")))
+    shares, n_edges = settled(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("_all") * damping).alias("share")))
+    # No more hosts can have a rank, so partitions are made for as many rows; those of a small graph are one task's work in each round.
+    n += n_edges
     known = restart
     while True:
         rank = known
         for _ in range(ROUNDS):
             moved = rank.join(shares, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
-            rank = moved.union(restart).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        rank = checkpointed(rank)
+            rank = sized(moved.union(restart), n).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        rank = sized(checkpointed(rank), n)
         before = known.select("kind", "host", F.col("rank").alias("_before"))
         grown = F.col("rank") - F.coalesce("_before", F.lit(0.0)) > F.col("rank") * TOLERANCE
         if rank.join(before, ["kind", "host"], "left").where(grown).isEmpty():
