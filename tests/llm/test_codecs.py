@@ -98,6 +98,15 @@ def test_repeated_starts_of_longer_pieces():
         assert list(suffixes.repeated_starts(pieces, length)) == expected
 
 
+def test_repeated_starts_of_weighted_pieces():
+    rng = random.Random(12)
+    for length in (2, 5, 40):
+        pieces = [bytes(rng.choices(b"ab", k=rng.choice([0, 3, 30, 80]))) for _ in range(8)]
+        several = np.array([rng.random() < 0.4 for _ in pieces])
+        both = suffixes.repeated_starts(pieces + [p for p, s in zip(pieces, several, strict=True) if s], length)
+        assert list(suffixes.repeated_starts(pieces, length, several)) == list(both[: sum(len(p) + 1 for p in pieces)])
+
+
 def test_runs_cover_every_window_once():
     texts = [bytes(random.Random(i).choices(b"ab cd", k=n)) for i, n in enumerate((0, 30, 700, 60, 900))]
     seen = Counter()
