@@ -76,3 +76,18 @@ def neighbouring_pairs(turns: DataFrame) -> DataFrame:
     each = conversations_of(turns).withColumn("pair_id", F.floor(F.col("conv_id") / 2).cast("long"))
     even = F.pmod(F.col("conv_id"), F.lit(2)) == 0
     return each.groupBy("pair_id").agg(F.first(F.when(even, F.col("turns")), ignorenulls=True).alias("chosen"), F.first(F.when(~even, F.col("turns")), ignorenulls=True).alias("rejected"))
+
+
+def answer_pairs(turns: DataFrame) -> DataFrame:
+    """pairs(pair_id, chosen, rejected), one for each conversation: itself, and its turns before its last answer with another answer after them.
+
+    An answer is a turn of TRAINED_ROLE; the other one is the last answer of the conversation with the next conv_id, if there is that one and it
+    has an answer. A conversation without an answer is wholly kept before the other answer.
+    """
+    each = conversations_of(turns).withColumn("conv_id", F.col("conv_id").cast("long"))
+    from_end = F.array_position(F.reverse(F.transform("turns", lambda t: t.role)), TRAINED_ROLE)
+    each = each.withColumn("at", F.when(from_end > 0, F.size("turns") - from_end).otherwise(F.size("turns")).cast("int"))
+    other = F.array(F.get("turns", F.col("at")))
+    others = each.where(F.col("at") < F.size("turns")).select(F.try_subtract("conv_id", F.lit(1).cast("long")).alias("conv_id"), other.alias("other"))
+    rejected = F.concat(F.slice("turns", 1, F.col("at")), F.coalesce("other", F.slice("turns", 1, 0)))
+    return each.join(others, "conv_id", "left").select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), rejected.alias("rejected"))

@@ -63,8 +63,8 @@ def op8_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompt and masked completions of each pair of conversations."""
-    return chat.format_preferences(chat.neighbouring_pairs(read(spark, sf_dir, "conversations")))
+    """Prompt and masked completions of each conversation against itself with the next one's last answer."""
+    return chat.format_preferences(chat.answer_pairs(read(spark, sf_dir, "conversations")))
 
 
 def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,10 +94,18 @@ SQL: dict[str, str] = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM pairs)
         SELECT query_id, CAST(rank AS INT) AS rank, id, distance FROM ranked WHERE rank <= 10""",
     "op9_preference_formatting": """
-        WITH t AS (
-          SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+        WITH turns AS (
+          SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS pos
           FROM conversations WHERE conv_id IS NOT NULL),
+        answers AS (
+          SELECT conv_id, coalesce(max(pos) FILTER (WHERE role = 'assistant'), max(pos) + 1) AS ends,
+                 arg_max(text, pos) FILTER (WHERE role = 'assistant') AS answer
+          FROM turns GROUP BY 1),
+        t AS (
+          SELECT conv_id AS pair_id, 0 AS side, role, text, pos FROM turns
+          UNION ALL SELECT conv_id, 1, role, text, pos FROM turns JOIN answers USING (conv_id) WHERE pos < ends
+          UNION ALL SELECT a.conv_id, 1, 'assistant', b.answer, a.ends FROM answers a JOIN answers b ON b.conv_id = a.conv_id + 1 WHERE b.answer IS NOT NULL),
         same AS (
           SELECT a.pair_id, a.pos FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.pos = b.pos AND a.side = 0 AND b.side = 1 AND a.role = b.role AND a.text = b.text),
         lcp AS (SELECT pair_id, count(*) AS n FROM (SELECT pair_id, pos, row_number() OVER (PARTITION BY pair_id ORDER BY pos) AS k FROM same) WHERE pos = k GROUP BY 1),

@@ -293,6 +293,34 @@ def test_preferences(spark):
     assert out[2]["prompt"] == "" and out[2]["rejected"] == "" and set(out) == {0, 1, 2}
 
 
+def test_answer_pairs(spark):
+    schema = "conv_id long, turn long, role string, text string, pair_id string"
+    top = (1 << 63) - 1
+    turns = [
+        (0, 0, "user", "hi", "x"), (0, 1, "assistant", "a", "x"), (0, 2, "user", "more", "x"), (0, 3, "assistant", "b", "x"), (0, 4, "user", "bye", "x"),
+        (1, 0, "user", "hi", None), (1, 1, "assistant", "other", None), (2, 0, "user", "only", "x"), (2, 0, "user", "only", "x"), (3, None, "assistant", None, "x"),
+        (3, 1, None, LONG, "x"), (5, 0, "assistant", "last", "x"), (top, 0, "assistant", "end", "x"), (None, 0, "assistant", "lost", "x"),
+    ]
+    out = {r["pair_id"]: r for r in rows_of(chat.format_preferences(chat.answer_pairs(spark.createDataFrame(turns, schema))))}
+    shown = lambda *pairs: "".join(f"<|{role}|>\n{text}<|end|>\n" for role, text in pairs)
+    expected = {
+        0: ([("user", "hi"), ("assistant", "a"), ("user", "more")], [("assistant", "b"), ("user", "bye")], [("assistant", "other")]),
+        1: ([("user", "hi")], [("assistant", "other")], []),
+        2: ([("user", "only")] * 2, [], [("assistant", "")]),
+        3: ([], [("assistant", ""), ("unknown", LONG)], []),
+        5: ([], [("assistant", "last")], []),
+        top: ([], [("assistant", "end")], []),
+    }
+    assert set(out) == set(expected)
+    for i, (prompt, chosen, rejected) in expected.items():
+        r = out[i]
+        assert (r["n_prompt_turns"], r["prompt"], r["chosen"], r["rejected"]) == (len(prompt), shown(*prompt), shown(*chosen), shown(*rejected))
+        for side, said in (("chosen", chosen), ("rejected", rejected)):
+            spans = [tuple(map(int, s.split("-"))) for s in r[f"{side}_spans"].split()]
+            assert [r[side][a:b] for a, b in spans] == [f"{text}<|end|>" for role, text in said if role == "assistant"]
+    assert rows_of(chat.format_preferences(chat.answer_pairs(spark.createDataFrame([], schema)))) == []
+
+
 def test_bpe(docs, nothing):
     ids = {r["doc_id"]: r["ids"] for r in rows_of(bpe.encode_documents(docs))}
     decoded = {r["doc_id"]: bytes(r["decoded"]).decode() for r in rows_of(bpe.decode_documents(bpe.encode_documents(docs)))}
