@@ -24,14 +24,8 @@ def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), _clean(role), F.lit("|>\n"), _clean(text), F.lit("<|end|>\n"))
 
 
-def conversations_of(turns: DataFrame) -> DataFrame:
-    """One row for each conversation of turns(conv_id, turn, role, text): conv_id, turns (in the order of turn, role and text).
-
-    Null turn numbers come first, a null role is ``unknown`` and a null text empty; repeated rows are repeated turns; rows without
-    conv_id belong to no conversation and are left out. A conversation is one value and must fit a row, as what is made of it must.
-    """
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return turns.where("conv_id is not null").select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+def _turn() -> Column:
+    return F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -71,23 +65,38 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     return made.select("pair_id", "n_prompt_turns", "prompt", F.col("c.text").alias("chosen"), F.col("r.text").alias("rejected"), F.col("c.spans").alias("chosen_spans"), F.col("r.spans").alias("rejected_spans"))
 
 
+def neighbours(turns: DataFrame) -> DataFrame:
+    """pair_id, even, odd of turns(conv_id, turn, role, text): the turns of the conversations 2k and 2k + 1, in the order of turn, role and text.
+
+    Null turn numbers come first, a null role is ``unknown`` and a null text empty; repeated rows are repeated turns; rows without
+    conv_id belong to no conversation and are left out; a missing conversation has no turns. Two neighbours must fit a row, as what is
+    made of them must.
+    """
+    t, even = _turn(), F.pmod(F.col("conv_id"), F.lit(2)) == 0
+    each = turns.where("conv_id is not null").select(F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair_id"), F.when(even, t).alias("e"), F.when(~even, t).alias("o"))
+    return each.groupBy("pair_id").agg(F.array_sort(F.collect_list("e")).alias("even"), F.array_sort(F.collect_list("o")).alias("odd"))
+
+
 def neighbouring_pairs(turns: DataFrame) -> DataFrame:
     """pairs(pair_id, chosen, rejected): conversation 2k is preferred to conversation 2k + 1, as preference sets are laid out."""
-    each = conversations_of(turns).withColumn("pair_id", F.floor(F.col("conv_id") / 2).cast("long"))
-    even = F.pmod(F.col("conv_id"), F.lit(2)) == 0
-    return each.groupBy("pair_id").agg(F.first(F.when(even, F.col("turns")), ignorenulls=True).alias("chosen"), F.first(F.when(~even, F.col("turns")), ignorenulls=True).alias("rejected"))
+    return neighbours(turns).select("pair_id", F.col("even").alias("chosen"), F.col("odd").alias("rejected"))
 
 
 def answer_pairs(turns: DataFrame) -> DataFrame:
     """pairs(pair_id, chosen, rejected), one for each conversation: itself, and its turns before its last answer with another answer after them.
 
-    An answer is a turn of TRAINED_ROLE; the other one is the last answer of the conversation with the next conv_id, if there is that one and it
-    has an answer. A conversation without an answer is wholly kept before the other answer.
+    An answer is a turn of TRAINED_ROLE; the other one is the last answer of the neighbour (2k and 2k + 1 are neighbours), if there is that
+    conversation and it has an answer. A conversation without an answer is wholly kept before the other answer.
     """
-    each = conversations_of(turns).withColumn("conv_id", F.col("conv_id").cast("long"))
-    from_end = F.array_position(F.reverse(F.transform("turns", lambda t: t.role)), TRAINED_ROLE)
-    each = each.withColumn("at", F.when(from_end > 0, F.size("turns") - from_end).otherwise(F.size("turns")).cast("int"))
-    other = F.array(F.get("turns", F.col("at")))
-    others = each.where(F.col("at") < F.size("turns")).select(F.try_subtract("conv_id", F.lit(1).cast("long")).alias("conv_id"), other.alias("other"))
-    rejected = F.concat(F.slice("turns", 1, F.col("at")), F.coalesce("other", F.slice("turns", 1, 0)))
-    return each.join(others, "conv_id", "left").select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), rejected.alias("rejected"))
+    both = neighbours(turns)
+    id_ = F.shiftleft("pair_id", 1)
+    sides = F.array(
+        F.struct(id_.alias("pair_id"), F.col("even").alias("chosen"), F.col("odd").alias("other")),
+        F.struct(id_.bitwiseOR(F.lit(1)).alias("pair_id"), F.col("odd").alias("chosen"), F.col("even").alias("other")),
+    )
+    each = both.select(F.inline(sides)).where(F.size("chosen") > 0)
+    from_end = lambda c: F.array_position(F.reverse(F.transform(c, lambda t: t.role)), TRAINED_ROLE).cast("int")
+    own, others = from_end(F.col("chosen")), from_end(F.col("other"))
+    before = F.when(own > 0, F.slice("chosen", 1, F.size("chosen") - own)).otherwise(F.col("chosen"))
+    answer = F.when(others > 0, F.slice("other", F.size("other") - others + 1, 1)).otherwise(F.slice("other", 1, 0))
+    return each.select("pair_id", "chosen", F.concat(before, answer).alias("rejected"))

@@ -63,7 +63,7 @@ def op8_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompt and masked completions of each conversation against itself with the next one's last answer."""
+    """Prompt and masked completions of each conversation against itself with its neighbour's last answer."""
     return chat.format_preferences(chat.answer_pairs(read(spark, sf_dir, "conversations")))
 
 
@@ -105,7 +105,7 @@ SQL: dict[str, str] = {
         t AS (
           SELECT conv_id AS pair_id, 0 AS side, role, text, pos FROM turns
           UNION ALL SELECT conv_id, 1, role, text, pos FROM turns JOIN answers USING (conv_id) WHERE pos < ends
-          UNION ALL SELECT a.conv_id, 1, 'assistant', b.answer, a.ends FROM answers a JOIN answers b ON b.conv_id = a.conv_id + 1 WHERE b.answer IS NOT NULL),
+          UNION ALL SELECT a.conv_id, 1, 'assistant', b.answer, a.ends FROM answers a JOIN answers b ON b.conv_id = xor(a.conv_id, 1) WHERE b.answer IS NOT NULL),
         same AS (
           SELECT a.pair_id, a.pos FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.pos = b.pos AND a.side = 0 AND b.side = 1 AND a.role = b.role AND a.text = b.text),
         lcp AS (SELECT pair_id, count(*) AS n FROM (SELECT pair_id, pos, row_number() OVER (PARTITION BY pair_id ORDER BY pos) AS k FROM same) WHERE pos = k GROUP BY 1),

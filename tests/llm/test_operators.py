@@ -305,7 +305,7 @@ def test_answer_pairs(spark):
     shown = lambda *pairs: "".join(f"<|{role}|>\n{text}<|end|>\n" for role, text in pairs)
     expected = {
         0: ([("user", "hi"), ("assistant", "a"), ("user", "more")], [("assistant", "b"), ("user", "bye")], [("assistant", "other")]),
-        1: ([("user", "hi")], [("assistant", "other")], []),
+        1: ([("user", "hi")], [("assistant", "other")], [("assistant", "b")]),
         2: ([("user", "only")] * 2, [], [("assistant", "")]),
         3: ([], [("assistant", ""), ("unknown", LONG)], []),
         5: ([], [("assistant", "last")], []),
