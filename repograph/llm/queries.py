@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repograph.llm import bpe, chat, hamming, jaccard, mixing, quality, sharding, suffixes, tokenfiles, urls
+from repograph.llm import bpe, centroids, chat, hamming, improbable, jaccard, mixing, quality, sharding, spelling, suffixes, tokenfiles, urls
 from repograph.llm.common import read, shared_path
 
 #: The rules of the URL filter.
@@ -72,6 +72,21 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of each embedding of 64 components after three rounds over 16 centroids."""
+    return centroids.cluster_vectors(read(spark, sf_dir, "embeddings"), k=16, rounds=3)
+
+
+def op12_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and of its edited text, and how near they and the next document's are."""
+    return improbable.fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of each word that occurs five times or more."""
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -83,9 +98,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hamming_topk": op8_hamming_topk,
     "op9_preference_formatting": op9_preference_formatting,
     "op10_prefix_bpe": op10_prefix_bpe,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_improbable_features": op12_improbable_features,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
+
+def _clusters_sql(k: int = 16, rounds: int = 3) -> str:
+    """The rounds of the clustering one after another, every vector against every centroid."""
+    steps = [f"""
+        WITH v AS MATERIALIZED (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+          FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        c0 AS MATERIALIZED (
+          SELECT row_number() OVER (ORDER BY sha256(concat('1:', vec_id))) - 1 AS c, e
+          FROM v QUALIFY row_number() OVER (ORDER BY sha256(concat('1:', vec_id))) <= {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+        a{i} AS MATERIALIZED (
+          SELECT vec_id, any_value(e) AS e, min(d) AS d, min_by(c, (d, c)) AS c FROM (
+            SELECT v.vec_id, v.e, c.c, CAST(list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{i} c)
+          GROUP BY vec_id)""")
+        if i < rounds:
+            steps.append(f"""
+        s{i} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(e) AS x, unnest(range(1, 65)) AS i FROM a{i}) GROUP BY c, i),
+        m{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS e FROM s{i} GROUP BY c),
+        c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN m{i} m USING (c))""")
+    return ",".join(steps) + f"""
+        SELECT vec_id, CAST(c AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(k.e, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN (SELECT c, e FROM c{rounds}) k USING (c)"""
+
+
 SQL: dict[str, str] = {
+    "op11_centroid_clusters": _clusters_sql(),
     "op8_hamming_topk": """
         WITH pairs AS (
           SELECT q.vec_id AS query_id, c.vec_id AS id,
