@@ -20,6 +20,7 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ SHORTEST, LONGEST = 2, 4
 PART, LEAST = 500, 16
 #: Rows of a list that are compared together, of lists that are compared at once, and of a list from which on it is compared by itself.
 BLOCK, TOGETHER, LARGE = 4096, 1 << 15, 64
+#: Pairs that are looked at together, about, and code points of a word beyond which it is compared by itself.
+VERIFIED, WIDE = 1 << 17, 64
 
 
 def slips(doc_id: int | None, runs: Counter, every: int = 199) -> Iterator[tuple[str, int]]:
@@ -179,55 +182,86 @@ def listed(words: DataFrame, grams: Grams, shortest_word: int = 6) -> DataFrame:
     return found.select(F.xxhash64("name").alias("list"), "shorter", "word", "n", "bits", "bound")
 
 
-def one_edit_apart(a: list[str], b: list[str]) -> np.ndarray:
-    """Whether words of a and b, pair by pair, differ by exactly one inserted, deleted or replaced code point."""
-    out = np.zeros(len(a), dtype=bool)
-    sizes = np.array([[len(x) for x in a], [len(y) for y in b]]).reshape(2, -1)
-    for size in np.unique(sizes.max(axis=0)):
-        at = np.flatnonzero((sizes.max(axis=0) == size) & (sizes.min(axis=0) >= size - 1))
-        # A million code points at a time.
-        for part in np.array_split(at, max(1, len(at) * int(size) >> 20)):
-            if not len(part):
-                continue
-            long_, short = np.array([a[i] if len(a[i]) == size else b[i] for i in part]), np.array([b[i] if len(a[i]) == size else a[i] for i in part])
-            x = long_.astype(f"U{size}").view(np.uint32).reshape(-1, size)
-            y = short.astype(f"U{size}").view(np.uint32).reshape(-1, size)
-            same = sizes[0, part] == sizes[1, part]
-            out[part[same]] = (x[same] != y[same]).sum(axis=1) == 1
-            # The shorter word is the longer one without one code point: as many as it has are equal from the front and from the back together.
-            x, y = x[~same], y[~same][:, : size - 1]
-            front = np.cumprod(x[:, :-1] == y, axis=1).sum(axis=1)
-            back = np.cumprod((x[:, 1:] == y)[:, ::-1], axis=1).sum(axis=1)
-            out[part[~same]] = front + back >= size - 1
-    return out
+class Words:
+    """Words as rows of code points, so that many pairs are told apart at once."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+        self.size = np.array([len(w) for w in words], dtype=np.int64)
+        #: Code points of the words up to WIDE; longer ones are compared as strings.
+        self.codes = np.array([w if len(w) <= WIDE else "" for w in words], dtype=f"U{max(1, int(self.size.clip(max=WIDE).max(initial=1)))}")
+        self.codes = self.codes.view(np.uint32).reshape(len(words), -1)
+
+    def one_edit_apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the words i and j, pair by pair, differ by exactly one inserted, deleted or replaced code point."""
+        out = np.zeros(len(i), dtype=bool)
+        i, j = np.where(self.size[i] >= self.size[j], i, j), np.where(self.size[i] >= self.size[j], j, i)
+        size, apart = self.size[i], self.size[i] - self.size[j]
+        for at in np.flatnonzero((size > WIDE) & (apart <= 1)):
+            out[at] = _apart(self.words[i[at]], self.words[j[at]])
+        for own in np.unique(size[(size <= WIDE) & (apart <= 1)]):
+            for less in (0, 1):
+                rows = np.flatnonzero((size == own) & (apart == less))
+                # A million code points at a time.
+                for part in np.array_split(rows, len(rows) * int(own) // (1 << 20) + 1):
+                    x, y = self.codes[i[part], :own], self.codes[j[part], : own - less]
+                    if less:
+                        # The shorter word is the longer one without one code point: as many as it has are equal from the front and from the back together.
+                        front = np.logical_and.accumulate(x[:, :-1] == y, axis=1).sum(axis=1)
+                        back = np.logical_and.accumulate((x[:, 1:] == y)[:, ::-1], axis=1).sum(axis=1)
+                        out[part] = front + back >= own - 1
+                    else:
+                        out[part] = (x != y).sum(axis=1) == 1
+        return out
+
+
+def _apart(x: str, y: str) -> bool:
+    """one_edit_apart for two words, x no shorter."""
+    front = 0
+    while front < len(y) and x[front] == y[front]:
+        front += 1
+    return x != y and x[front + 1 :] == (y[front + 1 :] if len(x) == len(y) else y[front:])
 
 
 class Lists:
     """Rows of one or more lists, one after another, given as columns."""
 
     def __init__(self, group: np.ndarray, shorter: np.ndarray, words: list[str], bits: np.ndarray, bound: np.ndarray, side: np.ndarray):
-        self.words, self.shorter, self.bits, self.bound, self.side = words, shorter, bits.view(np.uint64), bound, side
-        self.size = np.array([len(w) for w in words], dtype=np.int64)
+        self.words, self.shorter, self.bits, self.bound, self.side = Words(words), shorter, bits.view(np.uint64), bound.astype(np.uint8), side
+        self.size = self.words.size
         starts = np.flatnonzero(np.r_[True, np.diff(group) != 0])
         self.starts, self.ends = starts, np.r_[starts[1:], len(group)]
         # The rows of a list are of one block or of two; of two, only pairs across count.
         self.apart = np.minimum.reduceat(side, starts) != np.maximum.reduceat(side, starts)
 
-    def _merged(self, i: np.ndarray, j: np.ndarray, apart: np.ndarray | bool) -> tuple[np.ndarray, np.ndarray]:
-        low, high = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
-        met = (self.shorter[i] == self.shorter[j]) & (low == self.shorter[i]) & (high <= low + 1) & (~np.asarray(apart) | (self.side[i] != self.side[j]))
-        i, j = i[met], j[met]
-        # Each lacks no more grams of the other than its bound; grams that share a bit only let more through.
-        met = (np.bitwise_count(self.bits[i] & ~self.bits[j]) <= self.bound[i]) & (np.bitwise_count(self.bits[j] & ~self.bits[i]) <= self.bound[j])
-        return i[met], j[met]
-
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Rows of two words that are one edit apart."""
-        for i, j in self._met():
-            near = one_edit_apart([self.words[r] for r in i], [self.words[r] for r in j])
-            yield i[near], j[near]
-
-    def _met(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of two words that are one edit apart, many candidates verified at a time."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for i, j in chain(self._of_short(), self._of_long()):
+            held.append((i, j))
+            size += len(i)
+            if size >= VERIFIED:
+                yield self._verified(held)
+                held, size = [], 0
+        yield self._verified(held)
+
+    def _verified(self, held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        i, j = (np.concatenate([h[k] for h in held] or [np.zeros(0, dtype=np.int64)]) for k in (0, 1))
+        near = self.words.one_edit_apart(i, j)
+        return i[near], j[near]
+
+    def _merged(self, i: np.ndarray, j: np.ndarray, apart: np.ndarray | bool) -> np.ndarray:
+        """Which of the pairs i, j (arrays that broadcast) count: one has the list's length, the other at most one code point more, and each lacks no more
+        grams of the other than its bound. Grams that share a bit only let more through."""
+        a, b = self.size[i], self.size[j]
+        met = (self.shorter[i] == self.shorter[j]) & (np.minimum(a, b) == self.shorter[i]) & (np.maximum(a, b) <= self.shorter[i] + 1)
+        met &= ~np.asarray(apart) | (self.side[i] != self.side[j])
+        x, y = self.bits[i], self.bits[j]
+        return met & (np.bitwise_count(x & ~y) <= self.bound[i]) & (np.bitwise_count(y & ~x) <= self.bound[j])
+
+    def _of_short(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Candidates of lists below LARGE, by their distance in the order of rows."""
         sizes = self.ends - self.starts
         rows = np.flatnonzero(np.repeat(sizes <= LARGE, sizes))
         end, apart = np.repeat(self.ends, sizes)[rows], np.repeat(self.apart, sizes)[rows]
@@ -236,11 +270,20 @@ class Lists:
             rows, end, apart = rows[inside], end[inside], apart[inside]
             if not len(rows):
                 break
-            yield self._merged(rows, rows + lag, apart)
-        for start, end_, apart_ in zip(self.starts, self.ends, self.apart, strict=True):
-            if end_ - start > LARGE:
-                for i in range(start, end_ - 1):
-                    yield self._merged(np.full(end_ - i - 1, i), np.arange(i + 1, end_), apart_)
+            met = self._merged(rows, rows + lag, apart)
+            yield rows[met], rows[met] + lag
+
+    def _of_long(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Candidates of the other lists, some rows against all behind them at a time."""
+        for start, end, apart in zip(self.starts, self.ends, self.apart, strict=True):
+            if end - start <= LARGE:
+                continue
+            at, some = start, max(1, VERIFIED // (end - start))
+            while at < end - 1:
+                i, j = np.arange(at, min(at + some, end - 1)), np.arange(at + 1, end)
+                k, m = np.nonzero(self._merged(i[:, None], j[None, :], apart) & (j[None, :] > i[:, None]))
+                yield i[k], j[m]
+                at += some
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
