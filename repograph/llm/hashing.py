@@ -1,12 +1,14 @@
 """Words and word shingles of many texts at once, as 64-bit hashes in numpy.
 
 A text's bytes, A-Z lower-cased, are read once; the hash of any stretch is a difference of prefix sums of table[byte] * base**position
-(modulo 2**64), made independent of the place by the inverse power. Two different words, or two shingles, share a hash with a chance
-of about 2**-64.
+(modulo 2**64), made independent of the place by the inverse power. That holds for stretches of LONGEST bytes at most: longer ones can be made to share such
+a hash (as the Thue-Morse word of 1024 letters and its complement do), so they are hashed by blake2b one by one. Two different words, or two shingles,
+share a hash with a chance of about 2**-64.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +21,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, *range(9, 14)]] = True
+#: Bytes of the longest stretch that is hashed by sums.
+LONGEST = 512
 #: Bytes worked on at a time, about; a longer text is taken alone.
 CHUNK = 1 << 21
 
@@ -69,7 +73,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sums = np.empty(len(raw) + 1, dtype=np.uint64)
     sums[0] = 0
     np.cumsum(_TABLE[_LOWER[raw]] * up[:-1], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts])
+    hashes = long_stretches(_LOWER[raw], sums, down, starts, ends)
     first = np.cumsum([1, *(len(t) + 1 for t in texts)])[:-1] if texts else np.zeros(0, dtype=np.int64)
     return hashes, np.searchsorted(first, starts, side="right") - 1
 
@@ -107,3 +111,11 @@ def byte_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def stretches(sums: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * down[start])
+
+
+def long_stretches(raw: np.ndarray, sums: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """As stretches, for stretches of raw bytes of any length."""
+    hashes = stretches(sums, down, start, end)
+    for i in np.flatnonzero(end - start > LONGEST):
+        hashes[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return hashes

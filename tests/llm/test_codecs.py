@@ -1,5 +1,6 @@
 """Parts without Spark: the prefix encoder, the range coder, suffix arrays, hashes and nearest codes, against plain versions."""
 
+import json
 import random
 from collections import Counter
 
@@ -145,3 +146,24 @@ def test_nearest_codes():
         expected = sorted((int(np.bitwise_count(codes[i] ^ codes[q])), i) for i in range(400))[:10]
         assert block.nearest(codes[q], 10) == expected
     assert len(block.nearest(codes[0], 1000)) == 400
+
+
+def test_long_words_that_share_sums_are_told_apart():
+    """The Thue-Morse word of 1024 letters and its complement have the same sum modulo 2**64 for every odd base."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    texts = [word.encode(), word.translate(str.maketrans("ab", "ba")).encode()]
+    hashes, _ = hashing.word_hashes(texts)
+    assert hashes[0] != hashes[1] and hashing.word_hashes([texts[0].upper()])[0][0] == hashes[0]
+    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    both = hashing.long_stretches(raw, *hashing.byte_sums(raw), np.array([0, 1024]), np.array([1024, 2048]))
+    assert both[0] != both[1]
+
+
+def test_tokenizers_that_files_cannot_hold():
+    wide = json.loads(open(public_tokenizers.path("word_bpe_49k.json")).read())
+    n = len(wide["model"]["vocab"])
+    wide["model"]["vocab"] |= {f"\u4e00{i}": n + i for i in range(20_000)}
+    with pytest.raises(ValueError, match="16 bits"):
+        tokenfiles.WordEncoder(json.dumps(wide))
+    with pytest.raises(ValueError, match="one after another"):
+        tokenfiles.WordEncoder(open(public_tokenizers.path("byte_bpe_50k.json")).read())
