@@ -389,8 +389,9 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
         with_words = each.where("n_shingles > 0")
     classes = with_words.groupBy("class").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"))
     several, several_at = written(tiles_of_several(tiles_of(docs, width, percent, shared)), "tiles")
-    rows = tiles_of(docs, width, percent, shared, marks(several))
-    members, members_at = written(rows.join(several, "tile").select("tile", "class").distinct(), "members")
+    # Copies of a class are one before they meet the tiles.
+    rows = tiles_of(docs, width, percent, shared, marks(several)).distinct()
+    members, members_at = written(rows.join(several, "tile").select("tile", "class"), "members")
 
     # One document of each class; a copy of it (an equal row) gives the same row of the table.
     picked, n_classes = settled(members.select("class").distinct().join(classes, "class").select("class", "key"))
