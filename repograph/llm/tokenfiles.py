@@ -34,6 +34,8 @@ END = 2
 REMEMBERED, LONGEST_WORD = 300_000, 64
 #: Documents whose new words are encoded in one call.
 TOGETHER = 64
+#: Texts whose ids tell whether a tokenizer's pattern goes over blanks, or takes them into its tokens.
+PROBES = ["the quick brown fox", "a  b\n\nc\td ", "It's 12 a-b 3.5\r\n (x y)"]
 #: Blanks that the tokenizer turns into a word boundary and that no token spans.
 WORD = re.compile("[^ \t\n\r]+")
 
@@ -50,6 +52,10 @@ class WordEncoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        if self.size > 1 << 16:
+            raise ValueError(f"a vocabulary of {self.size} ids; files hold ids of 16 bits")
+        if any(self._of([t])[0] != b"".join(self._of(WORD.findall(t))) for t in PROBES):
+            raise ValueError("the tokenizer's ids of a text are not those of its words one after another")
         self.old: dict[str, bytes] = {}
 
     def _of(self, words: list[str]) -> list[bytes]:
@@ -143,6 +149,13 @@ def encoded_blocks(docs: DataFrame, tokenizer: str | None = None, end: int = END
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END) -> None:
+    """Write the ids of docs(doc_id, text), each document ended by ``end``, in ascending order of doc_id as blocks in Parquet files below path.
+
+    doc_id is a whole number of any type, or null (first); rows with the same one are in the order of their texts' hashes, repeated rows one after another. A null or
+    empty text has the end id alone. ``tokenizer`` is a vocabulary of at most 65,536 ids whose tokens don't go over blanks; others raise a ValueError.
+    """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be a whole number")
     encoded_blocks(docs, tokenizer, end).write.parquet(path)
 
 

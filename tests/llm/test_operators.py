@@ -10,9 +10,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from repograph.llm import bpe, chat, components, hamming, jaccard, mixing, quality, sharding, suffixes, tokenfiles, urls
-from repograph.llm.queries import URL_RULES
+from repograph.llm.queries import URL_RULES, op6_token_files
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int"
 LONG = "lorem ipsum dolor sit amet " * 3000
@@ -250,6 +251,30 @@ def test_token_files_split_long_documents(spark, tmp_path):
         at += r["n_tokens"]
 
 
+def test_token_file_query_equals_the_library_on_whole_texts(spark):
+    """Ids of the tokenizers library for each whole document, not for words, and their checksums."""
+    folder = "/root/testdata/sf0.001"
+    library, at, expected = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0, {}
+    for r in sorted(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect(), key=lambda r: r.doc_id):
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 2]
+        expected[r.doc_id] = (at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+        at += len(ids)
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in rows_of(op6_token_files(spark, folder))} == expected
+
+
+def test_token_files_of_names_that_are_no_numbers(spark, tmp_path):
+    with pytest.raises(TypeError):
+        tokenfiles.write_token_files(spark.createDataFrame([("a", "b")], "doc_id string, text string"), str(tmp_path / "x"))
+
+
+def test_labels_beyond_the_bound_are_chosen_by_their_hash(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    some = [r["doc_id"] for r in rows_of(quality.labelled_statistics(docs, labels, 300))]
+    first = labels.orderBy(F.xxhash64("doc_id")).limit(300).select("doc_id")
+    assert len(some) == 300 and set(some) == {r["doc_id"] for r in rows_of(first)}
+
+
 def test_sharding(spark, docs, nothing):
     out = rows_of(sharding.shard_documents(docs, 4))
     shards = Counter(r["shard"] for r in out)
