@@ -222,3 +222,35 @@ def test_call_layers_of_a_long_chain(spark):
     ring = spark.createDataFrame([("25", "26"), ("26", "25")], "src string, dst string")
     found = {r.id: (r.level, r.in_cycle) for r in graph.call_layers(methods, calls.union(ring)).collect()}
     assert all(found[str(i)] == (24 - i, False) for i in range(25)) and found["25"] == found["26"] == (25, True)
+
+
+def test_scopes_of_a_very_long_file(spark):
+    """200,000 lines of nested, one-line and unclosed declarations: each is closed as by counting braces from it on, in one pass."""
+    lines = []
+    while len(lines) < 200_000:
+        k = len(lines)
+        lines += [f"class C{k} {{", f"  m{k}(x) {{", "    if (x) {", "      return 1;", "    }", "  }", f"  n{k}() {{}}", "}", f"const a{k} = (x) => x;", f"function f{k}() {{"] + ["}"] * (k % 3 != 0)
+    content = "\n".join(lines)
+    facts = files.with_file_facts(spark.createDataFrame([("r", "long.js", content)], "repo string, path string, content string"))
+    found = {(r.kind, r.parent_name, r.name): (r.start_line, r.end_line) for r in symbols.symbols(facts, code=False).collect()}
+    for at in range(0, len(lines), 12_347):
+        k = next(i for i in range(at, len(lines)) if lines[i].startswith("class")) if at + 20 < len(lines) else 0
+        assert found["class", None, f"C{k}"] == (k + 1, k + 8)
+        assert found["method", f"C{k}", f"m{k}"] == (k + 2, k + 6) and found["method", f"C{k}", f"n{k}"] == (k + 7, k + 7)
+        assert found["function", None, f"a{k}"] == (k + 9, k + 9)
+        closes, depth = None, 0
+        for i in range(k + 9, min(len(lines), k + 5000)):
+            depth += lines[i].count("{") - lines[i].count("}")
+            if depth <= 0:
+                closes = i + 1
+                break
+        assert ("function", None, f"f{k}") not in found if closes is None and k + 5000 >= len(lines) else closes is None or found["function", None, f"f{k}"] == (k + 10, closes)
+
+
+def test_scopes_take_time_in_proportion():
+    """A file of declarations inside one another, which met all lines behind them before, in one pass."""
+    n = 100_000
+    ends = symbols._ends_by_braces([(i, False) for i in range(n)], [1] * n + [0] * n, [1] * n + [-1] * n, [False] * 2 * n)
+    assert ends == [2 * n - 1 - i for i in range(n)]
+    assert symbols._around([(i, 2 * n - 1 - i, True) for i in range(n)]) == list(range(-1, n - 1))
+    assert symbols._ends_by_indent([*range(n), 0]) == [n - 1] * n + [n]
