@@ -33,7 +33,6 @@ IMPORT_PATTERNS = {
     "rust": [r"^\s*use\s+([\w:]+)", r"^\s*extern\s+crate\s+(\w+)"],
     "c": [r"#\s*include\s+[\"<]([^\">]+)[\">]"],
     "cpp": [r"#\s*include\s+[\"<]([^\">]+)[\">]"],
-    "html": [r"href=\"([^\"]+)\""],
 }
 
 # Extensions that an import's last part is tried with, in this order.
@@ -49,7 +48,8 @@ STAGES = [("structure_graph_build", 1, 3.0), ("dependency_graph_build", 2, 2.0),
 # The collection that holds the vectors of each label.
 COLLECTIONS = {"File": "file_summary", "Class": "class_summary", "Method": "method_summary", "Module": "semantic_summary", "Workflow": "semantic_summary"}
 CODE_COLLECTIONS = {"Class": "class_code", "Method": "method_code"}
-ALL_COLLECTIONS = ["class_summary", "file_summary", "method_summary", "semantic_detail", "semantic_summary"]
+DETAIL_COLLECTION = "semantic_detail"
+ALL_COLLECTIONS = sorted({*COLLECTIONS.values(), *CODE_COLLECTIONS.values(), DETAIL_COLLECTION})
 
 # Declarations by language as (kind, symbol type, pattern of a line, group of the name). Kind "scope" only names a parent.
 _JS = [

@@ -80,14 +80,20 @@ def contain_closure(edges: DataFrame, roots: DataFrame, depth: int | None = None
 def node_dependencies(edges: DataFrame, sources: DataFrame, depth: int = 1, most: int | None = 100) -> DataFrame:
     """source, target, rel_types and distance of all paths of at most ``depth`` edges in either direction from sources(id).
 
-    No edge is used twice in a path and a path does not end where it began. ``most`` paths for each source are returned, nearest first.
+    No edge is used twice in a path and a path does not end where it began. ``most`` paths for each source are returned, nearest first. So that a node with
+    very many edges is no burden, the last step goes to its first neighbours only: as many as can be among the first ``most``, beside the source and those that
+    the path has been at.
     """
     e = edges.select("src", "dst", "rel_type").withColumn("edge", F.xxhash64("src", "dst", "rel_type"))
     either = e.select(F.col("src").alias("at"), F.col("dst").alias("to"), "rel_type", "edge").union(e.where("src <> dst").select("dst", "src", "rel_type", "edge"))
     paths = sources.select(F.col("id").alias("source"), F.col("id").alias("at"), F.array().cast("array<string>").alias("rel_types"), F.array().cast("array<bigint>").alias("edges"))
     found = None
     for distance in range(1, depth + 1):
-        step = paths.join(either, "at").where("not array_contains(edges, edge)")
+        ways = either
+        if most is not None and distance == depth:
+            near = F.dense_rank().over(Window.partitionBy("at").orderBy("to"))
+            ways = either.withColumn("_near", near).where(F.col("_near") <= most + depth + 1).drop("_near")
+        step = paths.join(ways, "at").where("not array_contains(edges, edge)")
         paths = step.select("source", F.col("to").alias("at"), F.concat("rel_types", F.array("rel_type")).alias("rel_types"), F.concat("edges", F.array("edge")).alias("edges"))
         level = paths.where("at <> source").select("source", F.col("at").alias("target"), F.array_join("rel_types", ",").alias("rel_types"), F.lit(distance).alias("distance"))
         found = level if found is None else found.union(level)
@@ -150,3 +156,8 @@ def children_summaries(nodes: DataFrame, edges: DataFrame, children: DataFrame,
 
 def paginate(nodes: DataFrame, skip: int, limit: int) -> DataFrame:
     return nodes.orderBy("id").offset(skip).limit(limit)
+
+
+def first_rows(df: DataFrame, key: str | list[str], order: list, n: int) -> DataFrame:
+    """The first n rows of each key."""
+    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repograph.functions import columns as C
 from repograph.functions import dims
+from repograph.operators.graph import checkpointed
+from repograph.operators.substrings import containing
 
 
 def extract_imports(files: DataFrame) -> DataFrame:
@@ -79,9 +83,10 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     tried = exact.select("repo", "module", "language", F.posexplode(F.array(*(F.concat("part", F.lit(e)) for e in dims.IMPORT_EXTENSIONS))).alias("_rank", "key"))
     second = tried.join(names, ["repo", "key"]).groupBy("repo", "module", "language").agg(F.min_by("target_path", "_rank").alias("_t2"))
     both = exact.join(second, ["repo", "module", "language"], "left")
+    both = checkpointed(both)
     # Only parts that nothing else resolved are looked for inside paths, once for each repo.
-    open_ = both.where("_t1 is null and _t2 is null and part <> ''").select("repo", "part").distinct()
-    third = open_.join(files.select("repo", "path"), "repo").where(F.col("path").contains(F.col("part"))).groupBy("repo", "part").agg(F.min("path").alias("_t3"))
+    open_ = both.where("_t1 is null and _t2 is null and part <> ''")
+    third = containing(open_, files, "repo", "part", "path").groupBy("repo", "part").agg(F.min("path").alias("_t3"))
     found = both.join(third, ["repo", "part"], "left")
     tier = F.when(F.col("_t1").isNotNull(), 1).when(F.col("_t2").isNotNull(), 2).when(F.col("_t3").isNotNull(), 3)
     found = found.select("repo", "module", "language", F.coalesce("_t1", "_t2", "_t3").alias("target_path"), tier.alias("match_tier"))
@@ -95,17 +100,65 @@ def use_edges(files: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     return edges.select("repo", C.node_id("file", "repo", "path").alias("src"), C.node_id("file", "repo", "target_path").alias("dst"), F.lit("USE").alias("rel_type"), "match_tier")
 
 
-def resolve_calls(calls: DataFrame, methods: DataFrame) -> DataFrame:
-    """src, dst, call_name and same_file: targets by name in the repo; those of the same file alone where there are any.
+#: A name with fewer pairs of callers and targets than this many for each of them is not worth a class of its own.
+FEW = 4
+
+
+@dataclass(frozen=True)
+class FactoredCalls:
+    """Resolved calls without the pairs of names that many methods call and many have.
+
+    plain: src, dst, call_name and same_file of the others. classes: repo, call_name, n_callers and n_targets of those names; callers(repo, call_name, src) and
+    targets(repo, call_name, dst) are their members. Each caller of a class calls each of its targets, in another file. Rows in all are at most a
+    few times the callers and targets.
+    """
+
+    plain: DataFrame
+    classes: DataFrame
+    callers: DataFrame
+    targets: DataFrame
+
+    def pairs(self) -> DataFrame:
+        """repo, src, dst, call_name and same_file of all calls, the classes multiplied out."""
+        more = self.callers.join(self.targets, ["repo", "call_name"]).select("repo", "src", "dst", "call_name", F.lit(False).alias("same_file"))
+        return self.plain.union(more)
 
-    Calls are made distinct before they meet their targets. A name that very many methods share makes a large join, which adaptive execution splits.
+    def degree(self) -> DataFrame:
+        """id and degree: how many different methods a method calls, itself left out, for those that call any; nothing is multiplied out.
+
+        A method has one name, so what a method calls by one name it does not call by another; and it is asked by its own name never.
+        """
+        one = self.plain.where("src <> dst").groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("degree"))
+        more = self.callers.join(self.classes.select("repo", "call_name", "n_targets"), ["repo", "call_name"]).select(F.col("src").alias("id"), F.col("n_targets").alias("degree"))
+        return one.union(more).groupBy("id").agg(F.sum("degree").alias("degree"))
+
+    def counts(self) -> DataFrame:
+        """repo, call_name and n: the number of calls (caller and target) by name, nothing multiplied out."""
+        named = self.plain.groupBy("repo", "call_name").agg(F.count("*").alias("n"))
+        return named.union(self.classes.select("repo", "call_name", F.col("n_callers") * F.col("n_targets"))).groupBy("repo", "call_name").agg(F.sum("n").alias("n"))
+
+
+def factored_calls(calls: DataFrame, methods: DataFrame, few: int = FEW) -> FactoredCalls:
+    """Calls resolved by name in the repo, to the methods of the same file alone where there are any (see FactoredCalls).
+
+    Calls are made distinct before they meet their targets. A name becomes a class if callers times targets are more than ``few`` times their sum.
     """
     asked = calls.where("call_name <> own_name").select("repo", "src", "path", "call_name").distinct()
     target = methods.select("repo", F.col("name").alias("call_name"), F.col("id").alias("dst"), F.col("file_path").alias("_path"))
     local = asked.join(target.withColumnRenamed("_path", "path"), ["repo", "path", "call_name"]).select("repo", "src", "dst", "call_name", F.lit(True).alias("same_file"))
-    rest = asked.join(target.select("repo", F.col("_path").alias("path"), "call_name").distinct(), ["repo", "path", "call_name"], "left_anti")
-    other = rest.join(target, ["repo", "call_name"]).select("repo", "src", "dst", "call_name", F.lit(False).alias("same_file"))
-    return local.union(other)
+    rest = checkpointed(asked.join(target.select("repo", F.col("_path").alias("path"), "call_name").distinct(), ["repo", "path", "call_name"], "left_anti").select("repo", "call_name", "src").distinct())
+    target = checkpointed(target.select("repo", "call_name", "dst").distinct())
+    count = lambda df, name: df.groupBy("repo", "call_name").agg(F.count("*").alias(name))
+    sizes = count(rest, "n_callers").join(count(target, "n_targets"), ["repo", "call_name"])
+    classes = checkpointed(sizes.where(F.col("n_callers") * F.col("n_targets") > few * (F.col("n_callers") + F.col("n_targets"))))
+    of, other = (lambda df: df.join(classes.select("repo", "call_name"), ["repo", "call_name"], "left_semi")), (lambda df: df.join(classes.select("repo", "call_name"), ["repo", "call_name"], "left_anti"))
+    plain = other(rest).join(target, ["repo", "call_name"]).select("repo", "src", "dst", "call_name", F.lit(False).alias("same_file"))
+    return FactoredCalls(local.union(plain), classes, of(rest), of(target))
+
+
+def resolve_calls(calls: DataFrame, methods: DataFrame) -> DataFrame:
+    """repo, src, dst, call_name and same_file of all calls: factored_calls multiplied out, which a name that very many methods call and have makes large."""
+    return factored_calls(calls, methods).pairs()
 
 
 def call_edges(methods: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repograph.operators.graph import checkpointed, with_related
+from repograph.operators.graph import checkpointed, first_rows, with_related
+from repograph.operators.providers import answered
+from repograph.operators.substrings import containing
 
 PROMPT_CODE, FILE_TEXT, DOC_SUMMARY, HIT_CODE, CALLEES = 3000, 5000, 200, 500, 5
 
@@ -37,24 +39,30 @@ def skip_existing(nodes: DataFrame, summarised: Callable[[DataFrame], DataFrame]
     return nodes.where(have).unionByName(summarised(nodes.where(~have)))
 
 
-def bottom_up_summaries(methods: DataFrame, calls: DataFrame, layers: DataFrame, summarise: Callable[[Column], Column] | None = None) -> DataFrame:
+def bottom_up_summaries(methods: DataFrame, calls: DataFrame, layers: DataFrame, summarise: Callable[[Column], Column] | None = None, provider: str | None = None, cache: str | None = None) -> DataFrame:
     """id, level and summary of methods(id, name, start_line, end_line): each level is given the names or summaries of the one below.
 
-    ``summarise`` turns the request column (name and summaries of the callees) into a summary; without it the extractive summary is taken, whose parts are
-    the callees' names. Levels are joined one after another, as each needs the one before.
+    ``summarise`` turns the request column (name and summaries of the callees) into a summary; ``provider`` names a registered chat provider that is asked with
+    the prompt of code and callees' summaries (methods also have code and language), see providers.answered for ``cache``. Without either the extractive
+    summary is taken, whose parts are the callees' names. Levels are joined one after another, as each needs the one before.
     """
     known = None
     leveled = checkpointed(methods.join(layers.select("id", "level"), "id"))
     name = leveled.select(F.col("id").alias("dst"), F.col("name").alias("callee"))
-    if summarise is None:
+    if summarise is None and provider is None:
         uses = with_related(leveled, calls.join(name, "dst").select(F.col("src").alias("id"), F.col("callee").alias("value")), "uses")
         return uses.select("id", "level", extractive_summary(F.lit("method"), F.col("name"), F.col("start_line"), F.col("end_line"), F.col("uses")).alias("summary"))
     for (level,) in leveled.select("level").distinct().orderBy("level").collect():
         now = leveled.where(F.col("level") == level)
         below = calls.join(known.select(F.col("id").alias("dst"), "summary"), "dst").select(F.col("src").alias("id"), F.col("summary").alias("value")) if known is not None else now.select("id", F.lit(None).cast("string").alias("value")).limit(0)
-        made = with_related(now, below, "uses").select("id", "level", summarise(F.concat(F.col("name"), F.lit(": "), F.array_join(F.slice("uses", 1, CALLEES), "; "))).alias("summary"))
+        uses = with_related(now, below, "uses")
+        if provider is None:
+            made = uses.select("id", "level", summarise(F.concat(F.col("name"), F.lit(": "), F.array_join(F.slice("uses", 1, CALLEES), "; "))).alias("summary"))
+        else:
+            asked = uses.select("id", "level", summary_prompt(F.col("code"), F.lit("method"), F.col("language"), callees=F.col("uses")).alias("_request"))
+            made = answered(asked, "_request", provider, cache, "summary").select("id", "level", "summary")
         known = checkpointed(made if known is None else known.union(made))
-    return known
+    return known if known is not None else leveled.select("id", "level", F.lit(None).cast("string").alias("summary"))
 
 
 def rollup_summaries(nodes: DataFrame, lists: list[str]) -> DataFrame:
@@ -122,11 +130,16 @@ def file_module_edges(owners: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def workflow_contains(workflows: DataFrame, symbols: DataFrame, most: int = 10) -> DataFrame:
-    """CONTAIN edges from a workflow to the first ``most`` classes or methods of its repo whose path contains a keyword, for each keyword."""
+    """CONTAIN edges from a workflow to the first ``most`` classes or methods (by id) of its repo whose path contains a keyword, for each keyword.
+
+    Keywords meet paths through an index of grams; of a path only its first ``most`` symbols count, so a keyword meets no more rows than ``most`` times its paths.
+    """
     asked = workflows.select("repo", F.col("id").alias("src"), F.explode("keywords").alias("keyword")).distinct()
-    met = asked.join(symbols.select("repo", "id", "file_path"), "repo").where(F.col("file_path").contains(F.col("keyword")))
-    ranked = met.withColumn("_rank", F.row_number().over(Window.partitionBy("src", "keyword").orderBy("id"))).where(F.col("_rank") <= most)
-    return ranked.select("repo", "src", F.col("id").alias("dst"), F.lit("CONTAIN").alias("rel_type")).distinct()
+    met = containing(asked, symbols, "repo", "keyword", "file_path")
+    first = first_rows(symbols.select("repo", "file_path", "id"), ["repo", "file_path"], ["id"], most)
+    found = met.join(first, ["repo", "file_path"]).select("repo", "keyword", "id")
+    ranked = first_rows(found, ["repo", "keyword"], ["id"], most)
+    return asked.join(ranked, ["repo", "keyword"]).select("repo", "src", F.col("id").alias("dst"), F.lit("CONTAIN").alias("rel_type")).distinct()
 
 
 def detect_modules(files: DataFrame, uses: DataFrame) -> DataFrame:

@@ -189,5 +189,6 @@ def symbol_nodes(found: DataFrame) -> DataFrame:
     """Class and Method nodes of symbols, with natural keys."""
     is_class = F.col("kind") == "class"
     key = F.when(is_class, C.node_id("class", "repo", "path", "name")).when(F.col("parent_name").isNotNull(), C.node_id("method", "repo", "path", "parent_name", "name")).otherwise(C.node_id("method", "repo", "path", "name"))
-    return found.select(key.alias("id"), F.when(is_class, "Class").otherwise("Method").alias("label"), "name", "repo", F.col("path").alias("file_path"), "start_line", "end_line", "language", "code", F.when(is_class, C.real_type(F.col("symbol_type"))).alias("real_type"), "parent_name")
+    code = ["code"] if "code" in found.columns else []
+    return found.select(key.alias("id"), F.when(is_class, "Class").otherwise("Method").alias("label"), "name", "repo", F.col("path").alias("file_path"), "start_line", "end_line", "language", *code, F.when(is_class, C.real_type(F.col("symbol_type"))).alias("real_type"), "parent_name")
 

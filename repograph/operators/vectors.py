@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from repograph.functions import columns as C
 from repograph.functions import dims
 from repograph.operators.graph import checkpointed
+from repograph.operators.providers import tried
 
 DIMENSION = 64
 #: A side of so many queries at most is sent to every task; more go by blocks of the corpus.
@@ -40,14 +40,7 @@ def embed_nodes(nodes: DataFrame, text: str = "summary", provider: str | None =
     embed = _PROVIDERS[provider]
 
     def asked(texts: list[str]) -> list[list[float]]:
-        for k in range(tries):
-            try:
-                return embed(texts)
-            except Exception:
-                if k == tries - 1:
-                    raise
-                time.sleep(delay * 2**k)
-        return []
+        return tried(embed, texts, tries, delay)
 
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
@@ -71,6 +64,29 @@ def code_records(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("label").isin(*dims.CODE_COLLECTIONS)).select(F.md5(F.concat("id", F.lit("#code"))).alias("id"), collection.alias("collection"), "name", F.col("id").alias("node_id"), "repo", F.col("label").alias("type"), F.col("code").alias("summary"), "embedding")
 
 
+#: Characters of a chunk of a long text, and how many two neighbours share.
+CHUNK, OVERLAP = 2000, 200
+
+
+def chunks(nodes: DataFrame, text: str = "content", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """nodes(id, label, name, repo, <text>) as overlapping pieces of the text: chunk_no (from 0), offset (characters before it) and chunk.
+
+    Each piece but the last has ``size`` characters and begins size - overlap behind the one before; the last ends with the text. Null and blank texts have none.
+    """
+    step, length = size - overlap, F.length(text)
+    last = F.greatest(F.ceil((length - overlap) / F.lit(step)).cast("int") - 1, F.lit(0))
+    rows = nodes.where(F.length(F.trim(text)) > 0).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.withColumn("offset", F.col("chunk_no") * step)
+    return rows.select("id", "label", "name", "repo", "chunk_no", "offset", F.substring(F.col(text), F.col("offset") + 1, F.lit(size)).alias("chunk"))
+
+
+def detail_records(nodes: DataFrame, text: str = "content", provider: str | None = None) -> DataFrame:
+    """The chunks of nodes (see chunks) that are not blank, embedded, as records of the collection of details, which also have chunk_no and offset."""
+    nodes = embed_nodes(chunks(nodes, text).withColumn("_trimmed", F.col("chunk")), "_trimmed", provider)
+    made = F.md5(F.concat("id", F.lit("#"), F.col("chunk_no").cast("string")))
+    return nodes.select(made.alias("id"), F.lit(dims.DETAIL_COLLECTION).alias("collection"), "name", F.col("id").alias("node_id"), "repo", F.col("label").alias("type"), F.col("chunk").alias("summary"), "embedding", "chunk_no", "offset")
+
+
 def scores(vectors: DataFrame, queries: DataFrame, where: Column | None = None, within: tuple[str, ...] = ()) -> DataFrame:
     """query_id, id, node_id, repo, type and score of all vectors that rows of queries(query_id, query) ask for.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from repograph.functions import columns as C
 from repograph.functions import dims
 from repograph.operators import files as files_ops
-from repograph.operators import graph, references, runs, semantic, symbols, vectors
+from repograph.operators import graph, providers, references, runs, semantic, symbols, vectors
 from repograph.plans import build
 from repograph.sources import derived as D
 from repograph.sources import tables
@@ -257,7 +257,34 @@ def distinct_relations(spark, sf_dir):
 
 @query(f"WITH {CALL} SELECT src AS id, count(*) AS degree FROM ce GROUP BY 1")
 def call_degree(spark, sf_dir):
-    return references.call_edges(_methods(spark, sf_dir)).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    methods = _methods(spark, sf_dir)
+    return references.factored_calls(references.extract_calls(methods), methods).degree()
+
+
+_ORDERS = """o AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 < 4 THEN 'run' ELSE concat('f', o_orderkey % 50) END AS name,
+   CASE WHEN o_orderkey % 3 = 0 THEN 'run' ELSE concat('f', o_orderkey * 7 % 50) END AS call_name FROM orders)"""
+
+
+def _shared_names(spark: SparkSession, sf_dir: str) -> references.FactoredCalls:
+    """Methods of orders, four in ten of them named alike, and a third of all calls to that name: a pair of any two would be quadratic."""
+    o = D.derived(spark, sf_dir, f"WITH {_ORDERS} SELECT 'r' AS repo, concat('m', o_orderkey) AS id, concat('p', o_custkey) AS file_path, name, call_name FROM o", "orders")
+    calls = o.select("repo", F.col("id").alias("src"), F.col("file_path").alias("path"), F.col("name").alias("own_name"), "call_name")
+    return references.factored_calls(calls, o)
+
+
+_SHARED = f"""{_ORDERS}, asked AS (SELECT * FROM o WHERE call_name <> name), inside AS (SELECT DISTINCT o_custkey, name FROM o),
+ per AS (SELECT name, count(*) AS n FROM o GROUP BY 1), here AS (SELECT o_custkey, name, count(*) AS n FROM o GROUP BY 1, 2),
+ d AS (SELECT a.o_orderkey, a.call_name, coalesce(h.n, p.n) AS degree FROM asked a JOIN per p ON p.name = a.call_name LEFT JOIN here h ON h.o_custkey = a.o_custkey AND h.name = a.call_name)"""
+
+
+@query(f"WITH {_SHARED} SELECT concat('m', o_orderkey) AS id, degree FROM d")
+def call_degree_of_shared_names(spark, sf_dir):
+    return _shared_names(spark, sf_dir).degree()
+
+
+@query(f"WITH {_SHARED} SELECT call_name, CAST(sum(degree) AS BIGINT) AS n FROM d GROUP BY 1")
+def factored_call_counts(spark, sf_dir):
+    return _shared_names(spark, sf_dir).counts().select("call_name", "n")
 
 
 # --- structure ------------------------------------------------------------------------------------------------------------------------------------
@@ -291,7 +318,7 @@ def method_parent(spark, sf_dir):
 @query(f"""WITH {SYM}, dirs AS (SELECT repo, d AS path FROM f UNION SELECT repo, concat(d, '/s', k % 5) FROM f) SELECT repo, label, count(*) AS n FROM (
   SELECT DISTINCT repo, 'Repository' AS label FROM f UNION ALL SELECT repo, 'Directory' FROM dirs UNION ALL SELECT repo, 'File' FROM f UNION ALL SELECT repo, CASE WHEN kind = 'class' THEN 'Class' ELSE 'Method' END FROM sym) GROUP BY 1, 2""")
 def label_counts(spark, sf_dir):
-    return build.structure(spark, D.corpus(spark, sf_dir)).nodes.groupBy("repo", "label").agg(F.count("*").alias("n"))
+    return build.label_counts(D.corpus(spark, sf_dir))
 
 
 @query(f"WITH {CALL}, {USE[len(FILES) + 2 :]} SELECT repo, 'CALL' AS rel_type, count(*) AS n FROM ce GROUP BY 1 UNION ALL SELECT repo, 'USE', count(*) FROM ue GROUP BY 1")
@@ -371,7 +398,7 @@ def project_structure(spark, sf_dir):
 
 
 _EITHER = "e AS (SELECT src, dst, rel_type FROM ke), b AS (SELECT src AS a, dst AS z, rel_type, concat(src, '>', dst, rel_type) AS edge FROM e UNION ALL SELECT dst, src, rel_type, concat(src, '>', dst, rel_type) FROM e WHERE src <> dst)"
-_HOPS = f"""{KG}, {_EITHER}, s AS (SELECT id FROM kn WHERE label = 'File' AND repo = 'ASIA'),
+_HOPS = f"""{KG}, {_EITHER}, s AS (SELECT id FROM kn WHERE label = 'File'),
  one AS (SELECT s.id AS source, z AS target, rel_type AS rel_types, edge FROM s JOIN b ON a = s.id),
  two AS (SELECT source, z AS target, concat(rel_types, ',', rel_type) AS rel_types FROM one JOIN b ON a = target WHERE b.edge <> one.edge),
  hops AS (SELECT source, target, rel_types, 1 AS distance FROM one WHERE target <> source UNION ALL SELECT source, target, rel_types, 2 FROM two WHERE target <> source)"""
@@ -379,19 +406,19 @@ _HOPS = f"""{KG}, {_EITHER}, s AS (SELECT id FROM kn WHERE label = 'File' AND re
 
 @query(f"WITH {_HOPS}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY distance, target, rel_types) AS k FROM hops) SELECT source, target, rel_types, distance FROM r WHERE k <= 100")
 def node_dependencies(spark, sf_dir):
-    sources = D.kg_nodes(spark, sf_dir).where("label = 'File' and repo = 'ASIA'").select("id")
+    sources = D.kg_nodes(spark, sf_dir).where("label = 'File'").select("id")
     return graph.node_dependencies(D.kg_edges(spark, sf_dir), sources, 2)
 
 
 @query(f"WITH {_HOPS} SELECT source, target, min(distance) AS distance FROM hops GROUP BY 1, 2")
 def k_hop_shortest(spark, sf_dir):
-    sources = D.kg_nodes(spark, sf_dir).where("label = 'File' and repo = 'ASIA'").select("id")
+    sources = D.kg_nodes(spark, sf_dir).where("label = 'File'").select("id")
     return graph.k_hop_shortest(D.kg_edges(spark, sf_dir), sources, 2)
 
 
 @query(f"WITH {_HOPS} SELECT source, target, distance FROM (SELECT DISTINCT source, target, distance FROM hops WHERE distance = 1) ORDER BY distance, target, source LIMIT 10")
 def limit_n(spark, sf_dir):
-    sources = D.kg_nodes(spark, sf_dir).where("label = 'File' and repo = 'ASIA'").select("id")
+    sources = D.kg_nodes(spark, sf_dir).where("label = 'File'").select("id")
     near = graph.node_dependencies(D.kg_edges(spark, sf_dir), sources, 1, None).select("source", "target", "distance").distinct()
     return near.orderBy("distance", "target", "source").limit(10)
 
@@ -420,14 +447,18 @@ def except_sorted(spark, sf_dir):
 def upsert_nodes(spark, sf_dir):
     nodes = D.kg_nodes(spark, sf_dir)
     new = nodes.where("label = 'File'").select("id", "label", F.upper("name").alias("name")).union(spark.sql("SELECT 'file_new', 'File', 'NEW'"))
-    return tables.upsert_nodes(nodes, new)
+    table = tables.write_nodes(nodes, graph.shared_path(spark, "nodes"))
+    tables.upsert_nodes(table, new)
+    return table.read()
 
 
 @query(f"WITH {KG} SELECT DISTINCT src, dst, rel_type FROM ke WHERE rel_type = 'USE' AND src IN (SELECT id FROM kn WHERE label = 'File') AND dst IN (SELECT id FROM kn WHERE label = 'File')")
 def insert_edges(spark, sf_dir):
     edges = D.kg_edges(spark, sf_dir)
     new = edges.union(edges).withColumns({"src_label": F.when(F.col("rel_type") == "USE", "File").otherwise("Directory"), "dst_label": F.lit("File")})
-    return tables.insert_edges(edges.where("rel_type = 'CONTAIN'"), new, D.kg_nodes(spark, sf_dir)).select("src", "dst", "rel_type")
+    table = tables.write_edges(edges.where("rel_type = 'CONTAIN'"), graph.shared_path(spark, "edges"))
+    tables.insert_edges(table, new, D.kg_nodes(spark, sf_dir))
+    return table.read().where("rel_type = 'USE'").select("src", "dst", "rel_type")
 
 
 @query(f"WITH {KG} SELECT src, dst, src IN (SELECT id FROM kn WHERE label = 'Directory') AND dst IN (SELECT id FROM kn WHERE label = 'File') AS success FROM ke WHERE rel_type = 'CONTAIN'")
@@ -436,10 +467,12 @@ def insert_edges_success(spark, sf_dir):
     return tables.matched_edges(new, D.kg_nodes(spark, sf_dir)).select("src", "dst", "success")
 
 
-@query(f"WITH {KG} SELECT rel_type, count(*) AS n FROM ke WHERE src NOT IN (SELECT id FROM kn WHERE repo = 'ASIA') AND dst NOT IN (SELECT id FROM kn WHERE repo = 'ASIA') GROUP BY 1 UNION ALL SELECT 'deleted', count(DISTINCT id) FROM kn WHERE repo = 'ASIA'")
+@query(f"WITH {KG} SELECT rel_type, count(*) AS n FROM ke WHERE src NOT IN (SELECT id FROM kn WHERE repo = 'ASIA') AND dst NOT IN (SELECT id FROM kn WHERE repo = 'ASIA') GROUP BY 1 UNION ALL SELECT 'deleted', count(DISTINCT id) FROM kn WHERE repo = 'ASIA' UNION ALL SELECT 'nodes', count(*) FROM kn WHERE repo <> 'ASIA'")
 def delete_repo_graph(spark, sf_dir):
-    _, edges, deleted = tables.delete_repo_graph(D.kg_nodes(spark, sf_dir), D.kg_edges(spark, sf_dir), "ASIA")
-    return edges.groupBy("rel_type").agg(F.count("*").alias("n")).union(deleted.select(F.lit("deleted"), "deleted"))
+    nodes, edges = tables.write_nodes(D.kg_nodes(spark, sf_dir), graph.shared_path(spark, "nodes")), tables.write_edges(D.kg_edges(spark, sf_dir), graph.shared_path(spark, "edges"))
+    deleted = tables.delete_repo_graph(nodes, edges, "ASIA")
+    left = edges.read().groupBy("rel_type").agg(F.count("*").alias("n")).union(deleted.select(F.lit("deleted"), "deleted"))
+    return left.union(nodes.read().agg(F.lit("nodes"), F.count("*")))
 
 
 _COLLECTION = "CASE type " + " ".join(f"WHEN '{label}' THEN '{name}'" for label, name in dims.COLLECTIONS.items()) + " END"
@@ -455,8 +488,9 @@ def delete_repo_vectors(spark, sf_dir):
 def update_property(spark, sf_dir):
     nodes = D.kg_nodes(spark, sf_dir)
     updates = nodes.where("label = 'Directory'").select("id", F.concat(F.lit("the "), "name").alias("value")).union(spark.sql("SELECT 'nobody', 'x'"))
-    updated, matched = tables.update_property(nodes, updates, "name")
-    return updated.select("id", "name").union(matched.select(F.lit("matched"), F.col("matched").cast("string")))
+    table = tables.write_nodes(nodes, graph.shared_path(spark, "nodes"))
+    matched = tables.update_property(table, updates, "name")
+    return table.read().select("id", "name").union(matched.select(F.lit("matched"), F.col("matched").cast("string")))
 
 
 @query("SELECT doc_id, CASE WHEN lang = 'en' THEN '' ELSE concat('lang=', lang) END AS kept FROM documents")
@@ -502,6 +536,25 @@ def summary_prompt(spark, sf_dir):
     return methods.select("id", semantic.summary_prompt(F.col("code"), F.lit("method"), F.col("language"), F.lit(""), F.array("name")).alias("prompt"))
 
 
+def _measure(requests: list[str]) -> list[str]:
+    """A provider that answers with the size of each request, the same each time."""
+    return [f"{len(r)} characters, {r.count(' ')} blanks" for r in requests]
+
+
+providers.register_chat("measure", _measure)
+
+
+@query("""WITH r AS (SELECT doc_id, concat('Summarise this ', lang, ' document.', chr(10), 'Code:', chr(10), substr(text, 1, 3000)) AS q FROM documents)
+ SELECT doc_id, concat(length(q), ' characters, ', length(q) - length(replace(q, ' ', '')), ' blanks') AS summary FROM r""")
+def summarize(spark, sf_dir):
+    """Answers of a provider to a prompt for each document, half of them asked before, and so kept."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    asked = docs.select("doc_id", semantic.summary_prompt(F.col("text"), F.lit("document"), F.col("lang")).alias("request"))
+    cache = graph.shared_path(spark, "answers")
+    providers.answered(asked.where("doc_id % 2 = 0"), "request", "measure", cache, "summary")
+    return providers.answered(asked, "request", "measure", cache, "summary").select("doc_id", "summary")
+
+
 @query("SELECT doc_id, substr(text, 1, 200) AS head, length(substr(text, 1, 3000)) AS n FROM documents")
 def truncate_text(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -584,19 +637,24 @@ def workflow_contains(spark, sf_dir):
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 3")
 def limit_per_key(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey", "o_totalprice")
-    return tables.first_rows(orders, "o_custkey", [F.desc("o_totalprice"), "o_orderkey"], 3)
+    return graph.first_rows(orders, "o_custkey", [F.desc("o_totalprice"), "o_orderkey"], 3)
+
+
+def _with_modules(spark: SparkSession, sf_dir: str) -> build.KnowledgeGraph:
+    """The nodes and edges that a model's answers on modules make."""
+    kg = build.KnowledgeGraph(_files(spark, sf_dir), None, _nodes(spark, sf_dir), None, None)
+    kg.nodes, kg.edges = build.with_modules(kg, _responses(spark, sf_dir))
+    return kg
 
 
 @query(f"WITH {_MOD} SELECT module AS module_id, workflow AS id FROM wf")
 def module_workflows(spark, sf_dir):
-    modules, workflows = semantic.explode_modules(semantic.parse_modules(_responses(spark, sf_dir)))
-    return modules.select(F.col("id").alias("module_id")).join(workflows.select("module_id", "id"), "module_id")
+    return _with_modules(spark, sf_dir).module_workflows().select("module_id", "id")
 
 
 @query(f"WITH {_MOD} SELECT module AS id, top AS name FROM md WHERE repo = 'repo11'")
 def get_modules(spark, sf_dir):
-    modules, _ = semantic.explode_modules(semantic.parse_modules(_responses(spark, sf_dir)))
-    return modules.where((F.col("repo") == "repo11") | F.col("id").startswith("module_repo11_")).select("id", "name")
+    return _with_modules(spark, sf_dir).modules("repo11").select("id", "name")
 
 
 @query(f"WITH {_MOD} SELECT repo, count(DISTINCT module) AS modules, count(DISTINCT workflow) AS workflows FROM wf GROUP BY 1")
@@ -606,12 +664,6 @@ def semantic_counts(spark, sf_dir):
     return counted.join(workflows.groupBy("repo").agg(F.count("*").alias("workflows")), "repo")
 
 
-@query()
-def detect_modules(spark, sf_dir):
-    files = _files(spark, sf_dir)
-    return semantic.detect_modules(files, references.use_edges(files))
-
-
 @query(f"WITH {FILES}, c AS (SELECT repo, path, content FROM ({D.CORPUS})) SELECT concat('file_', repo, '_', path) AS id, path, length(content) AS n FROM c")
 def get_file_content(spark, sf_dir):
     nodes = _files(spark, sf_dir).withColumn("label", F.lit("File"))
@@ -668,11 +720,6 @@ def ivf_topk(spark, sf_dir):
     return vectors.ivf_topk(D.vectors(spark, sf_dir), _asked(spark, sf_dir)).select("query_id", "id", "score", "rank")
 
 
-# The names under which these were first registered for every twentieth vector.
-for _name in ("cosine_topk", "vector_filter", "topk_per_type", "union_hits", "hydrate_hits"):
-    QUERIES[f"{_name}_each_20th"], SQL[f"{_name}_each_20th"] = QUERIES[_name], SQL[_name]
-
-
 _BUCKET = "CAST(concat('0x', substr(md5(t), 1, 8)) AS UBIGINT) % 64"
 _EMBED = f"""tok AS (SELECT doc_id, {_BUCKET} AS b FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS t FROM documents)),
  cnt AS (SELECT doc_id, b, count(*) AS n FROM tok GROUP BY ALL), nrm AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM cnt GROUP BY 1)"""
@@ -691,9 +738,6 @@ def embed_nodes(spark, sf_dir):
     return _buckets(_embedded(spark, sf_dir))
 
 
-QUERIES["embed_nodes_whole_text"], SQL["embed_nodes_whole_text"] = embed_nodes, SQL["embed_nodes"]
-
-
 @query("SELECT md5(concat('doc_', doc_id)) AS id, 'file_summary' AS collection, concat('doc_', doc_id) AS node_id, source AS repo FROM documents WHERE trim(text) <> ''")
 def build_vector_records(spark, sf_dir):
     made = _embedded(spark, sf_dir).withColumns({"label": F.lit("File"), "name": F.col("id")})
@@ -719,12 +763,39 @@ def _built(spark: SparkSession, sf_dir: str) -> build.KnowledgeGraph:
     return build.build_knowledge_graph(spark, D.corpus(spark, sf_dir))
 
 
-@query(f"WITH {SYM}, o AS (SELECT 'class_summary' AS collection, id FROM sym WHERE kind = 'class' UNION ALL SELECT 'method_summary', id FROM sym WHERE kind <> 'class' UNION ALL SELECT 'file_summary', concat(repo, path) FROM f UNION ALL SELECT DISTINCT 'modules', concat(repo, '/', d) FROM f UNION ALL SELECT 'class_code', id FROM sym WHERE kind = 'class' UNION ALL SELECT 'method_code', id FROM sym WHERE kind <> 'class') SELECT collection, count(*) AS n FROM o GROUP BY 1")
+_FLOWS = f"""{USE}, link AS (SELECT a.id AS x, b.id AS y FROM ue JOIN (SELECT concat('file_', repo, '_', path) AS id, repo, d FROM f) a ON a.id = ue.src JOIN (SELECT concat('file_', repo, '_', path) AS id, repo, d FROM f) b ON b.id = ue.dst AND b.repo = a.repo AND b.d = a.d),
+ way AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+ near(x, y) AS (SELECT concat('file_', repo, '_', path), concat('file_', repo, '_', path) FROM f UNION SELECT near.x, way.y FROM near JOIN way ON way.x = near.y),
+ flow AS (SELECT x AS id, min(y) AS workflow FROM near GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {_FLOWS} SELECT f.repo, flow.id, f.d AS module, workflow FROM flow JOIN f ON flow.id = concat('file_', f.repo, '_', f.path)")
+def detect_modules(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    return semantic.detect_modules(files, references.use_edges(files))
+
+
+@query(f"""WITH RECURSIVE {_FLOWS}, {SYM[len(FILES) + 2 :]}, c AS (SELECT length(content) AS n FROM ({D.CORPUS})), o AS (SELECT CASE WHEN kind = 'class' THEN 'class' ELSE 'method' END AS what, id FROM sym)
+ SELECT concat(what, '_summary') AS collection, count(*) AS n FROM o GROUP BY 1 UNION ALL SELECT concat(what, '_code'), count(*) FROM o GROUP BY 1 UNION ALL SELECT 'file_summary', count(*) FROM f
+ UNION ALL SELECT 'semantic_summary', (SELECT count(*) FROM (SELECT DISTINCT repo, d FROM f)) + (SELECT count(*) FROM (SELECT workflow FROM flow GROUP BY 1 HAVING count(*) > 1))
+ UNION ALL SELECT 'semantic_detail', CAST(sum(greatest(CAST(ceil((n - 200) / 1800) AS BIGINT), 1)) AS BIGINT) FROM c""")
 def vector_store_stage(spark, sf_dir):
-    """Records of each collection; of the semantic one those of modules (workflows are components, which the SQL can't count)."""
+    """Records of each collection of the built graph."""
     kg = _built(spark, sf_dir)
-    stored = kg.vectors.where("type <> 'Workflow'").select(F.when(F.col("type") == "Module", "modules").otherwise(F.col("collection")).alias("collection"))
-    return stored.union(kg.code_vectors.select("collection")).groupBy("collection").agg(F.count("*").alias("n"))
+    return kg.vectors.select("collection").union(kg.code_vectors.select("collection")).union(kg.details.select("collection")).groupBy("collection").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {FILES}, c AS (SELECT repo, path, content FROM ({D.CORPUS})), docs AS ({D.DOC_FILES}), t AS (SELECT id, content AS text FROM docs WHERE trim(content) <> ''), k AS (SELECT id, text, unnest(range(0, greatest(CAST(ceil((length(text) - 200) / 1800) AS BIGINT), 1))) AS i FROM t) SELECT md5(concat(id, '#', i)) AS id, id AS node_id, CAST(i AS INT) AS chunk_no, CAST(i * 1800 AS INT) AS \"offset\", length(substr(text, CAST(i * 1800 + 1 AS INT), 2000)) AS n FROM k WHERE trim(substr(text, CAST(i * 1800 + 1 AS INT), 2000)) <> ''")
+def semantic_detail(spark, sf_dir):
+    """Records of the chunks of whole texts."""
+    nodes = D.doc_files(spark, sf_dir).withColumns({"label": F.lit("File"), "name": F.col("id")})
+    return vectors.detail_records(nodes).select("id", "node_id", "chunk_no", "offset", F.length("summary").cast("long").alias("n"))
+
+
+@query(f"WITH RECURSIVE {SYM}, o AS (SELECT id FROM sym UNION ALL SELECT concat('file_', repo, '_', path) FROM f) SELECT id, md5(id) AS embedding_id FROM o")
+def embedding_backlink(spark, sf_dir):
+    """Nodes of the built graph with the record that stands for them; modules and workflows left to vector_store_stage."""
+    return _built(spark, sf_dir).nodes.where("label in ('File', 'Class', 'Method')").select("id", "embedding_id")
 
 
 @query(f"WITH {FILES} SELECT DISTINCT concat('module_', repo, '_', substr(md5(concat(repo, '/', d)), 1, 8)) AS id, repo, d AS name FROM f")
@@ -732,7 +803,9 @@ def built_modules(spark, sf_dir):
     return _built(spark, sf_dir).labelled("Module").select("id", "repo", "name")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_FLOWS}, g AS (SELECT f.repo, f.d, workflow, count(*) AS n FROM flow JOIN f ON flow.id = concat('file_', f.repo, '_', f.path) GROUP BY ALL HAVING count(*) > 1),
+ m AS (SELECT *, concat('module_', repo, '_', substr(md5(concat(repo, '/', d)), 1, 8)) AS module_id FROM g)
+ SELECT module_id, concat('workflow_', repo, '_', substr(md5(concat(module_id, '/', workflow)), 1, 8)) AS id, concat('flow of ', workflow) AS name, CAST(NULL AS VARCHAR) AS description, concat('workflow of ', n, ' files in ', d) AS summary FROM m""")
 def built_module_workflows(spark, sf_dir):
     return _built(spark, sf_dir).module_workflows()
 
@@ -744,24 +817,38 @@ def built_search_code(spark, sf_dir):
     return kg.search_code(kg.symbols.where("label = 'Class'").select(F.col("id").alias("query_id"), "repo", F.col("code").alias("text")), 5).select("query_id", "node_id", "rank", "score", "name", "label", "file_path", "code")
 
 
-def _search(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    nodes = _nodes(spark, sf_dir)
-    made = vectors.vector_records(vectors.embed_nodes(nodes.withColumn("summary", F.col(text))))
-    asked = nodes.where("label = 'Class'").select(F.col("id").alias("query_id"), "repo", F.col(text).alias("summary"))
-    asked = vectors.embed_nodes(asked).select("query_id", "repo", F.col("embedding").alias("query"))
-    hits = vectors.topk(made, asked, 5, within=("repo",))
-    return vectors.hydrate(hits, nodes, ["label", F.left("code", F.lit(semantic.HIT_CODE)).alias("code"), "file_path"]).select("query_id", "node_id", "rank", "score", "label", "code", "file_path")
+def _searched(spark: SparkSession, sf_dir: str) -> build.KnowledgeGraph:
+    """Class and Method nodes with records of their names as summaries and of their code."""
+    nodes = _nodes(spark, sf_dir).withColumn("summary", F.col("name"))
+    made = vectors.vector_records(vectors.embed_nodes(nodes))
+    return build.KnowledgeGraph(None, None, nodes, nodes, None, made, vectors.code_records(vectors.embed_nodes(nodes, "code")))
 
 
-def search_nodes(spark, sf_dir):
-    return _search(spark, sf_dir, "name").select("query_id", "node_id", "rank", "score", "label")
+def _asks(kg: build.KnowledgeGraph, text: str) -> DataFrame:
+    return kg.labelled("Class").select(F.col("id").alias("query_id"), "repo", F.col(text).alias("text"))
 
 
-def search_code(spark, sf_dir):
-    return _search(spark, sf_dir, "code")
+def _search_sql(text: str, columns: str) -> str:
+    """The five best records of each class's repo by hashed counts of the words of a text."""
+    return f"""WITH {SYM}, c AS (SELECT repo, path, content FROM ({D.CORPUS})), n AS (SELECT sym.repo, id, kind, sym.name, sym.path, {_CODE} AS code FROM sym JOIN c USING (repo, path)),
+ tok AS (SELECT id, {_BUCKET} AS b FROM (SELECT id, unnest(regexp_extract_all(lower({text}), '([a-z0-9]+)', 1)) AS t FROM n)), cnt AS (SELECT id, b, count(*) AS n FROM tok GROUP BY ALL),
+ nrm AS (SELECT id, sqrt(sum(n * n)) AS norm FROM cnt GROUP BY 1),
+ dot AS (SELECT q.id AS query_id, v.id AS node_id, sum(a.n * b.n) AS s FROM n q JOIN n v ON v.repo = q.repo JOIN cnt a ON a.id = q.id JOIN cnt b ON b.id = v.id AND b.b = a.b WHERE q.kind = 'class' GROUP BY 1, 2),
+ sc AS (SELECT q.id AS query_id, v.id AS node_id, round(coalesce(s, 0) / (x.norm * y.norm), 6) AS score FROM n q JOIN n v ON v.repo = q.repo JOIN nrm x ON x.id = q.id JOIN nrm y ON y.id = v.id LEFT JOIN dot ON query_id = q.id AND dot.node_id = v.id WHERE q.kind = 'class'),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, md5(node_id{" || '#code'" if text == "code" else ""})) AS INT) AS rank FROM sc)
+ SELECT query_id, node_id, rank, score, CASE WHEN kind = 'class' THEN 'Class' ELSE 'Method' END AS label{columns} FROM r JOIN n ON n.id = node_id WHERE rank <= 5"""
+
+
+@query(_search_sql("name", ""))
+def search_nodes(spark, sf_dir):
+    kg = _searched(spark, sf_dir)
+    return kg.search_nodes(_asks(kg, "name"), k=5).select("query_id", "node_id", "rank", "score", "label")
 
 
-QUERIES |= {"search_nodes": search_nodes, "search_code": search_code}
+@query(_search_sql("code", ", substr(code, 1, 500) AS code, path AS file_path"))
+def search_code(spark, sf_dir):
+    kg = _searched(spark, sf_dir)
+    return kg.search_code(_asks(kg, "code"), 5).select("query_id", "node_id", "rank", "score", "label", "code", "file_path")
 
 
 # --- runs -----------------------------------------------------------------------------------------------------------------------------------------
@@ -798,6 +885,29 @@ def weighted_progress(spark, sf_dir):
     return runs.weighted_progress(D.run_events(spark, sf_dir))
 
 
+@query(f"WITH {EV} SELECT repo_id, event, stage, seq, concat('p', seq % 7) AS pipeline_id, CAST(seq % 3 AS VARCHAR) AS attempt FROM ev")
+def event_log_append(spark, sf_dir):
+    """Events appended in two batches, a column beyond the fixed ones as metadata, and read back."""
+    events = D.run_events(spark, sf_dir).withColumns({"pipeline_id": F.concat(F.lit("p"), F.col("seq") % 7), "attempt": (F.col("seq") % 3).cast("string")})
+    path = graph.shared_path(spark, "events")
+    for half in (0, 1):
+        tables.append_events(events.where(F.col("seq") % 2 == half), path)
+    return tables.read_events(spark, path).select("repo_id", "event", "stage", "seq", "pipeline_id", F.col("metadata")["attempt"].alias("attempt"))
+
+
+_LINES = """CASE WHEN seq % 11 = 0 THEN '' WHEN seq % 7 = 0 THEN concat('{"repo_id":"', repo_id, '","event":"') WHEN seq % 5 = 0 THEN '{"repo_id":"x","level":"INFO"}'
+ ELSE concat('{"repo_id":"', repo_id, '","timestamp":"2024-01-01T00:00:00Z","event":"', event, '","stage":"', stage, '"}') END"""
+
+
+@query(f"WITH {EV}, l AS (SELECT *, CASE WHEN seq % 11 = 0 THEN 'blank' WHEN seq % 7 = 0 OR seq % 5 = 0 THEN 'malformed' ELSE 'sound' END AS kind FROM ev) SELECT CASE kind WHEN 'sound' THEN event ELSE kind END AS what, count(*) AS n FROM l WHERE kind <> 'blank' GROUP BY 1")
+def event_log_scan(spark, sf_dir):
+    """A log with blank lines, broken ones and ones without an event: the events, and how many lines are malformed."""
+    path = graph.shared_path(spark, "events")
+    D.run_events(spark, sf_dir).select(F.expr(_LINES).alias("value")).write.text(path)
+    sound = tables.read_events(spark, path, count_malformed=True).groupBy(F.col("event").alias("what")).agg(F.count("*").alias("n"))
+    return sound.union(tables.malformed_events(spark, path).agg(F.count("*").alias("n")).select(F.lit("malformed"), "n").where("n > 0"))
+
+
 def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = D.derived(spark, sf_dir, "SELECT concat('r', c_custkey) AS repo_id, CASE c_custkey % 4 WHEN 0 THEN 'Completed' WHEN 1 THEN 'Failed' WHEN 2 THEN 'Pending' ELSE 'Odd' END AS initial_status, c_name AS repo_name, concat('/r/', c_custkey) AS repo_path FROM customer", "customer")
     return part

@@ -1,20 +1,25 @@
 """Graph and vector tables, the event log and the registry at rest, and trees of files as a source.
 
-Tables are rewritten as a whole into a new folder by the caller, or appended to; a task that is lost leaves nothing behind.
+Nodes and edges are changed in the buckets that a change falls into, see versions; the other tables are appended to. A task that is lost leaves nothing behind.
 """
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from repograph.functions import dims
 from repograph.functions.columns import decoded
+from repograph.operators.graph import checkpointed
 from repograph.operators.runs import EVENT
+from repograph.sources.versions import VersionedTable
+
+log = logging.getLogger(__name__)
 
 
 class _SubTree(InputPartition):
@@ -74,12 +79,14 @@ def scan_nodes(nodes: DataFrame, label: str, repo: str | None = None, columns: l
     return out.select(*(columns or out.columns))
 
 
-def write_nodes(nodes: DataFrame, path: str, mode: str = "overwrite") -> None:
-    nodes.write.mode(mode).partitionBy("label").parquet(path)
+def write_nodes(nodes: DataFrame, root: str, buckets: int = 64) -> VersionedTable:
+    """Nodes at rest in buckets of their id."""
+    return VersionedTable.create(nodes, root, "id", buckets)
 
 
-def write_edges(edges: DataFrame, path: str, mode: str = "overwrite") -> None:
-    edges.write.mode(mode).partitionBy("rel_type").parquet(path)
+def write_edges(edges: DataFrame, root: str, buckets: int = 64) -> VersionedTable:
+    """Edges at rest in buckets of their src."""
+    return VersionedTable.create(edges, root, "src", buckets)
 
 
 def insert_vectors(vectors: DataFrame, path: str) -> DataFrame:
@@ -92,16 +99,15 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
-    """nodes after new rows by id: given values replace, nulls keep what was there, unknown ids are added."""
-    old, given = nodes.alias("o"), new.alias("n")
-    joined = old.join(given, F.col("o.id") == F.col("n.id"), "full")
-    return joined.select(*(F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) if c in new.columns else F.col(f"o.{c}").alias(c) for c in nodes.columns))
+def upsert_nodes(nodes: VersionedTable, new: DataFrame) -> list[int]:
+    """Merge new rows into nodes by id: given values replace, nulls keep what was there, unknown ids are added. Returns the buckets that were written."""
+    return nodes.merge(new)
 
 
-def insert_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of new that become edges: both ends exist (with the labels src_label and dst_label, if new has them) and the edge is not there yet."""
-    return matched_edges(new, nodes).where("success").drop("success").dropDuplicates(["src", "dst", "rel_type"]).join(edges.select("src", "dst", "rel_type"), ["src", "dst", "rel_type"], "left_anti")
+def insert_edges(edges: VersionedTable, new: DataFrame, nodes: DataFrame) -> list[int]:
+    """Add the rows of new of which both ends exist (with the labels src_label and dst_label, if new has them) and that are not there yet. Returns the buckets."""
+    found = matched_edges(new, nodes).where("success")
+    return edges.add(found.select(*[c for c in found.columns if c not in ("success", "src_label", "dst_label")]), ["src", "dst", "rel_type"])
 
 
 def matched_edges(new: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -114,11 +120,15 @@ def matched_edges(new: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.withColumn("success", F.col("_src").isNotNull() & F.col("_dst").isNotNull()).select(*new.columns, "success")
 
 
-def delete_repo_graph(nodes: DataFrame, edges: DataFrame, repo: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes and edges without a repo, and how many nodes went."""
-    gone = nodes.where(F.col("repo") == repo).select("id")
-    kept = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
-    return nodes.where(~F.col("repo").eqNullSafe(repo)), kept, gone.agg(F.countDistinct("id").alias("deleted"))
+def delete_repo_graph(nodes: VersionedTable, edges: VersionedTable, repo: str) -> DataFrame:
+    """Drop the nodes of a repo and all edges at them; ``deleted`` is the number of nodes that went. Edges go first, so that none is left without its ends."""
+    gone = checkpointed(nodes.read().where(F.col("repo") == repo).select("id").distinct())
+    at = edges.read()
+    touched = at.join(gone.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(at.join(gone.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+    same = ["src", "dst", "rel_type"]
+    edges.delete(checkpointed(touched.select(*same).distinct()), same)
+    nodes.delete(gone)
+    return gone.agg(F.count("*").alias("deleted"))
 
 
 def delete_repo_vectors(vectors: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
@@ -130,16 +140,36 @@ def delete_repo_vectors(vectors: DataFrame, repo: str) -> tuple[DataFrame, DataF
     return vectors.where(~F.col("repo").eqNullSafe(repo)), counts
 
 
-def update_property(nodes: DataFrame, updates: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """nodes with a column set from updates(id, value), and how many nodes were matched; ids that are not there are passed over."""
-    given = updates.select("id", F.col("value").alias("_value"))
-    matched = nodes.join(given.select("id").distinct(), "id", "left_semi").agg(F.count("*").alias("matched"))
-    return nodes.join(given, "id", "left").withColumn(column, F.coalesce("_value", column)).drop("_value").select(*nodes.columns), matched
+def update_property(nodes: VersionedTable, updates: DataFrame, column: str) -> DataFrame:
+    """Set a column of nodes from updates(id, value); ``matched`` is the number of nodes that were there, ids that are not are passed over."""
+    matched = checkpointed(nodes.read().join(updates.select("id").distinct(), "id", "left_semi").agg(F.count("*").alias("matched")))
+    nodes.update(updates, column)
+    return matched
+
+
+def _logged(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a log with what they say; a line without event or timestamp says nothing."""
+    lines = spark.read.text(path).withColumn("e", F.from_json("value", EVENT))
+    return lines.withColumn("sound", F.col("e.event").isNotNull() & F.col("e.timestamp").isNotNull())
+
+
+def event_log_exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
 
+def malformed_events(spark: SparkSession, path: str) -> DataFrame:
+    """The lines (``value``) of a log that are not blank and no events: no JSON, or without event or timestamp."""
+    return _logged(spark, path).where(~F.col("sound") & (F.trim("value") != "")).select("value")
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Events from JSON lines; blank, malformed and incomplete lines are passed over."""
-    return spark.read.schema(EVENT).option("mode", "DROPMALFORMED").json(path).where("event is not null and timestamp is not null")
+
+def read_events(spark: SparkSession, path: str, count_malformed: bool = False) -> DataFrame:
+    """Events from JSON lines, none if there is no log yet; blank lines are passed over, malformed ones too, with a warning of how many if they are counted."""
+    if not event_log_exists(spark, path):
+        return spark.createDataFrame([], EVENT)
+    if count_malformed and (n := malformed_events(spark, path).count()):
+        log.warning("%d malformed lines in %s", n, path)
+    return _logged(spark, path).where("sound").select("e.*")
 
 
 def append_events(events: DataFrame, path: str) -> None:
@@ -161,12 +191,17 @@ def write_registry(registry: DataFrame, path: str) -> None:
     registry.write.mode("overwrite").option("header", True).csv(path)
 
 
+def upsert_registry(spark: SparkSession, root: str, updates: DataFrame) -> DataFrame:
+    """Merge updates(repo_id, initial_status and maybe more) into the registry at rest, which is made if it isn't there; returns its rows."""
+    table = VersionedTable(spark, root)
+    if not table.exists():
+        empty = spark.createDataFrame([], "repo_id string, initial_status string, repo_name string, repo_path string")
+        table = VersionedTable.create(empty, root, "repo_id", 8)
+    table.merge(updates)
+    return table.read()
+
+
 def render_json(rows: DataFrame, repo: str, name: str, columns: list[str], order: str) -> DataFrame:
     """A bounded result as one JSON document."""
     items = F.sort_array(F.collect_list(F.struct(order, *(c for c in columns if c != order))))
     return rows.agg(F.to_json(F.struct(F.lit(repo).alias("repository"), items.alias(name))).alias("doc"))
-
-
-def first_rows(df: DataFrame, key: str, order: list, n: int) -> DataFrame:
-    """The first n rows of each key."""
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
