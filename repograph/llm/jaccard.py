@@ -48,9 +48,9 @@ LEAST_BITS, BITS_PER_DIFFERENCE = 256, 16
 BROADCAST_CLASSES = 1_000_000
 #: Rows with a set or bitmap that one task compares.
 SETS = 10_000
-#: Bits (16 MB at any size of the input) by which tiles of a single class are passed over before they are dealt out. When nearly all are set the test
+#: Bits (4 MB at any size of the input) by which tiles of a single class are passed over before they are dealt out. When nearly all are set the test
 #: passes more, and the join with the tiles decides as before.
-MARKS = 1 << 27
+MARKS = 1 << 25
 
 
 def band_starts(longest: int) -> list[int]:
@@ -179,7 +179,7 @@ def marks(tiles: DataFrame) -> Broadcast:
     out = bytearray(MARKS // 8)
     for row in parts.toLocalIterator():
         out[row.part * 4096 : (row.part + 1) * 4096] = row.bits
-    return tiles.sparkSession.sparkContext.broadcast(bytes(out))
+    return tiles.sparkSession.sparkContext.broadcast(out)
 
 
 def table_of(docs: DataFrame, width: int, percent: int, shared: frozenset[int]) -> DataFrame:
@@ -390,8 +390,10 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     classes = with_words.groupBy("class").agg(F.min("doc_id").alias("first"), F.min("key").alias("key"))
     several, several_at = written(tiles_of_several(tiles_of(docs, width, percent, shared)), "tiles")
     # Copies of a class are one before they meet the tiles.
-    rows = tiles_of(docs, width, percent, shared, marks(several)).distinct()
+    marked = marks(several)
+    rows = tiles_of(docs, width, percent, shared, marked).distinct()
     members, members_at = written(rows.join(several, "tile").select("tile", "class"), "members")
+    marked.unpersist()
 
     # One document of each class; a copy of it (an equal row) gives the same row of the table.
     picked, n_classes = settled(members.select("class").distinct().join(classes, "class").select("class", "key"))
