@@ -3,7 +3,8 @@
 Sources get a share of the words by weight (``water_level``: no source may give more than ``max_epochs`` times its own words,
 and the excess goes to the others by weight). The mix is a row of slots of ``block`` words each. Slot i has the golden-ratio point
 u(i) = frac(i * phi); the source whose interval of cumulative shares holds u(i) fills the slot. Any stretch of the mix therefore holds
-each source nearly in its share. The documents of a source, shuffled by a hash, form a ring of words, cut into equal blocks; the
+each source nearly in its share. Sources whose target is a few blocks only have shorter blocks and a row of slots with their like, so that they too get
+what is due to them; the rows run side by side. The documents of a source, shuffled by a hash, form a ring of words, cut into equal blocks; the
 k-th slot of a source takes the k-th block, going round again after the last word, at most ``max_epochs`` times.
 
 Everything that is counted along a source (words before a document, slots before a slot) is a prefix sum in two levels: sums of
@@ -25,8 +26,10 @@ POINTS, GOLDEN = 1 << 40, 679_535_556_991
 LONGEST_BLOCK, LEAST_SLOTS = 1024, 1 << 16
 #: Rows in a bucket of a two-level prefix sum, about.
 BUCKET = 1 << 14
-#: Cells of the unit interval by which points find their source with an equal join.
-CELLS = 1 << 10
+#: A source has so many blocks at least, as far as they can be made shorter, each time by this factor.
+LEAST_BLOCKS, SHORTER = 64, 4
+#: Cells of the unit interval by which points find their source with an equal join, at least and at most: as many as sources in between.
+LEAST_CELLS, MOST_CELLS = 1 << 10, 1 << 20
 
 
 def water_level(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
@@ -76,14 +79,14 @@ def most_apart(n_slots: int) -> int:
     return 2 * math.ceil(4 + (1 / math.log((1 + math.sqrt(5)) / 2) + 1 / math.log(2)) * math.log(n_slots + 1))
 
 
-def schedule(sources: DataFrame, n_slots: int) -> DataFrame:
+def schedule(sources: DataFrame, n_slots: int, cells: int = LEAST_CELLS) -> DataFrame:
     """The slots of the mix: slot, source_rank, block (the rank of the slot among those of its source)."""
     every = Window.partitionBy()
     upto = F.sum("target").over(Window.orderBy("source_rank"))
     edges = sources.where("target > 0").select(
         "source_rank", F.round((upto - F.col("target")) / F.sum("target").over(every) * POINTS).cast("long").alias("_low"), F.round(upto / F.sum("target").over(every) * POINTS).cast("long").alias("_high")
     )
-    width = POINTS // CELLS
+    width = POINTS // cells
     edges = edges.where("_high > _low").withColumn("_cell", F.explode(F.sequence(F.call_function("div", F.col("_low"), F.lit(width)), F.call_function("div", F.col("_high") - 1, F.lit(width)))))
     slots = edges.sparkSession.range(n_slots).withColumnRenamed("id", "slot")
     slots = slots.withColumn("_point", point(F.col("slot"))).withColumn("_cell", F.call_function("div", F.col("_point"), F.lit(width)))
@@ -91,6 +94,30 @@ def schedule(sources: DataFrame, n_slots: int) -> DataFrame:
     return _before(filled, "source_rank", "_bucket", ["slot"], F.lit(1).cast("long")).select("slot", "source_rank", F.col("_start").alias("block"))
 
 
+def block_length(target: Column, longest: int) -> Column:
+    """Words in a block of a source: the longest, or that divided by SHORTER as often as it takes for LEAST_BLOCKS of them, 1 at least."""
+    lengths = [longest]
+    while lengths[-1] > 1:
+        lengths.append(max(1, lengths[-1] // SHORTER))
+    out = F.lit(lengths[-1])
+    for length in reversed(lengths[:-1]):
+        out = F.when(target >= LEAST_BLOCKS * length, length).otherwise(out)
+    return out.cast("long")
+
+
+def schedules(sources: DataFrame) -> tuple[DataFrame, int]:
+    """The slots of all rows of slots, one row for each length of blocks among sources (a handful), and the number of slots in the longest."""
+    made, most = [], 0
+    for r in sources.where("target > 0").groupBy("length").agg(F.sum("target").alias("words"), F.count("*").alias("n")).orderBy(F.desc("length")).collect():
+        n_slots, cells = math.ceil(r["words"] / r["length"]), min(MOST_CELLS, max(LEAST_CELLS, 1 << (r["n"] - 1).bit_length()))
+        made.append(schedule(sources.where(F.col("length") == r["length"]), n_slots, cells))
+        most = max(most, n_slots)
+    out = made[0] if made else schedule(sources, 0)
+    for more in made[1:]:
+        out = out.union(more)
+    return out, most
+
+
 def mix_sources(docs: DataFrame, size: Column | None = None, weights: DataFrame | None = None, max_epochs: int = 3, seed: int = 0) -> DataFrame:
     """How many words of each document a mix takes that is as long as the input.
 
@@ -99,15 +126,14 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights: DataFrame
 
     A null text has size 0 and is never taken; a null source is a source of its own, ranked last; repeated rows are rows of their own. Without
     any word all targets are 0. The same rows give the same result, in whatever order they are stored. What a source gives differs from its target by
-    ``most_apart`` blocks at most, in practice by one or two; a source with a target of less than a block may give none or a block.
+    ``most_apart`` of its blocks at most, in practice by one or two, of LEAST_BLOCKS or more (of one word each where the target is smaller than that).
     """
     size = n_words("text") if size is None else size
     sized = checkpointed(docs.select("doc_id", "source", size.alias("size")).withColumn("_row", F.monotonically_increasing_id()))
     sources = checkpointed(water_level(weighted_sources(sized, weights), max_epochs))
     total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    block = max(1, min(LONGEST_BLOCK, total // LEAST_SLOTS))
-    n_slots = math.ceil(total / block)
-    slots = schedule(sources, n_slots)
+    sources = sources.withColumn("length", block_length(F.col("target"), max(1, min(LONGEST_BLOCK, total // LEAST_SLOTS))))
+    slots, n_slots = schedules(sources)
 
     known = sources.withColumnRenamed("source", "_source")
     rows = sized.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -117,12 +143,13 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights: DataFrame
     ring = _before(rows, "source_rank", "_bucket", ["_hash", "doc_id", "size", "_row"], F.col("size"))
 
     # Each turn round the ring lays a document over one or more blocks; blocks beyond the source's target meet no slot.
-    turns = ring.where("size > 0 and target > 0").select("_row", "source_rank", "size", "target", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("_turn"), "_start", "source_size")
+    turns = ring.where("size > 0 and target > 0").select("_row", "source_rank", "size", "target", F.col("length").alias("_length"), F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("_turn"), "_start", "source_size")
     turns = turns.withColumn("_start", F.col("_start") + F.col("_turn") * F.col("source_size")).withColumn("_end", F.col("_start") + F.col("size"))
-    turns = turns.where(F.col("_start") < F.col("target") + most_apart(n_slots) * block)
-    first, last = (F.call_function("div", x, F.lit(block)) for x in (F.col("_start"), F.col("_end") - 1))
-    pieces = turns.select("_row", "source_rank", "_start", "_end", F.explode(F.sequence(first, last)).alias("block"))
-    overlap = F.least("_end", (F.col("block") + 1) * block) - F.greatest("_start", F.col("block") * block)
+    length = F.col("_length")
+    turns = turns.where(F.col("_start") < F.col("target") + most_apart(n_slots) * length)
+    first, last = (F.call_function("div", x, length) for x in (F.col("_start"), F.col("_end") - 1))
+    pieces = turns.select("_row", "source_rank", "_start", "_end", "_length", F.explode(F.sequence(first, last)).alias("block"))
+    overlap = F.least("_end", (F.col("block") + 1) * length) - F.greatest("_start", F.col("block") * length)
     taken = pieces.withColumn("_words", overlap).join(slots, ["source_rank", "block"]).groupBy("_row").agg(F.sum("_words").alias("taken"))
     return rows.join(taken, "_row", "left").select("doc_id", "source", "size", "source_size", "weight", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 

@@ -438,6 +438,17 @@ def test_mixing_equals_the_plain_schedule(spark):
         assert out[s]["taken"] == min(slots[s], 3 * sizes[s]) and abs(slots[s] - target[s]) < mixing.most_apart(total)
 
 
+def test_small_sources_beside_a_large_one_get_their_targets(spark):
+    rows = [(i, "large", 1_000_000) for i in range(80)] + [(1000 + i, f"small{i:03d}", n) for i, n in enumerate([200] * 100 + [3, 20_000, 1])]
+    out = rows_of(mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, size long"), F.col("size")))
+    taken, target = Counter(), {}
+    for r in out:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    assert all(abs(taken[s] - t) <= max(3, 0.05 * t) for s, t in target.items()), [(s, taken[s], t) for s, t in target.items() if abs(taken[s] - t) > max(3, 0.05 * t)]
+
+
 def test_mixed_documents_keep_columns(spark):
     docs = spark.createDataFrame([(1, "a b c", "x", 999, 5), (2, "d e", "y", 7, None), (2, None, "y", 7, None)], "doc_id long, text string, source string, _size int, _times int")
     out = mixing.mix_documents(docs)
