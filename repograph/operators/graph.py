@@ -25,10 +25,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path for a table in the shared folder of checkpoints."""
-    checkpointed(spark.range(1))
+    if not spark.conf.get("spark.checkpoint.dir", "") and not spark.sparkContext.getCheckpointDir():
+        checkpointed(spark.range(1))
     return f"{spark.conf.get('spark.checkpoint.dir', '') or spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the folder of checkpoints, read back. Unlike a checkpoint it has the size of its files and not an estimate, which in a loop of
+    joins is multiplied each time until the planner can't hold the number."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parent_directory(children: DataFrame, dirs: DataFrame) -> DataFrame:
     """children(repo, id, parent_path) with parent_id: the directory at parent_path, else the repository."""
     above = dirs.select("repo", F.col("path").alias("parent_path"), F.col("id").alias("_dir"))
@@ -115,29 +124,6 @@ def k_hop_shortest(edges: DataFrame, sources: DataFrame, depth: int) -> DataFram
     return seen.where("distance > 0")
 
 
-def call_layers(methods: DataFrame, calls: DataFrame) -> DataFrame:
-    """id, level and in_cycle of methods(id): callees have lower levels than callers; what waits on a cycle comes last, marked.
-
-    Every round takes the methods of which all callees are placed; only edges between open methods are carried on. A chain of calls of n methods takes n
-    rounds, however long. The work ends when all are placed or a round places none.
-    """
-    open_edges = checkpointed(calls.select("src", "dst").distinct().join(methods.select(F.col("id").alias("dst")), "dst").join(methods.select(F.col("id").alias("src")), "src"))
-    left = methods.select("id")
-    placed = None
-    for level in count():
-        waiting = open_edges.select(F.col("src").alias("id")).distinct()
-        ready = left.join(waiting, "id", "left_anti")
-        left = checkpointed(left.join(waiting, "id"))
-        now = ready.select("id", F.lit(level).alias("level"), F.lit(False).alias("in_cycle"))
-        placed = now if placed is None else checkpointed(placed.union(now)) if level % 8 == 7 else placed.union(now)
-        remaining = checkpointed(open_edges.join(left.select(F.col("id").alias("dst")), "dst", "left_semi"))
-        if left.isEmpty() or remaining.count() == open_edges.count():
-            break
-        open_edges = remaining
-    rest = left.select("id", F.lit(level + 1).alias("level"), F.lit(True).alias("in_cycle"))
-    return placed.union(rest)
-
-
 def with_related(nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """nodes with the sorted distinct values of pairs(id, value) as an array, empty if there are none."""
     lists = pairs.where("value is not null").groupBy("id").agg(F.sort_array(F.collect_set("value")).alias(name))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from repograph.functions import columns as C
 from repograph.functions import dims
 from repograph.operators import files as files_ops
-from repograph.operators import graph, references, runs, semantic, symbols, vectors
+from repograph.operators import graph, layers, references, runs, semantic, symbols, vectors
 from repograph.operators.graph import checkpointed
 from repograph.sources import tables
 
@@ -128,8 +128,7 @@ def semantic_stage(spark: SparkSession, known: Tables, settings: Settings) -> Ta
     """summaries: id, label, name, repo and summary of methods, classes and files, each from what is below it."""
     found, contain = known["symbols"], known["contain"]
     methods, calls = found.where("label = 'Method'"), known["dependencies"].where("rel_type = 'CALL'")
-    layers = graph.call_layers(methods.select("id"), calls)
-    made = semantic.bottom_up_summaries(methods, calls, layers, provider=settings.chat, cache=settings.cache)
+    made = semantic.bottom_up_summaries(methods, calls, layers.call_layers(methods.select("id"), calls), provider=settings.chat, cache=settings.cache)
     of_methods = methods.join(made.select("id", "summary"), "id").select("id", "label", "name", "repo", "summary")
     classes = graph.children_summaries(found.where("label = 'Class'").select("id", "label", "name", "repo"), contain, of_methods, "method_summaries")
     of_classes = semantic.rollup_summaries(classes, ["method_summaries"]).select("id", "label", "name", "repo", "summary")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from repograph.functions import columns as C
 from repograph.functions import dims
 from repograph.operators import files as files_ops
-from repograph.operators import graph, providers, references, runs, semantic, symbols, vectors
+from repograph.operators import graph, layers, providers, references, runs, semantic, symbols, vectors
 from repograph.plans import build
 from repograph.sources import derived as D
 from repograph.sources import tables
@@ -428,10 +428,15 @@ def collect_distinct(spark, sf_dir):
     return D.kg_nodes(spark, sf_dir).groupBy("repo").agg(F.countDistinct("id").alias("n"), F.size(F.collect_set("label")).cast("long").alias("labels"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CALL}, e AS (SELECT DISTINCT src, dst FROM ce), reach(a, b) AS (SELECT src, dst FROM e UNION SELECT reach.a, e.dst FROM reach JOIN e ON e.src = reach.b),
+ comp AS (SELECT r.a AS id, min(r.b) AS part FROM reach r JOIN reach s ON s.a = r.b AND s.b = r.a GROUP BY 1),
+ m AS (SELECT sym.id, coalesce(part, sym.id) AS part, part IS NOT NULL AS in_cycle FROM sym LEFT JOIN comp USING (id) WHERE kind <> 'class'),
+ pe AS (SELECT DISTINCT x.part AS s, y.part AS d FROM e JOIN m x ON x.id = src JOIN m y ON y.id = dst WHERE x.part <> y.part),
+ lv(part, n) AS (SELECT DISTINCT part, 0 FROM m UNION SELECT pe.s, n + 1 FROM lv JOIN pe ON pe.d = lv.part)
+ SELECT m.id, max(n) AS level, in_cycle, NOT in_cycle AND m.id IN (SELECT a FROM reach JOIN comp ON comp.id = reach.b) AS above_cycle FROM m JOIN lv ON lv.part = m.part GROUP BY ALL""")
 def call_layers(spark, sf_dir):
     methods = _methods(spark, sf_dir)
-    return graph.call_layers(methods.select("id"), references.call_edges(methods))
+    return layers.call_layers(methods.select("id"), references.call_edges(methods))
 
 
 @query(f"""WITH {CALL} SELECT id FROM sym WHERE kind <> 'class' AND id NOT IN (SELECT src FROM ce)""")
@@ -515,7 +520,7 @@ def render_json(spark, sf_dir):
 def bottom_up_summaries(spark, sf_dir):
     methods = _methods(spark, sf_dir)
     calls = references.call_edges(methods)
-    return semantic.bottom_up_summaries(methods, calls, graph.call_layers(methods.select("id"), calls)).select("id", "summary")
+    return semantic.bottom_up_summaries(methods, calls, layers.call_layers(methods.select("id"), calls)).select("id", "summary")
 
 
 @query(f"""WITH {SYM}, m AS (SELECT repo, path, parent_name, string_agg(concat('has ', name), '; ' ORDER BY name) AS s FROM sym WHERE kind = 'method' GROUP BY ALL)

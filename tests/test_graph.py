@@ -65,14 +65,6 @@ def test_tree_and_ignore_rules(spark, tmp_path):
     assert kept == {"__init__.py", "pkg/_x/a.py", ".gitignore", "keep.log", "distribution/q.js"}
 
 
-def test_call_layers(spark):
-    methods = spark.createDataFrame([(c,) for c in "abcdefg"], "id string")
-    calls = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", "e"), ("e", "d"), ("f", "d"), ("g", "x")], "src string, dst string")
-    found = {r.id: (r.level, r.in_cycle) for r in graph.call_layers(methods, calls).collect()}
-    assert [found[c][0] for c in "cba"] == [0, 1, 2] and found["g"] == (0, False)
-    assert all(found[c][1] for c in "def") and not found["a"][1]
-
-
 def test_ivf_equals_exact_when_all_lists_are_probed(spark):
     rows = derived.vectors(spark, SF)
     asked = rows.limit(5).select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
@@ -208,14 +200,6 @@ def test_built_graph_with_modules_and_tools(spark):
     assert sorted(r.rel_type for r in edges.collect()).count("CONTAIN") == 2 and edges.where("rel_type = 'BELONG_TO'").count() == 2
 
 
-def test_call_layers_of_a_long_chain(spark):
-    calls = spark.range(24).select(F.col("id").cast("string").alias("src"), (F.col("id") + 1).cast("string").alias("dst"))
-    methods = spark.range(27).select(F.col("id").cast("string").alias("id"))
-    ring = spark.createDataFrame([("25", "26"), ("26", "25")], "src string, dst string")
-    found = {r.id: (r.level, r.in_cycle) for r in graph.call_layers(methods, calls.union(ring)).collect()}
-    assert all(found[str(i)] == (24 - i, False) for i in range(25)) and found["25"] == found["26"] == (25, True)
-
-
 def test_scopes_of_a_very_long_file(spark):
     """200,000 lines of nested, one-line and unclosed declarations: each is closed as by counting braces from it on, in one pass."""
     lines = []
