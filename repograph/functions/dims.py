@@ -42,6 +42,20 @@ IMPORT_EXTENSIONS = [".py", ".java", ".js", ".ts", ".go", ".rs", ".c", ".h", ".c
 CALL_PATTERN = r"(?<!\w)([a-zA-Z_]\w*)\s*\("
 NOT_CALLS = ["if", "while", "for", "switch", "catch", "return", "print", "println", "printf", "len", "range", "enumerate", "map", "filter", "reduce", "sorted", "reversed", "int", "str", "float", "bool", "list", "dict", "set", "tuple", "new", "sizeof", "typeof", "instanceof"]
 
+# Names before a parenthesis that are no calls of interest in the rich calls, by language.
+_C_STOPS = ["if", "while", "for", "switch", "catch", "return", "sizeof", "typeof", "offsetof"]
+_JS_STOPS = ["if", "while", "for", "switch", "catch", "return", "typeof", "instanceof", "void", "delete", "new", "require", "console"]
+RICH_STOPS = {
+    "python": ["if", "while", "for", "switch", "catch", "return", "print", "println", "printf", "len", "range", "enumerate", "map", "filter", "reduce", "sorted", "reversed", "int", "str", "float", "bool", "list", "dict", "set", "tuple", "super", "self", "cls"],
+    "java": ["if", "while", "for", "switch", "catch", "return", "new", "sizeof", "typeof", "instanceof", "synchronized", "assert"],
+    "javascript": _JS_STOPS,
+    "typescript": _JS_STOPS,
+    "c": _C_STOPS,
+    "cpp": ["if", "while", "for", "switch", "catch", "return", "sizeof", "typeof", "decltype", "new", "delete", "static_cast", "dynamic_cast", "const_cast", "reinterpret_cast"],
+    "go": ["if", "for", "switch", "return", "panic", "make", "len", "cap", "append", "copy", "delete", "close", "complex", "real", "imag"],
+    "rust": ["if", "while", "for", "match", "return", "loop", "Some", "None", "Ok", "Err", "Box", "Vec", "println", "print", "format", "panic", "todo", "unimplemented"],
+}
+
 # The stages of a build, in order, and their weights.
 STAGES = [("structure_graph_build", 1, 3.0), ("dependency_graph_build", 2, 2.0), ("semantic_analysis", 3, 2.0), ("module_detection", 4, 1.5), ("vector_db_store", 5, 1.5)]
 
@@ -88,3 +102,33 @@ DECLARATIONS = {
         ("function", "function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|const|unsafe)\s+)*fn\s+(\w+)", 1),
     ],
 }
+
+#: Languages in which indentation closes a declaration, not braces.
+BY_INDENT = {"python"}
+
+
+def register_language(name: str, suffixes: list[str], declarations: list[tuple[str, str, str, int]], imports: list[str] | None = None, stops: list[str] | None = None, by_indent: bool = False) -> None:
+    """Add a language, or replace one: its suffixes (with or without the dot, in any case), patterns of declarations as in DECLARATIONS and of imports, and names
+    that are no calls. A suffix belongs to one language: the last that was registered."""
+    own = [s.lower() if s.startswith(".") else f".{s.lower()}" for s in suffixes]
+    for language, known in SUFFIXES.items():
+        SUFFIXES[language] = [s for s in known if s not in own]
+    SUFFIXES[name], DECLARATIONS[name] = own, [*declarations]
+    for table, value in ((IMPORT_PATTERNS, imports), (RICH_STOPS, stops)):
+        if value is not None:
+            table[name] = [*value]
+    (BY_INDENT.add if by_indent else BY_INDENT.discard)(name)
+
+
+def supported_languages() -> list[str]:
+    return sorted(DECLARATIONS)
+
+
+def supported_extensions() -> list[str]:
+    return sorted(s for some in SUFFIXES.values() for s in some)
+
+
+def language_of_extension(extension: str) -> str | None:
+    """The language of an extension, with or without the dot, in any case."""
+    wanted = f".{extension.lower().removeprefix('.')}"
+    return next((language for language, suffixes in SUFFIXES.items() if wanted in suffixes), None)

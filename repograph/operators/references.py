@@ -59,13 +59,16 @@ def extract_calls(methods: DataFrame) -> DataFrame:
 
 
 def extract_calls_rich(methods: DataFrame) -> DataFrame:
-    """src, receiver, call_name and line_no (in the file) of calls, each name once a line, without calls of the method's own name."""
-    lines = methods.select("repo", F.col("id").alias("src"), "name", "start_line", F.posexplode(F.split("code", "\n")).alias("_at", "text"))
+    """src, receiver, call_name and line_no (in the file) of calls, each name once a line, without calls of the method's own name and the stop names of its language."""
+    lines = methods.select("repo", F.col("id").alias("src"), "name", "language", "start_line", F.posexplode(F.split("code", "\n")).alias("_at", "text"))
     pattern = r"(?:(\w+)\s*(?:\.|::|->)\s*)?([a-zA-Z_]\w*)\s*\("
     both = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("receiver"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("call"))
-    calls = lines.select("repo", "src", "name", (F.col("start_line") + F.col("_at")).alias("line_no"), F.explode(both).alias("c"))
-    calls = calls.select("repo", "src", F.nullif(F.col("c.receiver"), F.lit("")).alias("receiver"), F.col("c.call").alias("call_name"), "line_no").where(~F.col("call_name").isin(dims.NOT_CALLS) & (F.col("call_name") != F.col("name")) & ~F.col("call_name").startswith("_"))
-    return calls.groupBy("repo", "src", "call_name", "line_no").agg(F.min("receiver").alias("receiver"))
+    calls = lines.select("repo", "src", "name", "language", (F.col("start_line") + F.col("_at")).alias("line_no"), F.explode(both).alias("c"))
+    calls = calls.select("repo", "src", "name", "language", F.nullif(F.col("c.receiver"), F.lit("")).alias("receiver"), F.col("c.call").alias("call_name"), "line_no")
+    stopped = F.col("call_name").isin(dims.NOT_CALLS)
+    for language, names in dims.RICH_STOPS.items():
+        stopped = F.when(F.col("language") == language, F.col("call_name").isin(names)).otherwise(stopped)
+    return calls.where(~stopped & (F.col("call_name") != F.col("name"))).groupBy("repo", "src", "call_name", "line_no").agg(F.min("receiver").alias("receiver"))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:

@@ -123,10 +123,10 @@ def _around(spans: list[tuple[int, int, bool]]) -> list[int]:
     return found
 
 
-def scopes(language: str, declared: list[dict], opens: list[int], change: list[int], indent: list[int], stops: list[bool], named: list[str]) -> list[tuple]:
+def scopes(language: str, declared: list[dict], opens: list[int], change: list[int], indent: list[int], stops: list[bool], named: list[str], by_indent: bool) -> list[tuple]:
     """Symbols of one file as (kind, symbol_type, name, parent_name, start_line, end_line), each line looked at a bounded number of times."""
     at = [d["line_no"] - 1 for d in declared]
-    if language == "python":
+    if by_indent:
         by_line = _ends_by_indent(indent)
         ends = [by_line[line] for line in at]
     else:
@@ -157,13 +157,13 @@ SYMBOL = "struct<kind:string,symbol_type:string,name:string,parent_name:string,s
 _MARKS = ("opens", "change", "indent", "stops", "named")
 
 
-def _scoped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scoped(batches: Iterator[pa.RecordBatch], by_indent: frozenset[str]) -> Iterator[pa.RecordBatch]:
     fields = {"kind": pa.string(), "symbol_type": pa.string(), "name": pa.string(), "parent_name": pa.string(), "start_line": pa.int32(), "end_line": pa.int32()}
     for batch in batches:
         for start in range(0, batch.num_rows, 64):
             part = batch.slice(start, 64)
             language, declared, *marks = (part.column(c).to_pylist() for c in ("language", "declared", *_MARKS))
-            found = [[dict(zip(fields, s, strict=True)) for s in scopes(l, d, *m)] for l, d, *m in zip(language, declared, *marks, strict=True)]
+            found = [[dict(zip(fields, s, strict=True)) for s in scopes(l, d, *m, l in by_indent)] for l, d, *m in zip(language, declared, *marks, strict=True)]
             kept = [part.column(c) for c in (*FILE, "language", "content")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.list_(pa.struct([*fields.items()])))], names=[*FILE, "language", "content", "found"])
 
@@ -177,7 +177,8 @@ def symbols(files: DataFrame, code: bool = True) -> DataFrame:
     file, with a stack. Nothing is shuffled. Files without a declaration don't leave the first step.
     """
     marked = lines_of(files).where(F.size("declared") > 0).select(*FILE, "language", (F.col("content") if code else F.lit(None).cast("string")).alias("content"), "declared", *_MARKS)
-    found = marked.mapInArrow(_scoped, f"repo string, path string, language string, content string, found array<{SYMBOL}>")
+    by_indent = frozenset(dims.BY_INDENT)
+    found = marked.mapInArrow(lambda batches: _scoped(batches, by_indent), f"repo string, path string, language string, content string, found array<{SYMBOL}>")
     text = F.split("content", "\n")
     sliced = lambda s: F.array_join(F.slice(text, s["start_line"], s["end_line"] - s["start_line"] + 1), "\n")
     with_code = F.transform("found", lambda s: F.struct(s.alias("s"), (sliced(s) if code else F.lit(None).cast("string")).alias("code")))

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repograph import queries
+from repograph.functions import dims
 from repograph.operators import files, graph, references, runs, symbols, vectors
 from repograph.plans import build
 from repograph.sources import derived, tables
@@ -230,3 +231,76 @@ def test_scopes_take_time_in_proportion():
     assert ends == [2 * n - 1 - i for i in range(n)]
     assert symbols._around([(i, 2 * n - 1 - i, True) for i in range(n)]) == list(range(-1, n - 1))
     assert symbols._ends_by_indent([*range(n), 0]) == [n - 1] * n + [n]
+
+
+def plain_ignored(path, files):
+    """Whether git would leave a file out, by fnmatch on each part: rules of each .gitignore from the root down, the last that fits decides, at each level."""
+    import fnmatch
+
+    parts = path.split("/")
+    for depth in range(1, len(parts) + 1):
+        name, is_dir, out = parts[:depth], depth < len(parts), None
+        for at in range(depth):
+            text = files.get("/".join([*parts[:at], ".gitignore"]), "")
+            below = name[at:]
+            for line in text.split("\n"):
+                rule = line.rstrip()
+                if not rule or rule.startswith("#"):
+                    continue
+                negated, rule = rule.startswith("!"), rule.removeprefix("!")
+                only_dirs, rule = rule.endswith("/"), rule.rstrip("/")
+                if only_dirs and not is_dir:
+                    continue
+                if "/" in rule:
+                    want = rule.lstrip("/").split("/")
+                    fits = len(want) == len(below) and all(fnmatch.fnmatchcase(x, y) for x, y in zip(below, want, strict=True))
+                else:
+                    fits = fnmatch.fnmatchcase(below[-1], rule)
+                if fits:
+                    out = not negated
+        if out:
+            return True
+    return False
+
+
+def test_ignore_files_of_several_folders(spark):
+    texts = {
+        ".gitignore": "*.log\nbuild/\n!keep.log\n/top.txt\nsrc/gen\n# no\n",
+        "src/.gitignore": "!debug.log\n*.tmp\n/only.py\nsub/x.py\n",
+        "src/sub/.gitignore": "*.log\n!a.tmp\n",
+        "build/.gitignore": "!*\n",
+    }
+    names = ["a.log", "keep.log", "top.txt", "only.py", "debug.log", "a.tmp", "x.py", "build/y.py", "gen/z.py", "gen"]
+    paths = sorted({f"{d}{n}" for d in ("", "src/", "src/sub/", "src/sub/deep/", "lib/") for n in names if not (n == "gen" and d == "src/")})
+    every = texts | {p: "" for p in paths}
+    rows = [(repo, p, t if repo == "r" or p not in texts else "") for repo in ("r", "q") for p, t in every.items()]
+    got = {(r.repo, r.path) for r in files.gitignore_filter(spark.createDataFrame(rows, "repo string, path string, content string")).collect()}
+    assert got == {("r", p) for p in every if not plain_ignored(p, texts)} | {("q", p) for p in every}
+    assert ("r", "build/.gitignore") not in got and ("r", "src/debug.log") in got and ("r", "src/sub/debug.log") not in got
+
+
+def test_a_language_can_be_registered(spark):
+    saved = {name: {k: [*v] for k, v in getattr(dims, name).items()} for name in ("SUFFIXES", "DECLARATIONS", "IMPORT_PATTERNS", "RICH_STOPS")}
+    try:
+        dims.register_language("ruby", ["RB", ".rake"], [("class", "class", r"^\s*class\s+(\w+)", 1), ("function", "function", r"^\s*def\s+(\w+)", 1)], [r"^\s*require\s+'([^']+)'"], ["puts"], by_indent=True)
+        assert dims.language_of_extension("rb") == "ruby" and ".rake" in dims.supported_extensions() and "ruby" in dims.supported_languages()
+        facts = files.with_file_facts(spark.createDataFrame([("r", "a.rb", "require 'b'\nclass A\n  def go(x)\n    puts(x)\n    run(x)\nend\n")], "repo string, path string, content string"))
+        found = symbols.symbols(facts)
+        assert {(r.kind, r.parent_name, r.name, r.start_line) for r in found.collect()} == {("class", None, "A", 2), ("method", "A", "go", 3)}
+        assert [r.module for r in references.extract_imports(facts).collect()] == ["b"]
+        assert {r.call_name for r in references.extract_calls_rich(symbols.symbol_nodes(found).where("label = 'Method'")).collect()} == {"run"}
+    finally:
+        for name, table in saved.items():
+            getattr(dims, name).clear()
+            getattr(dims, name).update(table)
+        dims.BY_INDENT.discard("ruby")
+
+
+def test_stop_names_go_by_language(spark):
+    rows = [("r", i, "m", "p", lang, 1, "make(x); super(); panic(); require(1); run(y)\n") for i, lang in enumerate(["python", "go", "javascript", "rust", "kotlin"])]
+    calls = references.extract_calls_rich(spark.createDataFrame([(*r[:1], str(r[1]), *r[2:]) for r in rows], "repo string, id string, name string, file_path string, language string, start_line int, code string"))
+    got = {}
+    for r in calls.collect():
+        got.setdefault(r.src, set()).add(r.call_name)
+    every = {"make", "super", "panic", "require", "run"}
+    assert got == {"0": every - {"super"}, "1": every - {"make", "panic"}, "2": every - {"require"}, "3": every - {"panic"}, "4": every}
