@@ -6,6 +6,7 @@ The code corpus is derived from ``part`` by templates, so its symbols, imports a
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from repograph.operators import graph, layers, providers, references, runs, sema
 from repograph.plans import build
 from repograph.sources import derived as D
 from repograph.sources import tables
+from repograph.sources.versions import VersionedTable
+from repograph.streaming.status import follow, watched_stages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -868,6 +871,16 @@ def stage_status(spark, sf_dir):
     return runs.stage_status(D.run_events(spark, sf_dir)).select("repo_id", "stage", "status")
 
 
+@query(f"WITH {EV} SELECT repo_id, stage, {_STATUS} AS status FROM st")
+def stage_status_stream(spark, sf_dir):
+    """The last status of each stage from a log that arrives file by file, kept in a table at rest."""
+    log, root = graph.shared_path(spark, "log"), graph.shared_path(spark, "status")
+    tables.append_events(D.run_events(spark, sf_dir).repartition(3, "seq"), log)
+    stages = watched_stages(spark, log, timedelta(days=36_500), "36500 days", 1)
+    follow(stages, root, graph.shared_path(spark, "offsets")).awaitTermination()
+    return VersionedTable(spark, root).read().select("repo_id", "stage", "status")
+
+
 @query(f"WITH {EV} SELECT repo_id, stage, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY last_ts, stage) AS INT) AS rank FROM st WHERE event = 'stage_completed'")
 def completed_stages(spark, sf_dir):
     return runs.completed_stages(D.run_events(spark, sf_dir))

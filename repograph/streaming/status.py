@@ -2,15 +2,84 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import UTC, datetime, timedelta
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from repograph.operators.runs import EVENT, STATE, state_of
+from repograph.sources.versions import VersionConflict, VersionedTable
+
+STATUS = "repo_id string, stage string, status string, at timestamp"
 
 
 def stage_status_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """A streaming frame of repo_id, stage and status as events arrive; its state is one row for each stage of a repo."""
+    """A streaming frame of repo_id, stage and status as events arrive; its state is one row for each stage of a repo and stays."""
     events = spark.readStream.schema(EVENT).json(folder)
     known = events.where("stage is not null").where(F.col("event").isin(*STATE))
     last = known.groupBy("repo_id", "stage").agg(F.max_by("event", F.struct("timestamp", "seq")).alias("event"))
     return last.select("repo_id", "stage", state_of(F.col("event")).alias("status"))
+
+
+def watched_stages(spark: SparkSession, folder: str, stall: timedelta = timedelta(hours=1), late: str = "10 minutes", files: int | None = None) -> DataFrame:
+    """A streaming frame of repo_id, stage, status and at (event time): a row whenever a stage's last event changes, and one with ``stalled`` when a stage has started
+    and event time has gone on by ``stall`` without a word of it.
+
+    The event with the largest timestamp and seq counts, in whatever order they come; repeated events change nothing. Events later than ``late`` behind the newest are
+    left out. The state of a stage that has ended, or stalled, is dropped when event time has gone on by ``stall``. files: log files read in a batch at most.
+    """
+    reader = spark.readStream.schema(EVENT)
+    reader = reader if files is None else reader.option("maxFilesPerTrigger", files)
+    events = reader.json(folder).where("stage is not null and timestamp is not null").where(F.col("event").isin(*STATE))
+    events = events.withWatermark("timestamp", late).select("repo_id", "stage", "timestamp", F.coalesce("seq", F.lit(-1)).alias("seq"), "event")
+    wait = int(stall.total_seconds() * 1000)
+
+    def each(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        def row(status: str, ms: int) -> pd.DataFrame:
+            return pd.DataFrame([(*key, status, datetime.fromtimestamp(ms / 1000, UTC).replace(tzinfo=None))], columns=["repo_id", "stage", "status", "at"])
+
+        ms, seq, event = state.get if state.exists else (-(1 << 62), -1, None)
+        if state.hasTimedOut:
+            state.remove()
+            if event == "stage_started":
+                yield row("stalled", ms)
+            return
+        before = ms, seq, event
+        for part in parts:
+            times = part["timestamp"].astype("datetime64[ms]").astype("int64")
+            for found in zip(times, part["seq"], part["event"], strict=True):
+                if (found[0], found[1]) > (ms, seq):
+                    ms, seq, event = int(found[0]), int(found[1]), found[2]
+        if (ms, seq, event) == before:
+            if state.exists:
+                state.setTimeoutTimestamp(max(ms + wait, state.getCurrentWatermarkMs() + 1))
+            return
+        yield row(STATE[event], ms)
+        state.update((ms, seq, event))
+        state.setTimeoutTimestamp(max(ms + wait, state.getCurrentWatermarkMs() + 1))
+
+    return events.groupBy("repo_id", "stage").applyInPandasWithState(each, STATUS, "ms long, seq long, event string", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def follow(stages: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Keep a table at rest (id, repo_id, stage, status, at) of the last status of each stage of watched_stages, all that has arrived by now.
+
+    A batch is one merge by key, so a batch that is played again after a failure gives the same rows.
+    """
+
+    def upsert(batch: DataFrame, _: int) -> None:
+        last = batch.groupBy("repo_id", "stage").agg(F.max_by("status", F.struct("at", F.col("status") == "stalled")).alias("status"), F.max("at").alias("at"))
+        rows = last.select(F.concat_ws("/", "repo_id", "stage").alias("id"), "repo_id", "stage", "status", "at")
+        table = VersionedTable(batch.sparkSession, root)
+        if not table.exists():
+            try:
+                VersionedTable.create(batch.sparkSession.createDataFrame([], rows.schema), root, "id", 16)
+            except VersionConflict:
+                pass
+        table.merge(rows)
+
+    return stages.writeStream.foreachBatch(upsert).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
