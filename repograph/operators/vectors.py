@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -115,37 +116,77 @@ def topk_per_type(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFr
     return scores(vectors, queries).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "type", "id", "node_id", "score", "rank")
 
 
-def ivf_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, n_lists: int = 128, n_probe: int = 10, sample: int = 100_000, seed: int = 7) -> DataFrame:
-    """As topk, by lists of k-means over a sample of at most about ``sample`` vectors.
+def _angle(a: str, b: str) -> Column:
+    return F.acos(F.greatest(F.least(C.cosine(F.col(a), F.col(b)), F.lit(1.0)), F.lit(-1.0)))
+
+
+@dataclass(frozen=True)
+class IvfIndex:
+    """Vectors in lists around centers, each list in rings by the angle to its center.
 
-    A query probes its ``n_probe`` nearest lists, then every other one that the k-th score so far does not rule out: no member of a list is nearer
-    to a query than the angle to the center less that from the center to the list's farthest member. So no neighbour is lost.
+    listed: id, node_id, repo, type, embedding, list and ring. rings: one row for each list and ring that has vectors, with the list's center, the smallest and
+    largest angle in the ring (low, high) and the number of vectors (n). Both are bounded by the numbers of lists and rings but for listed.
     """
+
+    listed: DataFrame
+    rings: DataFrame
+
+    def _near(self, queries: DataFrame) -> DataFrame:
+        """query_id, query, list, ring, n, most (no member of the ring has a larger cosine) and rank for each query and ring, the most promising first."""
+        centers = self.rings.select("list", "center").dropDuplicates(["list"])
+        near = queries.select("query_id", "query").join(F.broadcast(centers), F.lit(True)).withColumn("_angle", _angle("query", "center")).drop("center")
+        near = near.join(F.broadcast(self.rings.drop("center")), "list")
+        # By the triangle inequality a member is no nearer to the query than the angles to the center differ.
+        least = F.greatest(F.col("_angle") - F.col("high"), F.col("low") - F.col("_angle"), F.lit(0.0))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("_least", "_angle", "list", "ring"))
+        near = near.withColumn("_least", least).withColumn("_rank", rank)
+        return near.select("query_id", "query", "list", "ring", "n", F.cos(F.greatest(F.col("_least") - ANGLE_ERROR, F.lit(0.0))).alias("most"), "_rank")
+
+    def _best(self, probed: DataFrame, k: int) -> DataFrame:
+        scored = self.listed.join(probed.select("query_id", "query", "list", "ring"), ["list", "ring"]).withColumn("score", F.round(C.cosine(F.col("embedding"), F.col("query")), 6)).where("score is not null")
+        return _ranked(scored.select("query_id", "id", "node_id", "repo", "type", "score"), k)
+
+    def _searched(self, queries: DataFrame, k: int, n_probe: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The best of the first rings, those rings, and the other rings that the k-th score so far does not rule out."""
+        near = checkpointed(self._near(queries))
+        few = near.where(F.col("_rank") <= n_probe)
+        first = checkpointed(self._best(few, k))
+        least = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("_least"))
+        more = near.where(F.col("_rank") > n_probe).join(least, "query_id", "left")
+        # Scores are rounded to six decimals, so a member may score half of the last one above its bound; equal scores are told apart by id.
+        return first, few, more.where(F.col("_least").isNull() | (F.col("most") + 1e-6 >= F.col("_least")))
+
+    def search(self, queries: DataFrame, k: int = 10, n_probe: int = 10) -> DataFrame:
+        """As topk: no neighbour is lost, as a ring is left out only if none of its members can be among the k best."""
+        first, _, more = self._searched(queries, k, n_probe)
+        return _ranked(first.drop("rank").union(self._best(more, k).drop("rank")), k)
+
+    def scored(self, queries: DataFrame, k: int = 10, n_probe: int = 10) -> DataFrame:
+        """query_id and n: how many vectors a search compares with each query."""
+        _, few, more = self._searched(queries, k, n_probe)
+        return few.select("query_id", "n").union(more.select("query_id", "n")).groupBy("query_id").agg(F.sum("n").alias("n"))
+
+
+def ivf_index(vectors: DataFrame, n_lists: int = 128, n_rings: int = 16, sample: int = 100_000, seed: int = 7) -> IvfIndex:
+    """An index of all vectors by k-means over a sample of at most about ``sample`` of them; at most the square root of their number in lists."""
     unit = lambda v: F.transform(v, lambda x: x.cast("double"))
     n = vectors.count()
     n_lists = max(1, min(n_lists, math.isqrt(n)))
     rows = vectors.withColumn("_v", array_to_vector(unit(F.col("embedding"))))
-    fitted = KMeans(k=n_lists, seed=seed, featuresCol="_v", predictionCol="_list", maxIter=10, distanceMeasure="cosine").fit(rows.sample(min(1.0, sample / max(1, n)), seed=seed) if n > sample else rows)
-    centers = rows.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(fitted.clusterCenters())], "_list int, center array<double>")
-    listed = fitted.transform(rows).select("id", "node_id", "repo", "type", "embedding", "_list")
-    angle = lambda a, b: F.acos(F.greatest(F.least(C.cosine(F.col(a), F.col(b)), F.lit(1.0)), F.lit(-1.0)))
-    # At most n_lists rows.
-    widths = listed.join(F.broadcast(centers), "_list").groupBy("_list").agg(F.max(angle("embedding", "center")).alias("_width"))
-    lists = checkpointed(centers.join(widths, "_list"))
-    near = queries.join(F.broadcast(lists), F.lit(True)).withColumn("_angle", angle("query", "center"))
-    near = near.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("_angle", "_list")))
-    near = near.select("query_id", "query", "_list", "_r", F.cos(F.greatest(F.col("_angle") - F.col("_width") - ANGLE_ERROR, F.lit(0.0))).alias("_most"))
-
-    def best(probed: DataFrame) -> DataFrame:
-        scored = listed.join(probed, "_list").withColumn("score", F.round(C.cosine(F.col("embedding"), F.col("query")), 6)).where("score is not null")
-        return _ranked(scored.select("query_id", "id", "node_id", "repo", "type", "score"), k)
+    fitted = KMeans(k=n_lists, seed=seed, featuresCol="_v", predictionCol="list", maxIter=10, distanceMeasure="cosine").fit(rows.sample(min(1.0, sample / max(1, n)), seed=seed) if n > sample else rows)
+    centers = rows.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(fitted.clusterCenters())], "list int, center array<double>")
+    placed = fitted.transform(rows).select("id", "node_id", "repo", "type", "embedding", "list").join(F.broadcast(centers), "list").withColumn("_angle", _angle("embedding", "center")).drop("center")
+    placed = checkpointed(placed)
+    widths = placed.groupBy("list").agg(F.max("_angle").alias("_width"))
+    ring = F.least(F.floor(F.col("_angle") / (F.col("_width") + ANGLE_ERROR) * n_rings), F.lit(n_rings - 1)).cast("int")
+    listed = checkpointed(placed.join(F.broadcast(widths), "list").withColumn("ring", ring).drop("_width"))
+    rings = listed.groupBy("list", "ring").agg(F.min("_angle").alias("low"), F.max("_angle").alias("high"), F.count("*").alias("n"))
+    return IvfIndex(listed.drop("_angle"), checkpointed(rings.join(F.broadcast(centers), "list")))
 
-    first = checkpointed(best(near.where(F.col("_r") <= n_probe)))
-    least = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("_least"))
-    more = near.where(F.col("_r") > n_probe).join(least, "query_id", "left")
-    # Scores are rounded to six decimals, so a member may score half of the last one above its bound; equal scores are told apart by id.
-    more = more.where(F.col("_least").isNull() | (F.col("_most") + 1e-6 >= F.col("_least")))
-    return _ranked(first.drop("rank").union(best(more.select("query_id", "query", "_list")).drop("rank")), k)
+
+def ivf_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, n_lists: int = 128, n_probe: int = 10, sample: int = 100_000, seed: int = 7) -> DataFrame:
+    """As topk, through an index that is made for it (see ivf_index); ``n_probe`` rings are searched before any is ruled out."""
+    return ivf_index(vectors, n_lists, sample=sample, seed=seed).search(queries, k, n_probe)
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:

@@ -723,11 +723,17 @@ def hydrate_hits(spark, sf_dir):
     return vectors.hydrate(hits, nodes, ["label"])
 
 
-@query()
+@query(f"WITH {_SCORED} {_TOPK.format(where='')}")
 def ivf_topk(spark, sf_dir):
+    """Equal to exact search, as bounds leave out only what can't be among the best."""
     return vectors.ivf_topk(D.vectors(spark, sf_dir), _asked(spark, sf_dir)).select("query_id", "id", "score", "rank")
 
 
+# The names under which these were first registered for every twentieth vector.
+for _name in ("cosine_topk", "vector_filter", "topk_per_type", "union_hits", "hydrate_hits"):
+    QUERIES[f"{_name}_each_20th"], SQL[f"{_name}_each_20th"] = QUERIES[_name], SQL[_name]
+
+
 _BUCKET = "CAST(concat('0x', substr(md5(t), 1, 8)) AS UBIGINT) % 64"
 _EMBED = f"""tok AS (SELECT doc_id, {_BUCKET} AS b FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS t FROM documents)),
  cnt AS (SELECT doc_id, b, count(*) AS n FROM tok GROUP BY ALL), nrm AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM cnt GROUP BY 1)"""
@@ -746,6 +752,9 @@ def embed_nodes(spark, sf_dir):
     return _buckets(_embedded(spark, sf_dir))
 
 
+QUERIES["embed_nodes_whole_text"], SQL["embed_nodes_whole_text"] = embed_nodes, SQL["embed_nodes"]
+
+
 @query("SELECT md5(concat('doc_', doc_id)) AS id, 'file_summary' AS collection, concat('doc_', doc_id) AS node_id, source AS repo FROM documents WHERE trim(text) <> ''")
 def build_vector_records(spark, sf_dir):
     made = _embedded(spark, sf_dir).withColumns({"label": F.lit("File"), "name": F.col("id")})

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import subprocess
 import sys
@@ -90,6 +91,21 @@ def test_ivf_rules_far_lists_out(spark):
     assert vectors.ivf_topk(rows, asked, 5, n_lists=4, n_probe=1).select("query_id", "id", "rank").exceptAll(exact).isEmpty()
 
 
+def test_rings_leave_most_vectors_out(spark):
+    """On clustered vectors an exact search looks at less than three in ten of them."""
+    draw = random.Random(2)
+    middles = [[draw.gauss(0, 1) for _ in range(16)] for _ in range(40)]
+    made = [(f"v{i:04d}", "n", "r", "t", [m + draw.gauss(0, 0.25) for m in middles[i % 40]]) for i in range(2000)]
+    rows = spark.createDataFrame(made, "id string, node_id string, repo string, type string, embedding array<double>")
+    asked = rows.where("id < 'v0050'").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    index = vectors.ivf_index(rows)
+    exact = vectors.topk(rows, asked, 10).select("query_id", "id", "score", "rank")
+    found = index.search(asked, 10).select("query_id", "id", "score", "rank")
+    assert found.exceptAll(exact).isEmpty() and found.count() == exact.count() == 500
+    counts = [r.n for r in index.scored(asked, 10).collect()]
+    assert len(counts) == 50 and sum(counts) < 0.3 * 2000 * 50
+
+
 def _nearest(rows, query, k, same=lambda r: True):
     cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
     return [i for _, i in sorted((-round(cosine(r.embedding, query), 6), r.id) for r in rows if same(r))[:k]]
