@@ -86,6 +86,18 @@ def test_suffix_dedup_of_an_anchor_with_many_stretches(spark, monkeypatch):
     assert [r["n_removed"] for r in sorted(out, key=lambda r: r["doc_id"])] == removed_bytes([t.encode() for t in texts])
 
 
+def test_suffix_dedup_of_texts_made_to_share_hashes(spark):
+    # Sums modulo 2**64 of the first two agree, and so do all XXH64 hashes of the next two with their doc_id.
+    x, y = ("".join(("fsfkonqe", "zhpkhhsb")[(i.bit_count() + k) % 2] for i in range(16)) for k in (0, 1))
+    head = "898001 293271 635247 703881 729353 171022 732551 902443 342245 568082 94"
+    body = "-" * 24 + " ".join(f"w{i}" for i in range(70))
+    one, other = '0123456"' + "-" * 24 + "!!!(DA!!" + body, "0123456$" + "-" * 24 + "!!!!!!2+" + body
+    rows = [(0, head + x), (1, head + y), (2, one), (2, other), (3, one)]
+    out = Counter((r["doc_id"], r["n_removed"]) for r in rows_of(suffixes.dedup_digest(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))))
+    assert out == Counter(zip((i for i, _ in rows), removed_bytes([t.encode() for _, t in rows]), strict=True))
+    assert out == Counter([(0, 0), (1, 0), (2, len(one)), (2, len(body)), (3, len(one))])
+
+
 def test_suffix_dedup_keeps_ids_and_columns(spark):
     large = (1 << 60) + 1
     rows = [(large, PASSAGE, 1, 2, "x"), (None, f"other {PASSAGE}", 3, 4, None), (None, None, 5, 6, ""), (large, PASSAGE, 1, 2, "x")]
