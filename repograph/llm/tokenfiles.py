@@ -9,6 +9,7 @@ written. A document's first id among all is the sum of the parts before (one num
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from repograph.llm import rangecoder
 from repograph.llm.common import checkpointed, shuffle_partitions
@@ -30,20 +32,52 @@ from repograph.llm.common import checkpointed, shuffle_partitions
 BLOCK_TOKENS = 1 << 12
 #: The id that ends each document.
 END = 2
-#: Words whose ids a task remembers, about; as many again from before. Words of more characters are not remembered, so the tables are bounded in bytes.
+#: Pieces whose ids a worker remembers, about; as many again from before. Pieces of more characters are not remembered, so the tables are bounded in bytes.
 REMEMBERED, LONGEST_WORD = 300_000, 64
-#: Documents whose new words are encoded in one call.
-TOGETHER = 64
+#: Bytes of texts that are taken together, and new pieces that the library gets as one text.
+TOGETHER, JOINED = 1 << 23, 128
 #: Texts whose ids tell whether a tokenizer's pattern goes over blanks, or takes them into its tokens.
-PROBES = ["the quick brown fox", "a  b\n\nc\td ", "It's 12 a-b 3.5\r\n (x y)"]
+PROBES = ["the quick brown fox", "a  b\n\nc\td ", "It's 12 a-b 3.5\r\n (x y)", "\u00c0\u00c9\u00f1 \u00dfx1.,2((Q)) \u00d7y \u20ac5 n\u0303"]
 #: Blanks that the tokenizer turns into a word boundary and that no token spans.
 WORD = re.compile("[^ \t\n\r]+")
 
+#: What a tokenizer does before its merges, if words of common characters may be cut and lower-cased here: composed forms, blanks, lower case; then runs of
+#: letters, single digits and runs of other characters, each merged by itself.
+_KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Kinds of bytes: blanks, letters (ASCII, and U+00C0 to U+00FF but two signs, as UTF-8), digits, other ASCII without apostrophes and controls, and the rest.
+_BLANK, _LETTER, _DIGIT, _SIGN, _REST = range(5)
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each byte, and the byte in lower case."""
+    kind, lower = np.full(256, _REST, dtype=np.uint8), np.arange(256, dtype=np.uint8)
+    kind[33:127] = _SIGN
+    kind[[ord(c) for c in " \t\n\r"]] = _BLANK
+    kind[ord("0") : ord("9") + 1] = _DIGIT
+    for a, z in ("AZ", "az"):
+        kind[ord(a) : ord(z) + 1] = _LETTER
+    kind[0x80:0xC0] = kind[0xC3] = _LETTER
+    kind[ord("'")] = _REST
+    lower[ord("A") : ord("Z") + 1] += 32
+    lower[0x80:0x9F] += 32
+    return kind, lower
+
 
 class WordEncoder(dict):
-    """Ids of words, as little-endian 16-bit numbers, in two generations of bounded size.
+    """Ids of pieces of texts, as little-endian 16-bit numbers, in two generations of bounded size.
 
-    The vocabulary's pattern never goes over a blank, so the ids of a text are those of its words one after another.
+    The vocabulary's pattern never goes over a blank, so the ids of a text are those of its words one after another. Where the tokenizer is of the known
+    kind, words of ASCII characters and letters up to U+00FF are cut further, as its pattern does, and lower-cased; other words are pieces as they are.
+    The library gives the ids of each different piece.
     """
 
     def __init__(self, vocabulary: str):
@@ -54,32 +88,152 @@ class WordEncoder(dict):
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         if self.size > 1 << 16:
             raise ValueError(f"a vocabulary of {self.size} ids; files hold ids of 16 bits")
-        if any(self._of([t])[0] != b"".join(self._of(WORD.findall(t))) for t in PROBES):
-            raise ValueError("the tokenizer's ids of a text are not those of its words one after another")
         self.old: dict[str, bytes] = {}
+        self.kind, self.lower = _kinds()
+        # Matches nothing.
+        self.special = re.compile(b"(?!)")
+        self.merges = self._merges(vocabulary)
+        if self.merges is None:
+            self.kind[self.kind != _BLANK] = _REST
+        if any(self._of([t])[0] != b"".join(self._of(WORD.findall(t))) or self._of([t]) != self.encode([t]) for t in PROBES):
+            raise ValueError("the tokenizer's ids of a text are not those of its words one after another")
+
+    def _merges(self, vocabulary: str) -> Tokenizer | None:
+        """The library's tokenizer for pieces that are cut and lower-cased, joined by single blanks; none if the tokenizer is not of the known kind."""
+        parts = json.loads(vocabulary)
+        model, added = parts["model"], parts.get("added_tokens") or []
+        suffix = model.get("end_of_word_suffix")
+        if any(parts.get(k) != v for k, v in _KNOWN.items()) or model["type"] != "BPE" or suffix != "</w>" or model.get("dropout"):
+            return None
+        if parts.get("truncation") or parts.get("padding") or parts.get("post_processor"):
+            return None
+        if not all({c, c + suffix} <= model["vocab"].keys() for c in ByteLevel.alphabet()):
+            return None
+        # Special tokens without blanks or capitals are looked for in the words.
+        if any(not re.fullmatch(r"<\|[a-z]+\|>", t["content"]) or t["normalized"] for t in added):
+            return None
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        plain = parts | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "CharDelimiterSplit", "delimiter": " "}, byte_level]}}
+        self.ends = np.zeros(self.size, dtype=bool)
+        self.ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
+        if added:
+            self.special = re.compile(b"|".join(re.escape(t["content"].encode()) for t in added))
+        return Tokenizer.from_str(json.dumps(plain))
 
     def _of(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def __missing__(self, word: str) -> bytes:
-        return self._of([word])[0]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        cut = [WORD.findall(text) for text in texts]
-        fresh = []
-        for word in set().union(*cut).difference(self):
-            if (ids := self.old.get(word)) is not None:
-                self[word] = ids
-            elif len(word) <= LONGEST_WORD:
-                fresh.append(word)
-        self.update(zip(fresh, self._of(fresh), strict=True))
-        found = [b"".join(map(self.__getitem__, words)) for words in cut]
+    def _of_plain(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that are cut and lower-cased: the last id of each is one that ends a word."""
+        texts = [" ".join(pieces[a : a + JOINED]) for a in range(0, len(pieces), JOINED)]
+        ids = np.array([i for e in self.merges.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], dtype="<u2")
+        ends = np.flatnonzero(self.ends.take(ids)) + 1
+        if len(ends) != len(pieces) or ends[-1] != len(ids):
+            raise ValueError("the tokenizer does not end each piece by an id of its own kind")
+        raw, ends = ids.tobytes(), (2 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _found(self, pieces: list[str], plain: list[int]) -> list[bytes]:
+        """The ids of different pieces."""
+        found = list(map(self.get, pieces))
+        fresh = [i for i, ids in enumerate(found) if ids is None]
+        if self.old:
+            for i in fresh:
+                found[i] = self.old.get(pieces[i])
+            self.update((pieces[i], found[i]) for i in fresh if found[i] is not None)
+            fresh = [i for i in fresh if found[i] is None]
+        for of, which in ((self._of_plain, [i for i in fresh if plain[i]]), (self._of, [i for i in fresh if not plain[i]])):
+            for i, ids in zip(which, of([pieces[i] for i in which]) if which else [], strict=True):
+                found[i] = ids
+                if len(pieces[i]) <= LONGEST_WORD:
+                    self[pieces[i]] = ids
         if len(self) > REMEMBERED:
             self.old = dict(self)
             self.clear()
         return found
 
+    def ids(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts that are bytes of UTF-8 one after another and begin at these places, and how many ids are before each text and in all."""
+        kind = self.kind.take(text)
+        lower = self.lower.take(text)
+        first = np.zeros(len(text) + 1, dtype=bool)
+        first[starts] = True
+        first = first[:-1]
+        full = kind != _BLANK
+        before = np.concatenate([[False], full[:-1]])
+        words = np.flatnonzero(full & (first | ~before))
+        # Signs of multiplication and division stand among the letters.
+        rest = kind == _REST
+        rest[1:] |= (text[:-1] == 0xC3) & ((text[1:] & 0xDF) == 0x97)
+        # A word with a special token in it is for the whole tokenizer.
+        rest[[m.start() for m in self.special.finditer(text)]] = True
+        which = np.unique(np.searchsorted(words, np.flatnonzero(rest), side="right") - 1)
+        if len(which):
+            # The whole word goes as it is.
+            ends = np.flatnonzero(full & np.concatenate([first[1:] | ~full[1:], [True]])) + 1
+            steps = np.zeros(len(text) + 1, dtype=np.int8)
+            steps[words[which]] += 1
+            steps[ends[which]] -= 1
+            inside = np.cumsum(steps[:-1], dtype=np.int8).astype(bool)
+            kind[inside] = _REST
+            lower[inside] = text[inside]
+        changes = np.empty(len(text), dtype=bool)
+        changes[:1] = True
+        np.not_equal(kind[1:], kind[:-1], out=changes[1:])
+        changes |= first
+        changes |= kind == _DIGIT
+        changes |= ~before
+        changes &= full
+        at = np.flatnonzero(changes)
+        offsets = np.append(np.flatnonzero(changes[full]), np.count_nonzero(full)).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(lower[full])).dictionary_encode()
+        of = pieces.indices.to_numpy(zero_copy_only=False)
+        # Pieces of the same bytes are of the same kind.
+        plain = np.zeros(len(pieces.dictionary), dtype=np.int8)
+        plain[of] = kind[at] != _REST
+        found = self._found(pieces.dictionary.to_pylist(), plain.tolist())
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) >> 1
+        many = sizes.take(of)
+        upto = np.cumsum(many)
+        shift = (np.cumsum(sizes) - sizes).take(of) - (upto - many)
+        total = int(upto[-1]) if len(upto) else 0
+        out = np.frombuffer(b"".join(found), dtype="<u2").take(np.repeat(shift, many) + np.arange(total))
+        return out, np.append(np.append(0, upto)[np.searchsorted(at, starts)], total)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        raw = [t.encode() for t in texts]
+        sizes = np.array([len(t) for t in raw], dtype=np.int64)
+        ids, at = self.ids(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum(sizes) - sizes)
+        return [ids[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+
+    def pieces(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, bool]]:
+        """(number of the text, ids, whether the text ends) in the order of the texts, some TOGETHER bytes at a time; longer texts are cut at blanks."""
+        raw = texts.fill_null("").cast(pa.large_string())
+        raw.validate(full=True)
+        if not len(raw):
+            return
+        ends = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
+        data = np.frombuffer(raw.buffers()[2] or b"", dtype=np.uint8)
+        text, at = 0, int(ends[0])
+        while text < len(raw):
+            # As many whole texts as fit, one at least if it does.
+            upto = max(text, int(np.searchsorted(ends, at + TOGETHER, side="right")) - 1)
+            if upto > text:
+                ids, before = self.ids(data[at : ends[upto]], np.append(at, ends[text + 1 : upto]) - at)
+                for i in range(upto - text):
+                    yield text + i, ids[before[i] : before[i + 1]], True
+                text, at = upto, int(ends[upto])
+            else:
+                end, to = int(ends[text + 1]), at + TOGETHER
+                blank = np.flatnonzero(self.kind.take(data[at:to]) == _BLANK)
+                while not len(blank) and to < end:
+                    blank = np.flatnonzero(self.kind.take(data[to : min(to + TOGETHER, end)]) == _BLANK) + to - at
+                    to += TOGETHER
+                cut = at + int(blank[-1]) + 1 if len(blank) else end
+                yield text, self.ids(data[at:cut], np.zeros(1, dtype=np.int64))[0], cut == end
+                text, at = text + (cut == end), cut
+
 
 def _worker(vocabulary: str) -> WordEncoder:
     """The encoder that a Python worker keeps from task to task."""
@@ -111,7 +265,7 @@ def encoded_blocks(docs: DataFrame, tokenizer: str | None = None, end: int = END
         encoder, part = _worker(vocabulary.value), TaskContext.get().partitionId()
         ready: list[tuple[list, list[int], list[np.ndarray], int]] = []
         names, skipped, ids, held, before, block = [], [], [], 0, 0, 0
-        stop = np.array([end], dtype="<u2").tobytes()
+        stop = np.array([end], dtype="<u2")
 
         def rows() -> pa.RecordBatch:
             nonlocal block
@@ -123,22 +277,21 @@ def encoded_blocks(docs: DataFrame, tokenizer: str | None = None, end: int = END
             return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
         for batch in batches:
-            for a in range(0, batch.num_rows, TOGETHER):
-                some = batch.slice(a, TOGETHER).to_pydict()
-                for name, found in zip(some["doc_id"], encoder.encode([t or "" for t in some["text"]]), strict=True):
-                    tokens = np.frombuffer(found + stop, dtype="<u2")
-                    at = 0
-                    while at < len(tokens):
-                        piece = tokens[at : at + BLOCK_TOKENS - held]
-                        names.append(name)
-                        skipped.append(at)
-                        ids.append(piece)
-                        at, held = at + len(piece), held + len(piece)
-                        if held >= BLOCK_TOKENS:
-                            ready.append((names, skipped, ids, before))
-                            before, names, skipped, ids, held = before + held, [], [], [], 0
-                            if len(ready) >= rangecoder.LANES:
-                                yield rows()
+            doc_ids, done = batch.column("doc_id").to_pylist(), 0
+            for i, tokens, ends in encoder.pieces(batch.column("text")):
+                tokens, at = np.concatenate([tokens, stop]) if ends else tokens, 0
+                while at < len(tokens):
+                    piece = tokens[at : at + BLOCK_TOKENS - held]
+                    names.append(doc_ids[i])
+                    skipped.append(done + at)
+                    ids.append(piece)
+                    at, held = at + len(piece), held + len(piece)
+                    if held >= BLOCK_TOKENS:
+                        ready.append((names, skipped, ids, before))
+                        before, names, skipped, ids, held = before + held, [], [], [], 0
+                        if len(ready) >= rangecoder.LANES:
+                            yield rows()
+                done = 0 if ends else done + len(tokens)
         if names:
             ready.append((names, skipped, ids, before))
         if ready:

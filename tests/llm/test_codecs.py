@@ -6,10 +6,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from repograph.llm import bpe, hamming, hashing, jaccard, rangecoder, suffixes, tokenfiles
 
@@ -73,6 +75,46 @@ def test_range_coder_of_several_vocabularies():
     assert all((a == b).all() for (a, _), b in zip(blocks, rangecoder.decode(together), strict=True))
 
 
+def test_range_coder_damage_anywhere_is_told():
+    rng = np.random.default_rng(9)
+    blocks = [rng.integers(0, 49408, 70), np.arange(1100) % 7 * 5000, np.zeros(3, dtype=int)]
+    for block, coded in zip(blocks, rangecoder.encode(blocks, 49408), strict=True):
+        for at in range(6 + 12, len(coded), 1 + len(coded) // 40):
+            broken = bytearray(coded)
+            broken[at] ^= 1 << at % 8
+            try:
+                # The last bits of a block may say nothing.
+                assert (rangecoder.decode([bytes(broken)])[0] == block).all() and at >= len(coded) - 9
+            except ValueError:
+                pass
+
+
+def test_word_encoder_asks_for_each_piece_once():
+    """Words that differ in capitals and signs only are one piece for the library."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        encoder = tokenfiles.WordEncoder(f.read())
+    encoder.clear()
+    encoder.encode(["Zérox, zÉrox. (ZÉROX) zérox11", "zérox's"])
+    assert set(encoder) == {"zérox", ",", ".", "(", ")", "1", "zérox's"}
+
+
+def test_word_encoder_of_texts_longer_than_a_step(monkeypatch):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = f.read()
+    library, encoder = Tokenizer.from_str(vocabulary), tokenfiles.WordEncoder(vocabulary)
+    monkeypatch.setattr(tokenfiles, "TOGETHER", 100)
+    atoms = [*"abZÉßÿ×÷ãñ019.,!'-_(<|>\\\x7f\x00\x0b\x1c\x85\xa0\xad\xb5\xb2\u20ac\u4e2d\u03a3\u0130\u0301 \t\n\r", "'s", "'ll", "<|endoftext|>", "<|startoftext|>", "the", "a" * 70, " ", " ", " "]
+    rng = random.Random(5)
+    for _ in range(300):
+        texts = ["".join(rng.choices(atoms, k=rng.randint(0, 60))) for _ in range(rng.randint(1, 9))]
+        texts[rng.randrange(len(texts))] = rng.choice([None, "", "x" * 250])
+        found, ended = [[] for _ in texts], [0] * len(texts)
+        for i, ids, ends in encoder.pieces(pa.array(texts, pa.string())):
+            found[i] += ids.tolist()
+            ended[i] += ends
+        assert found == [library.encode(t or "", add_special_tokens=False).ids for t in texts] and set(ended) == {1}
+
+
 def test_word_encoder_equals_the_library():
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         encoder = tokenfiles.WordEncoder(f.read())
