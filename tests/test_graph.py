@@ -51,6 +51,12 @@ def test_symbols_of_samples(sample_files):
     assert not names & {("B.java", "Not"), ("B.java", "go"), ("f.c", "decl"), ("g.cpp", "p"), ("e.rs", "q")}
 
 
+def test_patterns_stand_once_in_the_plan(spark):
+    """One test and one extraction for each pattern: a filter put below the columns it is made of would work them out again for each line."""
+    found = symbols.symbols(files.with_file_facts(derived.corpus(spark, SF)))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(dims.DECLARATIONS["python"][0][2]) == 2
+
+
 def test_rich_imports(sample_files):
     found = {(r.path[4:], r.module, r.line_no) for r in references.extract_imports_rich(sample_files).collect()}
     assert {("a.py", "os", 3), ("B.java", "java.util.List", 1), ("d.go", "fmt", 2), ("d.go", "strings", 3)} <= found
