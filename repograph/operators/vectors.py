@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from repograph.functions import columns as C
 from repograph.functions import dims
 from repograph.operators.graph import checkpointed
+from repograph.operators.nearest import BLOCK, nearest
 from repograph.operators.providers import tried
 
 DIMENSION = 64
-#: A side of so many queries at most is sent to every task; more go by blocks of the corpus.
+#: Queries of a block at most.
 BROADCAST_QUERIES = 10_000
 #: More than the error of an angle that comes from a rounded cosine.
 ANGLE_ERROR = 1e-6
@@ -88,32 +89,32 @@ def detail_records(nodes: DataFrame, text: str = "content", provider: str | None
     return nodes.select(made.alias("id"), F.lit(dims.DETAIL_COLLECTION).alias("collection"), "name", F.col("id").alias("node_id"), "repo", F.col("label").alias("type"), F.col("chunk").alias("summary"), "embedding", "chunk_no", "offset")
 
 
-def scores(vectors: DataFrame, queries: DataFrame, where: Column | None = None, within: tuple[str, ...] = ()) -> DataFrame:
-    """query_id, id, node_id, repo, type and score of all vectors that rows of queries(query_id, query) ask for.
+def _blocked(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None, within: tuple[str, ...], by_type: bool = False) -> DataFrame:
+    """query_id, id, node_id, repo, type and score of the k best for each query in every block of vectors.
 
-    Metadata are tested before any distance, and norms are worked out once for each vector. Few queries are sent to every task; others meet the vectors
-    in as many blocks as there are shuffle partitions. Queries have the columns of ``within`` too and meet only vectors that are equal in them.
+    Metadata are tested before any distance. Vectors and queries(query_id, query) are dealt into blocks of bounded size and each block of one side meets each of the
+    other. Queries have the columns of ``within`` too and meet only vectors that are equal in them.
     """
     rows = vectors if where is None else vectors.where(where)
-    rows = rows.select("id", "node_id", "repo", "type", "embedding", C.norm(F.col("embedding")).alias("_norm"))
-    queries = queries.select("query_id", "query", *within, C.norm(F.col("query")).alias("_query_norm"))
-    if queries.count() <= BROADCAST_QUERIES:
-        pairs = rows.join(F.broadcast(queries), [*within]) if within else rows.join(F.broadcast(queries), F.lit(True))
-    else:
-        blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        pairs = rows.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks))).join(queries.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))), [*within, "_block"]).drop("_block")
-    score = F.round(C.cosine(F.col("embedding"), F.col("query"), F.col("_norm"), F.col("_query_norm")), 6)
-    return pairs.select("query_id", "id", "node_id", "repo", "type", score.alias("score")).where("score is not null")
+    n, asked = rows.count(), queries.count()
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, math.ceil(n / BLOCK), min(spread, math.ceil(n / 1024)))
+    parts = max(1, math.ceil(asked / max(1, BROADCAST_QUERIES)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    rows = rows.withColumns({"_block": dealt("id", blocks), "_part": every(parts)})
+    queries = queries.select("query_id", "query", *within).withColumns({"_part": dealt("query_id", parts), "_block": every(blocks)})
+    return nearest(rows, queries, [*within, "_block", "_part"], k, by_type)
 
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, within: tuple[str, ...] = ()) -> DataFrame:
-    """scores with rank, of the k vectors that are most similar to each query. Each task keeps its best k for a query before they are dealt out by query."""
-    return _ranked(scores(vectors, queries, where, within), k)
+    """scores with rank, of the k vectors that are most similar to each query: the best k of each block, then the best of those."""
+    return _ranked(_blocked(vectors, queries, k, where, within), k)
 
 
 def topk_per_type(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id", "type").orderBy(F.desc("score"), "id"))
-    return scores(vectors, queries).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "type", "id", "node_id", "score", "rank")
+    return _blocked(vectors, queries, k, None, (), True).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "type", "id", "node_id", "score", "rank")
 
 
 def _angle(a: str, b: str) -> Column:
@@ -132,25 +133,32 @@ class IvfIndex:
     rings: DataFrame
 
     def _near(self, queries: DataFrame) -> DataFrame:
-        """query_id, query, list, ring, n, most (no member of the ring has a larger cosine) and rank for each query and ring, the most promising first."""
+        """query_id, list, ring, n, most (no member of the ring has a larger cosine) and rank for each query and ring, the most promising first."""
         centers = self.rings.select("list", "center").dropDuplicates(["list"])
-        near = queries.select("query_id", "query").join(F.broadcast(centers), F.lit(True)).withColumn("_angle", _angle("query", "center")).drop("center")
+        near = queries.select("query_id", "query").join(F.broadcast(centers), F.lit(True)).withColumn("_angle", _angle("query", "center")).drop("center", "query")
         near = near.join(F.broadcast(self.rings.drop("center")), "list")
         # By the triangle inequality a member is no nearer to the query than the angles to the center differ.
         least = F.greatest(F.col("_angle") - F.col("high"), F.col("low") - F.col("_angle"), F.lit(0.0))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("_least", "_angle", "list", "ring"))
         near = near.withColumn("_least", least).withColumn("_rank", rank)
-        return near.select("query_id", "query", "list", "ring", "n", F.cos(F.greatest(F.col("_least") - ANGLE_ERROR, F.lit(0.0))).alias("most"), "_rank")
-
-    def _best(self, probed: DataFrame, k: int) -> DataFrame:
-        scored = self.listed.join(probed.select("query_id", "query", "list", "ring"), ["list", "ring"]).withColumn("score", F.round(C.cosine(F.col("embedding"), F.col("query")), 6)).where("score is not null")
-        return _ranked(scored.select("query_id", "id", "node_id", "repo", "type", "score"), k)
+        return near.select("query_id", "list", "ring", "n", F.cos(F.greatest(F.col("_least") - ANGLE_ERROR, F.lit(0.0))).alias("most"), "_rank")
+
+    def _best(self, probed: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        """The k best for each query in the rings of probed(query_id, list, ring): of each list, in blocks of bounded size, then of those."""
+        parts = max(1, math.ceil(queries.count() / max(1, BROADCAST_QUERIES)))
+        blocks = F.broadcast(self.rings.groupBy("list").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("_blocks")))
+        dealt = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        rows = self.listed.join(blocks, "list").withColumns({"_block": dealt("id", F.col("_blocks")), "_part": every(F.lit(parts))})
+        asked = probed.groupBy("query_id", "list").agg(F.collect_list("ring").alias("rings")).join(queries.select("query_id", "query"), "query_id").join(blocks, "list")
+        asked = asked.withColumns({"_part": dealt("query_id", F.lit(parts)), "_block": every(F.col("_blocks"))}).drop("_blocks")
+        return _ranked(nearest(rows, asked, ["list", "_block", "_part"], k), k)
 
     def _searched(self, queries: DataFrame, k: int, n_probe: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The best of the first rings, those rings, and the other rings that the k-th score so far does not rule out."""
         near = checkpointed(self._near(queries))
         few = near.where(F.col("_rank") <= n_probe)
-        first = checkpointed(self._best(few, k))
+        first = checkpointed(self._best(few, queries, k))
         least = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("_least"))
         more = near.where(F.col("_rank") > n_probe).join(least, "query_id", "left")
         # Scores are rounded to six decimals, so a member may score half of the last one above its bound; equal scores are told apart by id.
@@ -159,7 +167,7 @@ class IvfIndex:
     def search(self, queries: DataFrame, k: int = 10, n_probe: int = 10) -> DataFrame:
         """As topk: no neighbour is lost, as a ring is left out only if none of its members can be among the k best."""
         first, _, more = self._searched(queries, k, n_probe)
-        return _ranked(first.drop("rank").union(self._best(more, k).drop("rank")), k)
+        return _ranked(first.drop("rank").union(self._best(more, queries, k).drop("rank")), k)
 
     def scored(self, queries: DataFrame, k: int = 10, n_probe: int = 10) -> DataFrame:
         """query_id and n: how many vectors a search compares with each query."""
