@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from repograph.operators import runs
 from repograph.sources import derived, tables
 from repograph.sources.versions import VersionedTable
+from repograph.streaming import status
 from repograph.streaming.status import follow, watched_stages
 
 EVENTS = "repo_id string, stage string, event string, timestamp timestamp, seq long"
@@ -49,3 +50,17 @@ def test_watched_stages_equal_batch(spark, tmp_path):
     live = VersionedTable(spark, str(tmp_path / "t")).read().select("repo_id", "stage", "status")
     batch = runs.stage_status(events).select("repo_id", "stage", "status")
     assert live.exceptAll(batch).isEmpty() and batch.exceptAll(live).isEmpty()
+
+
+def test_a_batch_is_worked_out_once_and_python_called_by_bucket(spark, tmp_path, monkeypatch):
+    """Each stage of many is one row, and the groups of a batch are buckets, not stages."""
+    made = spark.range(6000).selectExpr("concat('r', id % 3000) AS repo_id", "concat('s', id % 2) AS stage", "IF(id < 3000, 'stage_started', 'stage_failed') AS event", "timestamp_seconds(1700000000 + id) AS timestamp", "id AS seq")
+    tables.append_events(made.coalesce(2), str(tmp_path / "log"))
+    monkeypatch.setattr(status, "BUCKETS", 5)
+    query = follow(watched_stages(spark, str(tmp_path / "log"), timedelta(days=3650), "3650 days"), str(tmp_path / "t"), str(tmp_path / "c"))
+    query.awaitTermination()
+    states = [s for p in query.recentProgress for s in p["stateOperators"]]
+    assert max(s["numRowsTotal"] for s in states) <= 5
+    live = VersionedTable(spark, str(tmp_path / "t")).read().select("repo_id", "stage", "status")
+    batch = runs.stage_status(made).select("repo_id", "stage", "status")
+    assert live.count() == 3000 and live.exceptAll(batch).isEmpty() and batch.exceptAll(live).isEmpty()
